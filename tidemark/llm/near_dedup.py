@@ -4,9 +4,9 @@
    with equal sets are one node from here on, so copies never form pairs.
 2. Inverted lists of the retained values. Similar sets share at least least_shared() of them, but for a chance of about
    1e-8; of its values, sorted rarest first, a node is therefore listed under the first k - least_shared + 1. Passages
-   that many documents share thus seldom make a list. Nodes that share a list with another get a second, finer
-   sketch of `fine` values, and lists of those.
-3. Overlaps: a listed value stands at some position of a node's sorted sketch; what follows it bounds the overlap of two
+   that many documents share thus seldom make a list. Nodes that share a list with another are then listed in the same
+   way under the values of their whole sets, where the bounds are certain.
+3. Overlaps: a listed value stands at some position of a node's sorted set; what follows it bounds the overlap of two
    nodes that meet there. Each list's hub (the member whose values are most frequent) meets its members; then, in lists
    that still hold several components, the members outside the hub's component meet the others.
 4. A pair is dropped where the union of its two first sketches estimates too small a similarity; the rest is confirmed
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Words, cut, mix64, rows_up_to, shingle_hashes
 
-K, FINE = 64, 256
+K = 64
+#: A sketch of so many values is a whole set.
+WHOLE = 1 << 40
 
 
 def least_shared(n: str, k: int, percent: int) -> str:
@@ -36,6 +38,8 @@ def least_shared(n: str, k: int, percent: int) -> str:
     """
     t = percent / 100
     whole = f"ceil({n} * {percent} / 100)"
+    if k >= WHOLE:
+        return f"cast({whole} as int)"
     drawn = f"floor({t * k} - 6 * sqrt({t * (1 - t) * k} * (1 - {k} / greatest({k}, {n} / {t}))))"
     return f"cast(if({n} <= {t * k}, {whole}, greatest(1, least({whole}, {drawn}))) as int)"
 
@@ -110,38 +114,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def value_batches(k: int):
-    def run(batches):
-        for batch in batches:
-            for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = np.frombuffer(shingles.as_buffer(), np.int64)[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(values)], names=["node", "value"])
-
-    return run
+def value_batches(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in values])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(values))], names=["node", "value"])
 
 
 def inverted_lists(nodes: DataFrame, values: DataFrame, k: int, percent: int) -> DataFrame:
     """(value, node, n, weight, rest) of lists with two members or more; rest: the sketch's values from this one on.
 
-    nodes: (node, n); values: (node, value), the k smallest values of each node. A node's values are sorted rarest first;
+    nodes: (node, n); values: (node, value), the k smallest values of each node, or all (k = WHOLE). A node's values are sorted rarest first;
     those that it alone has come first and make no list.
     """
-    frequent = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    values = values.repartition("value")  # dealt once, for the counts and for the join
+    frequent = values.groupBy("value").agg(F.count("node").alias("df")).filter("df > 1")
     held = values.join(frequent, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
-    length = held.join(nodes, "node").withColumn("length", F.least("n", F.lit(k)))
-    room = F.expr(f"size(held) - {least_shared('n', k, percent)} + 1")
-    listed = length.withColumn("room", F.least(F.size("held"), room)).filter("room > 0")
+    length = held.join(nodes, "node").withColumn("room", F.expr(f"least(size(held), size(held) - {least_shared('n', k, percent)} + 1)"))
+    listed = length.filter("room > 0")
     at = listed.select("node", "n", "weight", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("at", "h"))
     lists = cut(at.select("h.value", "node", "n", "weight", (F.col("size") - F.col("at")).alias("rest")))
     several = lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
     return lists.join(several, "value")
 
 
-def bound(a: str, b: str, k: int, percent: int) -> str:
-    """SQL: whether two nodes that meet in a list can share enough values, by their sizes and by what is left of each."""
+def bound(a: str, b: str, percent: int) -> str:
+    """SQL: whether two nodes that meet in a list of whole sets can share enough, by sizes and by what is left of each."""
     n, m = f"n_{a}", f"n_{b}"
-    enough = f"if({n} <= {k} and {m} <= {k}, ceil({percent} * ({n} + {m}) / {100 + percent}), greatest({least_shared(n, k, percent)}, {least_shared(m, k, percent)}))"
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least(rest_{a}, rest_{b}) >= {enough}"
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * least(rest_{a}, rest_{b}) >= {percent} * ({n} + {m})"
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -157,7 +159,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, perce
     return counted.filter(f"100 * shared >= {percent} * (size_a + size_b - shared)").select("a", "b")
 
 
-def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K, fine: int = FINE) -> DataFrame:
+def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> DataFrame:
     """Components of documents whose sets of n-word shingles have 100 * intersection >= percent * union.
 
     `docs` has doc_id and text; other columns are ignored. Returns a row for each row of docs: doc_id, n_shingles,
@@ -176,21 +178,21 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K, fine:
     texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     sets = cut(texts.select("node", "text").mapInArrow(set_batches(n), "node long, shingles binary").dropDuplicates(["node"]))
     sizes = sets.select("node", F.expr("cast(length(shingles) / 8 as bigint) as n"))
-    lists = cut(inverted_lists(sizes, sets.mapInArrow(value_batches(fine), "node long, value long"), fine, percent))
+    lists = cut(inverted_lists(sizes, sets.mapInArrow(value_batches, "node long, value long"), WHOLE, percent))
 
     # What stands lower than this in its list can meet no member, be it the smallest that is similar.
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n", "rest")).alias("hub"), F.min("n").alias("n_least")).select("value", "n_least", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.rest").alias("rest_hub"))
     member = lists.select("value", "node", F.col("n").alias("n_node"), F.col("rest").alias("rest_node")).join(hubs, "value").filter("node <> hub")
-    pairs = member.filter(bound("node", "hub", fine, percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = member.filter(bound("node", "hub", percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = cut(confirmed(pairs, nodes, sets, k, percent))
 
     roots = components(links)
     rooted = lambda df, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
-    able = f"rest_node >= if(n_node <= {fine}, ceil({percent} * (n_node + greatest(n_least, ceil({percent} * n_node / 100))) / {100 + percent}), {least_shared('n_node', fine, percent)})"
+    able = f"{100 + percent} * rest_node >= {percent} * (n_node + greatest(n_least, ceil({percent} * n_node / 100)))"
     member = cut(rooted(rooted(member.filter(able).select("value", "node", "n_node", "rest_node", "hub"), "node"), "hub"))
     outside = member.filter("node_root <> hub_root").drop("hub", "hub_root")
     other = member.select("value", F.col("node").alias("other"), F.col("n_node").alias("n_other"), F.col("rest_node").alias("rest_other"), F.col("node_root").alias("other_root"))
-    meet = (outside["value"] == other["value"]) & F.expr("node_root <> other_root") & F.expr(bound("node", "other", fine, percent))
+    meet = (outside["value"] == other["value"]) & F.expr("node_root <> other_root") & F.expr(bound("node", "other", percent))
     pairs = outside.join(other, meet).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     more = cut(confirmed(pairs, nodes, sets, k, percent))
     if not more.isEmpty():
