@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
-from tidemark.llm import near_dedup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat, exact_dedup, media, mixing, near_dedup, packing, toxicity, url_filter
 from tidemark.llm.shared import table
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_mix_sources(spark, sf_dir):
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op3_mixture_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_stateful_exact_dedup(spark, sf_dir):
+    _, decisions = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return decisions.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op5_url_link_graph(spark, sf_dir):
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+def op7_tiff_media(spark, sf_dir):
+    return media.text_media(table(spark, sf_dir, "documents"))
+
 
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_ftrl_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op10_chat_formatting(spark, sf_dir):
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {
-        "op8_minhash_near_dedup": op8_minhash_near_dedup,
-    }
+    found = [op1_mix_sources, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op4_stateful_exact_dedup": """
+            select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+              doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+            from documents window same as (partition by coalesce(text, ''))""",
+        "op10_chat_formatting": r"""
+            with turns as (
+              select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+              union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+              union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+            escaped as (
+              select *, '<|im_start|>' || replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '\', '\\'), '<|', '<\|') || chr(10)
+                || content || '<|im_end|>' || chr(10) as piece
+              from (select *, replace(replace(text, '\', '\\'), '<|', '<\|') as content from turns))
+            select conv_id, count(*) as n_turns,
+              sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, content)) as turns_sha256,
+              cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+              sha256(coalesce(string_agg(text, '' order by turn nulls first, role, content) filter (role = 'assistant'), '')) as loss_sha256,
+              cast(sum(length(piece)) as bigint) as formatted_chars
+            from escaped group by conv_id""",
+    }
