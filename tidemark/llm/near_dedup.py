@@ -163,7 +163,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> Da
     """Components of documents whose sets of n-word shingles have 100 * intersection >= percent * union.
 
     `docs` has doc_id and text; other columns are ignored. Returns a row for each row of docs: doc_id, n_shingles,
-    component_id, kept. Null or wordless texts are alone. Rows that repeat a doc_id are rows of their own; their
+    component_id, kept, text_hash. Null or wordless texts are alone. Rows that repeat a doc_id are rows of their own; their
     component_id is the smallest doc_id of all rows that can be reached, and each row that bears it is kept. A null
     doc_id counts as larger than all others. An empty table gives an empty result.
     """
@@ -201,6 +201,13 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> Da
     placed = rooted(nodes.select("print", "node", "doc_id"), "node")
     least = placed.groupBy("node_root").agg(F.min("doc_id").alias("component_id"))
     found = placed.join(least, "node_root").select("print", "component_id")
-    out = rows.select("doc_id", "n_shingles", "print").join(found, "print", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "print").join(found, "print", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs that bear their component's smallest doc_id, with docs' columns."""
+    dropped = near_dedup(docs, **parameters).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    return docs.join(dropped, same, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, media, mixing, near_dedup, packing, toxicity, url_filter
+from tidemark.llm import chat, exact_dedup, html_text, lm_score, media, mixing, near_dedup, packing, toxicity, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -15,6 +15,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op2_stupid_backoff(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_mixture_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,12 +32,16 @@ def op5_url_link_graph(spark, sf_dir):
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_lstm_main_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_tiff_media(spark, sf_dir):
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_ftrl_toxicity(spark, sf_dir):
@@ -45,7 +53,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = [op1_mix_sources, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting]
+    found = [op1_mix_sources, op2_stupid_backoff, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op6_lstm_main_text, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
 

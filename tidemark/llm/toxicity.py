@@ -100,24 +100,49 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
     return model["index"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
+def scored(text: pa.Array, dense: np.ndarray, bits: int) -> np.ndarray:
+    hits = []
+    for owner, feature in features(text, bits):
+        at = np.flatnonzero(dense[feature])
+        hits.append((owner[at] << bits) | feature[at])
+    hits = np.unique(np.concatenate(hits))
+    sums = dense[-1] + np.bincount(hits >> bits, dense[hits & ((1 << bits) - 1)], len(text))
+    return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
+def dense_weights(model, bits: int) -> np.ndarray:
+    index, weight = model.value
+    dense = np.zeros((1 << bits) + 1)
+    dense[index] = weight
+    return dense
+
+
 def score_batches(model, bits: int):
     def run(batches):
-        index, weight = model.value
-        dense = np.zeros((1 << bits) + 1)
-        dense[index] = weight
+        dense = dense_weights(model, bits)
+        for batch in batches:
+            for rows, text in rows_up_to(batch, "text"):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scored(text, dense, bits))], names=["doc_id", "score"])
+
+    return run
+
+
+def clean_batches(model, bits: int, threshold: float):
+    def run(batches):
+        dense = dense_weights(model, bits)
         for batch in batches:
             for rows, text in rows_up_to(batch, "text"):
-                hits = []
-                for owner, feature in features(text, bits):
-                    at = np.flatnonzero(dense[feature])
-                    hits.append((owner[at] << bits) | feature[at])
-                hits = np.unique(np.concatenate(hits))
-                sums = dense[-1] + np.bincount(hits >> bits, dense[hits & ((1 << bits) - 1)], len(text))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], names=["doc_id", "score"])
+                yield rows.filter(pa.array(scored(text, dense, bits) < threshold))
 
     return run
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: Ftrl = Ftrl()) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with docs' columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
+    return docs.mapInArrow(clean_batches(model, p.bits, threshold), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: Ftrl = Ftrl()) -> DataFrame:
     """Scores every whole text: doc_id, held_out, score, predicted; a row for each row of docs.
 
@@ -125,6 +150,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: Ftrl
     scores; other columns play no part. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score_batches(model, p.bits), "doc_id long, score double")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score_batches(model, p.bits), "doc_id long, score double")
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
