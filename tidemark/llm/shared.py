@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import sys
 import tempfile
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Functions of this package travel to the executors by value, so that a worker needs no copy of the repository.
@@ -51,9 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def deterministic_key(*columns: Column) -> Column:
-    """A total order over rows, apart from rows that are equal in these columns."""
-    return F.struct(*columns)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files that nothing refers to any more, before the next large step.
+
+    Spark deletes them when the driver's garbage collector finds their owners gone; it need not wait for the heap to fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def running_start(df: DataFrame, group: str, order: list[str], size: str, out: str, per_bucket: int = 20_000) -> DataFrame:
