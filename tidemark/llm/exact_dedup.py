@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import cut, delete, scratch
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State is kept on disk, in files that are no larger than what they hold: there may be many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -35,12 +38,14 @@ def located(docs: DataFrame) -> DataFrame:
 
 @contextmanager
 def rocksdb(spark):
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def fold(stream: DataFrame, state: str) -> None:
@@ -82,7 +87,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, hits_per_copy: int = 2_000) -> t
     decisions = cut(decided.select(*columns))
 
     copies = F.ceil(F.col("n") / hits_per_copy).cast("int")
-    shared = rows.select(digest(text).alias("digest"), text.alias("text"), "_file", "_row").join(hits.select("digest", "keep", copies.alias("copies")), "digest")
+    shared = cut(rows.select(digest(text).alias("digest"), text.alias("text"), "_file", "_row").join(hits.select("digest", "keep", copies.alias("copies")), "digest"))
     stays = (F.col("keep._file") == F.col("_file")) & (F.col("keep._row") == F.col("_row"))
     first = shared.filter(stays).select("digest", F.col("text").alias("first"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     again = shared.filter(~stays).select("digest", "text", F.pmod(F.xxhash64("_file", "_row"), "copies").cast("int").alias("copy"))
