@@ -10,6 +10,7 @@ given half of each), and within a run the deficits are carried one by one. Only
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,7 +27,9 @@ MOST_QUEUES = 4096
 #: Rows of (partition, source) that are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 #: Pieces of text between white space that a worker remembers, and how long they may be.
-MOST_KNOWN, LONGEST_KNOWN = 600_000, 48
+MOST_KNOWN, LONGEST_KNOWN = 1_000_000, 48
+#: Words of Latin letters, as UTF-8; a stop after one is a token of its own.
+PLAIN, STOPS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,48}"), (b".", b",")
 
 
 def encoder(path: str):
@@ -39,28 +42,54 @@ def encoder(path: str):
 
     cache = process_cache()
     if cache.get("tokenizer_path") != path:
-        cache |= {"tokenizer_path": path, "tokenizer": Tokenizer.from_file(path), "known": {}}
-    tokenizer, known = cache["tokenizer"], cache["known"]
-    assert tokenizer.get_vocab_size() <= 1 << 16
+        tokenizer = Tokenizer.from_file(path)
+        last = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            last[i] = token.endswith("</w>")
+        cache |= {"tokenizer_path": path, "tokenizer": tokenizer, "last": last, "known": {}}
+    tokenizer, known, last = cache["tokenizer"], cache["known"], cache["last"]
+    assert len(last) <= 1 << 16
     many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    ids_of = lambda texts: [np.array(x.ids, "<u2").tobytes() for x in many(texts, add_special_tokens=False)]
+
+    def learn_words(words: list[bytes]) -> None:
+        """Plain words, many to a text: each ends with the one token that ends a word."""
+        for a in range(0, len(words), 2_000):
+            part = words[a : a + 2_000]
+            ids = np.frombuffer(ids_of([b" ".join(part).decode()])[0], "<u2")
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(part):
+                data, cuts = ids.tobytes(), [0, *(2 * ends).tolist()]
+                known.update(zip(part, (data[x:y] for x, y in zip(cuts, cuts[1:]))))
+            else:
+                known.update(zip(part, ids_of([w.decode() for w in part])))
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > MOST_KNOWN:
             known.clear()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(known))
-        here = known
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            ids = [np.array(x.ids, "<u2").tobytes() for x in many([w.decode() for w in part], add_special_tokens=False)]
-            if max(map(len, part)) > LONGEST_KNOWN:
-                here = dict(known) if here is known else here
-                here.update((w, x) for w, x in zip(part, ids) if len(w) > LONGEST_KNOWN)
-            short = {w: x for w, x in zip(part, ids) if len(w) <= LONGEST_KNOWN}
-            known.update(short)
-            if here is not known:
-                here.update(short)
-        return [b"".join(map(here.__getitem__, words)) for words in split]
+        # The tokenizer lower-cases, but looks for its special tokens first.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        plain, other, stopped = set(), [], []
+        for w in set().union(*split).difference(known):
+            word = w[:-1] if w[-1:] in STOPS else w
+            if PLAIN.fullmatch(word):
+                if word not in known:
+                    plain.add(word)
+                if word is not w:
+                    stopped.append((w, word))
+            else:
+                other.append(w)
+        learn_words(list(plain))
+        for a in range(0, len(other), 20_000):
+            part = other[a : a + 20_000]
+            known.update(zip(part, ids_of([w.decode() for w in part])))
+        stops = dict(zip(STOPS, ids_of([x.decode() for x in STOPS])))
+        known.update((w, known[word] + stops[w[-1:]]) for w, word in stopped)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in other:
+            if len(w) > LONGEST_KNOWN:
+                del known[w]
+        return out
 
     return encode
 
