@@ -61,7 +61,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def running_start(df: DataFrame, group: str, order: list[str], size: str, out: str, per_bucket: int = 20_000) -> DataFrame:
+def running_start(df: DataFrame, group: str, order: list[str], size: str, out: str, per_bucket: int = 2_000) -> DataFrame:
     """Adds `out`, the sum of `size` over the rows of the same group that come before, by bucket and then by `order`.
 
     A group may hold any share of the rows: its rows are dealt to hash buckets of about `per_bucket` rows, the buckets'
