@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import cut
 
+#: A host may hold any share of the pages: pages meet what is known of their host in so many places.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: An absolute link; a relative one stays on its host and says nothing about others.
@@ -23,6 +25,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), UPPER, LOWER), part(2)
 
 
+def by_host(rows: DataFrame, of_host: DataFrame) -> DataFrame:
+    """rows (page_id, host, ...) with what of_host (host, ...) has for their host, if anything."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    copies = of_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["host", "_salt"], "left").drop("_salt")
+
+
 def parsed_rules(spark, rules: list[tuple[str, str]]) -> DataFrame:
     """verdict, rule, rule_host, rule_path of rules such as ("block", "example.org/es/")."""
     literal = F.array(*(F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules))
@@ -44,7 +53,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rule = F.struct((-F.length("rule")).alias("order"), "rule", "rule_path", "verdict")
     of_host = hosts.join(rules, "rule_host").groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
     first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0))
-    tried = rows.join(of_host, "host", "left").withColumn("r", first)
+    tried = by_host(rows, of_host).withColumn("r", first)
     return tried.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("rule_verdict"))
 
 
@@ -100,4 +109,4 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], ratio: float =
     distrust = propagated(back, seeds.select("host", F.col("block").alias("weight")))
     hosts = seeds.select("host").join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
     of_host = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
-    return found.join(hosts, "host").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", of_host).alias("verdict"), "trust", "distrust")
+    return by_host(found, hosts).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", of_host).alias("verdict"), "trust", "distrust")
