@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import Words, shingle_hashes
 
 ORDER, BACKOFF = 2, 0.4
-BATCH_ROWS, BUCKET_ROWS, LEAST_BUCKETS = 2_000, 20_000, 32
+BATCH_ROWS, BUCKET_ROWS, LEAST_BUCKETS = 2_000, 8_000, 8
 
 
 def ngrams(text: pa.Array, order: int):
