@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.vocab import MAX_CHUNK
 
-LINES = Window.partitionBy("issue").orderBy("line_no")
-ISSUE = Window.partitionBy("issue")
+
+def by_line():
+    return Window.partitionBy("issue").orderBy("line_no")
 
 
 def marked(lines: DataFrame) -> DataFrame:
     """Lines before the footer with what each one is: banner, header, and the footer's line number `stop`."""
     df = lines.withColumns({"banner": T.banner(F.col("line")), "header": T.header(F.col("line"))})
-    stop = F.min(F.when(T.footer(F.col("line")), F.col("line_no"))).over(ISSUE)
-    last = F.max("line_no").over(ISSUE) + 1
+    stop = F.min(F.when(T.footer(F.col("line")), F.col("line_no"))).over(Window.partitionBy("issue"))
+    last = F.max("line_no").over(Window.partitionBy("issue")) + 1
     return df.withColumn("stop", F.coalesce(stop, last))
 
 
@@ -29,8 +30,8 @@ def issue_dates(lines: DataFrame) -> DataFrame:
 def owned(lines: DataFrame) -> DataFrame:
     """Lines under a banner and before the footer, with banner_line, species, and header_line (null before the first header)."""
     df = marked(lines).filter("line_no < stop")
-    banner_line = F.max(F.when(F.col("banner").isNotNull(), F.col("line_no"))).over(LINES)
-    df = df.withColumns({"banner_line": banner_line, "section": F.last("banner", ignorenulls=True).over(LINES)}).filter("banner_line is not null and line_no > banner_line")
+    banner_line = F.max(F.when(F.col("banner").isNotNull(), F.col("line_no"))).over(by_line())
+    df = df.withColumns({"banner_line": banner_line, "section": F.last("banner", ignorenulls=True).over(by_line())}).filter("banner_line is not null and line_no > banner_line")
     header_line = F.max(F.when(F.col("header").isNotNull(), F.col("line_no"))).over(Window.partitionBy("issue", "banner_line").orderBy("line_no"))
     return df.select("issue", "line_no", "line", "banner_line", F.col("section.name").alias("banner_name"), F.col("section.species").alias("species"), header_line.alias("header_line"), "header")
 
