@@ -130,7 +130,7 @@ def inverted_lists(nodes: DataFrame, values: DataFrame, k: int, percent: int) ->
     those that it alone has come first and make no list.
     """
     values = values.repartition("value")  # dealt once, for the counts and for the join
-    frequent = values.groupBy("value").agg(F.count("node").alias("df")).filter("df > 1")
+    frequent = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("value", "df")
     held = values.join(frequent, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
     length = held.join(nodes, "node").withColumn("room", F.expr(f"least(size(held), size(held) - {least_shared('n', k, percent)} + 1)"))
     listed = length.filter("room > 0")

@@ -7,6 +7,7 @@ import gc
 import shutil
 import sys
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -55,10 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle and checkpoint files that nothing refers to any more, before the next large step.
 
-    Spark deletes them when the driver's garbage collector finds their owners gone; it need not wait for the heap to fill.
+    Spark deletes them when the driver's garbage collector finds their owners gone; this need not wait for the heap to
+    fill. What the first round frees may own what the second one does.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def running_start(df: DataFrame, group: str, order: list[str], size: str, out: str, per_bucket: int = 2_000) -> DataFrame:
@@ -94,15 +98,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rows_up_to(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def rows_up_to(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Slices of a batch with about `most` bytes of text each; a longer text is a slice by itself."""
-    text = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < len(text):
+    while at < len(texts):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield batch.slice(at, to - at), text.slice(at, to - at)
+        yield batch.slice(at, to - at), pc.fill_null(texts.slice(at, to - at).cast(pa.large_string()), "")
         at = to
 
 
