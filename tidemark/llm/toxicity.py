@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Each coordinate has its own learning rate; L1 keeps most weights at exactly 0, so that the model is a short list of
-(index, weight), which is broadcast. A text's features are the presence of: words, word beginnings (4, 5 and 6 bytes),
+(index, weight), which is broadcast. A text's features are the presence of: words, word beginnings (4 to 8 bytes),
 pairs of neighbours, and pairs with one word between.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Words, mix64, rows_up_to
 
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 6.0
     l2: float = 1.0
-    epochs: int = 5
+    epochs: int = 8
     bits: int = 20
     #: At most so many labelled rows are learned from: those with the smallest hash of their doc_id.
     most_rows: int = 20_000
