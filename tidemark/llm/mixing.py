@@ -139,7 +139,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, per_sh
     parts = parts.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "start", (begin - F.col("start")).alias("first"), (end - begin).alias("length"))
     shards = -(-sum(slots.values()) // per_shard)
     drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(slot_batches(sources, list(blocks.values()), list(slots.values()), per_shard, seed), "shard long, slot long, source string, block long, round long")
-    spans = drawn.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
+    # A row of shards becomes thousands of slots, which Spark cannot foresee: without the hint it would broadcast them all.
+    spans = drawn.hint("merge").join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
     return places, spans, goal
 
 
