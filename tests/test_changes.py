@@ -28,7 +28,8 @@ def test_geometry_far_and_near(spark):
 
 
 def test_upper_median_and_numbers(spark):
-    df = spark.createDataFrame([(x,) for x in (4.0, 1.0, 3.0, 2.0)], "x double")
-    assert df.agg(measures.upper_median(df.x).alias("m")).first().m == 3.0
+    df = spark.createDataFrame([(x, i) for i, x in enumerate((4.0, 1.0, 3.0, 2.0))], "x double, i long")
+    got = measures.median_and_most(df, "x", "i").first()
+    assert (got.n, got.median_x, got.most_x) == (4, 3.0, 4.0)
     got = measures.numbered(df, ["x"], "n", range_rows=2).orderBy("x").collect()
     assert [r.n for r in got] == [1, 2, 3, 4]

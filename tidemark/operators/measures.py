@@ -30,10 +30,12 @@ def deduped(sightings: DataFrame) -> DataFrame:
     return first_of(sightings, ["sighting_date", F.coalesce("sighting_time", F.lit("")), F.lower("location_raw")], ["id"])
 
 
-def upper_median(value: Column) -> Column:
-    """Element floor(n/2) of the sorted values, counted from 0."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def median_and_most(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """One row: n, median_{value} (element floor(n/2) of the sorted values, counted from 0) and most_{value}."""
+    placed = numbered(df.select(value, tie), [value, tie], "_n")
+    total = df.agg(F.count("*").alias("n"), F.max(value).alias(f"most_{value}"))
+    middle = placed.join(F.broadcast(total.select("n")), F.col("_n") == F.floor(F.col("n") / 2) + 1).select(F.col(value).alias(f"median_{value}"))
+    return total.join(F.broadcast(middle), F.lit(True), "left")
 
 
 def transitions(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -363,8 +363,8 @@ MOVED_SQL = f"select a.id, {KM} as km from ({ANSWERS.format(1)}) a join ({ANSWER
 @query("answers", f"select count(*) as n, round(list_sort(list(km))[1 + cast(floor(count(*) / 2) as int)], 6) as median_km, round(max(km), 6) as most_km from ({MOVED_SQL}) m")
 def movement_km(v):
     a, b = placed(v, 1).filter("lat is not null"), placed(v, 2).filter("lat is not null").select("pid", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
-    km = a.join(b, "pid").select(geo.km_between(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km"))
-    return km.agg(F.count("*").alias("n"), F.round(measures.upper_median(F.col("km")), 6).alias("median_km"), F.round(F.max("km"), 6).alias("most_km"))
+    km = a.join(b, "pid").select("pid", geo.km_between(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km"))
+    return rounded(measures.median_and_most(km, "km", "pid"), "median_km", "most_km")
 
 
 STATE = "case when {0}.lat is null then 'unplaced' when {1}.id is not null then 'wet' else 'dry' end"
@@ -478,11 +478,11 @@ def cost_projection(v):
 
 # ---- changes
 
-INCOMING = "select 1000 + id as id, case when id % 2 = 0 then upper(name) else name || ' new' end as name, 'extra ' || name as alias, 48.0 as lat, -123.0 as lng from v_landmarks where id % 10 = 0 and id <= 80"
+INCOMING = "select 1000 + id as id, case when id % 2 = 0 then upper(name) else name || ' new' end as name, 'extra ' || name as alias, 48.0 as lat, -123.0 as lng from v_landmarks where id % 10 = 0"
 
 
 def incoming(v) -> DataFrame:
-    rows = v.landmarks.filter("id % 10 = 0 and id <= 80")
+    rows = v.landmarks.filter("id % 10 = 0")
     name = F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" new")))
     return rows.select((F.col("id") + 1000).alias("id"), name.alias("name"), F.array(F.concat(F.lit("extra "), "name"), F.lit(" ")).alias("aliases"), F.lit(48.0).alias("lat"), F.lit(-123.0).alias("lng"))
 
@@ -588,11 +588,12 @@ def method_rename(v):
     return changes.renamed_method(v.sightings, "gazetteer", "verified").select("id", "geo_method")
 
 
-@query("newsletters sightings", "select n.id, 'complete' as status, left(string_agg('sighting ' || s.id, '; ' order by s.id), 2000) as warning_text from v_newsletters n join v_sightings s on s.newsletter_id = n.id where s.id < 400 group by n.id")
+@query("newsletters sightings", "select n.id, 'complete' as status, left(string_agg('placed at ' || s.location_raw, '; ' order by s.location_raw), 2000) as warning_text from v_newsletters n join (select distinct newsletter_id, location_raw from v_sightings) s on s.newsletter_id = n.id group by n.id")
 def run_finalize(v):
-    warnings = v.sightings.filter("id < 400").groupBy(F.col("newsletter_id").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("w"))
+    places_ = v.sightings.select("newsletter_id", "location_raw").distinct()
+    warnings = places_.groupBy(F.col("newsletter_id").alias("id")).agg(F.array_sort(F.collect_list("location_raw")).alias("w"))
     runs = v.newsletters.join(warnings, "id")
-    return changes.finished_runs(runs, F.transform("w", lambda x: F.concat(F.lit("sighting "), x.cast("string")))).select("id", "status", "warning_text")
+    return changes.finished_runs(runs, F.transform("w", lambda x: F.concat(F.lit("placed at "), x))).select("id", "status", "warning_text")
 
 
 # ---- scalar rules
@@ -795,9 +796,10 @@ def parse_json_array(v):
     return rounded(r.select("id", "pos", "r.input", "r.species", "r.lat", "r.lng"), "lat", "lng")
 
 
-@query("model_text", f"select id, input from ({ITEMS_SQL}) i where id % 6 = 2")
+@query("model_text", f"select id, input from ({ITEMS_SQL}) i where input = 'c'")
 def salvage_truncated(v):
-    return records.parsed(v.model_text.filter("id % 6 = 2")).select("id", "r.input")
+    cut_off = v.model_text.filter(~F.rtrim("txt").endswith("]") & ~F.contains("txt", F.lit("```")))
+    return records.parsed(cut_off).select("id", "r.input")
 
 
 @query("model_text", f"select id, case when species = 'narwhal' then 'gray' else species end as species from ({ITEMS_SQL}) i")

@@ -1,4 +1,4 @@
-"""Derived views over the base tables: the domain tables, by formulas that Spark and DuckDB evaluate alike (FIXTURES.md, part B)."""
+"""Derived views over the base tables: the domain tables, by formulas that Spark and DuckDB evaluate alike (FIXTURES.md, part B), over all rows of their tables."""
 
 from __future__ import annotations
 
@@ -93,7 +93,7 @@ select event_id as id, case event_id % 8
   when 5 then '12.3456, 56.7890'
   when 6 then 'Southeast side of island, 3.5, 2.1'
   else '17:20 - leaving a milling whale' end as txt
-from events where event_id < 2000
+from events
 """,
     "v_issue_lines": r"""
 with d as (select source, doc_id, cast(row_number() over (partition by source order by doc_id) - 1 as int) as r from documents),
@@ -118,7 +118,7 @@ select event_id as id, case event_id % 6
   when 3 then concat('[{"input":"mid', chr(10), 'channel","species":"humpback","lat":48.4,"lng":-122.8}]')
   when 4 then 'Wonn Rd [Road]: placed. [{"input":"e [Road]","species":"other","lat":48.5,"lng":-122.9}]'
   else '[{"input":"f","species":"narwhal","lat":48.6,"lng":-123.0}]' end as txt
-from events where event_id < 600
+from events
 """,
     "v_calls": r"""
 select doc_id as call_no, case when doc_id % 3 = 0 then 'geocode' else 'extract' end as stage,
