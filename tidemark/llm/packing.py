@@ -27,7 +27,7 @@ MOST_QUEUES = 4096
 #: Rows of (partition, source) that are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 #: Pieces of text between white space that a worker remembers, and how long they may be.
-MOST_KNOWN, LONGEST_KNOWN = 500_000, 48
+MOST_KNOWN, LONGEST_KNOWN = 250_000, 48
 #: Words of Latin letters, as UTF-8; a stop after one is a token of its own.
 PLAIN, STOPS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,48}"), (b".", b",")
 

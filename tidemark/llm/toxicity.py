@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ class Ftrl:
     epochs: int = 8
     bits: int = 20
     #: At most so many labelled rows are learned from: those with the smallest hash of their doc_id.
-    most_rows: int = 20_000
+    most_rows: int = 15_000
 
 
 def features(text: pa.Array, bits: int):
@@ -61,14 +62,19 @@ def feature_rows(bits: int):
 
 def trainer(p: Ftrl):
     def run(batches):
-        data = []
+        # All features stand in one array, which goes back to the system as a whole.
+        parts, sizes, wanted = [], [], []
         for batch in batches:
-            data += [(y, np.frombuffer(x, np.int32)) for y, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            wanted += batch.column(1).to_pylist()
+            sizes += (pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4).tolist()
+            parts.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(2)), np.int32))
+        every, ends = np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum([0, *sizes])
+        del parts
         z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
         bias = 1 << p.bits
         for _ in range(p.epochs):
-            for y, index in data:
-                index = np.append(index, bias)
+            for y, a, b in zip(wanted, ends[:-1], ends[1:]):
+                index = np.append(every[a:b], bias)
                 zi, ni = z[index], n[index]
                 l1 = np.full(len(index), p.l1)
                 l1[-1] = 0
