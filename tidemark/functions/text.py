@@ -35,6 +35,7 @@ def banner(line: Column) -> Column:
     return out
 
 
+# The forms of a date header and of an issue's date line.
 DAY = "(?:Mon|Tue|Tues|Wed|Thu|Thur|Thurs|Fri|Sat|Sun)"
 MONTH = "((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[a-z]*)"
 HEADER = rf"(?i)^{DAY}[.,]?\s+{MONTH}[.,]?\s+(\d{{1,2}})\s*[-–]\s*(.+)$"
@@ -89,6 +90,7 @@ def separator(line: Column) -> Column:
 
 
 def footer(line: Column) -> Column:
+    """Where the reports end; the two phrases are fixed values."""
     return strip(line).rlike(r"(?i)^(ABOUT ORCA NETWORK|Orca Network is a 501)")
 
 
@@ -111,6 +113,7 @@ def bracket_readings(text: Column) -> Column:
 
 # ---- coordinates in prose
 
+# The four forms in which reports give coordinates.
 DEGREES = "[°º]"
 MINUTES, SECONDS = "['’′]", "[\"”″]"
 DMS = rf"(?i)(\d{{1,2}}){DEGREES}\s*(\d{{1,2}}){MINUTES}\s*([\d.]+){SECONDS}?\s*([NS])[,;\s]+(\d{{1,3}}){DEGREES}\s*(\d{{1,2}}){MINUTES}\s*([\d.]+){SECONDS}?\s*([EW])"
