@@ -28,6 +28,8 @@ from tidemark.llm.shared import Words, cut, mix64, release, rows_up_to, shingle_
 K = 64
 #: A sketch of so many values is a whole set.
 WHOLE = 1 << 40
+#: Bits of the map of texts that are wanted again.
+SLOTS = 1 << 24
 
 
 def least_shared(n: str, k: int, percent: int) -> str:
@@ -163,10 +165,33 @@ def shared_sets(docs: DataFrame, nodes: DataFrame, n: int, k: int, percent: int)
     """(node, shingles): the whole sets of nodes that share a list of retained values with another."""
     met = inverted_lists(nodes.select("node", "n"), nodes.select("node", F.explode("sketch").alias("value")), k, percent)
     needed = nodes.join(met.select("node").distinct(), "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
+    likely = docs.mapInArrow(marked_batches(bits), "doc_id long, text string, text_hash long")
+    texts = likely.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     return cut(texts.select("node", "text").mapInArrow(set_batches(n), "node long, shingles binary").dropDuplicates(["node"]))
 
 
+def bitmap(needed: DataFrame) -> np.ndarray:
+    """A bit for each slot that a needed hash falls in: 2 MB, whatever the input; where most are set, it only saves less."""
+    slot = F.pmod("_hash", F.lit(SLOTS)) + 1
+    parts = needed.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in parts:
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def marked_batches(bits):
+    """Rows whose hash may be needed; the join decides. It spares the shuffle most texts that are like no other."""
+
+    def run(batches):
+        for batch in batches:
+            slot = batch.column(2).to_numpy() % SLOTS
+            yield batch.filter(pa.array((bits.value[slot >> 3] >> (slot & 7)) & 1 == 1))
+
+    return run
+
+
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> DataFrame:
     """Components of documents whose sets of n-word shingles have 100 * intersection >= percent * union.
 
