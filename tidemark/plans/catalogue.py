@@ -713,7 +713,7 @@ def issue_date(v):
 @query("issue_lines", f"select issue, line_no, 2026 + case when month - 7 > 6 then -1 when month - 7 < -6 then 1 else 0 end || '-' || lpad(cast(month as varchar), 2, '0') || '-' || lpad(cast(day as varchar), 2, '0') as iso from ({MARKED_SQL}) m where month is not null")
 def header_iso_date(v):
     h = v.issue_lines.select("issue", "line_no", text.header(F.col("line")).alias("h")).filter("h is not null")
-    dated = h.join(F.broadcast(issues.issue_dates(v.issue_lines)), "issue")  # one row per issue
+    dated = h.join(issues.issue_dates(v.issue_lines), "issue")
     return dated.select("issue", "line_no", text.header_date(F.col("h.month"), F.col("h.day"), F.to_date("iso")).alias("iso"))
 
 
