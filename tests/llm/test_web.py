@@ -90,6 +90,13 @@ def test_blocks():
         html_text.blocks_of(odd)
 
 
+def test_all_words_of_a_block_count():
+    words = [f"w{i}" for i in range(900)]
+    row = html_text.vectors([(" ".join(words), (), 0.0)])[0, html_text.PATH : html_text.PATH + html_text.WORDS]
+    want = np.bincount([zlib.crc32(w.encode()) % html_text.WORDS for w in words], minlength=html_text.WORDS)
+    assert np.allclose(row, want / np.sqrt((want * want).sum()))
+
+
 def test_main_text(spark, pages, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     good = 0

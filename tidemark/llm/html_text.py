@@ -116,8 +116,7 @@ def vectors(blocks: list) -> np.ndarray:
             paths[path] = [slot(f"t:{n[0]}", PATH) for n in names] + [slot(f"m:{m}", PATH) for m in marks] + [slot(f"l:{names[-1][0] if names else ''}", PATH)]
         out[i, paths[path]] = 1
         words = text.lower().split()
-        for w in words[:400]:
-            out[i, PATH + slot(w, WORDS)] += 1
+        out[i, PATH : PATH + WORDS] = np.bincount([slot(w, WORDS) for w in words], minlength=WORDS)
         row = out[i, PATH : PATH + WORDS]
         row /= max(1.0, float(np.sqrt((row * row).sum())))
         n = len(text)
