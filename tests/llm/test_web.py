@@ -90,6 +90,29 @@ def test_blocks():
         html_text.blocks_of(odd)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><meta charset=x><h1>a</h1><p>b", ["a", "b"]),
+        ("<head><title>t</head><p>b", ["b"]),
+        ("<head><script>'</head>'</script><style>x</style>c<p>b", ["c", "b"]),
+        *((f"<div><p>a</p><{x}></div><p>b</p>", ["a", "b"]) for x in ("svg", "math", "object", "canvas", "audio", "video", "select", "noscript", "iframe", "template", "textarea")),
+        *((f"<p>a</p><{x}><p>b</p>", ["a", "b"]) for x in ("svg", "math", "object", "canvas", "audio", "video", "select", "noscript", "iframe", "template")),
+        ("<object><object>a</object><p>b</p></object><p>c", ["a", "b", "c"]),
+        ("<svg><svg><path d='x'/></svg><title>t</title></svg><p>c", ["c"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><noscript>see <b>this</b></noscript>", ["if x=2 holds", "see this"]),
+        ("<template><p>x<template>y</template>z</p></template><p>a", ["a"]),
+        ("<template><p>x<template>y</template><p>a", ["a"]),
+        ("<p>a<template><p>x</p>y</template>b", ["a", "b"]),
+        ("<label>a <select><option>x<option>y</label> b <select><optgroup><option>z</select> c", ["a", "b", "c"]),
+        ("<select><option>x<input>a", ["a"]),
+    ],
+)
+def test_no_block_is_dropped(page, want):
+    assert [b[0] for b in html_text.blocks_of(page)] == want
+    assert html_text.blocks_of("<a href=x><svg><path></svg>abcd</a>")[0][2] == 1
+
+
 def test_all_words_of_a_block_count():
     words = [f"w{i}" for i in range(900)]
     row = html_text.vectors([(" ".join(words), (), 0.0)])[0, html_text.PATH : html_text.PATH + html_text.WORDS]

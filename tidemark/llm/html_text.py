@@ -21,16 +21,26 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-# Elements that hold no text of a page, that end no block, that have no end tag, and that a new one closes.
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select"}
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements whose content is no markup and no text of a page, whose text is not shown or is a form's, that leave
+# no trace in the path, that end no block, that have no end tag, and that a new one closes.
+RAW = {"script", "style", "title", "textarea", "iframe"}
+SILENT = {"template", "select"}
+CLEAR = set("svg g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath marker pattern clippath mask lineargradient radialgradient stop foreignobject desc metadata noscript object canvas audio video".split())
+MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml"
+MATHS = set(MATH.split())
+INLINE = set(f"{MATH} a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
+CHOICES = {"option", "optgroup", "hr", *INLINE}
 FENCES = {"ul", "ol", "table", "dl", "article", "section", "div", "main", "body", "td", "blockquote"}
 
 
 def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, tag path with classes and ids, share of the text in links) of each leaf block that has text, in order."""
+    """(text, tag path with classes and ids, share of the text in links) of each leaf block that has text, in order.
+
+    A head is not an element of its own here: what may stand in it has no text of the page, and all else is the body's,
+    whether or not its tags are there. A select ends where anything but its choices begins.
+    """
     out: list = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
@@ -44,6 +54,36 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         parts.clear()
         linked = 0
 
+    absent: set[str] = set()
+
+    def ends(what: str, at: int):
+        """The next place of an end tag, if there is one; each is looked for in vain once."""
+        found = None if what in absent else re.compile(rf"{what}\b[^>]*>", re.I).search(page, at)
+        if found is None:
+            absent.add(what)
+        return found
+
+    def skipped(name: str, at: int) -> int:
+        """Where the page goes on after the content of a raw element; one without its end tag has no content, or is a script."""
+        stop = ends(f"</{name}", at)
+        if name == "title":
+            body = ends("(?:</head|<body)", at)
+            if body and (stop is None or body.start() < stop.start()):
+                return body.start()
+            if stop is None:
+                return page.find("<", at) if page.find("<", at) >= 0 else len(page)
+        return stop.end() if stop else len(page) if name in ("script", "style") else at
+
+    def choose(name: str) -> None:
+        """Ends an open select at the start of what is no choice of it."""
+        if name not in CHOICES:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == "select":
+                    del stack[i:]
+                    break
+                if stack[i][0] not in CHOICES:
+                    break
+
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
@@ -51,31 +91,46 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if name is None and text is None:
             continue
         if text is not None:
-            parts.append(text)
-            if any(x == "a" for x, _ in stack):
-                linked += len(text)
+            if not any(x in SILENT for x, _ in stack):
+                parts.append(text)
+                if any(x == "a" for x, _ in stack):
+                    linked += len(text)
             continue
         name = name.lower()
-        if name in SILENT:
-            if not end and not m.group(0).endswith("/>"):
+        closed = m.group(0).endswith("/>")
+        if name == "head":
+            close()
+            continue
+        if name in RAW:
+            if not end and not closed:
                 close()
-                stop = re.compile(rf"</{name}\s*>|<body\b" if name == "head" else rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = len(page) if stop is None else stop.start() if stop.group(0)[1] != "/" else stop.end()
+                if name == "textarea":
+                    choose(name)
+                at = skipped(name, at)
             continue
+        if not end:
+            choose(name)
         if name in INLINE:
             if name in ("br", "img", "wbr"):
                 parts.append(" ")
             elif end:
+                inside = len(stack)
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        del stack[i]
+                        del stack[i : i + 1 if inside == len(stack) else None]
                         break
-                    if stack[i][0] not in INLINE:
+                    if stack[i][0] in CLEAR or stack[i][0] in ("select", "option", "optgroup"):
+                        inside = i
+                    elif stack[i][0] not in INLINE:
                         break
-            else:
+            elif not closed or name not in MATHS:
                 stack.append((name, ""))
             continue
         close()
+        if not end and (name in CLEAR or name in SILENT):
+            if not closed and (name != "template" or ends("</template", at)):
+                stack.append((name, ""))
+            continue
         while stack and stack[-1][0] in INLINE:
             stack.pop()
         if end:
@@ -83,11 +138,18 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 if stack[i][0] == name:
                     del stack[i:]
                     break
+                if stack[i][0] == "template":
+                    break
+            if name == "template" and not ends("</template", at):
+                for i, (x, _) in enumerate(stack):
+                    if x == "template":
+                        del stack[i:]
+                        break
         elif name not in EMPTY:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES.get(name, ()):
                     del stack[i:]
-                elif stack[i][0] in FENCES:
+                elif stack[i][0] in FENCES or stack[i][0] in SILENT:
                     break
             marks = " ".join(filter(None, (a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)))) if attributes else ""
             stack.append((name, f"{name} {marks.lower()}" if marks else name))
