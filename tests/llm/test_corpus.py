@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -95,6 +96,21 @@ def test_lm_scores(awkward, docs, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_read_longer_contexts(spark):
+    texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
+    got = {r.doc_id: r.log_score for r in lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # Of the others, one of two texts with "a b" goes on with c; by the bigram alone it would be one of four.
+    assert math.isclose(got[0], math.log(2 / 13) + math.log(2 / 2) + math.log(1 / 2))
+
+
+def test_lm_batches_by_bytes():
+    rows = pa.record_batch({"doc_id": list(range(7)), "text": ["x" * n for n in (0, 900, 50, 3000, 10, 10, 990)]})
+    got = [(b, t.column("doc_id").to_pylist()) for b, t in lm_score.batches_of([rows.slice(0, 2), rows.slice(2, 5)], 1000)]
+    assert got == [(0, [0, 1, 2]), (1, [3]), (2, [4, 5]), (3, [6])]
+    keys = np.sort(np.random.default_rng(1).integers(1, 1 << 64, 999, np.uint64, endpoint=False))
+    assert (lm_score.unpacked(lm_score.packed(keys), 999) == keys).all()
+
+
 def test_pack(awkward, docs, empty):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     for df in (awkward, docs):

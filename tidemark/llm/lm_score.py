@@ -2,8 +2,8 @@
 
 Texts are exploded into n-grams of each order up to `order`; a batch of documents pre-aggregates its own, and deals them
 by hash to buckets. A bucket is a part of the n-gram count table: it adds up what all batches sent, and joins the totals
-back to the n-grams of each batch, where they are summed per document. Rows carry sorted arrays of n-gram hashes rather
-than single n-grams. A document is scored by the counts of all other documents (its own are taken off), so that each
+back to the n-grams of each batch, where they are summed per document. Rows carry sorted arrays of n-gram hashes (their
+differences, the high bytes compressed) rather than single n-grams. A document is scored by the counts of all other documents (its own are taken off), so that each
 text meets a model that has not seen it.
 """
 
@@ -13,13 +13,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Words, shingle_hashes
 
-ORDER, BACKOFF = 2, 0.4
-BATCH_ROWS, BUCKET_ROWS, LEAST_BUCKETS = 2_000, 8_000, 8
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of text of a batch, and for each bucket, and what a row counts besides its text. A longer text is a batch by itself.
+BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, ROW_BYTES = 5_000_000, 20_000_000, 8, 16
 
 
 def ngrams(text: pa.Array, order: int):
@@ -47,42 +50,73 @@ def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def count_batches(order: int, buckets: int):
-    """From rows (batch, doc_id, text), the n-grams of each batch by bucket."""
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte; the high bytes are few and small."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return planes[:5].tobytes() + pa.compress(planes[5:].tobytes(), "zstd", asbytes=True)
 
-    def sent(batch: int, texts: list[pa.Array]):
-        _, keys = ngrams(pa.concat_arrays(texts), order)
-        rows = []
-        for m, key in enumerate(keys, 1):
-            own, counts = counted(key)
-            edges = bucket_edges(own, buckets)
-            rows += [(b, batch, m, own[s:e].tobytes(), zlib.compress(counts[s:e].astype("<u4").tobytes(), 1)) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
-        return pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(SENT, zip(*rows) if rows else [[]] * 5)})
+
+def unpacked(data, n: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    planes = np.concatenate([raw[: 5 * n], np.frombuffer(pa.decompress(raw[5 * n :].tobytes(), 3 * n, "zstd"), np.uint8)])
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def batches_of(batches, most: int = BATCH_BYTES):
+    """(batch, doc_ids and texts) of a partition's rows (doc_id, text), in order; the same each time."""
+    base, number, open_, size = TaskContext.get().partitionId() << 33 if TaskContext.get() else 0, 0, [], 0
+    for rows in batches:
+        rows = pa.Table.from_batches([rows]).set_column(1, "text", rows.column(1).cast(pa.large_string()))
+        sizes = pc.binary_length(rows.column("text")).to_numpy() + ROW_BYTES
+        at, ends = 0, np.cumsum(sizes)
+        while at < len(sizes):
+            to = int(np.searchsorted(ends, most - size + (ends[at - 1] if at else 0), side="right"))
+            if to <= at and open_:
+                yield base + number, pa.concat_tables(open_)
+                number, open_, size = number + 1, [], 0
+                continue
+            to = max(to, at + 1)
+            open_.append(rows.slice(at, to - at))
+            size += int(sizes[at:to].sum())
+            at = to
+    if open_:
+        yield base + number, pa.concat_tables(open_)
+
+
+def whole(texts: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(texts.chunks)
+
+
+def text_batches(batches):
+    """From rows (doc_id, text), one row a batch with all of its own."""
+    for batch, rows in batches_of(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+            out.write_table(rows.combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "docs"])
+
+
+def count_batches(order: int, buckets: int):
+    """From rows (doc_id, text), the n-grams of each batch by bucket."""
 
     def run(batches):
-        open_, texts = None, []
-        for rows in batches:
-            ids = rows.column(0).to_numpy()
-            text = rows.column(2).cast(pa.large_string())
-            for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1):
-                if len(at):
-                    if open_ is not None and ids[at[0]] != open_:
-                        yield sent(open_, texts)
-                        texts = []
-                    open_ = int(ids[at[0]])
-                    texts.append(text.slice(int(at[0]), len(at)))
-        if open_ is not None:
-            yield sent(open_, texts)
+        for batch, docs in batches_of(batches):
+            _, keys = ngrams(whole(docs.column("text")), order)
+            for m, key in enumerate(keys, 1):
+                own, counts = counted(key)
+                edges = bucket_edges(own, buckets)
+                rows = [(b, batch, m, e - s, packed(own[s:e]), zlib.compress(counts[s:e].astype("<u4").tobytes(), 1)) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(SENT, zip(*rows) if rows else [[]] * len(SENT))})
 
     return run
 
 
-SENT = [("bucket", pa.int64()), ("batch", pa.int64()), ("m", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
+SENT = [("bucket", pa.int64()), ("batch", pa.int64()), ("m", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
 
 
 def totals(group: pa.Table) -> pa.Table:
     """One bucket and order: the totals over all batches, for the n-grams of each batch."""
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("keys")]
+    keys = [unpacked(x.as_buffer(), n) for x, n in zip(group.column("keys"), group.column("n").to_pylist())]
     counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), "<u4") for x in group.column("counts")])
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(inverse, counts)[inverse].astype("<u8")
@@ -93,7 +127,8 @@ def totals(group: pa.Table) -> pa.Table:
 
 def scorer(order: int, backoff: float, all_words: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        text = pa.concat_arrays([c.cast(pa.large_string()) for c in docs.column("text").chunks])
+        docs = pa.ipc.open_stream(docs.column("docs")[0].as_buffer()).read_all()
+        text = whole(docs.column("text"))
         first, keys = ngrams(text, order)
         n = np.diff(first)
         owner = np.repeat(np.arange(len(n)), n)
@@ -130,13 +165,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     document has it. Words are as A-Z lower-cased runs without ASCII white space. A null or wordless text has n_words 0,
     log_score 0 and a null per_word. Rows that repeat are other documents to each other. An empty table gives no rows.
     """
-    place = F.monotonically_increasing_id()
-    part, row = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-    batch = F.shiftleft(part, 33) + F.floor(row / BATCH_ROWS)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(batch.alias("batch"), "doc_id", "text")
-    size = rows.agg(F.count("*"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()
-    buckets = max(LEAST_BUCKETS, size[0] // BUCKET_ROWS)
-    sent = rows.mapInArrow(count_batches(order, buckets), "bucket long, batch long, m long, keys binary, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
+    buckets = max(LEAST_BUCKETS, size[0] // BUCKET_BYTES)
+    sent = rows.mapInArrow(count_batches(order, buckets), "bucket long, batch long, m long, n long, keys binary, counts binary")
     back = sent.groupBy("bucket", "m").applyInArrow(totals, "batch long, m long, bucket long, totals binary")
-    scored = rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(scorer(order, backoff, int(size[1])), "doc_id long, n_words long, log_score double")
+    texts = rows.mapInArrow(text_batches, "batch long, docs binary")
+    scored = texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(scorer(order, backoff, int(size[1])), "doc_id long, n_words long, log_score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
