@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -111,6 +112,16 @@ def test_lm_batches_by_bytes():
     assert (lm_score.unpacked(lm_score.packed(keys), 999) == keys).all()
 
 
+def test_capitals_with_marks():
+    pairs = {d.split()[0] + " " + d.split()[1] for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d.count(" ") == 1 and d[0] != "<"}
+    assert all(0x300 <= int(b, 16) < 0x380 for a, b in map(str.split, pairs) if int(a, 16) < 128)
+    tokenizer, marks = Tokenizer.from_file(TOKENIZER), list(map(chr, range(0x300, 0x370)))
+    texts = [f"{c}{m}abc {c}x{m}" for c in "AHJTWYa" for m in marks] + [f"J{a}\u030cABC" for a in marks] + ["One \u00c9T\u0308A.", "J\u030cabc"]
+    got = packing.encoder(TOKENIZER)([t.encode() for t in texts])
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want and want[-1] == [329, 136, 490, 5334]
+
+
 def test_pack(awkward, docs, empty):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     for df in (awkward, docs):

@@ -30,6 +30,21 @@ MOST_BROADCAST = 100_000
 MOST_KNOWN, LONGEST_KNOWN = 250_000, 48
 #: Words of Latin letters, as UTF-8; a stop after one is a token of its own.
 PLAIN, STOPS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,48}"), (b".", b",")
+#: In UTF-8, the first bytes of U+0300 to U+037F: all marks that an ASCII letter can be composed with are there.
+MARK = re.compile(rb"[\xcc\xcd]")
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """The pieces between white space, lower-cased where that can't change the ids.
+
+    The tokenizer composes, then lower-cases, but looks for its special tokens first: some letters compose with a mark
+    in lower case only, so that pieces with marks stay as they are.
+    """
+    if b"<|" in text:
+        return text.split()
+    if MARK.search(text) is None:
+        return text.lower().split()
+    return [w if MARK.search(w) else w.lower() for w in text.split()]
 
 
 def encoder(path: str):
@@ -67,8 +82,7 @@ def encoder(path: str):
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > MOST_KNOWN:
             known.clear()
-        # The tokenizer lower-cases, but looks for its special tokens first.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [pieces_of(t) for t in texts]
         plain, other, stopped = set(), [], []
         for w in set().union(*split).difference(known):
             word = w[:-1] if w[-1:] in STOPS else w
