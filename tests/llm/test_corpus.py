@@ -151,6 +151,21 @@ def test_pack(awkward, docs, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_shared_queues_keep_targets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_QUEUES", 2)
+    rows = [(i, "word " * 500, f"s{i}") for i in range(10)]
+    weights = {f"s{i}": 1 + 3 * i for i in range(10)} | {"absent": 1000}
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), TOKENIZER, weights, window=128, run=4).collect()
+    shares, first = Counter(), Counter()
+    for doc, queue in {(p.doc_id, p.queue) for p in pieces}:
+        shares[queue] += weights[f"s{doc}"]
+    for p in pieces:
+        first[p.queue] += p.length * (p.sequence_id == 0)
+    sizes = Counter(q for _, q in {(p.doc_id, p.queue) for p in pieces})
+    assert len(shares) == 2 and sum(first.values()) == 128 and len(set(shares.values())) == 2, sizes
+    assert all(abs(first[q] - 128 * n / sum(shares.values())) <= 2 for q, n in shares.items())
+
+
 @pytest.mark.parametrize("shares", [[1, 1, 1, 1], [5, 1, 0.001, 3], [0, 0, 1, 0]])
 def test_schedule(shares):
     sizes = np.array([100_000, 3, 70_001, 900])

@@ -248,10 +248,11 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, window: i
     docs has doc_id, text, source. weights: the target share of each source (None among them), by default its tokens,
     so that every window has the mixture of the whole; where a queue runs dry its share goes to the others by weight.
     A null or empty text has the end id alone; a null source is a source. Rows that repeat are packed as often. Other
-    columns play no part. An empty table gives no pieces. Columns: doc_id, start, length, ids_crc32, doc_tokens,
+    columns play no part. With more than MOST_QUEUES sources, those that share a queue have the sum of their shares, in
+    the order of their rows. An empty table gives no pieces. Columns: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, queue.
     """
-    spark = docs.sparkSession
+    spark, weights = docs.sparkSession, weights or None
     several = docs.select("source").distinct().limit(MOST_QUEUES + 1).count()
     queue = F.col("source") if several <= MOST_QUEUES else F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string")
     tokens = cut(docs.select("doc_id", queue.cast("string").alias("queue"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(token_batches(tokenizer, end_id), "doc_id long, queue string, part long, inside long, n long, ids binary"))
@@ -262,7 +263,12 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, window: i
     if sums.count() <= MOST_BROADCAST:
         base = F.broadcast(base)
     queues, sizes = [q for q, _ in totals], [n for _, n in totals]
-    shares = [float((weights or {}).get(q, n if not weights else 0)) for q, n in totals]
+    if weights and several > MOST_QUEUES:
+        # A shared queue has the sum of its sources' targets.
+        given = F.broadcast(spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, weight double"))
+        present = docs.select(F.col("source").cast("string").alias("source"), queue.alias("queue")).distinct()
+        weights = {r.queue: r.weight for r in present.join(given, F.col("source").eqNullSafe(F.col("_source"))).groupBy("queue").agg(F.sum("weight").alias("weight")).collect()}
+    shares = [float(weights.get(q, 0) if weights is not None else n) for q, n in totals]
     placed = tokens.join(base, F.col("queue").eqNullSafe(F.col("_queue")) & (F.col("part") == F.col("_part")))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     return placed.select("doc_id", "queue", (F.col("base") + F.col("inside")).alias("at"), "ids").mapInArrow(piece_batches(queues, sizes, shares, window, run), schema)
