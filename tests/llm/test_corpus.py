@@ -117,9 +117,15 @@ def test_capitals_with_marks():
     assert all(0x300 <= int(b, 16) < 0x380 for a, b in map(str.split, pairs) if int(a, 16) < 128)
     tokenizer, marks = Tokenizer.from_file(TOKENIZER), list(map(chr, range(0x300, 0x370)))
     texts = [f"{c}{m}abc {c}x{m}" for c in "AHJTWYa" for m in marks] + [f"J{a}\u030cABC" for a in marks] + ["One \u00c9T\u0308A.", "J\u030cabc"]
-    got = packing.encoder(TOKENIZER)([t.encode() for t in texts])
-    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want and want[-1] == [329, 136, 490, 5334]
+    texts += ["", " \t", "it's it'S 'tis don't!! a'll'd (716) 555-8176 x=1,2 \u00df\u00f7\u00d7\u00e9\u0080 \u00bd \u00b5m \u212a \u0130x na\u00efve...", "<|endoftext|> <|x A<|startoftext|>B", "a\u00a0b\u3000c\x1cd\x85e", "z" * 300]
+    want = [[*x.ids, 2] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (packing.encoder(TOKENIZER), packing.Encoder(TOKENIZER)):
+        for part in (slice(0, 1), slice(0, None), slice(5, 9)):
+            ids, at = encoder(pa.array(texts, pa.large_string())[part], 2)
+            assert [x.tolist() for x in np.split(ids, at[1:-1])] == want[part]
+    encoder.by_piece = False
+    ids, at = encoder(pa.array(texts, pa.large_string()), 2)
+    assert [x.tolist() for x in np.split(ids, at[1:-1])] == want and want[encoder.by_piece + texts.index("J\u030cabc")][:4] == [329, 136, 490, 5334]
 
 
 def test_pack(awkward, docs, empty):

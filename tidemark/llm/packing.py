@@ -9,12 +9,14 @@ given half of each), and within a run the deficits are carried one by one. Only
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,100 +28,157 @@ WINDOW, RUN, END_ID = 4096, 256, 2
 MOST_QUEUES = 4096
 #: Rows of (partition, source) that are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
-#: Pieces of text between white space that a worker remembers, and how long they may be.
-MOST_KNOWN, LONGEST_KNOWN = 250_000, 48
-#: Words of Latin letters, as UTF-8; a stop after one is a token of its own.
-PLAIN, STOPS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,48}"), (b".", b",")
-#: In UTF-8, the first bytes of U+0300 to U+037F: all marks that an ASCII letter can be composed with are there.
-MARK = re.compile(rb"[\xcc\xcd]")
-
-
-def pieces_of(text: bytes) -> list[bytes]:
-    """The pieces between white space, lower-cased where that can't change the ids.
-
-    The tokenizer composes, then lower-cases, but looks for its special tokens first: some letters compose with a mark
-    in lower case only, so that pieces with marks stay as they are.
-    """
-    if b"<|" in text:
-        return text.split()
-    if MARK.search(text) is None:
-        return text.lower().split()
-    return [w if MARK.search(w) else w.lower() for w in text.split()]
-
-
-def encoder(path: str):
-    """A function from a list of texts (as bytes) to their ids (little-endian, 2 bytes each).
-
-    No rule of this tokenizer looks across ASCII white space, so that each piece between it has ids of its own.
+#: Pieces of text between white space that a worker remembers, and the ids that they may have in all.
+MOST_KNOWN, MOST_IDS = 400_000, 8_000_000
+#: What stands for the end of a text among the pieces; no piece has white space.
+END = " "
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
+#: Lower-case Latin letters, as the tokenizer leaves them; words of these only, and pieces that the tokenizer's own pattern cuts.
+LETTER = "a-zß-öø-ÿ"
+WORD = re.compile(f"[{LETTER}]+")
+CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^{LETTER}0-9]+")
+SIMPLE = re.compile(f"[{LETTER}!-@[-`{{-~]+")
+#: Marks that a letter can be composed with, and what special tokens begin with.
+ODD = "[\u0300-\u037f]|<\\|"
+
+# How the tokenizer's file writes the rules by which words can be encoded one by one.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class Encoder:
+    """Ids of whole texts by a tokenizer's file: (ids of all texts, where each text's begin).
+
+    Where the file's rules are RULES, none of them looks across ASCII white space, so that each distinct piece between it
+    is encoded once. The tokenizer composes, then lower-cases, but looks for its special tokens first: texts with marks or
+    with what may be a special token are not lower-cased beforehand. By other rules, whole texts are encoded.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    cache = process_cache()
-    if cache.get("tokenizer_path") != path:
-        tokenizer = Tokenizer.from_file(path)
-        last = np.zeros(tokenizer.get_vocab_size(), bool)
-        for token, i in tokenizer.get_vocab().items():
-            last[i] = token.endswith("</w>")
-        cache |= {"tokenizer_path": path, "tokenizer": tokenizer, "last": last, "known": {}}
-    tokenizer, known, last = cache["tokenizer"], cache["known"], cache["last"]
-    assert len(last) <= 1 << 16
-    many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    ids_of = lambda texts: [np.array(x.ids, "<u2").tobytes() for x in many(texts, add_special_tokens=False)]
-
-    def learn_words(words: list[bytes]) -> None:
-        """Plain words, many to a text: each ends with the one token that ends a word."""
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        rules = json.loads(self.whole.to_str())
+        self.by_piece = all(rules.get(k) == v for k, v in RULES.items()) and rules["model"]["end_of_word_suffix"] == "</w>"
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        assert len(self.last) <= 1 << 16
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = {"": 0}
+        self.ids, self.ends = np.zeros(0, "<u2"), np.zeros(1, np.int64)
+
+    def encoded(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        tokenizer = tokenizer or self.whole
+        many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return [np.array(x.ids, "<u2") for a in range(0, len(texts), 20_000) for x in many(texts[a : a + 20_000], add_special_tokens=False)]
+
+    def keep(self, pieces: list[str], ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        """Remembers new pieces, whose ids stand one after another in `ids`."""
+        self.known.update(zip(pieces, range(len(self.ends), len(self.ends) + len(pieces))))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
+
+    def gathered(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these entries, one after another, where each ends)."""
+        size = np.diff(self.ends, prepend=0)[code]
+        ends = np.cumsum(size)
+        where = np.repeat(self.ends[code] - ends, size)
+        where += np.arange(len(where))
+        return self.ids[where], ends
+
+    def learn(self, pieces: list[str]) -> None:
+        """Simple pieces are cut as the tokenizer would cut them, and their words encoded many to a text; others as they are."""
+        column = pa.array(pieces, pa.string())
+        word, simple = (pc.match_substring_regex(column, f"^(?:{x.pattern})$").to_numpy(zero_copy_only=False) for x in (WORD, SIMPLE))
+        simple &= ~pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        split = strings(column.filter(pa.array(simple & ~word)))
+        cuts = list(map(CUT.findall, split))
+        parts = set().union(*cuts).difference(self.known)
+        whole = strings(column.filter(pa.array(word | ~simple)))
+        self.learn_whole(list(parts.union(whole)))
+        cut = [(p, c) for p, c in zip(split, cuts) if p not in parts]
+        if cut:
+            ids, ends = self.gathered(np.array([self.known[x] for _, c in cut for x in c]))
+            sizes = np.diff(ends[np.cumsum([len(c) for _, c in cut]) - 1], prepend=0)
+            self.keep([p for p, _ in cut], [ids], sizes)
+
+    def learn_whole(self, pieces: list[str]) -> None:
+        column = pa.array(pieces, pa.string())
+        word = pc.match_substring_regex(column, f"^(?:{WORD.pattern})$")
+        words, other = strings(column.filter(word)), strings(column.filter(pc.invert(word)))
         for a in range(0, len(words), 2_000):
             part = words[a : a + 2_000]
-            ids = np.frombuffer(ids_of([b" ".join(part).decode()])[0], "<u2")
-            ends = np.flatnonzero(last[ids]) + 1
-            if len(ends) == len(part):
-                data, cuts = ids.tobytes(), [0, *(2 * ends).tolist()]
-                known.update(zip(part, (data[x:y] for x, y in zip(cuts, cuts[1:]))))
-            else:
-                known.update(zip(part, ids_of([w.decode() for w in part])))
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > MOST_KNOWN:
-            known.clear()
-        split = [pieces_of(t) for t in texts]
-        plain, other, stopped = set(), [], []
-        for w in set().union(*split).difference(known):
-            word = w[:-1] if w[-1:] in STOPS else w
-            if PLAIN.fullmatch(word):
-                if word not in known:
-                    plain.add(word)
-                if word is not w:
-                    stopped.append((w, word))
-            else:
-                other.append(w)
-        learn_words(list(plain))
-        for a in range(0, len(other), 20_000):
-            part = other[a : a + 20_000]
-            known.update(zip(part, ids_of([w.decode() for w in part])))
-        stops = dict(zip(STOPS, ids_of([x.decode() for x in STOPS])))
-        known.update((w, known[word] + stops[w[-1:]]) for w, word in stopped)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in other:
-            if len(w) > LONGEST_KNOWN:
-                del known[w]
-        return out
-
-    return encode
+            ids = self.encoded([" ".join(part)], self.words)
+            sizes = np.diff(np.flatnonzero(self.last[ids[0]]) + 1, prepend=0)
+            if len(sizes) != len(part):
+                ids = self.encoded(part)
+                sizes = np.array([len(x) for x in ids])
+            self.keep(part, ids, sizes)
+        if other:
+            ids = self.encoded(other)
+            self.keep(other, ids, np.array([len(x) for x in ids]))
+
+    def __call__(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """text: an array of large strings without nulls; each text's ids are followed by end_id."""
+        if not self.by_piece:
+            each = [np.append(x, np.array([end_id], "<u2")) for x in self.encoded(strings(text))]
+            return np.concatenate([np.zeros(0, "<u2"), *each]), np.cumsum([0, *map(len, each)])
+        if len(self.known) > MOST_KNOWN or len(self.ids) > MOST_IDS:
+            self.forget()
+        text = text.take(pa.array(np.arange(len(text))))  # pc.ascii_lower misreads slices
+        pieces = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(text, ODD), text, pc.ascii_lower(text)))
+        coded = pieces.flatten().dictionary_encode()
+        distinct = strings(coded.dictionary)
+        if fresh := [p for p in distinct if p not in self.known]:
+            self.learn(fresh)
+        if END not in self.known:
+            self.keep([END], [np.array([end_id], "<u2")], np.ones(1, np.int64))
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        last = np.asarray(pieces.offsets, np.int64)[1:] - pieces.offsets[0].as_py()
+        ids, ends = self.gathered(np.insert(index[coded.indices.to_numpy()], last, self.known[END]))
+        return ids, np.append(0, ends[last + np.arange(len(last))])
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder that this worker keeps from task to task."""
+    cache = process_cache()
+    if cache.get("tokenizer_path") != path:
+        cache |= {"tokenizer_path": path, "encoder": Encoder(path)}
+    return cache["encoder"]
 
 
 def token_batches(path: str, end_id: int):
     def run(batches):
         encode, part, given = encoder(path), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for rows, text in rows_up_to(batch, "text"):
-                ids = [x + end for x in encode(text.cast(pa.large_binary()).to_pylist())]
-                starts = []
-                for queue, x in zip(rows.column(1).to_pylist(), ids):
+            for rows, text in rows_up_to(batch, "text", SLICE):
+                ids, at = encode(text, end_id)
+                starts, sizes = [], np.diff(at)
+                for queue, n in zip(rows.column(1).to_pylist(), sizes.tolist()):
                     starts.append(given.get(queue, 0))
-                    given[queue] = starts[-1] + len(x) // 2
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "part", "inside", "n", "ids"])
+                    given[queue] = starts[-1] + n
+                blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(sizes), part)), pa.array(starts, pa.int64()), pa.array(sizes), blobs], names=["doc_id", "queue", "part", "inside", "n", "ids"])
 
     return run
 
