@@ -9,8 +9,6 @@ text meets a model that has not seen it.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, shingle_hashes
+from tidemark.llm.shared import Words, cut, shingle_hashes
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text of a batch, and for each bucket, and what a row counts besides its text. A longer text is a batch by itself.
-BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, ROW_BYTES = 5_000_000, 20_000_000, 8, 16
+BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, ROW_BYTES = 10_000_000, 20_000_000, 8, 16
 
 
 def ngrams(text: pa.Array, order: int):
@@ -62,6 +60,16 @@ def unpacked(data, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts byte by byte, compressed: most are small."""
+    return pa.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_counts(data, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
 def batches_of(batches, most: int = BATCH_BYTES):
     """(batch, doc_ids and texts) of a partition's rows (doc_id, text), in order; the same each time."""
     base, number, open_, size = TaskContext.get().partitionId() << 33 if TaskContext.get() else 0, 0, [], 0
@@ -91,7 +99,7 @@ def text_batches(batches):
     """From rows (doc_id, text), one row a batch with all of its own."""
     for batch, rows in batches_of(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             out.write_table(rows.combine_chunks())
         yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "docs"])
 
@@ -105,7 +113,7 @@ def count_batches(order: int, buckets: int):
             for m, key in enumerate(keys, 1):
                 own, counts = counted(key)
                 edges = bucket_edges(own, buckets)
-                rows = [(b, batch, m, e - s, packed(own[s:e]), zlib.compress(counts[s:e].astype("<u4").tobytes(), 1)) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+                rows = [(b, batch, m, e - s, packed(own[s:e]), packed_counts(counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(SENT, zip(*rows) if rows else [[]] * len(SENT))})
 
     return run
@@ -117,12 +125,12 @@ SENT = [("bucket", pa.int64()), ("batch", pa.int64()), ("m", pa.int64()), ("n",
 def totals(group: pa.Table) -> pa.Table:
     """One bucket and order: the totals over all batches, for the n-grams of each batch."""
     keys = [unpacked(x.as_buffer(), n) for x, n in zip(group.column("keys"), group.column("n").to_pylist())]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), "<u4") for x in group.column("counts")])
+    counts = np.concatenate([unpacked_counts(x.as_buffer(), n) for x, n in zip(group.column("counts"), group.column("n").to_pylist())])
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(inverse, counts)[inverse].astype("<u8")
     ends = np.cumsum([len(k) for k in keys])
-    back = [zlib.compress(x.tobytes(), 1) for x in np.split(sums, ends[:-1])]
-    return pa.table({"batch": group.column("batch"), "m": group.column("m"), "bucket": group.column("bucket"), "totals": pa.array(back, pa.binary())})
+    back = [packed_counts(x) for x in np.split(sums, ends[:-1])]
+    return pa.table({"batch": group.column("batch"), "m": group.column("m"), "bucket": group.column("bucket"), "n": group.column("n"), "totals": pa.array(back, pa.binary())})
 
 
 def scorer(order: int, backoff: float, all_words: int):
@@ -134,11 +142,11 @@ def scorer(order: int, backoff: float, all_words: int):
         owner = np.repeat(np.arange(len(n)), n)
         others, have = np.maximum(0, all_words - n)[owner], []
         by_order: dict[int, list] = {m: [] for m in range(1, order + 1)}
-        for m, bucket, blob in zip(*(found.column(c).to_pylist() for c in ("m", "bucket", "totals"))):
-            by_order[m].append((bucket, blob))
+        for m, bucket, n_keys, blob in zip(*(found.column(c).to_pylist() for c in ("m", "bucket", "n", "totals"))):
+            by_order[m].append((bucket, n_keys, blob))
         for m, key in enumerate(keys, 1):
             own, _ = counted(key)
-            total = np.concatenate([np.frombuffer(zlib.decompress(x), "<u8") for _, x in sorted(by_order[m])]) if len(own) else np.zeros(0)
+            total = np.concatenate([unpacked_counts(x, k) for _, k, x in sorted(by_order[m])]) if len(own) else np.zeros(0)
             at = np.searchsorted(own, key)
             valid = key > 0
             pairs, inverse, mine = np.unique(owner[valid] * (len(own) + 1) + at[valid], return_inverse=True, return_counts=True)
@@ -169,8 +177,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, size[0] // BUCKET_BYTES)
+    # Both sides number their batches by partition and place: rows that come out of a shuffle are stored first, so that a
+    # task that runs again numbers them alike.
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = cut(rows)
     sent = rows.mapInArrow(count_batches(order, buckets), "bucket long, batch long, m long, n long, keys binary, counts binary")
-    back = sent.groupBy("bucket", "m").applyInArrow(totals, "batch long, m long, bucket long, totals binary")
+    back = sent.groupBy("bucket", "m").applyInArrow(totals, "batch long, m long, bucket long, n long, totals binary")
     texts = rows.mapInArrow(text_batches, "batch long, docs binary")
     scored = texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(scorer(order, backoff, int(size[1])), "doc_id long, n_words long, log_score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
