@@ -166,6 +166,51 @@ def test_codecs():
     for n in (0, 1, 2, 3, 127, 128, 129, 5000, 40_000):
         for data in (bytes(n), rng.randbytes(n), b"ab" * (n // 2)):
             assert media.unpack_bits(media.pack_bits(data)) == data and media.lzw_decode(media.lzw_encode(data)) == data
+    # Worked examples of the format's description, and streams written by hand.
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert media.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    told = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in told)
+    assert media.lzw_decode(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert media.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+    assert len(media.lzw_decode(media.lzw_encode(bytes(10**7)), 1000)) < 9 * 10**6 and len(media.unpack_bits(b"\x81a" * 10**5, 1000)) < 1200
+
+
+def plain_tiff(order, body, width, height, scheme=1, predictor=1, tags=()):
+    """A file written by hand, apart from the module's writer."""
+    entries = {256: (4, width), 257: (4, height), 258: (3, 8), 259: (3, scheme), 262: (3, 1), 273: (4, 8), 277: (3, 1), 278: (4, height), 279: (4, len(body)), 317: (3, predictor)} | dict(tags)
+    at = 8 + len(body) + len(body) % 2
+    out = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + body.ljust(at - 8, b"\0") + struct.pack(order + "H", len(entries))
+    for tag, (kind, value) in sorted(entries.items()):
+        out += struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "I", value) if kind == 4 else struct.pack(order + "HH", value, 0))
+    return out + struct.pack(order + "I", 0)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_by_hand(order):
+    image = bytes(range(7)) + b"\xff\0\1\2\3\4\5" + b"same..."
+    steps = b"".join(bytes((r[i] - (r[i - 1] if i else 0)) & 255 for i in range(7)) for r in (image[:7], image[7:14], image[14:]))
+    for body, scheme, predictor in ((image, 1, 1), (steps, 1, 2), (zlib.compress(image), 8, 1), (zlib.compress(steps), 32946, 2), (bytes([20]) + image, 32773, 1)):
+        ((page, facts, data, error),) = media.pages_of(plain_tiff(order, body, 7, 3, scheme, predictor))
+        assert (page, data, error) == (0, image, None) and facts["width"] == 7
+
+
+def test_tiff_that_claims_too_much():
+    for width, height in ((1_000_000, 2_000_000), (2**32 - 1, 2**32 - 1), (0, 5), (5, 0)):
+        for scheme in (1, 5, 8, 32773):
+            ((_, _, data, error),) = media.pages_of(plain_tiff("<", b"abcd", width, height, scheme))
+            assert data is None and error
+    tiled = plain_tiff("<", b"abcd", 4, 1, 1, 1, {322: (4, 2**31), 323: (4, 2**31), 324: (4, 8), 325: (4, 4)}.items())
+    assert list(media.pages_of(tiled))[0][3]
+
+
+def test_every_scheme_at_every_size():
+    found = {n: set() for n in (10, 5_000, 300_000)}
+    for n in found:
+        for i in range(40):
+            (_, tags), *_ = media.directories(media.stored(f"{i} ".encode() * (n // 2)))
+            found[n].add((tags[media.COMPRESSION][0], tags[media.PREDICTOR][0], media.TILE_OFFSETS in tags))
+    assert all({x[0] for x in kinds} == {1, *media.SCHEMES} - {1} and {x[2] for x in kinds} == {True, False} for kinds in found.values())
 
 
 def test_damaged_tiff(spark):

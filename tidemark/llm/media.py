@@ -22,9 +22,10 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """Stops once there are `most` bytes."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -39,92 +40,121 @@ def unpack_bits(data: bytes) -> bytes:
 
 def pack_bits(data: bytes) -> bytes:
     """Runs of three or more equal bytes as repeats, the rest as they are."""
+    samples = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(samples)) + 1
+    starts, ends = np.append(0, edges), np.append(edges, len(data))
+    long = np.flatnonzero(ends - starts > 2)
     out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and data[at + run : at + run + 1] == data[at : at + 1]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        to = at + 1
-        while to < len(data) and to - at < 128 and not (data[to : to + 1] == data[to + 1 : to + 2] == data[to + 2 : to + 3]):
-            to += 1
-        out += bytes((to - at - 1,)) + data[at:to]
-        at = to
+    for start, end in [*zip(starts[long].tolist(), ends[long].tolist()), (len(data), len(data))]:
+        for a in range(at, start, 128):
+            part = data[a : min(a + 128, start)]
+            out.append(len(part) - 1)
+            out += part
+        for n in [128] * ((end - start) // 128) + [(end - start) % 128]:
+            if n:
+                out += bytes(((257 - n) & 255, data[start])) if n > 1 else bytes((0, data[start]))
+        at = end
     return bytes(out)
 
 
 CLEAR, END = 256, 257
+#: Codes after a CLEAR until the table is full, and the length of each; it grows one code early.
+SEGMENT = 4094 - 258
+LENGTHS = np.select([np.arange(SEGMENT + 1) < n for n in (512 - 258, 1024 - 258, 2048 - 258)], [9, 10, 11], 12)
+
+
+def lzw_codes(data: bytes):
+    """Runs of codes, each up to the next CLEAR or END; codes are 9 to 12 bits long, first bit highest."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
+    bit, last, length = 0, 8 * len(data), LENGTHS
+    while bit + 9 <= last:
+        first = np.cumsum(length) - length
+        n = int(np.searchsorted(first + length, last - bit, side="right"))
+        at = bit + first[:n]
+        byte = at >> 3
+        window = (raw[byte] << 16) | (raw[byte + 1] << 8) | raw[byte + 2]
+        codes = (window >> (24 - (at & 7) - length[:n])) & ((1 << length[:n]) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        if not len(stops) and n == len(length):  # no CLEAR although the table is full
+            length = np.append(length, np.full(2 * len(length), 12))
+            continue
+        stop = int(stops[0]) if len(stops) else n
+        if stop:
+            yield codes[:stop]
+        if stop == n or codes[stop] == END:
+            return
+        bit, length = bit + int(first[stop] + length[stop]), LENGTHS
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, first bit highest; the code length grows one code early."""
-    table: list[bytes] = []
-    out, bits, held, length, last = bytearray(), 0, 0, 9, b""
-    fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        if bits < length:
-            continue
-        bits -= length
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == END:
+def lzw_run(codes: np.ndarray) -> bytes:
+    """The bytes of a run of codes that starts with a fresh table.
+
+    The table's entry 258 + i is what code i stands for and the first byte of the next one, so that each byte of the
+    output is another one further ahead, or a literal: the literals are found by following all bytes at once.
+    """
+    n = len(codes)
+    parent = codes - 258
+    if n and (parent >= np.arange(n)).any():
+        raise ValueError("an LZW code beyond the table")
+    length, up = np.ones(n, np.int64), np.where(parent >= 0, parent, n)
+    length[parent < 0] = 0
+    up, length = np.append(up, n), np.append(length, 0)
+    while (up < n).any():
+        length, up = length + length[up], up[up]
+    length = length[:n] + 1
+    start = np.cumsum(length) - length
+    owner = np.repeat(np.arange(n), length)
+    place = np.arange(len(owner)) - start[owner]
+    literal, of = (parent < 0)[owner], np.maximum(parent, 0)[owner]
+    source = np.where(place < length[of], start[of] + place, start[np.minimum(of + 1, n - 1)])
+    source[literal] = np.flatnonzero(literal)
+    while (further := source[source]).tobytes() != source.tobytes():
+        source = further
+    return codes[owner].astype(np.uint8)[source].tobytes()
+
+
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Stops after the run of codes that reaches `most` bytes; a run is at most some MB."""
+    out, size = [], 0
+    for codes in lzw_codes(data):
+        out.append(lzw_run(codes))
+        size += len(out[-1])
+        if most is not None and size >= most:
             break
-        if code == CLEAR:
-            table, length, last = fresh.copy(), 9, b""
-            continue
-        if not table:
-            table = fresh.copy()
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and last:
-            entry = last + last[:1]
-        else:
-            raise ValueError("an LZW code beyond the table")
-        out += entry
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        length = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
-    return bytes(out)
+    return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    table, length, size = {}, 9, 258
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << length) | code, bits + length
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    put(CLEAR)
-    last = b""
-    for i in range(len(data)):
-        longer = last + data[i : i + 1]
-        if len(longer) == 1 or longer in table:
-            last = longer
+    codes, table, size, before = [CLEAR], {}, 258, data[0] if data else None
+    put, find = codes.append, table.get
+    for c in data[1:]:
+        longer = before << 8 | c
+        known = find(longer)
+        if known is not None:
+            before = known
             continue
-        put(table[last] if len(last) > 1 else last[0])
-        table[longer], size = size, size + 1
-        length = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        put(before)
+        table[longer] = size
+        size += 1
         if size == 4094:
             put(CLEAR)
-            table, length, size = {}, 9, 258
-        last = data[i : i + 1]
-    if last:
-        put(table[last] if len(last) > 1 else last[0])
-        size += 1
-        length = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    put(END)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            table.clear()
+            size = 258
+        before = c
+    if data:
+        put(before)
+    codes.append(END)
+    code = np.array(codes, ">u2")
+    # A CLEAR is as long as its place after the former one says; the first is 9 bits long.
+    clears = np.flatnonzero(code == CLEAR)
+    place = np.arange(len(code)) - clears[np.searchsorted(clears, np.arange(len(code))) - 1] - 1
+    place[0] = 0
+    bits = np.unpackbits(code.view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - LENGTHS[place][:, None]]).tobytes()
+
+
+#: No scheme makes more bytes of one than that.
+MOST_RATIO = 1500
 
 
 def inflated(scheme: int, data: bytes, most: int) -> bytes:
@@ -133,9 +163,9 @@ def inflated(scheme: int, data: bytes, most: int) -> bytes:
     if scheme in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, most)
     if scheme == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if scheme == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     raise ValueError(f"compression {scheme}")
 
 
@@ -175,6 +205,8 @@ def page_samples(data: bytes, order: str, tags: dict) -> tuple[dict, bytes]:
     across, down = -(-width // max(1, w)), -(-height // max(1, h))
     item = np.dtype("u1") if bits <= 8 else np.dtype(order + "u2")
     row = w * per_pixel if bits > 1 else -(-w * per_pixel // 8)
+    if min(width, height, samples, w, h) < 1 or max(height * width * samples, h * row) * item.itemsize > MOST_RATIO * max(1, len(data)):
+        raise ValueError("a page that is larger than its file can hold")
     out = np.zeros((height, width, samples) if bits > 1 else (height, row, 1), item.newbyteorder("="))
     for i, (offset, count) in enumerate(zip(offsets, counts)):
         plane, place = divmod(i, across * down)
@@ -195,7 +227,7 @@ def write_tiff(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int =
     """A file of pages (height, width[, samples]) of 8-bit or 16-bit samples."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
-    squeeze = {PLAIN: bytes, DEFLATE: lambda x: zlib.compress(x, 1), OLD_DEFLATE: zlib.compress, LZW: lzw_encode, PACKBITS: pack_bits}[scheme]
+    squeeze = {PLAIN: bytes, DEFLATE: lambda x: zlib.compress(x, 1), OLD_DEFLATE: lambda x: zlib.compress(x, 1), LZW: lzw_encode, PACKBITS: pack_bits}[scheme]
     for page in pages:
         page = page if page.ndim == 3 else page[:, :, None]
         height, width, samples = page.shape
@@ -241,7 +273,7 @@ def pages_of(data: bytes | None):
         for order, tags in directories(data or b""):
             yield page, *page_samples(data, order, tags), None
             page += 1
-    except (ValueError, struct.error, zlib.error, KeyError, IndexError) as e:
+    except (ValueError, struct.error, zlib.error, KeyError, IndexError, OverflowError, MemoryError) as e:
         yield page, {}, None, str(e)[:200] or type(e).__name__
 
 
@@ -266,22 +298,20 @@ def tiff_pages(media: DataFrame, key: str = "doc_id", column: str = "media") ->
 # ---- texts as pictures
 
 UNIT, PAGE_ROWS = 64, 4096
-#: Up to so many bytes, a text's checksum decides whether LZW, PackBits or tiles are used instead of deflated strips.
-SMALL = 16_384
+SCHEMES = (LZW, PACKBITS, DEFLATE, OLD_DEFLATE)
 
 
 def stored(text: bytes) -> bytes:
-    """A text's bytes as a grey picture of 64 samples a row, with rows of 0 behind, in pages of at most 4096 rows; equal texts, equal files."""
+    """A text's bytes as a grey picture of 64 samples a row, with rows of 0 behind, in pages of at most 4096 rows.
+
+    The text's checksum decides, whatever its size, on scheme, predictor, strips or tiles, and byte order; equal texts,
+    equal files.
+    """
     samples = np.frombuffer(text.ljust(max(UNIT, -(-len(text) // UNIT) * UNIT), b"\0"), np.uint8).reshape(-1, UNIT)
     pages = [samples[a : a + PAGE_ROWS] for a in range(0, len(samples), PAGE_ROWS)]
-    kind = zlib.crc32(text) % 16 if len(text) <= SMALL else 15
-    if kind == 0:
-        return write_tiff(pages, LZW, predictor=2)
-    if kind == 1:
-        return write_tiff(pages, PACKBITS, order=">")
-    if kind == 2:
-        return write_tiff(pages, DEFLATE, tile=(32, 16))
-    return write_tiff(pages, DEFLATE, predictor=2, rows_per_strip=1024)
+    kind = zlib.crc32(text)
+    tile = (32, min(256, -(-len(samples) // 16) * 16)) if kind >> 3 & 1 else None
+    return write_tiff(pages, SCHEMES[kind & 3], 1 + (kind >> 2 & 1), 1024, tile, "<>"[kind >> 4 & 1])
 
 
 def feature(samples: np.ndarray, pages: int) -> str:
