@@ -1,6 +1,6 @@
 import pytest
 
-CLASHING = ["keep_id", "kept", "component_id", "n_shingles", "size", "target", "taken", "start", "length", "score", "batch", "queue", "part", "node", "value", "digest", "n", "print", "sketch", "place", "toxic", "features", "ids", "at", "base", "bucket", "keys", "m", "copies", "copy", "round", "block", "shard"]
+CLASHING = ["keep_id", "kept", "component_id", "n_shingles", "size", "target", "taken", "start", "length", "score", "batch", "queue", "part", "node", "value", "digest", "n", "print", "sketch", "place", "toxic", "features", "ids", "at", "base", "bucket", "keys", "m", "copies", "copy", "round", "block", "shard", "_file", "_row", "_size", "_runs", "_doc", "_hash", "_metadata", "_source", "_start", "_bucket", "file", "row", "doc", "cut", "words", "runs", "keep", "text_hash"]
 
 
 @pytest.fixture(scope="session")

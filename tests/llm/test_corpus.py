@@ -1,5 +1,6 @@
 """Mixing, language-model scores, packing and toxicity against plain Python."""
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -33,8 +34,20 @@ def test_draws_add_up():
     draws = [mixing.shard_draw(slots, h, 100, 3) for h in range(15)]
     assert (sum(d[1] for d in draws) == slots).all()
     assert all((draws[h][0] + draws[h][1] == draws[h + 1][0]).all() for h in range(14))
-    large = mixing.share_out(np.random.default_rng(1), np.array([10**10, 5, 10**9]), 10**9)
-    assert large.sum() == 10**9 and (large <= [10**10, 5, 10**9]).all()
+
+
+@pytest.mark.parametrize("drawn, counts, n", [(50, [400, 30, 70, 1], 250), (50, [400, 30, 70, 1], 30), (10**9, [3 * 10**13, 10**12, 7, 0, 5 * 10**9], 10**13)])
+def test_large_draws(monkeypatch, drawn, counts, n):
+    """Above numpy's bound, draws have the mean and the spread of draws without replacement."""
+    monkeypatch.setattr(mixing, "DRAWN", drawn)
+    rng, counts = np.random.default_rng(1), np.array(counts)
+    got = np.array([mixing.share_out(rng, counts, n) for _ in range(3000)]).astype(float)
+    assert (got.sum(1) == n).all() and (got <= counts).all() and (got >= 0).all()
+    total = counts.sum()
+    p = counts / total
+    spread = np.sqrt(n * p * (1 - p) * (total - n) / (total - 1))
+    assert (abs(got.mean(0) - n * p) <= 5 * spread / np.sqrt(3000) + 1e-9).all()
+    assert (abs(got.std(0) - spread) <= 0.1 * spread + 1e-9).all()
 
 
 def test_mix(awkward, docs, empty):
@@ -57,7 +70,7 @@ def test_mix(awkward, docs, empty):
     assert mixing.taken_words(empty).count() == 0
 
 
-def test_mixed_documents(docs, awkward):
+def test_mixed_documents(docs, awkward, empty):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     taken = {r.doc_id: r.taken for r in mixing.taken_words(docs).collect()}
@@ -68,6 +81,33 @@ def test_mixed_documents(docs, awkward):
         found[r.doc_id] += len(WORD.findall(r.text))
     assert {d: n for d, n in taken.items() if n} == dict(found)
     assert mixing.mixed_documents(awkward).columns == awkward.columns
+    kept = {(r.doc_id, r._file, r.cut) for r in mixing.mixed_documents(awkward).collect()}
+    assert {k[1:] for k in kept} == {("x", "x")} and mixing.mixed_documents(empty).count() == 0
+
+
+def test_taken_words_by_hand(spark):
+    """What the mix takes, from draws, permutations and blocks in plain Python."""
+    block, per_shard, seed = 4, 8, 3
+    rows = [(i, " ".join(["w"] * (3 + 5 * i % 17)), "ab"[i % 3 == 0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.taken for r in mixing.taken_words(df, block=block, per_shard=per_shard, seed=seed).collect()}
+    places, _, goal = mixing.mix(df, block=block, per_shard=per_shard, seed=seed)
+    owner = {"a": {}, "b": {}}
+    for r in places.collect():
+        owner[r.source] |= {r.start + j: r.doc_id for j in range(r.size)}
+    blocks = {s: -(-len(o) // block) for s, o in owner.items()}
+    slots = np.array([round(goal[s] * blocks[s] / len(owner[s])) for s in "ab"])
+    taken, seen = Counter(), [0, 0]
+    for shard in range(-(-int(slots.sum()) // per_shard)):
+        _, counts = mixing.shard_draw(slots, shard, per_shard, seed)
+        for k, s in enumerate("ab"):
+            key = int.from_bytes(hashlib.blake2b(repr((seed, s)).encode(), digest_size=8).digest(), "little")
+            for j in range(seen[k], seen[k] + counts[k]):
+                round_, at = divmod(j, blocks[s])
+                b = int(mixing.permuted(np.array([at]), blocks[s], key + round_ * 0x2545F4914F6CDD1D)[0])
+                taken.update(owner[s][w] for w in range(b * block, min(len(owner[s]), (b + 1) * block)))
+            seen[k] += int(counts[k])
+    assert seen == slots.tolist() and got == {i: taken[i] for i in range(40)}
 
 
 def test_lm_scores(awkward, docs, empty):

@@ -31,7 +31,7 @@ def test_exact(awkward, docs, digest):
     for df in (awkward, docs):
         want = exact_by_hand([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
         rows, decisions = exact_dedup.exact_dedup(df, digest=digest, hits_per_copy=2)
-        got = rows.select("_file", "_row", "text").join(decisions, ["_file", "_row"]).collect()
+        got = rows.select("file", "row", "doc.text").join(decisions, ["file", "row"]).collect()
         assert len(got) == df.count()
         kept = defaultdict(int)
         for r in got:
@@ -43,7 +43,7 @@ def test_exact(awkward, docs, digest):
 
 def test_exact_state_goes_on(spark, tmp_path):
     """A second stream over the same state counts on."""
-    form = "digest binary, doc_id long, _file string, _row long"
+    form = "digest binary, doc_id long, file string, row long"
     put = lambda rows: spark.createDataFrame([(hashlib.sha256(t).digest(), d, "f", d) for d, t in rows], form).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for rows in ([(1, b"a"), (2, b"b")], [(3, b"a")]):
         put(rows)
@@ -53,7 +53,7 @@ def test_exact_state_goes_on(spark, tmp_path):
 
 
 def test_exact_empty_and_documents(empty, awkward):
-    assert exact_dedup.exact_dedup(empty)[1].count() == 0
+    assert exact_dedup.exact_dedup(empty)[1].count() == 0 and exact_dedup.distinct_documents(empty).count() == 0
     kept = exact_dedup.distinct_documents(awkward)
     assert kept.columns == awkward.columns
     assert kept.count() == awkward.select(F.coalesce("text", F.lit(""))).distinct().count()
@@ -95,8 +95,9 @@ def test_near(spark, awkward, docs):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_empty_and_documents(empty, docs):
-    assert near_dedup.near_dedup(empty).count() == 0
+def test_near_empty_and_documents(empty, docs, awkward):
+    assert near_dedup.near_dedup(empty).count() == 0 and near_dedup.one_of_each(empty).count() == 0
+    assert near_dedup.one_of_each(awkward).columns == awkward.columns and near_dedup.one_of_each(awkward).count() == near_dedup.near_dedup(awkward).filter("kept").count()
     found = near_dedup.near_dedup(docs)
     kept = near_dedup.one_of_each(docs)
     assert kept.columns == docs.columns

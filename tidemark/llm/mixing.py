@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SLOTS, SEED = 64, 4096, 7
 #: The targets are a table on the driver; more sources than this are refused.
 MOST_SOURCES = 100_000
+#: numpy draws without replacement from fewer than so many.
+DRAWN = 1_000_000_000
 
 
 def source_order(source: str | None):
@@ -45,16 +47,23 @@ def targets(sizes: dict, weights: dict, most: float = 3.0) -> dict:
 
 def share_out(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
     """How many of n slots each source gets, drawn without replacement from `counts`."""
+    """A draw of n out of all slots without replacement: how many are of each source.
+
+    numpy draws from fewer than 10^9. Beyond, each slot is taken with the chance n / total (binomial counts), and what
+    that is short of n, or over it, is drawn in turn: every set of n slots is then as likely as any other, and what is
+    left to draw is about the root of what was.
+    """
     total = int(counts.sum())
-    if total < 500_000_000:
+    if total < DRAWN:
         return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    exact = counts * (n / total)  # beyond what numpy draws; chance is a few millionths here
-    out = np.minimum(np.floor(exact).astype(np.int64), counts)
-    for s in np.argsort(out - exact, kind="stable")[: n - int(out.sum())]:
-        out[s] += out[s] < counts[s]
-    for s in range(len(out)):
-        out[s] += min(n - int(out.sum()), int(counts[s] - out[s]))
-    return out
+    if n <= 64:
+        left = counts.copy()
+        for _ in range(n):
+            left[np.searchsorted(np.cumsum(left), rng.integers(int(left.sum())), side="right")] -= 1
+        return counts - left
+    out = rng.binomial(counts, n / total)
+    short = n - int(out.sum())
+    return out + share_out(rng, counts - out, short) if short >= 0 else out - share_out(rng, out, -short)
 
 
 def shard_draw(slots: np.ndarray, shard: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,20 +117,20 @@ def slot_batches(sources: list, blocks: list[int], slots: list[int], per_shard:
     return run
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED, most: float = 3.0) -> tuple[DataFrame, DataFrame, dict]:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED, most: float = 3.0, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """(places, spans, targets) of a mix of all documents; the mix has as many words as docs, but for rounding.
 
-    docs has doc_id, text, source, or is the result of located(). weights: a dict, or by default 1, 2, 3, repeating, by code point of the source, null
-    last. places: doc_id, source, size (words), start (words of the same source before), _file, _row, a row for each row
+    docs has doc_id, text, source; rows: located(docs), where it is at hand. weights: a dict, or by default 1, 2, 3, repeating, by code point of the source, null
+    last. places: doc_id, source, size (words), start (words of the same source before), file, row, a row for each row
     of docs. spans: shard, slot, source, block, round, start (of the document), first (word), length: what each slot
     takes. A null text has no words; a document without words, or a source of such documents, is never taken. No
     block is taken more than `most` times, hence no document. Rows that repeat are documents of their own. Reruns over the
     same rows agree, however they are partitioned. An empty table gives empty results.
     """
     spark = docs.sparkSession
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs if {"_file", "_row"} <= set(docs.columns) else located(docs)
-    sizes = cut(rows.select("doc_id", "source", words.alias("size"), "_file", "_row"))
+    words = F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = located(docs) if rows is None else rows
+    sizes = cut(rows.select("doc.doc_id", "doc.source", words.alias("size"), "file", "row"))
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(per_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -132,7 +141,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, per_sh
     # A slot takes size / blocks words on average; the rounding of `most` keeps to whole rounds.
     slots = {s: min(round(goal[s] * blocks[s] / size_of[s]), int(most * blocks[s])) if size_of[s] else 0 for s in sources}
 
-    places = cut(running_start(sizes, "source", ["doc_id", "size", "_file", "_row"], "size", "start"))
+    places = cut(running_start(sizes, "source", ["doc_id", "size", "file", "row"], "size", "start"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = places.filter("size > 0").select("source", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     begin, end = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
@@ -145,7 +154,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, per_sh
 
 
 def taken_words(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how much of each document the mix takes."""
+    """doc_id, size, source_size, target, taken, source: how much of each document the mix takes; as mix() for odd rows."""
     places, spans, goal = mix(docs, **parameters)
     taken = spans.groupBy(F.col("source").alias("_source"), F.col("start").alias("_start")).agg(F.sum("length").alias("taken"))
     joined = places.join(taken, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
@@ -157,7 +166,7 @@ def taken_words(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def cut_batches(names: list[str]):
-    """Cuts runs of words out of texts, with what stands between them; rows: names..., _size, _runs of (first, length)."""
+    """Cuts runs of words out of texts, with what stands between them; rows are (document, (words, runs of (first, length)))."""
     import re
 
     word = re.compile(WORD)
@@ -166,17 +175,17 @@ def cut_batches(names: list[str]):
         at = names.index("text")
         for batch in batches:
             for rows in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
-                index, texts = [], []
-                for i, (text, size, runs) in enumerate(zip(rows.column(at).to_pylist(), rows.column(len(names)).to_pylist(), rows.column(len(names) + 1).to_pylist())):
+                columns, index, texts = rows.column(0).flatten(), [], []
+                for i, (text, cut_) in enumerate(zip(columns[at].to_pylist(), rows.column(1).to_pylist())):
                     spans = None
-                    for r in runs:
-                        whole = r["length"] == size
+                    for r in cut_["runs"]:
+                        whole = r["length"] == cut_["words"]
                         if not whole and spans is None:
                             spans = [m.span() for m in word.finditer(text)]
                         index.append(i)
                         texts.append(text if whole else text[spans[r["first"]][0] : spans[r["first"] + r["length"] - 1][1]])
-                columns = {name: rows.column(i).take(pa.array(index, pa.int64())) for i, name in enumerate(names)} | {"text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_pydict(columns)
+                out = {name: column.take(pa.array(index, pa.int64())) for name, column in zip(names, columns)} | {"text": pa.array(texts, pa.string())}
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -184,10 +193,12 @@ def cut_batches(names: list[str]):
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix as documents, with docs' columns: in each round, each run of blocks that a document gives is a row.
 
-    A document that is taken whole keeps its text as it is; n_chars, where docs has it, is that of the row's text.
+    A document that is taken whole keeps its text as it is; n_chars, where docs has it, is that of the row's text. A null
+    or wordless text gives no row; rows that repeat are documents of their own; other columns stay as they are, whatever
+    their names. An empty table gives no rows.
     """
     rows = located(docs)
-    places, spans, _ = mix(rows, **parameters)
+    places, spans, _ = mix(docs, rows=rows, **parameters)
     by_round = spans.groupBy(F.col("source").alias("_source"), F.col("start").alias("_start"), "round").agg(F.array_sort(F.collect_list(F.struct("first", "length"))).alias("spans"))
     joined = F.expr(
         "aggregate(spans, cast(array() as array<struct<first: bigint, length: bigint>>), (done, x) -> if(size(done) > 0 and "
@@ -196,6 +207,6 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     )
     runs = by_round.select("_source", "_start", joined.alias("runs")).groupBy("_source", "_start").agg(F.flatten(F.collect_list("runs")).alias("_runs"))
     placed = places.filter("size > 0").join(runs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
-    cuts = placed.select("_file", "_row", F.col("size").alias("_size"), "_runs")
-    out = rows.join(cuts, ["_file", "_row"]).select(*docs.columns, "_size", "_runs").mapInArrow(cut_batches(docs.columns), docs.schema)
+    cuts = placed.select("file", "row", F.col("size").alias("words"), F.col("_runs").alias("runs"))
+    out = rows.join(cuts, ["file", "row"]).select("doc", F.struct("words", "runs").alias("cut")).mapInArrow(cut_batches(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

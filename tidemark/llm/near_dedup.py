@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, cut, mix64, release, rows_up_to, shingle_hashes
+from tidemark.llm.shared import Words, cut, mix64, rows_up_to, shingle_hashes
 
 K = 64
 #: A sketch of so many values is a whole set.
 WHOLE = 1 << 40
+#: Values that more than one in so many listed values are equal to are broadcast, so at most as many values.
+MOST_HOT = 10_000
 #: Bits of the map of texts that are wanted again.
 SLOTS = 1 << 24
 
@@ -96,15 +98,18 @@ def overlap_batches(batches):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node that can be reached.
 
+    Links of a node with itself, and links that repeat, change nothing; without links there are no rows. What a node's
+    smallest neighbour is, is stored before it is joined back, so that adaptive execution can split a node with many links.
+
     Alternating star operations: each moves links towards the smallest neighbour; no neighbour list is gathered, minima
     are partial aggregates, and the number of rounds grows with the logarithm of a component's diameter.
     """
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
         marks = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (links, new)]
@@ -131,9 +136,15 @@ def inverted_lists(nodes: DataFrame, values: DataFrame, k: int, percent: int) ->
     nodes: (node, n); values: (node, value), the k smallest values of each node, or all (k = WHOLE). A node's values are sorted rarest first;
     those that it alone has come first and make no list.
     """
-    values = values.repartition("value")  # dealt once, for the counts and for the join
-    frequent = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("value", "df")
-    held = values.join(frequent, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
+    frequent = cut(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
+    # A value may belong to any share of the nodes: there can be at most MOST_HOT of more than 1 / MOST_HOT of all, and
+    # these are broadcast; the others are dealt by value.
+    total = frequent.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(frequent.filter(F.col("df") > total / MOST_HOT).withColumnRenamed("df", "hot"))
+    known = values.join(hot, "value", "left")
+    often = known.filter("hot is not null").select("node", "value", F.col("hot").alias("df"))
+    seldom = known.filter("hot is null").select("node", "value").join(frequent.filter(F.col("df") <= total / MOST_HOT), "value").select("node", "value", "df")
+    held = often.unionByName(seldom).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
     length = held.join(nodes, "node").withColumn("room", F.expr(f"least(size(held), size(held) - {least_shared('n', k, percent)} + 1)"))
     listed = length.filter("room > 0")
     at = listed.select("node", "n", "weight", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("at", "h"))
@@ -200,19 +211,15 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> Da
     component_id is the smallest doc_id of all rows that can be reached, and each row that bears it is kept. A null
     doc_id counts as larger than all others. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows = cut(docs.mapInArrow(sketch_batches(n, k), "doc_id long, text_hash long, n_shingles long, print binary, sketch array<long>"))
     # One node for each set; of equal sets, the text of the smallest doc_id.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n_shingles", "sketch")).alias("x")
     nodes = cut(rows.filter("n_shingles > 0").groupBy("print").agg(best).select("print", "x.doc_id", "x.text_hash", F.col("x.n_shingles").alias("n"), "x.sketch", F.monotonically_increasing_id().alias("node")))
 
-    release(spark)
     sets = shared_sets(docs, nodes, n, k, percent)
-    release(spark)
     sizes = sets.select("node", F.expr("cast(length(shingles) / 8 as bigint) as n"))
     lists = cut(inverted_lists(sizes, sets.mapInArrow(value_batches, "node long, value long"), WHOLE, percent))
-    release(spark)
 
     # What stands lower than this in its list can meet no member, be it the smallest that is similar.
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n", "rest")).alias("hub"), F.min("n").alias("n_least")).select("value", "n_least", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.rest").alias("rest_hub"))
@@ -233,7 +240,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> Da
         roots = components(links.unionByName(more))
 
     placed = rooted(nodes.select("print", "node", "doc_id"), "node")
-    least = placed.groupBy("node_root").agg(F.min("doc_id").alias("component_id"))
+    least = cut(placed.groupBy("node_root").agg(F.min("doc_id").alias("component_id")))
     found = placed.join(least, "node_root").select("print", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "print").join(found, "print", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -241,7 +248,12 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> Da
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that bear their component's smallest doc_id, with docs' columns."""
-    dropped = near_dedup(docs, **parameters).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    return docs.join(dropped, same, "left_anti")
+    """The rows of docs that bear their component's smallest doc_id, with docs' columns, whatever their names.
+
+    Null or wordless texts are alone and stay; rows that repeat their doc_id all stay if it is the smallest. An empty
+    table gives no rows.
+    """
+    dropped = near_dedup(docs, **parameters).filter("not kept").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("hash"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64(F.coalesce("doc.text", F.lit(""))) == F.col("hash"))
+    return rows.join(dropped, same, "left_anti").select("doc.*")

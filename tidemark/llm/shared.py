@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import sys
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -31,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if not there:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             there = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, there, ignore_errors=True)
         sc.setCheckpointDir(there)
@@ -48,25 +48,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to the shared folder, where any executor can read them again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Cuts the lineage: the rows go to the shared folder, where any executor can read them again.
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle and checkpoint files that nothing refers to any more, before the next large step.
-
-    Spark deletes them when the driver's garbage collector finds their owners gone; this need not wait for the heap to
-    fill. What the first round frees may own what the second one does.
+    What was shuffled for them is then not needed any more, and deleted.
     """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+    shared_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    rdd = df._jdf.queryExecution().toRdd()
+    rdd.toDebugString()  # only dependencies that something has asked for are cleaned
+    rdd.cleanShuffleDependencies(True)
+    return out
 
 
 def running_start(df: DataFrame, group: str, order: list[str], size: str, out: str, per_bucket: int = 2_000) -> DataFrame:
-    """Adds `out`, the sum of `size` over the rows of the same group that come before, by bucket and then by `order`.
+    """df has no columns whose names begin with _. Adds `out`, the sum of `size` over the rows of the same group that come before, by bucket and then by `order`.
 
     A group may hold any share of the rows: its rows are dealt to hash buckets of about `per_bucket` rows, the buckets'
     sums are accumulated (one small row a bucket), and each bucket is accumulated by itself.
