@@ -257,3 +257,61 @@ def test_toxicity_held_out(spark):
     bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     auc = np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
     assert auc > 0.95 and all(g < 0.7 for g in good)
+
+
+def test_ftrl_by_hand():
+    """The trainer against the update rule, coordinate by coordinate."""
+    p = toxicity.Ftrl(alpha=0.5, l1=0.3, l2=0.1, epochs=3, bits=5, most_features=60)
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.integers(2)), sorted(rng.choice(32, rng.integers(0, 8), replace=False).tolist())) for _ in range(25)]
+    batch = pa.RecordBatch.from_pydict({"place": list(range(25)), "toxic": [y for y, _ in rows], "features": [np.array(x, np.int32).tobytes() for _, x in rows]})
+    z, n = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        l1 = p.l1 if i < 32 else 0.0
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    fits, used = [], 0
+    for y, x in rows:
+        used += len(x)
+        if used > 60:
+            break
+        fits.append((y, x))
+    assert 5 < len(fits) < 25
+    for _ in range(p.epochs):
+        for y, x in fits:
+            at = [*x, 32]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-sum(w))) - y
+            for i, wi in zip(at, w):
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i], n[i] = z[i] + g - s * wi, n[i] + g * g
+    (got,) = toxicity.trainer(p)(iter([batch.slice(0, 4), batch.slice(4, 21)]))
+    got = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+    want = {i: weight(i) for i in range(33) if weight(i)}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want) and len(want) < 33
+
+
+def test_features_by_hand():
+    """Texts share a feature just where they share a word, a beginning, a pair of neighbours or a pair around one word."""
+
+    def of(text):
+        w, out = text.lower().split(), set()
+        out |= {("w", x) for x in w} | {(n, x[:n]) for x in w for n in toxicity.BEGINNINGS if len(x) > n}
+        return out | {(g, a, b) for g in (1, 2) for a, b in zip(w, w[g:])}
+
+    texts = ["You are a fool indeed", "fools ARE you a", "a you are", "indeedly x", "", "a fool a fool"]
+    made = [set() for _ in texts]
+    for owner, index in toxicity.features(pa.array(texts, pa.large_string()), 40):
+        for o, i in zip(owner.tolist(), index.tolist()):
+            made[o].add(i)
+    for a, x in zip(texts, made):
+        for b, y in zip(texts, made):
+            assert len(x & y) == len(of(a) & of(b))
+
+
+def test_sample_is_of_documents_at_hand(spark):
+    docs = spark.createDataFrame([(i, "bad fool" if i % 2 else "fine day") for i in range(60)] + [(5, "bad fool")] * 9, "doc_id long, text string")
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, p=toxicity.Ftrl(most_rows=50, l1=0.1)).collect()}
+    assert all((s > 0.5) == (d % 2 == 1) for d, s in got.items())

@@ -120,6 +120,61 @@ def test_all_words_of_a_block_count():
     assert np.allclose(row, want / np.sqrt((want * want).sum()))
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    spent = []
+    for n in (10_000, 100_000):
+        page = "".join(f"<div class=c{i % 7}>t{i} <b>x" for i in range(n)) + "</section></li></b></a>" * n
+        at = time.process_time()
+        blocks = html_text.blocks_of(page)
+        rows = html_text.vectors(blocks)
+        spent.append(time.process_time() - at)
+        assert len(blocks) == n and rows[-1, : html_text.PATH].sum() > rows[0, : html_text.PATH].sum()
+    assert spent[1] < 40 * max(spent[0], 0.05)
+
+
+def test_path_slots():
+    (block,) = html_text.blocks_of("<div class='Main-Menu x'><ul id=top><li><b>word</b></ul></div>")
+    want = ["t:div", "t:ul", "t:li", "m:main", "m:menu", "m:main-menu", "m:x", "m:top", "l:li"]
+    row = html_text.vectors([block])[0, : html_text.PATH]
+    assert set(np.flatnonzero(row)) == {html_text.slot(x, html_text.PATH) for x in want}
+
+
+def test_lstm_by_hand():
+    """Scores and gradients of the labeller against plain loops and differences."""
+    rng, n, size = np.random.default_rng(2), html_text.HIDDEN, html_text.SIZE
+    make = lambda: {"x": rng.normal(0, 0.2, (size, 4 * n)), "h": rng.normal(0, 0.3, (n, 4 * n)), "b": rng.normal(0, 0.1, 4 * n)}
+    model = {"fore": make(), "back": make(), "out": {"x": rng.normal(0, 0.3, (2 * n, 1)), "b": np.array([0.1])}}
+    pages = [rng.normal(0, 1, (k, size)).astype(np.float32) for k in (5, 1, 3)]
+    x, mask = html_text.padded(pages)
+    got = html_text.scores(model, x, mask)[0][:, :, 0]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def walk(rows, w):
+        h, c, out = np.zeros(n), np.zeros(n), []
+        for row in rows:
+            a = row @ w["x"] + h @ w["h"] + w["b"]
+            c = sig(a[n : 2 * n]) * c + sig(a[:n]) * np.tanh(a[3 * n :])
+            h = sig(a[2 * n : 3 * n]) * np.tanh(c)
+            out.append(h)
+        return out
+
+    for j, page in enumerate(pages):
+        fore, back = walk(page, model["fore"]), walk(page[::-1], model["back"])[::-1]
+        want = [np.concatenate([f, b]) @ model["out"]["x"][:, 0] + 0.1 for f, b in zip(fore, back)]
+        assert np.allclose(got[: len(page), j], want, atol=1e-4)
+    out, kept = html_text.gates(x, model["fore"], False, mask, training=True)
+    grads = html_text.gates_back(x, model["fore"], kept, np.ones_like(out))
+    for key, place in (("x", (3, 7)), ("h", (2, 30)), ("b", (5,))):
+        change = []
+        for step in (1e-3, -1e-3):
+            moved = {k: v.copy() for k, v in model["fore"].items()}
+            moved[key][place] += step
+            change.append(float(html_text.gates(x.astype(np.float64), moved, False, mask)[0].astype(np.float64).sum()))
+        assert abs((change[0] - change[1]) / 2e-3 - grads[key][place]) < 0.02 * max(1, abs(grads[key][place]))
+
+
 def test_main_text(spark, pages, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     good = 0

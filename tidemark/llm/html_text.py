@@ -12,6 +12,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,40 @@ CHOICES = {"option", "optgroup", "hr", *INLINE}
 FENCES = {"ul", "ol", "table", "dl", "article", "section", "div", "main", "body", "td", "blockquote"}
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
+def blocks_of(page: str) -> list[tuple[str, tuple, float]]:
     """(text, tag path with classes and ids, share of the text in links) of each leaf block that has text, in order.
 
+    A path is (path of the parent, tag with its marks), the root's is (): blocks share their ancestors, so that time and
+    memory grow with the page, however deep it is.
+
     A head is not an element of its own here: what may stand in it has no text of the page, and all else is the body's,
     whether or not its tags are there. A select ends where anything but its choices begins.
     """
     out: list = []
-    stack: list[tuple[str, str]] = []
+    # Of each open element: its name, path, whether its text is silent, whether it is in a link.
+    stack: list[tuple[str, tuple, bool, bool]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     linked = at = 0
 
+    def push(name: str, mark: str = "") -> None:
+        path, silent, link = stack[-1][1:] if stack else ((), False, False)
+        stack.append((name, (path, mark) if mark else path, silent or name in SILENT, link or name == "a"))
+        opened[name] += 1
+
+    def drop(i: int, only: bool = False) -> None:
+        """Closes element i and all within it, or element i only."""
+        gone = stack[i:]
+        del stack[i:]
+        opened.subtract(x[0] for x in gone)
+        for x in gone[1:] if only else ():
+            push(x[0], x[1][1] if x[1] and x[0] not in INLINE and x[0] not in CLEAR and x[0] not in SILENT else "")
+
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, tuple(x for _, x in stack if x), min(1.0, linked / max(1, sum(map(len, parts))))))
+            out.append((text, stack[-1][1] if stack else (), min(1.0, linked / max(1, sum(map(len, parts))))))
         parts.clear()
         linked = 0
 
@@ -76,10 +95,10 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
 
     def choose(name: str) -> None:
         """Ends an open select at the start of what is no choice of it."""
-        if name not in CHOICES:
+        if name not in CHOICES and opened["select"] > 0:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "select":
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i][0] not in CHOICES:
                     break
@@ -91,9 +110,9 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if name is None and text is None:
             continue
         if text is not None:
-            if not any(x in SILENT for x, _ in stack):
+            if not stack or not stack[-1][2]:
                 parts.append(text)
-                if any(x == "a" for x, _ in stack):
+                if stack and stack[-1][3]:
                     linked += len(text)
             continue
         name = name.lower()
@@ -115,44 +134,41 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 parts.append(" ")
             elif end:
                 inside = len(stack)
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if opened[name] > 0 else ():
                     if stack[i][0] == name:
-                        del stack[i : i + 1 if inside == len(stack) else None]
+                        drop(i, only=inside == len(stack))
                         break
                     if stack[i][0] in CLEAR or stack[i][0] in ("select", "option", "optgroup"):
                         inside = i
                     elif stack[i][0] not in INLINE:
                         break
             elif not closed or name not in MATHS:
-                stack.append((name, ""))
+                push(name)
             continue
         close()
         if not end and (name in CLEAR or name in SILENT):
             if not closed and (name != "template" or ends("</template", at)):
-                stack.append((name, ""))
+                push(name)
             continue
         while stack and stack[-1][0] in INLINE:
-            stack.pop()
+            drop(len(stack) - 1)
         if end:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] > 0 else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i][0] == "template":
                     break
-            if name == "template" and not ends("</template", at):
-                for i, (x, _) in enumerate(stack):
-                    if x == "template":
-                        del stack[i:]
-                        break
+            if name == "template" and opened[name] > 0 and not ends("</template", at):
+                drop(next(i for i, x in enumerate(stack) if x[0] == "template"))
         elif name not in EMPTY:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened[x] > 0 for x in CLOSES.get(name, ())) else ():
                 if stack[i][0] in CLOSES.get(name, ()):
-                    del stack[i:]
+                    drop(i)
                 elif stack[i][0] in FENCES or stack[i][0] in SILENT:
                     break
             marks = " ".join(filter(None, (a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)))) if attributes else ""
-            stack.append((name, f"{name} {marks.lower()}" if marks else name))
+            push(name, f"{name} {marks.lower()}" if marks else name)
     close()
     return out
 
@@ -170,13 +186,22 @@ def slot(text: str, n: int) -> int:
 def vectors(blocks: list) -> np.ndarray:
     """A row per block: hashed path, hashed words, measures."""
     out = np.zeros((len(blocks), SIZE), np.float32)
-    paths: dict[tuple, list[int]] = {}
+    # For each path, a bit for each slot of its own and its ancestors' tags and marks.
+    bits: dict[int, int] = {id(()): 0}
+    rows: dict[int, np.ndarray] = {}
     for i, (text, path, linked) in enumerate(blocks):
-        if path not in paths:
-            names = [x.split() for x in path]
-            marks = [m for n in names for x in n[1:] for m in re.split(r"[-_]+", x) + [x]]
-            paths[path] = [slot(f"t:{n[0]}", PATH) for n in names] + [slot(f"m:{m}", PATH) for m in marks] + [slot(f"l:{names[-1][0] if names else ''}", PATH)]
-        out[i, paths[path]] = 1
+        if id(path) not in rows:
+            chain, at = [], path
+            while id(at) not in bits and at:
+                chain.append(at)
+                at = at[0]
+            for at in reversed(chain):
+                name, *marks = at[1].split()
+                own = {slot(f"t:{name}", PATH), *(slot(f"m:{m}", PATH) for x in marks for m in re.split(r"[-_]+", x) + [x])}
+                bits[id(at)] = bits.get(id(at[0]), 0) | sum(1 << x for x in own)
+            every = bits.get(id(path), 0) | 1 << slot(f"l:{path[1].split()[0] if path else ''}", PATH)
+            rows[id(path)] = np.unpackbits(np.frombuffer(every.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
+        out[i, :PATH] = rows[id(path)]
         words = text.lower().split()
         out[i, PATH : PATH + WORDS] = np.bincount([slot(w, WORDS) for w in words], minlength=WORDS)
         row = out[i, PATH : PATH + WORDS]
@@ -192,8 +217,8 @@ def vectors(blocks: list) -> np.ndarray:
 HIDDEN = 12
 
 
-def gates(x: np.ndarray, w: dict, back: bool, mask: np.ndarray):
-    """One direction of the LSTM over (time, pages, size); also what training needs of each step."""
+def gates(x: np.ndarray, w: dict, back: bool, mask: np.ndarray, training: bool = False):
+    """One direction of the LSTM over (time, pages, size); for training, also what that needs of each step."""
     steps, pages = x.shape[:2]
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     a_in = x @ w["x"] + w["b"]
@@ -206,7 +231,8 @@ def gates(x: np.ndarray, w: dict, back: bool, mask: np.ndarray):
         m = mask[t][:, None]
         new = f * c + i * g
         th = np.tanh(new)
-        kept.append((t, i, f, o, g, c, h, th, m))
+        if training:
+            kept.append((t, i, f, o, g, c, h, th, m))
         c, h = new * m, o * th * m
         out[t] = h
     return out, kept
@@ -235,9 +261,9 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def scores(model: dict, x: np.ndarray, mask: np.ndarray):
-    fore, kept_f = gates(x, model["fore"], False, mask)
-    back, kept_b = gates(x, model["back"], True, mask)
+def scores(model: dict, x: np.ndarray, mask: np.ndarray, training: bool = False):
+    fore, kept_f = gates(x, model["fore"], False, mask, training)
+    back, kept_b = gates(x, model["back"], True, mask, training)
     both = np.concatenate([fore, back], axis=2)
     return both @ model["out"]["x"] + model["out"]["b"], both, kept_f, kept_b
 
@@ -262,7 +288,7 @@ def trained(pages: int = 2400, epochs: int = 8, batch: int = 24, rate: float = 0
             y = np.zeros(mask.shape, np.float32)
             for j, i in enumerate(groups[g]):
                 y[: len(data[i][1]), j] = data[i][1]
-            s, both, kept_f, kept_b = scores(model, x, mask)
+            s, both, kept_f, kept_b = scores(model, x, mask, training=True)
             d = ((1 / (1 + np.exp(-s[:, :, 0])) - y) * mask / mask.sum())[:, :, None]
             d_both = d @ model["out"]["x"].T
             grads = {"fore": gates_back(x, model["fore"], kept_f, d_both[:, :, :HIDDEN]), "back": gates_back(x, model["back"], kept_b, d_both[:, :, HIDDEN:])}

@@ -30,6 +30,8 @@ class Ftrl:
     bits: int = 20
     #: At most so many labelled rows are learned from: those with the smallest hash of their doc_id.
     most_rows: int = 15_000
+    #: Of their features, so many: the first rows, by the hash of doc_id and text, that have no more together.
+    most_features: int = 40_000_000
 
 
 def features(text: pa.Array, bits: int):
@@ -55,7 +57,7 @@ def feature_rows(bits: int):
                 ends = np.searchsorted(pairs >> bits, np.arange(len(text) + 1))
                 index = (pairs & ((1 << bits) - 1)).astype(np.int32)
                 blobs = [index[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], names=["place", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "place", "toxic", "features"])
 
     return run
 
@@ -64,10 +66,14 @@ def trainer(p: Ftrl):
     def run(batches):
         # All features stand in one array, which goes back to the system as a whole.
         parts, sizes, wanted = [], [], []
+        room = p.most_features
         for batch in batches:
-            wanted += batch.column(1).to_pylist()
-            sizes += (pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4).tolist()
-            parts.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(2)), np.int32))
+            own = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
+            rows = batch.slice(0, int(np.searchsorted(np.cumsum(own), room, side="right")))
+            wanted += rows.column(1).to_pylist()
+            sizes += own[: rows.num_rows].tolist()
+            parts.append(np.frombuffer(b"".join(x.as_buffer() for x in rows.column(2)), np.int32))
+            room = room - int(own.sum()) if rows.num_rows == batch.num_rows else 0
         every, ends = np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum([0, *sizes])
         del parts
         z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
@@ -94,15 +100,20 @@ def trainer(p: Ftrl):
 def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
     """(indexes, weights) learned from labels (doc_id, toxic) of documents whose crc32(doc_id as text) mod 3 is not 1.
 
-    Rows with a null doc_id or label are left out, and a text that is null counts as empty. The sample is bounded by
-    `most_rows`, so one task can take it; it does not depend on how the input is partitioned. Without any label, or
-    with only one class, the model is still defined (its bias alone may differ from 0).
+    Rows with a null doc_id or label are left out, and a text that is null counts as empty; a doc_id that repeats is
+    learned from once, by the text with the smallest hash, and as toxic if any of its labels says so. The sample is
+    drawn from the labels whose documents are at hand, and bounded by `most_rows` and `most_features`, so one task can
+    take it; it does not depend on how the input is partitioned. Without any label, or with only one class, the model
+    is still defined (its bias alone may differ from 0).
     """
-    usable = labels.filter("doc_id is not null and toxic is not null").filter("crc32(cast(doc_id as string)) % 3 <> 1")
-    sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.most_rows)
+    usable = labels.filter("doc_id is not null and toxic is not null").filter("crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "toxic")
+    at_hand = usable.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = at_hand.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.most_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    made = texts.select(F.xxhash64("doc_id", "text").alias("place"), F.col("toxic").cast("double").alias("toxic"), "text").mapInArrow(feature_rows(p.bits), "place long, toxic double, features binary")
-    model = made.repartition(1).sortWithinPartitions("place").mapInArrow(trainer(p), "index long, weight double").toPandas()
+    place = F.xxhash64("doc_id", "text")
+    made = texts.select("doc_id", place.alias("place"), F.col("toxic").cast("double").alias("toxic"), "text").mapInArrow(feature_rows(p.bits), "doc_id long, place long, toxic double, features binary")
+    once = made.groupBy("doc_id").agg(F.min(F.struct("place", "toxic", "features")).alias("first")).select("first.*")
+    model = once.repartition(1).sortWithinPartitions("place").mapInArrow(trainer(p), "index long, weight double").toPandas()
     return model["index"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
@@ -144,7 +155,10 @@ def clean_batches(model, bits: int, threshold: float):
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: Ftrl = Ftrl()) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with docs' columns."""
+    """The rows of docs whose score is below the threshold, with docs' columns, whatever their names.
+
+    A null text counts as empty and is scored by the bias; rows that repeat have equal scores. An empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
     return docs.mapInArrow(clean_batches(model, p.bits, threshold), docs.schema)
 
