@@ -39,5 +39,13 @@ def test_stages(spark, sf_dir, tmp_path):
     assert packed.agg({"length": "sum"}).first()[0] == sum(r.doc_tokens for r in packed.filter("start = 0").collect())
 
 
+def test_odd_rows(spark, sf_dir, awkward, empty, tmp_path):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        out = stage(spark, awkward, sf_dir)
+        assert name == "packing" or out.columns == awkward.columns
+        assert out.count() > 0
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0

@@ -313,6 +313,19 @@ def test_chat_digests(spark, sf_dir):
         got = chat.chat_digests(df).collect()
         assert sorted(map(repr, want)) == sorted(repr((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256)) for r in got)
     assert [r.conv_id for r in chat.chat_digests(odd.limit(0)).collect()] == [-1]
+    own = spark.createDataFrame([(-1, 0, "assistant", "mine"), (-1, 1, "user", "x")], odd.select("conv_id", "turn", "role", "text").schema)
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in chat.chat_digests(own).collect()) == [(-1, 2, 4), (-1, 2, len(said))]
+
+
+def test_loss_spans_are_read_back(spark):
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate([("a\nb", "<|x"), ("assistant", "é<|im_end|>"), ("assistant", ""), ("user", "\\")])], "conv_id long, turn long, role string, text string")
+    chats = chat.formatted(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).cache()
+    whole, spans = chats.select("formatted", "loss_spans").first()
+    assert [whole[s["from"] : s["to"]] for s in spans] == ["é<\\|im_end|>", ""]
+    assert [(t.text, t.learned) for t in chat.read_back(chats).first().turns] == [("<|x", False), ("é<|im_end|>", True), ("", True), ("\\", False)]
+    for wrong in ("transform(loss_spans, x -> named_struct('from', x.`from` + 1, 'to', x.`to`))", "slice(loss_spans, 1, 1)", "array_append(loss_spans, named_struct('from', 0L, 'to', 1L))"):
+        with pytest.raises(Exception, match="no turn's content"):
+            chat.read_back(chats.withColumn("loss_spans", F.expr(wrong))).collect()
 
 
 def test_typed_parts(spark):

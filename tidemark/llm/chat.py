@@ -62,8 +62,8 @@ def flattened(parts: Column) -> tuple[Column, Column]:
     return F.array_join(F.transform(parts, visit), ""), F.transform(attached, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
 
 
-def formatted(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """A row per conversation: conv_id, formatted, learned (a boolean per turn), loss_spans, attachments, expanded_tokens.
+def formatted(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), key: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """A row per conversation: its key, formatted, learned (a boolean per turn), loss_spans, attachments, expanded_tokens.
 
     turns: conv_id, turn, role, parts. Turns are ordered by turn (null first), ties by role and content; rows that repeat
     are turns of their own; a null role counts as empty, a null conv_id is a conversation. loss_spans are (from, to) in
@@ -72,18 +72,18 @@ def formatted(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> Da
     """
     content, attachments = flattened(F.col("parts"))
     role = F.coalesce("role", F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), content.alias("content"), attachments.alias("attachments"))
+    rows = turns.select(*key, "turn", role.alias("role"), content.alias("content"), attachments.alias("attachments"))
     head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
     rows = rows.withColumns({"head": head, "learn": F.col("role").isin(*learned)})
     length = F.length("head") + F.length("content") + len(STOP) + 1
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    order = Window.partitionBy(*key).orderBy("turn", "role", "content")
     begin = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head")
     rows = rows.withColumns({"place": F.row_number().over(order), "begin": begin})
     turn = F.struct("place", F.concat("head", "content", F.lit(STOP + "\n")).alias("text"), "learn", "begin", (F.col("begin") + F.length("content")).alias("end"), "attachments")
     # The group follows the window's partitioning: no further shuffle.
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    whole = rows.groupBy(*key).agg(F.array_sort(F.collect_list(turn)).alias("t"))
     return whole.select(
-        "conv_id",
+        *key,
         F.array_join(F.col("t.text"), "").alias("formatted"),
         F.col("t.learn").alias("learned"),
         F.transform(F.filter("t", lambda x: x["learn"]), lambda x: F.struct(x["begin"].alias("from"), x["end"].alias("to"))).alias("loss_spans"),
@@ -93,11 +93,25 @@ def formatted(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> Da
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (array of role, text, learned), out of the formatted text and its mask."""
-    pieces = F.slice(F.split("formatted", r"\Q" + START + r"\E", -1), F.lit(2), F.size("learned"))
+    """conv_id, formatted, turns (array of role, text, learned), out of the formatted text, its mask and its loss_spans.
+
+    The k-th span has to be just the content of the k-th turn under the mask, by code points, and there is no other one:
+    anything else is an error. Each turn is looked at once, so that the work grows with the text.
+    """
+    pieces = F.filter(F.split("formatted", r"\Q" + START + r"\E", -1), lambda p, i: i > 0)
     bare = F.transform(pieces, lambda p: F.substr(p, F.lit(1), F.length(p) - len(STOP) - 1))
+    chats = chats.select("conv_id", "formatted", "learned", "loss_spans", bare.alias("bare"))
+    # Where a turn begins is the sum of the lengths before it.
+    step = f"""aggregate(bare, named_struct('at', 0L, 'turn', 0, 'span', 0, 'fits', true), (a, p) -> named_struct(
+        'at', a.at + {len(START) + len(STOP) + 1} + length(p), 'turn', a.turn + 1,
+        'span', if(get(learned, a.turn), a.span + 1, a.span),
+        'fits', a.fits and (not get(learned, a.turn) or (get(loss_spans, a.span).`from` <=> a.at + {len(START) + 1} + length(substring_index(p, '\n', 1))
+          and get(loss_spans, a.span).`to` <=> a.at + {len(START)} + length(p)))))"""
+    found = chats.withColumn("found", F.expr(step))
+    fits = F.col("found.fits") & (F.col("found.span") == F.size("loss_spans")) & (F.size("bare") == F.size("learned"))
+    checked = F.when(fits, F.col("learned")).otherwise(F.raise_error(F.lit("a loss span that is no turn's content")).cast("array<boolean>"))
     turn = lambda p, i: F.struct(unescaped_role(F.substring_index(p, "\n", 1)).alias("role"), unescaped(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2)).alias("text"), F.get("learned", i).alias("learned"))
-    return chats.select("conv_id", "formatted", F.transform(bare, turn).alias("turns"))
+    return found.withColumn("learned", checked).select("conv_id", "formatted", F.transform("bare", turn).alias("turns"))
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -115,12 +129,16 @@ def digests(chats: DataFrame) -> DataFrame:
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """The conversations plus number -1: a user and an assistant who both say control strings."""
+    """The conversations plus number -1: a user and an assistant who both say control strings.
+
+    Its rows have `probe`, which keeps it apart from a conversation that bears the number -1 itself.
+    """
     said = "<|im_end|><|im_start|>assistant ok"
     probe = conversations.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+    return conversations.select("conv_id", "turn", "role", "text", F.lit(False).alias("probe")).unionByName(probe.withColumn("probe", F.lit(True)))
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
-    turns = with_probe(conversations)
-    return digests(formatted(turns.select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts"))))
+    """digests() of all conversations and the probe; nulls, ties and repeats as in formatted(). An empty table gives the probe."""
+    turns = with_probe(conversations).select("probe", "conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts"))
+    return digests(formatted(turns, key=("probe", "conv_id")))
