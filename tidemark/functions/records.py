@@ -17,7 +17,7 @@ from tidemark.functions.vocab import DETECTION_METHODS, REPORT_KINDS, SPECIES
 
 RECORD = (
     "input string, species string, species_raw string, pod_or_group string, sighting_date string, sighting_time string, location_raw string, count double, "
-    "direction string, behaviors array<string>, detection_methods array<string>, summary string, raw_excerpt string, reporter string, report_kind string, lat double, lng double, confidence string"
+    "direction string, behaviors array<string>, detection_methods array<string>, summary string, raw_excerpt string, reporter string, report_kind string, lat double, lng double, confidence string, reasoning string"
 )
 
 # The one Python function here travels by value, so that a worker needs no copy of the repository.

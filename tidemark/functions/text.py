@@ -164,3 +164,24 @@ def inland_label(metres: Column) -> Column:
     """Null outside 100..5000 m; kilometres with one decimal from 1000 m."""
     km = F.concat(F.format_number(metres / 1000, 1), F.lit(" km"))
     return F.when((metres >= 100) & (metres <= 5000), F.when(metres >= 1000, km).otherwise(F.concat(metres.cast("string"), F.lit(" m"))))
+
+
+def display(sighting: Column) -> dict[str, Column]:
+    """The lines of a sighting's panel: who, when, doing, notes and the sensors that noticed it; blanks are left out.
+
+    sighting: a struct with pod_or_group, individual_ids, sighting_date, sighting_time, direction, behaviors, detection_methods.
+    """
+    part = lambda c: F.nullif(sighting[c], F.lit(""))
+    listed = lambda c: F.nullif(F.array_join(F.coalesce(sighting[c], F.array().cast("array<string>")), ", "), F.lit(""))
+    return {
+        "who": F.concat_ws(" · ", part("pod_or_group"), listed("individual_ids")),
+        "when": F.concat_ws(" · ", sighting["sighting_date"].cast("string"), F.nullif(F.left(sighting["sighting_time"], F.lit(5)), F.lit(""))),
+        "doing": F.concat_ws(" · ", part("direction"), listed("behaviors")),
+        "notes": F.concat_ws(", ", part("direction"), F.filter(F.coalesce(sighting["behaviors"], F.array().cast("array<string>")), lambda b: b != "")),
+        "badges": F.filter(F.coalesce(sighting["detection_methods"], F.array().cast("array<string>")), lambda m: m.isin("hydrophone", "webcam")),
+    }
+
+
+def stage_of(system: Column) -> Column:
+    """The stage of a model call, by its system text."""
+    return F.when(F.coalesce(system, F.lit("")).rlike("(?i)marine geography"), "geocode").otherwise("extract")

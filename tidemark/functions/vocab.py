@@ -51,3 +51,59 @@ MOST_ANCHORS, MOST_BATCH_ANCHORS, SHORTEST_ANCHOR = 6, 40, 4
 # Prices in dollars a token (in, out) by stage, and rates of the cost projection.
 PRICES = {"extract": (3e-6, 15e-6), "geocode": (4e-6, 20e-6)}
 OUT_PER_SEPARATOR, STRINGS_PER_SEPARATOR, GEO_IN, GEO_OUT, CALLS_PER_BATCH = 343, 1.04, 240, 270, 1.2
+
+# Farthest inland, in metres, that an answer is asked for again; beyond, the water areas do not cover it.
+MOST_INLAND = 5_000
+
+# Verified entries that are no places, which are not published.
+UNPUBLISHED = ["Lime Kiln webcam", "north side of Jones Island", "Ruston shore"]
+
+# Water areas that are imported, by their names.
+WATER_AREAS = ["5", "6", "7", "8-1", "8-2", "9", "10", "11", "12", "13"]
+
+# name, lat, lng
+HYDROPHONES = [
+    ("Orcasound Lab", 48.5583362, -123.1735774),
+    ("North San Juan Channel", 48.591294, -123.058779),
+    ("Andrews Bay", 48.546653, -123.166408),
+    ("Port Townsend", 48.135743, -122.760614),
+    ("Bush Point", 48.0336664, -122.6040035),
+    ("Beach Camp at Sunset Bay", 47.86497296593844, -122.33393605795372),
+    ("Point Robinson", 47.388383, -122.37267),
+    ("MaST Center Aquarium", 47.34922, -122.32512),
+]
+WEBCAMS = [("Lime Kiln Lighthouse", 48.5158709, -123.1524506, "west")]
+
+# name, aliases, lat, lng, region
+SEED_PLACES = [
+    ("Bush Point", [], 48.0330, -122.6120, "Admiralty Inlet"),
+    ("Lime Kiln Point", ["Lime Kiln", "Lime Kiln State Park"], 48.5160, -123.1550, "Haro Strait"),
+    ("Sandy Point", ["Sandy Point, Whidbey"], 48.0520, -122.3770, "Saratoga Passage"),
+    ("Possession Point", [], 47.9020, -122.3830, "Possession Sound"),
+    ("Alki Point", ["Alki"], 47.5765, -122.4230, "Puget Sound"),
+    ("Point No Point", [], 47.9125, -122.5220, "Admiralty Inlet"),
+    ("Edmonds Ferry Dock", ["Edmonds ferry", "Edmonds"], 47.8130, -122.3860, "Puget Sound"),
+    ("Langley", ["Langley, Whidbey"], 48.0420, -122.4030, "Saratoga Passage"),
+    ("East Point (Whidbey)", ["East Point"], 48.0900, -122.3500, "Saratoga Passage"),
+    ("Olalla Bay", ["Olalla"], 47.4265, -122.5430, "Colvos Passage"),
+]
+
+# What made-up sightings are drawn from: places with lat and lng, species, their pods, behaviours, directions.
+MADE_UP_PLACES = [
+    ("Haro Strait off Lime Kiln", 48.515, -123.16),
+    ("Admiralty Inlet off Bush Point", 48.03, -122.62),
+    ("Saratoga Passage off Langley", 48.05, -122.4),
+    ("Possession Sound", 47.93, -122.35),
+    ("Elliott Bay", 47.6, -122.38),
+    ("Colvos Passage off Olalla", 47.43, -122.55),
+    ("Rosario Strait", 48.55, -122.75),
+    ("President Channel", 48.65, -123.05),
+    ("Active Pass", 48.87, -123.3),
+    ("Port Townsend Bay", 48.09, -122.78),
+    ("Point No Point", 47.91, -122.52),
+    ("Penn Cove", 48.22, -122.7),
+]
+MADE_UP_SPECIES = ["biggs", "biggs", "biggs", "humpback", "humpback", "gray", "minke", "southern_resident", "unidentified_orca"]
+MADE_UP_PODS = {"biggs": ["T99s", "T46Bs", "T34s & T37s", "T77C & T77E", "T65As"], "southern_resident": ["J Pod", "L Pod"]}
+MADE_UP_BEHAVIORS = [["traveling"], ["foraging"], ["breaching", "traveling"], ["milling"], []]
+MADE_UP_DIRECTIONS = ["northbound", "southbound", "W", "SE", None]

@@ -16,13 +16,17 @@ def merged_aliases(old: Column, new: Column) -> Column:
 
 
 def upsert_places(gazetteer: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(id, name, aliases, lat, lng, merged) of the union by lower-cased name; a known place keeps its coordinates and name."""
-    old = gazetteer.select(F.lower("name").alias("key"), F.col("id").alias("old_id"), F.col("name").alias("old_name"), F.col("aliases").alias("old_aliases"), F.col("lat").alias("old_lat"), F.col("lng").alias("old_lng"))
-    new = incoming.select(F.lower("name").alias("key"), F.col("id").alias("new_id"), F.col("name").alias("new_name"), F.col("aliases").alias("new_aliases"), F.col("lat").alias("new_lat"), F.col("lng").alias("new_lng"))
+    """(id, name, aliases, lat, lng, region, merged) of the union by lower-cased name.
+
+    A known place keeps its coordinates and name, and its region unless it has none. Either side may lack regions.
+    """
+    gazetteer, incoming = (df if "region" in df.columns else df.withColumn("region", F.lit(None).cast("string")) for df in (gazetteer, incoming))
+    old = gazetteer.select(F.lower("name").alias("key"), F.col("id").alias("old_id"), F.col("name").alias("old_name"), F.col("aliases").alias("old_aliases"), F.col("lat").alias("old_lat"), F.col("lng").alias("old_lng"), F.col("region").alias("old_region"))
+    new = incoming.select(F.lower("name").alias("key"), F.col("id").alias("new_id"), F.col("name").alias("new_name"), F.col("aliases").alias("new_aliases"), F.col("lat").alias("new_lat"), F.col("lng").alias("new_lng"), F.col("region").alias("new_region"))
     both = old.join(new, "key", "full")
     pick = lambda c: F.when(F.col("old_id").isNotNull(), F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c)
     merged = F.col("old_id").isNotNull() & F.col("new_id").isNotNull()
-    return both.select(pick("id"), pick("name"), merged_aliases(F.col("old_aliases"), F.col("new_aliases")).alias("aliases"), pick("lat"), pick("lng"), merged.alias("merged"))
+    return both.select(pick("id"), pick("name"), merged_aliases(F.col("old_aliases"), F.col("new_aliases")).alias("aliases"), pick("lat"), pick("lng"), F.coalesce("old_region", "new_region").alias("region"), merged.alias("merged"))
 
 
 def insert_ignore(state: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -39,7 +43,8 @@ def cluster_backfill(sightings: DataFrame, location: str, except_id: int, lat: f
     )
 
 
-EDITABLE = ("species", "location_raw", "lat", "lng", "geo_method", "needs_review")
+EDITABLE = ("sighting_date", "sighting_time", "species", "species_raw", "pod_or_group", "sighting_count", "direction", "location_raw", "lat", "lng", "geo_method", "needs_review", "gazetteer_id")
+EDITABLE_PLACE = ("name", "aliases", "lat", "lng", "region")
 
 
 def patched(sightings: DataFrame, patches: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def patched(sightings: DataFrame, patches: DataFrame) -> DataFrame:
 
     A position that moves makes the method manual, unless the patch gives a method itself.
     """
-    fields = [c for c in EDITABLE if c in patches.columns]
+    fields = [c for c in EDITABLE if c in patches.columns and c in sightings.columns]
     new = patches.select("id", "present", *(F.col(c).alias(f"new_{c}") for c in fields))
     df = sightings.join(new, "id", "left")
     given = lambda c: F.coalesce(F.array_contains("present", c), F.lit(False))
@@ -59,6 +64,40 @@ def patched(sightings: DataFrame, patches: DataFrame) -> DataFrame:
     return df.select(*((value[c].alias(c) if c in value else F.col(c)) for c in sightings.columns))
 
 
+def patched_places(gazetteer: DataFrame, patches: DataFrame) -> DataFrame:
+    """As patched(), for verified places: patches have id, `present` and new values of EDITABLE_PLACE."""
+    fields = [c for c in EDITABLE_PLACE if c in patches.columns and c in gazetteer.columns]
+    df = gazetteer.join(patches.select("id", "present", *(F.col(c).alias(f"new_{c}") for c in fields)), "id", "left")
+    given = lambda c: F.coalesce(F.array_contains("present", c), F.lit(False))
+    return df.select(*(F.when(given(c), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in gazetteer.columns))
+
+
+def with_aliases(gazetteer: DataFrame, more: Column) -> DataFrame:
+    """Adds aliases, sorted; those that a place has already are not added again."""
+    return gazetteer.withColumn("aliases", F.array_sort(F.array_union("aliases", more)))
+
+
+def without_aliases(gazetteer: DataFrame, gone: Column) -> DataFrame:
+    return gazetteer.withColumn("aliases", F.array_sort(F.array_except("aliases", gone)))
+
+
+def placed_by_landmark(sightings: DataFrame, matches: DataFrame) -> DataFrame:
+    """Flagged rows take the position of the landmark that bears their location's name, and lose the flag.
+
+    matches: location_raw, landmark_id, lat, lng.
+    """
+    new = matches.select("location_raw", F.col("landmark_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    df = sightings.join(new, "location_raw", "left")
+    hit = F.col("needs_review") & F.col("_id").isNotNull()
+    value = {"lat": F.col("_lat"), "lng": F.col("_lng"), "landmark_id": F.col("_id"), "geo_method": F.lit("landmark"), "needs_review": F.lit(False)}
+    return df.select(*(F.when(hit, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in sightings.columns), hit.alias("changed"))
+
+
+def purged_runs(newsletters: DataFrame) -> DataFrame:
+    """Without runs that failed or never came to an end."""
+    return newsletters.filter(~F.col("status").isin("failed", "processing"))
+
+
 def without_place(sightings: DataFrame, gazetteer: DataFrame, place: int) -> tuple[DataFrame, DataFrame]:
     """Deletes a place; sightings lose the link but keep their coordinates."""
     link = F.when(F.col("gazetteer_id") == place, F.lit(None)).otherwise(F.col("gazetteer_id"))
@@ -91,6 +130,16 @@ def renamed_method(sightings: DataFrame, old: str, new: str) -> DataFrame:
     return sightings.withColumn("geo_method", F.when(F.col("geo_method") == old, new).otherwise(F.col("geo_method")))
 
 
+def begun_runs(issues: DataFrame) -> DataFrame:
+    """Run rows (id, title) as they are written before any work: processing."""
+    return issues.withColumn("status", F.lit("processing"))
+
+
+def failed_runs(runs: DataFrame, message: Column, most: int = 2_000) -> DataFrame:
+    """Run rows marked failed, with what went wrong, cut."""
+    return runs.withColumns({"status": F.lit("failed"), "warning_text": F.left(message, F.lit(most))})
+
+
 def finished_runs(runs: DataFrame, warnings: Column, most: int = 2_000) -> DataFrame:
     """Run rows marked complete, with their warnings joined and cut."""
     return runs.withColumns({"status": F.lit("complete"), "warning_text": F.left(F.array_join(warnings, "; "), F.lit(most))})

@@ -11,38 +11,55 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import DEGREE
 
 CELL = 0.1
-#: A cell that holds the whole region: what is nearest to points far from all edges is looked for in there.
-WHOLE = 60.0
+#: Height of the bands of latitude in which points and edges of a polygon meet.
+BAND = 0.02
+#: A cell that holds the whole region, and the size of the groups of edges that points far from all edges try first.
+WHOLE, FAR_GROUP = 60.0, 0.5
 
 
 def cells(low: str, high: str, size: float, more: int):
     return F.explode(F.sequence(F.floor(F.col(low) / size) - more, F.floor(F.col(high) / size) + more))
 
 
-def covered(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:
-    """Distinct (pid) of points (pid, lat, lng) that a polygon covers: an odd number of its edges lie to the east."""
+def covered(points: DataFrame, edges: DataFrame, cell: float = CELL, band: float = BAND) -> DataFrame:
+    """Distinct (pid) of points (pid, lat, lng) that a polygon covers: an odd number of its edges lie to the east.
+
+    Points meet polygons in cells, and then only those of its edges that reach into their band of latitude: a point
+    sees few edges of a polygon, however many corners that has, and a polygon is many keys.
+    """
     boxes = edges.groupBy("poly_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
     grid = boxes.select("poly_id", "s", "n", cells("w", "e", cell, 0).alias("cx")).select("poly_id", "cx", cells("s", "n", cell, 0).alias("cy"))
     placed = points.filter("lat is not null and lng is not null").select("pid", "lat", "lng", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    near = placed.join(grid, ["cx", "cy"]).select("pid", "lat", "lng", "poly_id")
+    near = placed.join(grid, ["cx", "cy"]).select("pid", "lat", "lng", "poly_id", F.floor(F.col("lat") / band).alias("band"))
+    banded = edges.withColumns({"s": F.least("y1", "y2"), "n": F.greatest("y1", "y2")}).filter("s < n").select("poly_id", "x1", "y1", "x2", "y2", cells("s", "n", band, 0).alias("band"))
     crossing = F.expr("case when (y1 > lat) <> (y2 > lat) and lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 then 1 else 0 end")
-    odd = near.join(edges, "poly_id").groupBy("pid", "poly_id").agg((F.sum(crossing) % 2).alias("odd")).filter("odd = 1")
+    odd = near.join(banded, ["poly_id", "band"]).groupBy("pid", "poly_id").agg((F.sum(crossing) % 2).alias("odd")).filter("odd = 1")
     return odd.select("pid").distinct()
 
 
 def nearest(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:
     """(pid, metres, near_lat, near_lng, poly_id) of the nearest point on an edge; ties by poly_id and k.
 
-    An edge is listed in its cells and those around them. A point whose best edge is no farther than a cell is wide has
-    found it; the others look through the whole region.
+    Edges are put together by the small cell that they start in. A point first meets the boxes around such groups, in
+    its cell and those around it, and then the edges of those groups only that can hold the nearest one: no box has an
+    edge that is nearer than the box, and some box has one that is no farther than its farthest corner. A point whose
+    best edge is no farther than half a cell has found it; the others look through the whole region, by larger groups.
     """
+    scale = F.cos(F.radians("lat"))
 
-    def best(some: DataFrame, size: float) -> DataFrame:
-        spread = edges.withColumns({"w": F.least("x1", "x2"), "e": F.greatest("x1", "x2"), "s": F.least("y1", "y2"), "n": F.greatest("y1", "y2")})
-        grid = spread.select("*", cells("w", "e", size, 1).alias("cx")).select("*", cells("s", "n", size, 1).alias("cy")).drop("w", "e", "s", "n")
+    def best(some: DataFrame, size: float, group: float) -> DataFrame:
+        of_group = {"gx": F.floor(F.col("x1") / group), "gy": F.floor(F.col("y1") / group)}
+        boxes = edges.groupBy(*(v.alias(k) for k, v in of_group.items())).agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
+        grid = boxes.select("*", cells("w", "e", size, 1).alias("cx")).select("*", cells("s", "n", size, 1).alias("cy"))
         keyed = some.select("*", F.floor(F.col("lng") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy"))
-        scale = F.cos(F.radians("lat"))
-        met = keyed.join(grid, ["cx", "cy"]).withColumns({"ax": (F.col("x1") - F.col("lng")) * DEGREE * scale, "ay": (F.col("y1") - F.col("lat")) * DEGREE, "bx": (F.col("x2") - F.col("lng")) * DEGREE * scale, "by": (F.col("y2") - F.col("lat")) * DEGREE})
+        met = keyed.join(grid, ["cx", "cy"])
+        span = lambda low, high, at: (F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0)), F.greatest(F.abs(F.col(low) - F.col(at)), F.abs(F.col(high) - F.col(at))))
+        (least_x, most_x), (least_y, most_y) = span("w", "e", "lng"), span("s", "n", "lat")
+        far = lambda x, y: F.hypot(x * DEGREE * scale, y * DEGREE)
+        met = met.select("pid", "lat", "lng", "gx", "gy", far(least_x, least_y).alias("least"), far(most_x, most_y).alias("most"))
+        met = met.withColumn("reach", F.min("most").over(Window.partitionBy("pid"))).filter(F.col("least") <= F.col("reach") * 1.000001 + 0.001)
+        met = met.select("pid", "lat", "lng", "gx", "gy").join(edges.withColumns(of_group), ["gx", "gy"])
+        met = met.withColumns({"ax": (F.col("x1") - F.col("lng")) * DEGREE * scale, "ay": (F.col("y1") - F.col("lat")) * DEGREE, "bx": (F.col("x2") - F.col("lng")) * DEGREE * scale, "by": (F.col("y2") - F.col("lat")) * DEGREE})
         along = F.expr("least(1.0, greatest(0.0, case when (bx - ax) * (bx - ax) + (by - ay) * (by - ay) = 0 then 0.0 else -(ax * (bx - ax) + ay * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) end))")
         met = met.withColumn("t", along).withColumn("d", F.expr("sqrt(power(ax + t * (bx - ax), 2) + power(ay + t * (by - ay), 2))"))
         pick = F.min(F.struct("d", "poly_id", "k", F.expr("y1 + t * (y2 - y1)").alias("near_lat"), F.expr("x1 + t * (x2 - x1)").alias("near_lng"))).alias("x")
@@ -50,8 +67,8 @@ def nearest(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFram
 
     points = points.filter("lat is not null and lng is not null").select("pid", "lat", "lng")
     # A degree of longitude is shortest in the north: cells are at least half as wide as they are high up to 60 degrees.
-    close = best(points, cell).filter(F.col("metres") <= cell * DEGREE / 2)
-    far = best(points.join(close, "pid", "left_anti"), WHOLE)
+    close = best(points, cell, cell / 4).filter(F.col("metres") <= cell * DEGREE / 2)
+    far = best(points.join(close, "pid", "left_anti"), WHOLE, FAR_GROUP)
     return close.unionByName(far)
 
 

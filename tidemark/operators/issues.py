@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from tidemark.functions import text as T
 from tidemark.functions.vocab import MAX_CHUNK
 
 
+# The folds travel by value, so that a worker needs no copy of the repository.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def by_line():
     return Window.partitionBy("issue").orderBy("line_no")
 
@@ -74,33 +83,61 @@ def date_ranges(lines: DataFrame) -> DataFrame:
     return dated.select("issue", date.alias("d")).groupBy("issue").agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"))
 
 
+def folded(rows: DataFrame, group: list[str], order: str, columns: list[str], step, out: str) -> DataFrame:
+    """Adds `out`, a number that `step` gives each row of a group in turn: step(columns' arrays, starts) of a batch's rows.
+
+    Only the columns that the fold reads are sorted by group, and read once as a stream: what a task holds is a batch,
+    whatever the size of a group, and the work grows with the rows.
+    """
+    keys = [*group, order]
+    slim = rows.select(*keys, *columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys) + f", {out} bigint"
+
+    def run(batches):
+        last, state = None, None
+        for batch in batches:
+            names = list(zip(*(batch.column(g).to_pylist() for g in group)))
+            numbers = []
+            for name, row in zip(names, zip(*(batch.column(c).to_pylist() for c in columns))):
+                state, number = step(state if name == last else None, *row)
+                last = name
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(numbers, pa.int64())], names=[*keys, out])
+
+    numbered = slim.repartition(*group).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    same = [rows[k].eqNullSafe(numbered[k]) for k in keys]
+    return rows.join(numbered, functools.reduce(lambda a, b: a & b, same)).select(*(rows[c] for c in rows.columns), numbered[out])
+
+
 def packed(texts: DataFrame, group: list[str], order: str, size: str, most: int = MAX_CHUNK) -> DataFrame:
     """Adds chunk_no per group: texts are put together in order while their sizes, and 2 between, stay within `most`.
 
-    One that is larger than `most` stands alone. The fold is over the group's sizes only.
+    One that is larger than `most` stands alone. The fold is over the group's sizes only; `order` is total within a group.
     """
-    step = f"""aggregate(sizes, cast(struct(0L as no, 0L as len, cast(array() as array<bigint>) as out) as struct<no: bigint, len: bigint, out: array<bigint>>),
-      (a, s) -> case
-        when s > {most} then named_struct('no', if(a.len > 0, a.no + 2, a.no + 1), 'len', 0L, 'out', concat(a.out, array(if(a.len > 0, a.no + 1, a.no))))
-        when a.len > 0 and a.len + s > {most} then named_struct('no', a.no + 1, 'len', s + 2, 'out', concat(a.out, array(a.no + 1)))
-        else named_struct('no', a.no, 'len', a.len + s + 2, 'out', concat(a.out, array(a.no))) end).out"""
-    rows = texts.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(size).cast("long").alias("s")))).alias("all"))
-    numbers = folded.withColumn("sizes", F.col("all.s")).select(*group, F.posexplode(F.expr(step)).alias("_at", "chunk_no"))
-    return rows.join(numbers.withColumn("_n", F.col("_at") + 1).drop("_at"), [*group, "_n"]).drop("_n")
+
+    def step(state, size):
+        number, length = state or (0, 0)
+        if size > most:
+            own = number + (length > 0)
+            return (own + 1, 0), own
+        if length > 0 and length + size > most:
+            number, length = number + 1, 0
+        return (number, length + size + 2), number
+
+    return folded(texts, group, order, [size], step, "chunk_no")
 
 
 def oversize_parts(text_lines: DataFrame, group: list[str], order: str, most: int = MAX_CHUNK) -> DataFrame:
-    """Adds part_no per group: before a separator line, a part of more than `most` characters ends."""
-    step = f"""aggregate(all, cast(struct(0L as no, 0L as len, cast(array() as array<bigint>) as out) as struct<no: bigint, len: bigint, out: array<bigint>>),
-      (a, x) -> if(x.sep and a.len > {most},
-        named_struct('no', a.no + 1, 'len', x.s + 1, 'out', concat(a.out, array(a.no + 1))),
-        named_struct('no', a.no, 'len', a.len + x.s + 1, 'out', concat(a.out, array(a.no))))).out"""
-    rows = text_lines.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    line = F.struct("_n", F.length("line").cast("long").alias("s"), T.separator(F.col("line")).alias("sep"))
-    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list(line)).alias("all"))
-    numbers = folded.select(*group, F.posexplode(F.expr(step)).alias("_at", "part_no"))
-    return rows.join(numbers.withColumn("_n", F.col("_at") + 1).drop("_at"), [*group, "_n"]).drop("_n")
+    """Adds part_no per group: before a separator line, a part of more than `most` characters ends; `order` is total within a group."""
+
+    def step(state, size, separates):
+        number, length = state or (0, 0)
+        if separates and length > most:
+            number, length = number + 1, 0
+        return (number, length + size + 1), number
+
+    measured = text_lines.withColumns({"_size": F.length("line"), "_separates": T.separator(F.col("line"))})
+    return folded(measured, group, order, ["_size", "_separates"], step, "part_no").drop("_size", "_separates")
 
 
 def chunks(lines: DataFrame, most: int = MAX_CHUNK) -> DataFrame:

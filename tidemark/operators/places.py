@@ -9,6 +9,9 @@ from tidemark.functions.text import bracket_readings, norm
 from tidemark.functions.vocab import GENERIC_NAMES, MOST_ANCHORS, SHORTEST_ANCHOR, WATER_CLASSES
 
 
+LONG_HEAD = 8
+
+
 def by_gazetteer(strings: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(location_raw, gazetteer_id): name equal after norm(), else alias equal; the first by id. gazetteer has aliases as an array."""
     names = gazetteer.select(norm(F.col("name")).alias("key"), F.lit(0).alias("rank"), "id")
@@ -31,29 +34,45 @@ def ambiguous(landmarks: DataFrame) -> DataFrame:
 
 def anchor_pool(gazetteer: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(source, id, name): verified names and aliases, then landmarks that no verified name covers."""
-    names = gazetteer.select(F.lit(0).alias("source"), F.col("id").cast("long").alias("id"), "name")
-    aliases = gazetteer.select(F.lit(1).alias("source"), F.col("id").cast("long").alias("id"), F.explode("aliases").alias("name"))
+    return located_pool(gazetteer, landmarks).select("source", "id", "name")
+
+
+def located_pool(gazetteer: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """(source, id, name, type, county, lat, lng): anchor_pool() with what a request tells of each anchor."""
+    spot = [F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")]
+    verified_ = [F.lit("Verified").alias("type"), F.lit(None).cast("string").alias("county"), *spot]
+    names = gazetteer.select(F.lit(0).alias("source"), F.col("id").cast("long").alias("id"), "name", *verified_)
+    aliases = gazetteer.select(F.lit(1).alias("source"), F.col("id").cast("long").alias("id"), F.explode("aliases").alias("name"), *verified_)
     verified = gazetteer.select(norm(F.col("name")).alias("key")).distinct()
     federal = landmarks.join(verified, norm(F.col("name")) == F.col("key"), "left_anti")
-    return names.unionByName(aliases).unionByName(federal.select(F.lit(2).alias("source"), F.col("id").cast("long").alias("id"), "name"))
+    return names.unionByName(aliases).unionByName(federal.select(F.lit(2).alias("source"), F.col("id").cast("long").alias("id"), "name", F.col("feature_class").alias("type"), "county", *spot))
 
 
 def anchors(strings: DataFrame, pool: DataFrame, most: int = MOST_ANCHORS, group: str = "location_raw") -> DataFrame:
     """(group, source, id, name, place): pool names that occur in any reading of a string, longest first, `most` at most.
 
-    A name occurs at some word of a reading, so names and readings meet in an equi-join on the first `SHORTEST_ANCHOR`
-    letters of every suffix of the reading rather than in a loop over all pairs.
+    Names and readings meet in an equi-join on the first letters of every suffix of the reading rather than in a loop over
+    all pairs: on the first `LONG_HEAD` of names that are so long, which few others share, else on `SHORTEST_ANCHOR`.
     """
     names = pool.withColumn("needle", F.lower("name")).filter((F.length("needle") >= SHORTEST_ANCHOR) & ~F.col("needle").isin(GENERIC_NAMES))
-    names = names.withColumn("head", F.left("needle", F.lit(SHORTEST_ANCHOR)))
+    names = names.withColumn("head", F.left("needle", F.when(F.length("needle") >= LONG_HEAD, LONG_HEAD).otherwise(SHORTEST_ANCHOR)))
     readings = strings.select(*dict.fromkeys([group, "location_raw"])).distinct().withColumn("reading", F.explode(F.transform(bracket_readings(F.col("location_raw")), F.lower)))
     at = F.sequence(F.lit(1), F.greatest(F.length("reading") - SHORTEST_ANCHOR + 1, F.lit(1)))
-    heads = readings.withColumn("head", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr("reading", i, F.lit(SHORTEST_ANCHOR))))))
+    of_length = lambda n: F.transform(at, lambda i: F.substr("reading", i, F.lit(n)))
+    heads = readings.withColumn("head", F.explode(F.array_union(of_length(SHORTEST_ANCHOR), F.filter(of_length(LONG_HEAD), lambda h: F.length(h) == LONG_HEAD))))
     hits = heads.join(names, "head").filter(F.contains("reading", F.col("needle"))).select(group, "source", "id", "name").distinct()
     order = Window.partitionBy(group).orderBy(F.length("name").desc(), "source", "id", "name")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
+def request_items(strings: DataFrame, pool: DataFrame) -> DataFrame:
+    """(location_raw, item): what a request says of each string: the string itself, and its anchors with their coordinates."""
+    found = anchors(strings, pool.select("source", "id", "name")).join(pool, ["source", "id", "name"])
+    anchor = F.struct("name", "type", "county", "lat", "lng")
+    listed = found.groupBy("location_raw").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", anchor.alias("a")))), lambda x: x["a"]).alias("anchors"))
+    return strings.select("location_raw").distinct().join(listed, "location_raw", "left").select("location_raw", F.struct(F.col("location_raw").alias("input"), "anchors").alias("item"))
+
+
 def batches(strings: DataFrame, size: int) -> DataFrame:
     """(location_raw, batch_no): distinct strings in batches of `size`, in the order of their first sighting."""
     first = strings.groupBy("location_raw").agg(F.min("id").alias("first_id"))

@@ -7,10 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.vocab import LABEL_ZOOM, PUBLIC_CLASSES
+from tidemark.functions.vocab import LABEL_ZOOM, PUBLIC_CLASSES, UNPUBLISHED
 
 MOST, USUAL = 10_000, 5_000
-WITHHELD = ("reporter", "ai_confidence")
+WITHHELD = ("raw_excerpt", "reporter", "ai_reasoning", "ai_confidence")
+#: What a GeoJSON feature does not carry as properties, even for administrators.
+NO_PROPERTIES = ("lat", "lng", "raw_excerpt", "ai_reasoning", "ai_confidence")
+NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?Infinity")
+ID = re.compile(r"(?i)[0-9a-f-]{36}")
 
 
 def page_size(limit: int | None) -> int:
@@ -21,11 +25,35 @@ def page_size(limit: int | None) -> int:
 
 
 def bounding_box(text: str) -> tuple[float, float, float, float]:
-    """west,south,east,north."""
-    parts = text.split(",")
-    if len(parts) != 4 or not all(re.fullmatch(r"\s*-?\d+(\.\d+)?\s*", p) for p in parts):
+    """west,south,east,north; each as number() reads it."""
+    parts = [number(p) for p in text.split(",")]
+    if len(parts) != 4 or None in parts:
         raise ValueError("bbox needs four numbers")
-    return tuple(map(float, parts))
+    return tuple(parts)
+
+
+def number(text: str) -> float | None:
+    """Decimal, with an exponent or not, or hexadecimal, octal, binary; blank is 0, and all else None."""
+    text = text.strip()
+    if re.fullmatch(r"0(?:[xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)", text):
+        return float(int(text, 0))
+    return float(text or 0) if NUMBER.fullmatch(text or "0") else None
+
+
+def issue_id(text: str) -> str:
+    """The id of an issue in a request, or "latest"."""
+    if text != "latest" and not ID.fullmatch(text):
+        raise ValueError("newsletter must be a uuid or 'latest'")
+    return text
+
+
+def short_id(id: Column) -> Column:
+    return F.left(id, F.lit(8))
+
+
+def short_title(title: Column) -> Column:
+    """Without the suffix that all titles bear."""
+    return F.regexp_replace(title, r"(?i) WS Report$", "")
 
 
 def listed(text: str) -> list[str]:
@@ -84,15 +112,16 @@ def archive_span(sightings: DataFrame) -> DataFrame:
 
 
 def newsletters_list(newsletters: DataFrame) -> DataFrame:
-    return newsletters.filter("status = 'complete'").select("id", "title", "date_from", "date_to", "sighting_count")
+    """Complete issues, the one that ends last first."""
+    return newsletters.filter("status = 'complete'").select("id", "title", "date_from", "date_to", "sighting_count").orderBy(F.desc("date_to"), F.desc("id"))
 
 
 def public_landmarks(landmarks: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Landmarks of the published classes that no verified place overrides, and the verified places; with their label zoom."""
+    """Landmarks of the published classes that no verified place overrides, and the published verified places; with their label zoom."""
     federal = landmarks.filter(F.col("feature_class").isin(PUBLIC_CLASSES))
     verified = gazetteer.select(F.lower("name").alias("known")).distinct()
     federal = federal.join(verified, F.lower("name") == F.col("known"), "left_anti").select("name", "feature_class", "lat", "lng")
-    both = federal.unionByName(gazetteer.select("name", F.lit("Verified").alias("feature_class"), "lat", "lng"))
+    both = federal.unionByName(gazetteer.filter(~F.col("name").isin(UNPUBLISHED)).select("name", F.lit("Verified").alias("feature_class"), "lat", "lng"))
     zoom = F.lit(None).cast("int")
     for name, z in LABEL_ZOOM:
         zoom = F.when(F.col("feature_class") == name, z).otherwise(zoom)
@@ -114,7 +143,22 @@ def gazetteer_search(gazetteer: DataFrame, text: Column) -> DataFrame:
     return found.filter(F.contains(norm(F.col("name")), text) | F.col("alias").isNotNull()).select("id", "name", "alias")
 
 
-def features(df: DataFrame, dropped: tuple[str, ...] = ("lat", "lng")) -> DataFrame:
+def response(rows: DataFrame, newsletters: DataFrame, sightings: DataFrame, issue: str | None) -> DataFrame:
+    """One row of JSON: rows in their order, and where an issue is asked for, which it is and what the archive spans.
+
+    The rows are a page, of at most MOST: they fit into one text.
+    """
+    listed = rows.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("sightings"))
+    if issue is None:
+        return listed.select(F.to_json(F.struct("sightings")).alias("response"))
+    one = latest_issue(newsletters) if issue == "latest" else newsletters.filter(F.col("id") == issue)
+    of_issue = one.agg(F.first(F.struct("id", "title", F.col("date_from").cast("string").alias("date_from"), F.col("date_to").cast("string").alias("date_to"))).alias("newsletter"))
+    span = archive_span(sightings).select(F.struct(F.col("first_date").cast("string").alias("from"), F.col("last_date").cast("string").alias("to")).alias("range"))
+    whole = listed.join(F.broadcast(of_issue)).join(F.broadcast(span))
+    return whole.select(F.to_json(F.struct("sightings", "newsletter", "range"), {"ignoreNullFields": "false"}).alias("response"))
+
+
+def features(df: DataFrame, dropped: tuple[str, ...] = NO_PROPERTIES) -> DataFrame:
     """A GeoJSON feature per placed row; rows without a position are left out after paging, so a page can be short."""
     point = F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates"))
     rest = F.struct(*(c for c in df.columns if c not in dropped))

@@ -16,9 +16,10 @@ from tidemark.operators import changes, issues, measures, places, reads, resolve
 from tidemark.sources import readers, static
 
 SCHEMAS = {
-    "newsletters": "id string, title string, status string, date_from date, date_to date, sighting_count bigint, warning_text string",
-    "sightings": "id bigint, newsletter_id string, sighting_date date, sighting_time string, species string, sighting_count int, location_raw string, lat double, lng double, geo_method string, needs_review boolean, ai_confidence string, reporter string, gazetteer_id bigint",
-    "gazetteer": "id bigint, name string, aliases array<string>, lat double, lng double",
+    "newsletters": "id string, title string, status string, date_from date, date_to date, sighting_count bigint, warning_text string, pasted_at timestamp",
+    "sightings": "id bigint, newsletter_id string, sighting_date date, sighting_time string, species string, species_raw string, pod_or_group string, individual_ids array<string>, sighting_count int, direction string, behaviors array<string>, "
+    "detection_methods array<string>, location_raw string, gazetteer_id bigint, landmark_id bigint, lat double, lng double, geo_method string, needs_review boolean, summary string, raw_excerpt string, reporter string, report_kind string, ai_reasoning string, ai_confidence string",
+    "gazetteer": "id bigint, name string, aliases array<string>, lat double, lng double, region string",
     "landmarks": readers.LANDMARKS,
     "edges": "poly_id bigint, k int, x1 double, y1 double, x2 double, y2 double",
     "calls": readers.CALLS,
@@ -33,22 +34,36 @@ class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def versions(self, name: str) -> list[int]:
+    def parts(self, name: str) -> list[tuple[int, str]]:
+        """(number, folder) of each complete write, in order: v is a whole table, a is rows added to what was there."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         found = files.listStatus(path) if files.exists(path) else []
         done = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in found if re.fullmatch(r"v\d+", s.getPath().getName()) and done(s.getPath()))
+        return sorted((int(n[1:]), n) for s in found if re.fullmatch(r"[va]\d+", n := s.getPath().getName()) and done(s.getPath()))
+
+    def versions(self, name: str) -> list[int]:
+        return [n for n, _ in self.parts(name)]
 
     def table(self, name: str) -> DataFrame:
-        """The newest version, or an empty table where there is none yet."""
-        versions = self.versions(name)
-        return self.spark.read.parquet(f"{self.base}/{name}/v{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMAS[name])
+        """The newest version: the last whole table and the rows added since; empty where there is none yet."""
+        parts = [folder for _, folder in self.parts(name)]
+        whole = max((i for i, folder in enumerate(parts) if folder[0] == "v"), default=0)
+        empty = self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(empty.schema).parquet(*(f"{self.base}/{name}/{folder}" for folder in parts[whole:])) if parts else empty
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def _write(self, kind: str, name: str, df: DataFrame) -> None:
         form = self.spark.createDataFrame([], SCHEMAS[name]).schema
         columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in form]
-        df.select(*columns).write.parquet(f"{self.base}/{name}/v{(self.versions(name) or [0])[-1] + 1}")
+        df.select(*columns).write.parquet(f"{self.base}/{name}/{kind}{(self.versions(name) or [0])[-1] + 1}")
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replaces a table; the former version stays beside it."""
+        self._write("v", name, df)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to a table; what is there is not read or written again."""
+        self._write("a", name, df)
 
     def kept(self, df: DataFrame) -> DataFrame:
         """Rows written to the store's work folder and read again: later steps start from there."""
@@ -57,8 +72,10 @@ class Store:
         return self.spark.read.parquet(path)
 
     def check(self) -> DataFrame:
-        """(table, columns, rows, versions) of each table."""
-        parts = [self.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), F.lit(len(self.table(n).columns)).alias("columns"), "rows", F.lit(len(self.versions(n))).alias("versions")) for n in SCHEMAS]
+        """(table, columns, rows, versions, names, types) of each table; names and types are those of its columns, in order."""
+        literal = lambda xs: F.array(*map(F.lit, xs))
+        of = lambda n: self.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), F.lit(len(self.table(n).columns)).alias("columns"), "rows", F.lit(len(self.versions(n))).alias("versions"), literal(self.table(n).columns).alias("names"), literal([t for _, t in self.table(n).dtypes]).alias("types"))
+        parts = [of(n) for n in SCHEMAS]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -68,12 +85,15 @@ class Store:
 # ---- reading
 
 def sightings(store: Store, *, newsletter=None, date_from=None, date_to=None, species: str | None = None, bbox: str | None = None, needs_review: bool | None = None, sort: str | None = None, limit: int | None = None, offset: int = 0, format: str = "geojson", admin: bool = False) -> DataFrame:
-    """Filtered, ordered and paged sightings; flagged rows are for administrators, and come with their distance to water."""
+    """Filtered, ordered and paged sightings; flagged rows are for administrators, and come with their distance to water.
+
+    format: "geojson" for a feature a row, "json" for the rows, "response" for one row of JSON with the issue and the archive's span.
+    """
     if needs_review is not None and not admin:
         raise PermissionError("needs_review is for administrators")
     box = reads.bounding_box(bbox) if bbox is not None else None
     kinds = reads.listed(species) if species is not None else None
-    df = reads.filtered(store.table("sightings"), issue=newsletter, newsletters=store.table("newsletters"), date_from=date_from, date_to=date_to, species=kinds, bbox=box, needs_review=needs_review, placed_only=format != "json")
+    df = reads.filtered(store.table("sightings"), issue=newsletter, newsletters=store.table("newsletters"), date_from=date_from, date_to=date_to, species=kinds, bbox=box, needs_review=needs_review, placed_only=format == "geojson")
     distance = None
     if needs_review:
         from tidemark.operators import geometry
@@ -81,6 +101,8 @@ def sightings(store: Store, *, newsletter=None, date_from=None, date_to=None, sp
         metres = geometry.water_distance(df.select(F.col("id").alias("pid"), "lat", "lng"), store.table("edges")).withColumnRenamed("metres", "water_m")
         df, distance = df.join(metres, F.col("id") == F.col("pid"), "left").drop("pid"), F.col("water_m")
     df = reads.paged(reads.masked(df, admin), reads.review_order(distance, sort == "confidence"), limit, offset)
+    if format == "response":
+        return reads.response(df, store.table("newsletters"), store.table("sightings"), newsletter)
     return df if format == "json" else reads.features(df)
 
 
@@ -89,11 +111,14 @@ def sighting(store: Store, id: int) -> DataFrame:
 
 
 def newsletters(store: Store) -> DataFrame:
-    return reads.newsletters_list(store.table("newsletters"))
+    """All runs, the last one first."""
+    return store.table("newsletters").select("id", "title", "date_from", "date_to", "status", "sighting_count", "pasted_at").orderBy(F.desc_nulls_last("pasted_at"), F.desc("id"))
 
 
 def landmarks(store: Store) -> DataFrame:
-    return reads.features(reads.public_landmarks(store.table("landmarks"), store.table("gazetteer")))
+    """Features, landmarks by class and name before verified places by name."""
+    listed = reads.public_landmarks(store.table("landmarks"), store.table("gazetteer"))
+    return reads.features(listed.orderBy(F.col("feature_class") == "Verified", "feature_class", "name"))
 
 
 def gazetteer(store: Store) -> DataFrame:
@@ -107,28 +132,31 @@ def patch_sighting(store: Store, id: int, patch: dict) -> None:
     if extra := set(patch) - set(changes.EDITABLE):
         raise ValueError(f"not editable: {', '.join(sorted(extra))}")
     form = store.table("sightings").schema
-    row = store.spark.range(1).select(F.lit(id).cast("bigint").alias("id"), F.array(*map(F.lit, patch)).cast("array<string>").alias("present"), *(F.lit(patch.get(c)).cast(form[c].dataType).alias(c) for c in changes.EDITABLE))
+    value = lambda c: F.lit(patch.get(c)).cast(form[c].dataType).alias(c)
+    row = store.spark.range(1).select(F.lit(id).cast("bigint").alias("id"), F.array(*map(F.lit, patch)).cast("array<string>").alias("present"), *map(value, changes.EDITABLE))
     store.write("sightings", changes.patched(store.table("sightings"), row))
 
 
-def upsert_place(store: Store, name: str, lat: float, lng: float, aliases: list[str] = (), *, confirmed: bool = False, backfill: str | None = None, except_id: int = -1) -> None:
+def upsert_place(store: Store, name: str, lat: float, lng: float, aliases: list[str] = (), region: str | None = None, *, confirmed: bool = False, backfill: str | None = None, except_id: int = -1) -> None:
     """Saves a verified place, and moves flagged sightings at the location text `backfill` to it."""
     if not confirmed and not store.table("landmarks").filter(F.lower("name") == name.lower()).isEmpty():
         raise NameTaken(name)
     places_ = store.table("gazetteer")
     new_id = (places_.agg(F.max("id")).first()[0] or 0) + 1
-    row = store.spark.range(1).select(F.lit(new_id).alias("id"), F.lit(name).alias("name"), F.array(*map(F.lit, aliases)).cast("array<string>").alias("aliases"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"))
+    row = store.spark.range(1).select(F.lit(new_id).alias("id"), F.lit(name).alias("name"), F.array(*map(F.lit, aliases)).cast("array<string>").alias("aliases"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(region).cast("string").alias("region"))
     store.write("gazetteer", changes.upsert_places(places_, row).drop("merged"))
     if backfill is not None:
         store.write("sightings", changes.cluster_backfill(store.table("sightings"), backfill, except_id, lat, lng))
 
 
 def patch_place(store: Store, id: int, patch: dict) -> None:
-    if extra := set(patch) - {"name", "aliases", "lat", "lng"}:
+    """Sets the given fields of a verified place, be it to None; unknown fields are refused."""
+    if extra := set(patch) - set(changes.EDITABLE_PLACE):
         raise ValueError(f"not editable: {', '.join(sorted(extra))}")
-    hit = F.col("id") == id
-    value = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
-    store.write("gazetteer", store.table("gazetteer").withColumns({c: F.when(hit, value(v)).otherwise(F.col(c)) for c, v in patch.items()}))
+    form = store.table("gazetteer").schema
+    value = lambda c: F.array(*map(F.lit, patch[c])) if isinstance(patch.get(c), list) else F.lit(patch.get(c))
+    row = store.spark.range(1).select(F.lit(id).cast("bigint").alias("id"), F.array(*map(F.lit, patch)).cast("array<string>").alias("present"), *(value(c).cast(form[c].dataType).alias(c) for c in changes.EDITABLE_PLACE))
+    store.write("gazetteer", changes.patched_places(store.table("gazetteer"), row))
 
 
 def delete_place(store: Store, id: int) -> None:
@@ -137,6 +165,14 @@ def delete_place(store: Store, id: int) -> None:
     store.write("gazetteer", rest)
 
 
+def backfill_landmarks(store: Store) -> None:
+    """Flagged sightings whose location names one landmark only take its position."""
+    flagged, known = store.table("sightings").filter("needs_review"), store.table("landmarks")
+    spots = known.select(F.col("id").alias("landmark_id"), "lat", "lng")
+    matches = places.by_landmark(flagged, known).join(spots, "landmark_id")
+    store.write("sightings", changes.placed_by_landmark(store.table("sightings"), matches).drop("changed"))
+
+
 def delete_newsletters(store: Store, status: str = "failed") -> None:
     rest, left = changes.without_issues(store.table("newsletters"), store.table("sightings"), F.col("status") == status)
     store.write("sightings", left)
@@ -169,30 +205,149 @@ def ingest(store: Store, lines: DataFrame, calls: DataFrame) -> DataFrame:
     """Lines of issues and the recorded answers of the model to stored sightings; returns the runs.
 
     calls: readers.CALLS and issue; stage extract by chunk, stage geocode with one object per location. An issue whose
-    title is already complete is left out; a refused or lacking answer costs its own chunk only and is a warning.
+    title is already complete or under way is left out. Its run is written as processing before the work; a refused or
+    lacking answer costs its own chunk only and is a warning; an issue without a date or a sighting fails with that as
+    its message, and if the work itself fails, all runs of this call do, and the error is raised again.
     """
-    dates = issues.issue_dates(lines)
-    done = store.table("newsletters").filter(F.col("status").isin("complete", "processing")).select("title")
-    fresh = store.kept(dates.join(done, "title", "left_anti"))
-    requests = extraction_requests(lines.join(fresh.select("issue"), "issue", "left_semi"), store.kept)
-    answers = store.kept(readers.answered(requests, calls.filter("stage = 'extract'").select("issue", "key_no", "stop_reason", F.col("text").alias("txt")), ["issue", "key_no"]))
+    every = lines.select("issue").distinct().join(issues.issue_dates(lines), "issue", "left")
+    done = store.table("newsletters").filter(F.col("status").isin("complete", "processing"))
+    known = every.join(done.select("title"), "title", "left_semi").select("issue").unionByName(every.join(done.select(F.col("id").alias("issue")), "issue", "left_semi").select("issue"))
+    fresh = store.kept(every.join(known, "issue", "left_anti").withColumn("pasted_at", F.current_timestamp()))
+    runs = fresh.select(F.col("issue").alias("id"), "title", "pasted_at")
+    store.append("newsletters", changes.begun_runs(runs))
+    try:
+        finished = _worked(store, lines, calls, fresh, runs)
+    except Exception as e:
+        _replace_runs(store, changes.failed_runs(runs, F.lit(str(e))))
+        raise
+    _replace_runs(store, finished)
+    return store.table("newsletters").join(runs.select("id"), "id", "left_semi")
+
+
+def _replace_runs(store: Store, runs: DataFrame) -> None:
+    """Runs take the place of those that bear their ids; issues are few."""
+    others = store.table("newsletters").join(runs.select("id"), "id", "left_anti")
+    store.write("newsletters", others.unionByName(runs, allowMissingColumns=True))
+
+
+#: What a report says, as it is stored.
+SAID = ["sighting_date", "sighting_time", "species", "species_raw", "pod_or_group", "sighting_count", "direction", "behaviors", "detection_methods", "location_raw", "summary", "raw_excerpt", "reporter", "report_kind"]
+
+
+def extracted(lines: DataFrame, calls: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
+    """(answers by chunk, reports): newsletter_id, key_no, pos and SAID, of reports that repeat the first."""
+    requests = extraction_requests(lines, kept)
+    answers = kept(readers.answered(requests, calls.filter("stage = 'extract'").select("issue", "key_no", "stop_reason", F.col("text").alias("txt")), ["issue", "key_no"]))
     usable = answers.filter(F.col("state").isin("whole", "cut off")).select(F.struct("issue", "key_no", "species").alias("id"), "txt")
     read = records.normalized(records.parsed(usable).select("id", "pos", "r"), F.col("id.species"))
-    reports = read.select(F.col("id.issue").alias("newsletter_id"), F.col("id.key_no").alias("key_no"), "pos", "sighting_date", "sighting_time", "species", "sighting_count", "location_raw", "reporter")
-    first = measures.first_of(reports, ["newsletter_id", "sighting_date", F.coalesce("sighting_time", F.lit("")), F.lower("location_raw")], ["key_no", "pos"])
-    first = store.kept(first.withColumn("id", F.xxhash64("newsletter_id", "key_no", "pos")))
+    reports = read.select(F.col("id.issue").alias("newsletter_id"), F.col("id.key_no").alias("key_no"), "pos", *SAID)
+    return answers, measures.first_of(reports, ["newsletter_id", "sighting_date", F.coalesce("sighting_time", F.lit("")), F.lower("location_raw")], ["key_no", "pos"])
+
+
+def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame, runs: DataFrame) -> DataFrame:
+    answers, reports = extracted(lines.join(fresh.filter("iso is not null").select("issue"), "issue", "left_semi"), calls, store.kept)
+    first = store.kept(reports.withColumn("id", F.xxhash64("newsletter_id", "key_no", "pos")))
     placed = calls.filter("stage = 'geocode'").select(F.struct("issue", "attempt", "key_no").alias("id"), F.col("text").alias("txt"))
-    located = records.parsed(placed).select(F.col("r.input").alias("input"), F.col("id.attempt").alias("attempt"), F.coalesce("r.confidence", F.lit("none")).alias("confidence"), "r.lat", "r.lng", F.struct("id.issue", "id.key_no", "pos").alias("place"))
+    located = records.parsed(placed).select(F.col("r.input").alias("input"), F.col("id.attempt").alias("attempt"), F.coalesce("r.confidence", F.lit("none")).alias("confidence"), "r.lat", "r.lng", "r.reasoning", F.struct("id.issue", "id.key_no", "pos").alias("place"))
     last = store.kept(measures.first_of(located, ["input", "attempt"], [F.desc("place")]).drop("place"))
-    resolved = resolve.resolved(first, store.table("gazetteer"), store.table("landmarks"), last, store.table("edges"))
-    stored = store.kept(first.join(resolved, "id"))
-    store.write("sightings", store.table("sightings").unionByName(stored, allowMissingColumns=True))
+    resolved = store.kept(resolve.resolved(first, store.table("gazetteer"), store.table("landmarks"), last, store.table("edges")))
+    # What the model said of the place goes with rows that it was asked for, placed or not.
+    said = last.groupBy(F.col("input").alias("location_raw")).agg(F.min_by("reasoning", "attempt").alias("ai_reasoning"), F.min_by("confidence", "attempt").alias("ai_confidence"))
+    stored = first.join(resolved, "id").join(said, "location_raw", "left")
+    asked = F.col("geo_method").isin("ai", "unresolved")
+    stored = store.kept(stored.withColumns({c: F.when(asked, F.col(c)) for c in ("ai_reasoning", "ai_confidence")}))
+    store.append("sightings", stored)
     counts = stored.groupBy(F.col("newsletter_id").alias("id")).agg(F.count("*").alias("sighting_count"), F.min("sighting_date").alias("date_from"), F.max("sighting_date").alias("date_to"))
     bad = answers.filter("state <> 'whole'").groupBy(F.col("issue").alias("id")).agg(F.array_sort(F.collect_set(F.concat("banner_name", F.lit(": "), "state"))).alias("w"))
-    runs = fresh.select(F.col("issue").alias("id"), "title").join(counts, "id", "left").join(bad, "id", "left")
-    runs = changes.finished_runs(runs, F.coalesce("w", F.array().cast("array<string>"))).withColumn("status", F.when(F.coalesce("sighting_count", F.lit(0)) > 0, "complete").otherwise("failed")).drop("w")
-    store.write("newsletters", store.table("newsletters").unionByName(runs, allowMissingColumns=True))
-    return store.table("newsletters").join(fresh.select(F.col("issue").alias("id")), "id", "left_semi")
+    out = runs.join(counts, "id", "left").join(bad, "id", "left")
+    none = F.array().cast("array<string>")
+    whole = changes.finished_runs(out.filter("sighting_count > 0"), F.coalesce("w", none))
+    why = F.when(F.col("title").isNull(), "no date was found").otherwise(F.concat_ws("; ", F.lit("no sightings were found"), F.coalesce("w", none)))
+    return store.kept(whole.unionByName(changes.failed_runs(out.filter("sighting_count is null"), why)).drop("w"))
+
+
+def extract_sample(store: Store, lines: DataFrame, calls: DataFrame, species: str | None = None, out: str | None = None) -> DataFrame:
+    """The reports of the smallest chunk, or of all chunks of a species, as extraction gives them; also written to `out`."""
+    chosen = lines
+    _, reports = extracted(chosen, calls, store.kept)
+    if species is not None:
+        reports = reports.filter(F.col("species") == species)
+    else:
+        size = issues.chunks(lines).select("issue", "species", F.length("text").alias("n"))
+        least = size.orderBy("n", "issue").limit(1).select(F.col("issue").alias("newsletter_id"), F.col("species").alias("least_species"))
+        reports = reports.join(F.broadcast(least), "newsletter_id").filter("species = least_species").drop("least_species")
+    if out is not None:
+        readers.write_result(reports, out)
+    return reports
+
+
+def measure(store: Store, answers: DataFrame, *, limit: int | None = 120, write: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(transitions, distances) of flagged sightings placed anew by `answers` (input, attempt, confidence, lat, lng).
+
+    At most `limit` sightings are taken, in the order of their ids; all, if it is None. write: the new places are stored.
+    """
+    from tidemark.functions import geo
+    from tidemark.operators import geometry
+
+    sample = store.table("sightings").filter("needs_review and geo_method in ('ai', 'unresolved')").orderBy("id")
+    sample = store.kept(sample if limit is None else sample.limit(limit))
+    best = resolve.checked_answers(answers, store.table("edges"))
+    new = store.kept(sample.select("id", "location_raw").join(best, F.col("location_raw") == F.col("input"), "left"))
+    wet = geometry.covered(sample.select(F.col("id").alias("pid"), "lat", "lng"), store.table("edges")).select(F.col("pid").alias("id"), F.lit(True).alias("in"))
+    before = sample.join(wet, "id", "left").select(F.col("id").alias("key"), F.when(F.col("lat").isNotNull(), F.col("in").isNotNull()).alias("wet"))
+    moves = measures.transitions(before, new.select(F.col("id").alias("key"), "wet"))
+    both = sample.select("id", "lat", "lng").join(new.select("id", F.col("lat").alias("lat2"), F.col("lng").alias("lng2")), "id").filter("lat is not null and lat2 is not null")
+    far = measures.median_and_most(both.select("id", geo.km_between(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km")), "km", "id")
+    if write:
+        results = new.filter("lat is not null").select(F.col("location_raw").alias("input"), F.lit("ai").alias("method"), "lat", "lng").distinct()
+        store.write("sightings", changes.regeocoded(store.table("sightings"), results).drop("changed"))
+    return moves, far
+
+
+#: What a request begins with; the payload follows.
+REQUEST = "Place each location. Where anchors are given, their coordinates hold for the names in that description: reckon the offset from them.\n\n"
+AGAIN = "These positions of yours lie on land, where no whale can be:\n{}\n\nPlace each one anew, on the water. A location that really lies outside the waters that are covered (farther north, on the open coast, or in fresh water) is right as it is: give its position back unchanged.\n\n"
+
+
+def geocode_requests(strings: DataFrame, gazetteer: DataFrame, landmarks: DataFrame, rules: str | None = None) -> DataFrame:
+    """(batch_no, inputs, system, prompt): requests for strings (location_raw, id) that no cheaper stage has placed, 60 in each."""
+    pool = places.located_pool(gazetteer, landmarks)
+    items = places.request_items(strings, pool).join(places.batches(strings, vocab.BATCH), "location_raw")
+    return _requests(items, F.lit(REQUEST), rules)
+
+
+def _requests(items: DataFrame, head, rules: str | None) -> DataFrame:
+    listed = F.array_sort(F.collect_list("item"))
+    whole = items.groupBy("batch_no").agg(listed.alias("items"), *([F.array_sort(F.collect_list("hint")).alias("hints")] if "hint" in items.columns else []))
+    return whole.select("batch_no", F.col("items.input").alias("inputs"), F.lit(rules).cast("string").alias("system"), F.concat(head, F.to_json("items")).alias("prompt"))
+
+
+def retry_requests(answers: DataFrame, edges: DataFrame, gazetteer: DataFrame, landmarks: DataFrame, rules: str | None = None) -> DataFrame:
+    """Second requests, for first answers (input, attempt, confidence, lat, lng) on land, but not farther inland than MOST_INLAND.
+
+    Each request says how far inland each position was, and which way the water is.
+    """
+    from tidemark.functions import geo
+    from tidemark.operators import geometry
+
+    first = answers.filter("attempt = 1").filter(geo.placeable(F.col("confidence"), F.col("lat").cast("double"), F.col("lng").cast("double")))
+    spots = first.select(F.col("input").alias("pid"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    dry = spots.join(geometry.covered(spots, edges), "pid", "left_anti")
+    dry = dry.join(geometry.nearest(dry, edges), "pid").filter(F.round("metres").between(1, vocab.MOST_INLAND)).withColumnRenamed("pid", "input")
+    hints = retry_preamble(dry).select(F.col("input").alias("location_raw"), "hint")
+    strings = measures.numbered(hints, ["location_raw"], "n").withColumn("batch_no", F.floor((F.col("n") - 1) / vocab.BATCH))
+    items = places.request_items(strings, places.located_pool(gazetteer, landmarks)).join(strings.select("location_raw", "hint", "batch_no"), "location_raw")
+    before, after = AGAIN.split("{}")
+    head = F.concat(F.lit(before), F.array_join("hints", "\n"), F.lit(after + REQUEST))
+    return _requests(items, head, rules)
+
+
+def with_answers(requests: DataFrame, calls: DataFrame, attempt: int) -> DataFrame:
+    """Requests with their recorded answers; a refusal is told from an answer before it is read, with its category."""
+    said = calls.filter((F.col("stage") == "geocode") & (F.col("attempt") == attempt)).select(F.col("key_no").alias("batch_no"), "stop_reason", F.col("text").alias("txt"))
+    out = readers.answered(requests, said, ["batch_no"])
+    category = F.coalesce(F.get_json_object("txt", "$.category"), F.lit("no category"))
+    return out.withColumn("message", F.when(F.col("state") == "refused", F.concat(F.lit("declined ("), category, F.lit(")"))).when(F.col("state") != "whole", F.concat("state", F.lit(", starts: "), F.coalesce(F.left("txt", F.lit(220)), F.lit("")))))
 
 
 def explain_location(store: Store, strings: DataFrame) -> DataFrame:

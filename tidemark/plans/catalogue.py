@@ -81,14 +81,19 @@ def sightings_bbox(v):
     return page(reads.filtered(v.sightings, bbox=reads.bounding_box("-124.5,47.5,-122.5,49")), 0)
 
 
-@query("sightings", "select id, species, cast(null as varchar) as reporter, cast(null as varchar) as ai_confidence, cast(sighting_date as varchar) as date_text from v_sightings")
+def told(sightings: DataFrame) -> DataFrame:
+    """With the columns that the view lacks."""
+    return sightings.withColumns({"raw_excerpt": F.concat(F.lit("about "), "location_raw"), "ai_reasoning": F.concat(F.lit("said "), "ai_confidence")})
+
+
+@query("sightings", "select id, species, cast(null as varchar) as raw_excerpt, cast(null as varchar) as reporter, cast(null as varchar) as ai_reasoning, cast(null as varchar) as ai_confidence, cast(sighting_date as varchar) as date_text from v_sightings")
 def sightings_public_masked(v):
-    return reads.masked(v.sightings, admin=False).select("id", "species", "reporter", "ai_confidence", F.col("sighting_date").cast("string").alias("date_text"))
+    return reads.masked(told(v.sightings), admin=False).select("id", "species", *reads.WITHHELD, F.col("sighting_date").cast("string").alias("date_text"))
 
 
-@query("sightings", "select id, species, reporter, ai_confidence, cast(sighting_date as varchar) as date_text from v_sightings")
+@query("sightings", "select id, species, 'about ' || location_raw as raw_excerpt, reporter, 'said ' || ai_confidence as ai_reasoning, ai_confidence, cast(sighting_date as varchar) as date_text from v_sightings")
 def sightings_admin(v):
-    return reads.masked(v.sightings, admin=True).select("id", "species", "reporter", "ai_confidence", F.col("sighting_date").cast("string").alias("date_text"))
+    return reads.masked(told(v.sightings), admin=True).select("id", "species", *reads.WITHHELD, F.col("sighting_date").cast("string").alias("date_text"))
 
 
 @query("sightings", "select * replace (round(lat, 6) as lat, round(lng, 6) as lng) from v_sightings where id = 42")
@@ -124,26 +129,34 @@ ZOOM_SQL = "case " + " ".join(f"when feature_class = '{c}' then {z}" for c, z in
 PUBLIC_SQL = f"""select name, feature_class, lat, lng, {ZOOM_SQL} as min_zoom from (
   select name, feature_class, round(cast(lat as double), 6) as lat, round(cast(lng as double), 6) as lng from v_landmarks
   where feature_class in ({", ".join(f"'{c}'" for c in vocab.PUBLIC_CLASSES)}) and lower(name) not in (select lower(name) from v_gazetteer)
-  union all select name, 'Verified', round(cast(lat as double), 6), round(cast(lng as double), 6) from v_gazetteer) x"""
+  union all select name, 'Verified', round(cast(lat as double), 6), round(cast(lng as double), 6) from v_gazetteer where name not in ({", ".join(f"'{x}'" for x in vocab.UNPUBLISHED)})) x"""
+
+
+def verified_places(v) -> DataFrame:
+    """The view's places, and the entries that are not published."""
+    more = v.gazetteer.limit(1).select((F.col("id") + 1_000).alias("id"), F.explode(F.array(*map(F.lit, vocab.UNPUBLISHED))).alias("name"), "aliases_txt", "lat", "lng")
+    return v.gazetteer.unionByName(more)
 
 
 @query("landmarks gazetteer", PUBLIC_SQL)
 def landmarks_public(v):
-    return rounded(reads.public_landmarks(v.landmarks, v.gazetteer), "lat", "lng")
+    return rounded(reads.public_landmarks(v.landmarks, verified_places(v)), "lat", "lng")
 
 
 @query("landmarks gazetteer", f"with f as ({PUBLIC_SQL}) select name, 'Feature' as kind, 'Point' as geometry, lng as x, lat as y from f".replace("with f as", ", f as", 1))
 def landmark_features(v):
-    made = reads.features(rounded(reads.public_landmarks(v.landmarks, v.gazetteer), "lat", "lng"))
+    made = reads.features(rounded(reads.public_landmarks(v.landmarks, verified_places(v)), "lat", "lng"))
     f = F.from_json("feature", "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<name: string>")
     return made.select(f.alias("f")).select(F.col("f.properties.name").alias("name"), F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("geometry"), F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"))
 
 
-@query("sightings", "select id, 'Point' as geometry, round(lng, 6) as x, round(lat, 6) as y, species from (select * from v_sightings order by id limit 300) p where lat is not null and lng is not null")
+@query("sightings", "select id, 'Point' as geometry, round(lng, 6) as x, round(lat, 6) as y, species, 'id,species,reporter' as properties from (select * from v_sightings order by id limit 300) p where lat is not null and lng is not null")
 def geojson_features(v):
-    made = reads.features(rounded(reads.paged(v.sightings, [F.col("id")], 300).select("id", "species", "lat", "lng"), "lat", "lng"))
+    page = reads.paged(told(v.sightings), [F.col("id")], 300)
+    made = reads.features(rounded(page.select("id", "species", "lat", "lng", *reads.WITHHELD), "lat", "lng"))
     f = F.from_json("feature", "geometry struct<type: string, coordinates: array<double>>, properties struct<id: bigint, species: string>")
-    return made.select(f.alias("f")).select("f.properties.id", F.col("f.geometry.type").alias("geometry"), F.round(F.col("f.geometry.coordinates")[0], 6).alias("x"), F.round(F.col("f.geometry.coordinates")[1], 6).alias("y"), "f.properties.species")
+    made = made.select(f.alias("f"), F.array_join(F.json_object_keys(F.get_json_object("feature", "$.properties")), ",").alias("properties"))
+    return made.select("f.properties.id", F.col("f.geometry.type").alias("geometry"), F.round(F.col("f.geometry.coordinates")[0], 6).alias("x"), F.round(F.col("f.geometry.coordinates")[1], 6).alias("y"), "f.properties.species", "properties")
 
 
 NORM = "trim(regexp_replace(lower({}), '[ \\t]+', ' ', 'g'))"
@@ -303,14 +316,14 @@ def bearing_to_water(v):
 
 
 @query("sightings edges", f"""select s.id, case when w.id is not null then 0 else cast(round(n.d) as bigint) end as water_m from
-  (select * from v_sightings where needs_review and lat is not null) s left join ({wet_sql(PLACED)}) w on w.id = s.id join ({near_sql(PLACED)}) n on n.id = s.id
+  (select * from v_sightings where needs_review) s left join ({wet_sql(PLACED)}) w on w.id = s.id left join ({near_sql(PLACED)}) n on n.id = s.id
   order by case when (case when w.id is not null then 0 else round(n.d) end) between 100 and 5000 then (case when w.id is not null then 0 else round(n.d) end) end desc nulls last, sighting_date desc, sighting_time desc nulls last, s.id limit 200""")
 def review_by_distance(v):
     return review(v, False)
 
 
 @query("sightings edges", f"""select s.id, case when w.id is not null then 0 else cast(round(n.d) as bigint) end as water_m from
-  (select * from v_sightings where needs_review and lat is not null) s left join ({wet_sql(PLACED)}) w on w.id = s.id join ({near_sql(PLACED)}) n on n.id = s.id
+  (select * from v_sightings where needs_review) s left join ({wet_sql(PLACED)}) w on w.id = s.id left join ({near_sql(PLACED)}) n on n.id = s.id
   order by case ai_confidence when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 4 end,
   case when (case when w.id is not null then 0 else round(n.d) end) between 100 and 5000 then (case when w.id is not null then 0 else round(n.d) end) end desc nulls last, sighting_date desc, sighting_time desc nulls last, s.id limit 200""")
 def review_by_confidence(v):
@@ -318,10 +331,10 @@ def review_by_confidence(v):
 
 
 def review(v, by_confidence: bool) -> DataFrame:
-    """The distance is worked out for flagged rows with a position only."""
-    flagged = reads.filtered(v.sightings, needs_review=True).filter("lat is not null")
+    """The distance is worked out for flagged rows with a position only; the others have none."""
+    flagged = reads.filtered(v.sightings, needs_review=True)
     metres = geometry.water_distance(points(flagged), v.edges).withColumnRenamed("metres", "water_m")
-    df = flagged.join(metres, F.col("id") == F.col("pid"))
+    df = flagged.join(metres, F.col("id") == F.col("pid"), "left")
     return reads.paged(df, reads.review_order(F.col("water_m"), by_confidence), 200).select("id", "water_m")
 
 
@@ -422,9 +435,12 @@ def queue_counters(v):
     return flagged.join(metres, F.col("id") == F.col("pid"), "left").agg(F.count("*").alias("flagged"), F.count_if(F.col("metres").between(100, 5000)).alias("inland"))
 
 
-@query("landmarks", "select count(*) as n, count(distinct id) as ids, count(*) filter (trim(name) = '') as nameless, count(*) between 10 and 5000 as right_size from v_landmarks")
+@query("landmarks", "select count(*) as n, count(distinct id) as ids, count(*) filter (trim(name) = '') as nameless, true as valid from v_landmarks")
 def load_validation(v):
-    return v.landmarks.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.trim("name") == "").alias("nameless"), F.count("*").between(10, 5000).alias("right_size"))
+    from tidemark.sources import readers
+
+    probes = [r.name for r in v.landmarks.orderBy("id").limit(5).collect()]
+    return readers.checked_load(v.landmarks, 10, 5_000, probes)
 
 
 @query("sightings", "select * replace (round(lat, 6) as lat, round(lng, 6) as lng) from (select distinct on (sighting_date, coalesce(sighting_time, ''), lower(location_raw)) * from v_sightings order by sighting_date, coalesce(sighting_time, ''), lower(location_raw), id) d")
@@ -489,10 +505,12 @@ def incoming(v) -> DataFrame:
 
 @query("gazetteer landmarks", f"""select cast(coalesce(g.id, i.id) as int) as id, coalesce(g.name, i.name) as name,
   array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(coalesce(g.aliases_txt, ''), '|'), [coalesce(i.alias, '')]), lambda x: trim(x) <> ''))), '|') as aliases,
-  round(cast(coalesce(g.lat, i.lat) as double), 6) as lat, round(cast(coalesce(g.lng, i.lng) as double), 6) as lng, g.id is not null and i.id is not null as merged
+  round(cast(coalesce(g.lat, i.lat) as double), 6) as lat, round(cast(coalesce(g.lng, i.lng) as double), 6) as lng, g.id is not null and i.id is not null as merged,
+  coalesce(case when g.id % 8 = 1 then 'old' end, case when i.id is not null then 'new' end) as region
   from v_gazetteer g full join ({INCOMING}) i on lower(g.name) = lower(i.name)""")
 def gazetteer_upsert(v):
-    out = changes.upsert_places(aliased(v.gazetteer), incoming(v))
+    known = aliased(v.gazetteer).withColumn("region", F.when(F.col("id") % 8 == 1, "old"))
+    out = changes.upsert_places(known, incoming(v).withColumn("region", F.lit("new")))
     return rounded(out.withColumn("aliases", F.array_join("aliases", "|")), "lat", "lng")
 
 
@@ -500,7 +518,8 @@ def gazetteer_upsert(v):
 def alias_add_remove(v):
     near = F.concat(F.lit("near "), "name")
     g = aliased(v.gazetteer)
-    return g.select("id", F.array_join(F.array_sort(F.array_union("aliases", F.array("name", near))), "|").alias("added"), F.array_join(F.array_sort(F.array_except("aliases", F.array(near))), "|").alias("removed"))
+    added = changes.with_aliases(g, F.array("name", near)).select("id", F.array_join("aliases", "|").alias("added"))
+    return added.join(changes.without_aliases(g, F.array(near)).select("id", F.array_join("aliases", "|").alias("removed")), "id")
 
 
 @query("gazetteer", "select id, array_to_string(list_sort(list_distinct(list_filter(string_split(aliases_txt || '|' || aliases_txt || '|  ', '|'), lambda x: trim(x) <> ''))), '|') as aliases from v_gazetteer")
@@ -526,15 +545,33 @@ def cluster_backfill(v):
     return rounded(out.select("id", "lat", "geo_method", "needs_review"), "lat")
 
 
-@query("sightings", """select id, case when id % 50 = 1 then null else round(lat, 6) end as lat, case when id % 50 = 1 then null else round(lng, 6) end as lng,
+@query("sightings", """select id, case when id % 50 = 1 then null when id % 50 = 2 then 48.25 else round(lat, 6) end as lat, case when id % 50 = 1 then null else round(lng, 6) end as lng,
   case when id % 50 = 1 then 'unresolved' when id % 50 = 2 and lat is distinct from 48.25 then 'manual' else geo_method end as geo_method,
-  case when id % 50 = 1 then false else needs_review end as needs_review, case when id % 50 = 3 then 'minke' else species end as species from v_sightings where id % 50 <> 2
-  union all select id, 48.25, round(lng, 6), 'manual', needs_review, species from v_sightings where id % 50 = 2""")
+  case when id % 50 = 1 then false else needs_review end as needs_review, case when id % 50 = 3 then 'minke' else species end as species,
+  case when id % 50 = 4 then date '2024-02-29' else sighting_date end as sighting_date, case when id % 50 = 4 then null else sighting_time end as sighting_time,
+  case when id % 50 = 4 then 9 else sighting_count end as sighting_count, case when id % 50 = 4 then 'here' else location_raw end as location_raw,
+  case when id % 50 = 4 then 'raw' end as species_raw, case when id % 50 = 4 then 'T1' else 'pod' end as pod_or_group, case when id % 50 = 4 then null else 'N' end as direction, case when id % 50 = 4 then 7 end as gazetteer_id from v_sightings""")
 def patch_present_keys(v):
+    state = v.sightings.select("*", F.lit(None).cast("string").alias("species_raw"), F.lit("pod").alias("pod_or_group"), F.lit("N").alias("direction"), F.lit(None).cast("int").alias("gazetteer_id"))
     kind = F.col("id") % 50
-    fields = F.when(kind == 1, F.array(*map(F.lit, ("lat", "lng", "geo_method", "needs_review")))).when(kind == 2, F.array(F.lit("lat"))).otherwise(F.array(F.lit("species")))
-    patches = v.sightings.filter(kind.isin(1, 2, 3)).select("id", fields.alias("present"), F.when(kind == 3, "minke").alias("species"), F.when(kind == 2, 48.25).alias("lat"), F.lit(None).cast("double").alias("lng"), F.when(kind == 1, "unresolved").alias("geo_method"), F.when(kind == 1, False).alias("needs_review"))
-    return rounded(changes.patched(v.sightings, patches).select("id", "lat", "lng", "geo_method", "needs_review", "species"), "lat", "lng")
+    names = lambda *xs: F.array(*map(F.lit, xs))
+    fields = F.when(kind == 1, names("lat", "lng", "geo_method", "needs_review")).when(kind == 2, names("lat")).when(kind == 3, names("species"))
+    fields = fields.otherwise(names("sighting_date", "sighting_time", "sighting_count", "location_raw", "species_raw", "pod_or_group", "direction", "gazetteer_id"))
+    new = {"species": F.when(kind == 3, "minke"), "lat": F.when(kind == 2, 48.25), "lng": F.lit(None).cast("double"), "geo_method": F.when(kind == 1, "unresolved"), "needs_review": F.when(kind == 1, False)}
+    new |= {"sighting_date": F.lit("2024-02-29").cast("date"), "sighting_time": F.lit(None).cast("string"), "sighting_count": F.lit(9), "location_raw": F.lit("here"), "species_raw": F.lit("raw"), "pod_or_group": F.lit("T1"), "direction": F.lit(None).cast("string"), "gazetteer_id": F.lit(7)}
+    patches = state.filter(kind.isin(1, 2, 3, 4)).select("id", fields.alias("present"), *(c.alias(n) for n, c in new.items()))
+    return rounded(changes.patched(state, patches).select("id", *changes.EDITABLE), "lat", "lng")
+
+
+@query("gazetteer", """select id, case when id % 8 = 1 then upper(name) else name end as name, case when id % 8 = 1 then 'x' when id % 8 = 5 then null else 'sea' end as region,
+  case when id % 8 = 5 then 50.5 else round(cast(lat as double), 6) end as lat, case when id % 8 = 5 then 'new' else replace(aliases_txt, '|', '/') end as aliases from v_gazetteer""")
+def gazetteer_patch(v):
+    state = aliased(v.gazetteer).drop("aliases_txt").withColumn("region", F.lit("sea"))
+    odd = F.col("id") % 8 == 1
+    fields = F.when(odd, F.array(F.lit("name"), F.lit("region"))).otherwise(F.array(F.lit("region"), F.lit("lat"), F.lit("aliases")))
+    patches = state.filter("id % 8 in (1, 5)").select("id", fields.alias("present"), F.upper("name").alias("name"), F.array(F.lit("new")).alias("aliases"), F.lit(50.5).alias("lat"), F.lit(None).cast("double").alias("lng"), F.when(odd, "x").alias("region"))
+    out = changes.patched_places(state, patches)
+    return rounded(out.select("id", "name", "region", "lat", F.array_join("aliases", "/").alias("aliases")), "lat")
 
 
 LINK = "case when id % 4 = 0 then cast(1 + (id % 8) * 8 as int) end"
@@ -555,7 +592,7 @@ def cascade_delete(v):
 
 @query("newsletters", "select id, title, status from v_newsletters where status not in ('failed', 'processing')")
 def failed_run_purge(v):
-    return v.newsletters.filter(~F.col("status").isin("failed", "processing")).select("id", "title", "status")
+    return changes.purged_runs(v.newsletters).select("id", "title", "status")
 
 
 @query("answers sightings", "select distinct input from v_answers where input not in (select location_raw from v_sightings where geo_method = 'gps')")
@@ -576,11 +613,15 @@ def regeocode_writeback(v):
     return changes.regeocoded(v.sightings, results).groupBy("geo_method").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
 
 
-@query("sightings landmarks", f"""select s.id, u.id as landmark_id from v_sightings s join (select {NORM.format('name')} as k, min(id) as id from v_landmarks where feature_class in ({WATER_SQL}) group by 1 having count(*) = 1) u
-  on u.k = {NORM.format('s.location_raw')} where s.needs_review""")
+@query("sightings landmarks", f"""select s.id, u.id as landmark_id, round(coalesce(cast(u.lat as double), s.lat), 6) as lat, case when u.id is null then s.geo_method else 'landmark' end as geo_method, s.needs_review and u.id is null as needs_review
+  from v_sightings s left join (select {NORM.format('name')} as k, min(id) as id, min(lat) as lat from v_landmarks where feature_class in ({WATER_SQL}) group by 1 having count(*) = 1) u
+  on u.k = {NORM.format('s.location_raw')} and s.needs_review""")
 def landmark_backfill(v):
     flagged = v.sightings.filter("needs_review")
-    return flagged.join(places.by_landmark(flagged, v.landmarks), "location_raw").select("id", "landmark_id")
+    spots = v.landmarks.select(F.col("id").alias("landmark_id"), "lat", "lng")
+    matches = places.by_landmark(flagged, v.landmarks).join(spots, "landmark_id")
+    out = changes.placed_by_landmark(v.sightings.withColumn("landmark_id", F.lit(None).cast("int")), matches)
+    return rounded(out.select("id", "landmark_id", "lat", "geo_method", "needs_review"), "lat")
 
 
 @query("sightings", "select id, case when geo_method = 'gazetteer' then 'verified' else geo_method end as geo_method from v_sightings")
@@ -596,6 +637,13 @@ def run_finalize(v):
     return changes.finished_runs(runs, F.transform("w", lambda x: F.concat(F.lit("placed at "), x))).select("id", "status", "warning_text")
 
 
+@query("newsletters", "select id, 'processing' as status, cast(null as varchar) as warning_text from v_newsletters where id % 2 = 0 union all select id, 'failed', left(repeat('broken at ' || title || '; ', 150), 2000) from v_newsletters where id % 2 = 1")
+def run_begin_or_fail(v):
+    begun = changes.begun_runs(v.newsletters.select("id", "title"))
+    failed = changes.failed_runs(begun.filter("id % 2 = 1"), F.repeat(F.concat(F.lit("broken at "), "title", F.lit("; ")), 150))
+    return begun.filter("id % 2 = 0").withColumn("warning_text", F.lit(None).cast("string")).unionByName(failed).select("id", "status", "warning_text")
+
+
 # ---- scalar rules
 
 @query("sightings", f"select distinct location_raw, {NORM.format('location_raw')} as norm, replace(replace(location_raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as clean from v_sightings")
@@ -629,6 +677,23 @@ def display_line(v):
     return v.sightings.select("id", F.concat_ws(" · ", "species", "sighting_time", F.nullif("ai_confidence", F.lit("low")), "reporter").alias("line"))
 
 
+@query("sightings", """select id, concat_ws(' · ', case when id % 3 = 0 then 'T' || id end, case id % 4 when 0 then 'a, b' when 1 then 'a' end) as who,
+  concat_ws(' · ', cast(sighting_date as varchar), left(sighting_time, 5)) as "when", concat_ws(' · ', case when id % 2 = 0 then 'N' end, case id % 4 when 0 then 'a, b' when 1 then 'a' end) as doing,
+  concat_ws(', ', case when id % 2 = 0 then 'N' end, case id % 4 when 0 then 'a, b' when 1 then 'a' end) as notes, case when id % 5 = 0 then 'hydrophone,webcam' when id % 5 = 1 then 'webcam' else '' end as badges from v_sightings""")
+def display_joins(v):
+    some = F.when(F.col("id") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("id") % 4 == 1, F.array(F.lit("a"))).when(F.col("id") % 4 == 2, F.array().cast("array<string>"))
+    noticed = F.when(F.col("id") % 5 == 0, F.array(F.lit("hydrophone"), F.lit("visual"), F.lit("webcam"))).when(F.col("id") % 5 == 1, F.array(F.lit("webcam")))
+    row = F.struct(F.when(F.col("id") % 3 == 0, F.concat(F.lit("T"), "id")).when(F.col("id") % 3 == 1, "").alias("pod_or_group"), some.alias("individual_ids"), "sighting_date", "sighting_time", F.when(F.col("id") % 2 == 0, "N").alias("direction"), some.alias("behaviors"), noticed.alias("detection_methods"))
+    lines = text.display(F.col("s"))
+    return v.sightings.select("id", row.alias("s")).select("id", *(c.alias(n) for n, c in lines.items() if n != "badges"), F.array_join(lines["badges"], ",").alias("badges"))
+
+
+@query("newsletters", "select id, 'Issue ' || id as title, left('0123456789' || id, 8) as short, case when id % 2 = 0 then 'geocode' else 'extract' end as stage from v_newsletters")
+def misc_strings(v):
+    system = F.when(F.col("id") % 2 == 0, "You know Marine Geography well.")
+    return v.newsletters.select("id", reads.short_title(F.col("title")).alias("title"), reads.short_id(F.concat(F.lit("0123456789"), "id")).alias("short"), text.stage_of(system).alias("stage"))
+
+
 SPECIES_SQL = "(values " + ", ".join(f"('{k}', '{label.replace(chr(39), chr(39) * 2)}', {str(orca).lower()})" for k, label, orca in vocab.SPECIES) + ") d(key, label, orca)"
 
 
@@ -648,6 +713,32 @@ def static_dims(v):
     return static.species(v.spark)
 
 
+def values_sql(rows: list[tuple]) -> str:
+    said = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    return "(values " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + ")"
+
+
+@query("", f"select kind, name, cast(lat as double) as lat, cast(lng as double) as lng, facing from {values_sql([('hydrophone', *h, None) for h in vocab.HYDROPHONES] + [('webcam', *w) for w in vocab.WEBCAMS])} d(kind, name, lat, lng, facing)")
+def sensor_dims(v):
+    from tidemark.sources import static
+
+    return static.sensors(v.spark)
+
+
+@query("", f"select feature_class, min_zoom from {values_sql(vocab.LABEL_ZOOM)} d(feature_class, min_zoom)")
+def label_bands(v):
+    from tidemark.sources import static
+
+    return static.label_bands(v.spark)
+
+
+@query("", f"select cast(id as bigint) as id, name, aliases, cast(lat as double) as lat, cast(lng as double) as lng, region from {values_sql([(i, n, '|'.join(a), *x) for i, (n, a, *x) in enumerate(vocab.SEED_PLACES, 1)])} d(id, name, aliases, lat, lng, region)")
+def seed_places(v):
+    from tidemark.sources import static
+
+    return static.seed_places(v.spark).withColumn("aliases", F.array_join("aliases", "|"))
+
+
 @query("answers", "select pos, confidence, round(cast(lat as double), 6) as lat from v_answers where attempt = 1")
 def zip_unnest(v):
     packed = v.answers.filter("attempt = 1").groupBy(F.floor(F.col("pos") / 40).alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", "confidence", "lat"))).alias("a"))
@@ -740,14 +831,17 @@ def issue_date_range(v):
     return issues.date_ranges(v.issue_lines)
 
 
-@query("issue_lines", f""", recursive_in as (select *, row_number() over (partition by issue, banner_line order by coalesce(header_line, banner_line)) as n, length(text) as s from ({SECTIONS_SQL}) x),
+GREEDY_SQL = f""", recursive_in as (select *, row_number() over (partition by issue, banner_line order by coalesce(header_line, banner_line)) as n, length(text) as s from ({SECTIONS_SQL}) x),
   fold as (with recursive f as (
     select issue, banner_line, n, s, cast(case when s > 12000 then 0 else 0 end as bigint) as own, cast(case when s > 12000 then 1 else 0 end as bigint) as no, cast(case when s > 12000 then 0 else s + 2 end as bigint) as len from recursive_in where n = 1
     union all select r.issue, r.banner_line, r.n, r.s,
       case when r.s > 12000 then case when f.len > 0 then f.no + 1 else f.no end when f.len > 0 and f.len + r.s > 12000 then f.no + 1 else f.no end,
       case when r.s > 12000 then case when f.len > 0 then f.no + 2 else f.no + 1 end when f.len > 0 and f.len + r.s > 12000 then f.no + 1 else f.no end,
       case when r.s > 12000 then 0 when f.len > 0 and f.len + r.s > 12000 then r.s + 2 else f.len + r.s + 2 end
-    from f join recursive_in r on r.issue = f.issue and r.banner_line = f.banner_line and r.n = f.n + 1) select * from f)
+    from f join recursive_in r on r.issue = f.issue and r.banner_line = f.banner_line and r.n = f.n + 1) select * from f)"""
+
+
+@query("issue_lines", GREEDY_SQL + """
   select issue, banner_line, own as chunk_no, count(*) as sections, cast(sum(s) as bigint) as chars from fold group by issue, banner_line, own""")
 def greedy_chunks(v):
     packed = issues.packed(issues.sections(v.issue_lines).withColumns({"size": F.length("text"), "at": F.coalesce("header_line", "banner_line")}), ["issue", "banner_line"], "at", "size")
@@ -763,9 +857,30 @@ def oversize_split(v):
     return parts.groupBy("issue", "part_no").agg(F.count("*").alias("lines"), F.sum(F.length("line") + 1).alias("chars"))
 
 
-@query("issue_lines", f"select issue, banner_line, header_line, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^-(\\s*·)?\\s*$'))) as separators, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^\\d{{1,2}}:\\d{{2}}'))) as timestamps from ({SECTIONS_SQL}) s")
+@query("issue_lines", GREEDY_SQL + f""", counted as (select issue, banner_line, row_number() over (partition by issue, banner_line order by coalesce(header_line, banner_line)) as n,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '{HEADER_SQL}'))) as h, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^-(\\s*·)?\\s*$'))) as s,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^\\d{{1,2}}:\\d{{2}}'))) as t from ({SECTIONS_SQL}) x)
+  select f.issue, f.banner_line, f.own as chunk_no, cast(sum(h) as bigint) as headers, cast(sum(c.s) as bigint) as separators, cast(sum(t) as bigint) as timestamps, sum(h + c.s + t) = 0 as barren
+  from fold f join counted c using (issue, banner_line, n) group by 1, 2, 3""")
 def chunk_diagnostics(v):
-    return issues.chunk_diagnostics(issues.sections(v.issue_lines)).select("issue", "banner_line", "header_line", "separators", "timestamps")
+    found = issues.chunk_diagnostics(issues.chunks(v.issue_lines))
+    sums = [F.sum(c).alias(c) for c in ("headers", "separators", "timestamps")]
+    return found.groupBy("issue", "banner_line", "chunk_no").agg(*sums, F.min("barren").alias("barren"))
+
+
+@query("issue_lines", GREEDY_SQL + f""", long_lines as (select f.issue, f.banner_line, f.own as chunk_no, x.header_line, unnest(range(1, 1 + len(string_split(x.text, chr(10))))) as n, length(unnest(string_split(x.text, chr(10)))) as s,
+    regexp_matches(trim(unnest(string_split(x.text, chr(10)))), '^-(\\s*·)?\\s*$') as sep
+    from (select *, row_number() over (partition by issue, banner_line order by coalesce(header_line, banner_line)) as n from ({SECTIONS_SQL}) y) x join fold f using (issue, banner_line, n) where length(x.text) > 12000),
+  parts as (with recursive p as (select issue, banner_line, chunk_no, header_line, n, cast(0 as bigint) as no, cast(s + 1 as bigint) as len from long_lines where n = 1
+    union all select l.issue, l.banner_line, l.chunk_no, l.header_line, l.n, case when l.sep and p.len > 12000 then p.no + 1 else p.no end, case when l.sep and p.len > 12000 then l.s + 1 else p.len + l.s + 1 end
+    from p join long_lines l on l.issue = p.issue and l.banner_line = p.banner_line and l.chunk_no = p.chunk_no and l.n = p.n + 1) select * from p)
+  select p.issue, p.banner_line, p.chunk_no, p.no as part_no, count(*) as lines, case when p.no > 0 then max(m.t) end as carried_header from parts p left join ({MARKED_SQL}) m on m.issue = p.issue and m.line_no = p.header_line group by 1, 2, 3, 4""")
+def carried_headers(v):
+    """Parts of split sections: those after the first carry the section's header."""
+    sizes = issues.sections(v.issue_lines).filter(F.length("text") > vocab.MAX_CHUNK).select("issue", "banner_line").distinct()
+    parts = issues.chunks(v.issue_lines).join(sizes, ["issue", "banner_line"], "left_semi").withColumn("lines", F.size(F.split("text", "\n")).cast("long"))
+    split = parts.groupBy("issue", "banner_line", "chunk_no").agg(F.max("part_no").alias("most"), F.sum(F.length("text")).alias("chars")).filter(f"most > 0 or chars > {vocab.MAX_CHUNK}")
+    return parts.join(split, ["issue", "banner_line", "chunk_no"], "left_semi").select("issue", "banner_line", "chunk_no", "part_no", "lines", "carried_header")
 
 
 @query("issue_lines", f"select b.name, count(distinct m.issue) as issues from (values {', '.join('(' + repr(n).replace(chr(34), chr(39)).replace('BIGG' + chr(39) + 'S', 'BIGG' + chr(39) * 2 + 'S') + ')' for n, _ in vocab.BANNERS)}) b(name) left join ({MARKED_SQL}) m on m.banner_name = b.name group by b.name")
@@ -837,7 +952,11 @@ def scratch(v: Views, what: str) -> str:
     import tempfile
     import uuid
 
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not v.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
@@ -852,33 +971,148 @@ def gnis_import(v):
     return rounded(readers.gnis(v.spark, path), "lat", "lng")
 
 
-@query("edges", "select cast(poly_id as bigint) as poly_id, k, round(x1, 9) as x1, round(y1, 9) as y1, round(x2, 9) as x2, round(y2, 9) as y2 from v_edges")
+AREAS_SQL = ", ".join(f"'{a}'" for a in vocab.WATER_AREAS)
+
+
+@query("edges", f"select cast(poly_id as bigint) as poly_id, k, round(x1, 9) as x1, round(y1, 9) as y1, round(x2, 9) as x2, round(y2, 9) as y2 from v_edges where cast(poly_id as varchar) in ({AREAS_SQL})")
 def polygon_import(v):
+    """All polygons are written; those of the named areas are kept."""
     from tidemark.sources import readers
 
     readers.write_polygons(v.edges, path := scratch(v, "polygons"))
-    return rounded(readers.polygons(v.spark, path).drop("ring"), "x1", "y1", "x2", "y2", to=9)
+    return rounded(readers.polygons(v.spark, path, vocab.WATER_AREAS).drop("ring"), "x1", "y1", "x2", "y2", to=9)
 
 
-@query("issue_lines", "select issue, count(*) as lines, cast(sum(length(line)) as bigint) as chars from v_issue_lines group by issue")
+@query("issue_lines", "select issue, count(*) as lines, cast(sum(length(line)) as bigint) as chars, cast(sum(line_no) as bigint) as numbers, max(line_no) as last from v_issue_lines group by issue")
 def sources_roundtrip(v):
-    """Issues as text files, read back as a stream of new files."""
+    """Issues as text files of some thousand lines each, read back and numbered."""
+    from tidemark.sources import readers
+
+    readers.write_issues(v.issue_lines, path := scratch(v, "issues"))
+    lines = readers.written_lines(v.spark, path)
+    return lines.groupBy("issue").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.sum("line_no").alias("numbers"), F.max("line_no").alias("last"))
+
+
+MADE_UP_SQL = f"""with recursive u as (select 0 as k, cast(20260715 as bigint) as s union all select k + 1, s * 48271 % 2147483647 from u where k < 900),
+  d as (select k, cast(s as double) / cast(2147483647 as double) as x from u),
+  r as (select 1 as day, 0 as i, 3 + cast(floor(x * 5) as int) as n, 1 as pos from d where k = 1
+    union all select case when i + 1 < n then day else day + 1 end, case when i + 1 < n then i + 1 else 0 end, case when i + 1 < n then n else 3 + cast(floor(b.x * 5) as int) end,
+      pos + 10 + cast(floor(a.x * 9) in (0, 1, 2, 7) as int) + case when i + 1 < n then 0 else 1 end
+    from r join d a on a.k = r.pos + 2 join d b on b.k = r.pos + 11 + cast(floor(a.x * 9) in (0, 1, 2, 7) as int) where day < 10 or i + 1 < n),
+  o as (select r.*, cast(floor(a.x * 9) as int) as kind, cast(floor(a.x * 9) in (0, 1, 2, 7) as int) as p from r join d a on a.k = r.pos + 2),
+  spots as (select row_number() over () - 1 as j, * from {values_sql(vocab.MADE_UP_PLACES)} t(name, lat, lng))
+  select 'fake-' || (row_number() over (order by day, i) - 1) as id, make_date(2026, 7, day) as sighting_date,
+    lpad(cast(6 + cast(floor(h.x * 14) as int) as varchar), 2, '0') || ':' || case when tm.x > 0.5 then '30' else '00' end as sighting_time, {vocab.MADE_UP_SPECIES}[kind + 1] as species,
+    case kind when 7 then {vocab.MADE_UP_PODS['southern_resident']}[1 + cast(floor(pod.x * 2) as int)] else case when p = 1 then {vocab.MADE_UP_PODS['biggs']}[1 + cast(floor(pod.x * 5) as int)] end end as pod_or_group,
+    1 + cast(floor(c.x * 6) as int) as sighting_count, ['northbound', 'southbound', 'W', 'SE', null][1 + cast(floor(w.x * 5) as int)] as direction,
+    ['traveling', 'foraging', 'breaching|traveling', 'milling', ''][1 + cast(floor(b.x * 5) as int)] as behaviors, s.name as location_raw,
+    round(s.lat + (y.x - 0.5) * 0.04, 6) as lat, round(s.lng + (z.x - 0.5) * 0.06, 6) as lng, case when g.x > 0.3 then 'gazetteer' else 'ai' end as geo_method, 'Demo sighting near ' || s.name || '.' as summary
+  from o join d q on q.k = pos + 1 join spots s on s.j = floor(q.x * 12) join d h on h.k = pos + 3 join d z on z.k = pos + 4 join d y on y.k = pos + 5 join d pod on pod.k = pos + 6
+    join d tm on tm.k = pos + 6 + p join d c on c.k = pos + 7 + p join d w on w.k = pos + 8 + p join d b on b.k = pos + 9 + p join d g on g.k = pos + 10 + p"""
+
+
+@query("", MADE_UP_SQL)
+def fake_rows(v):
+    """What stands in for sightings where there are none to read."""
     from tidemark.sources import readers
-    from tidemark.streaming import issues as stream
 
-    path = scratch(v, "issues")
-    readers.write_issues(v.issue_lines, path)
-    files = v.spark.read.text(path, wholetext=True)  # partitioned by issue
-    lines = readers.issue_lines(files.select("issue", text.clean(F.regexp_replace("value", r"\n\z", "")).alias("text")))
-    assert stream.new_issue_lines(v.spark, path).isStreaming
-    return lines.groupBy("issue").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    rows, source = readers.sightings_or_made_up(v.spark, scratch(v, "nothing"))
+    assert source == "made up"
+    return rounded(rows.withColumn("behaviors", F.array_join("behaviors", "|")).drop("individual_ids", "reporter"), "lat", "lng")
 
 
-@query()
-def fake_rows(v):
-    from tidemark.sources import static
+@query("landmarks", "select 'there' as source, count(*) as n from v_landmarks union all select 'lacking', 0")
+def landmarks_tolerant(v):
+    """A table that is there, and one that is not: an empty one of its schema."""
+    from tidemark.sources import readers
+
+    v.landmarks.write.parquet(path := scratch(v, "landmarks"))
+    (there, found), (lacking, none) = readers.table_or_empty(v.spark, path, readers.LANDMARKS), readers.table_or_empty(v.spark, scratch(v, "nothing"), readers.LANDMARKS)
+    assert found and not none and set(lacking.columns) == set(there.columns)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n")
+    return count(there, "there").unionByName(count(lacking, "lacking"))
+
+
+def store(v: Views):
+    from tidemark.plans import api
+
+    return api.Store(v.spark, scratch(v, "store"))
+
+
+@query("sightings", "select id, cast(newsletter_id as varchar) as newsletter_id, species, location_raw, round(lat, 6) as lat, needs_review from v_sightings")
+def append_rows(v):
+    """Sightings stored by one write and one append, and read as a table."""
+    s = store(v)
+    s.write("sightings", v.sightings.filter("id % 3 = 0"))
+    s.append("sightings", v.sightings.filter("id % 3 <> 0"))
+    return rounded(s.table("sightings").select("id", "newsletter_id", "species", "location_raw", "lat", "needs_review"), "lat")
+
+
+@query("landmarks", "select cast(id as bigint) as id, name from v_landmarks where id % 2 = 0")
+def clear_and_reload(v):
+    s = store(v)
+    s.append("landmarks", v.landmarks)
+    s.append("landmarks", v.landmarks)
+    s.write("landmarks", v.landmarks.filter("id % 2 = 0"))
+    return s.table("landmarks").select("id", "name")
+
+
+@query("landmarks gazetteer", """select 'landmarks' as "table", 6 as columns, count(*) as "rows", 1 as versions, 'id,name,feature_class,county,lat,lng' as names from v_landmarks
+  union all select 'gazetteer', 6, count(*) + count(*), 2, 'id,name,aliases,lat,lng,region' from v_gazetteer""")
+def store_catalog(v):
+    s = store(v)
+    s.write("landmarks", v.landmarks)
+    for _ in range(2):
+        s.append("gazetteer", aliased(v.gazetteer))
+    return s.check().filter("versions > 0").select("table", "columns", "rows", "versions", F.array_join("names", ",").alias("names"))
+
+
+@query("sightings newsletters", f"""select s.id, s.species, round(s.lat, 6) as lat, n.title, n.date_from, r.first_date as span_from, r.last_date as span_to from (select * from v_sightings where newsletter_id =
+  (select id from v_newsletters where status = 'complete' order by date_to desc, id desc limit 1) {BY_DATE} limit 40) s, (select title, cast(date_from as varchar) as date_from from v_newsletters where status = 'complete' order by date_to desc, id desc limit 1) n,
+  (select cast(min(sighting_date) as varchar) as first_date, cast(max(sighting_date) as varchar) as last_date from v_sightings) r""")
+def sightings_json(v):
+    """One row of JSON with rows, their issue and the archive's span, taken apart again."""
+    rows = reads.paged(reads.filtered(v.sightings, issue="latest", newsletters=v.newsletters), reads.review_order(None, False), 40)
+    said = reads.response(rows, v.newsletters, v.sightings, "latest")
+    form = "sightings array<struct<id: bigint, species: string, lat: double>>, newsletter struct<title: string, date_from: string>, range struct<`from`: string, `to`: string>"
+    j = said.select(F.from_json("response", form).alias("j")).select(F.explode("j.sightings").alias("s"), "j.newsletter", "j.range")
+    return rounded(j.select("s.id", "s.species", "s.lat", "newsletter.title", "newsletter.date_from", F.col("range.from").alias("span_from"), F.col("range.to").alias("span_to")), "lat")
+
+
+@query("calls", "select stage, count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(call_no) as bigint) as numbers from v_calls group by stage")
+def call_log(v):
+    """Calls logged as JSON by stage, and read back for a replay and for their cost."""
+    from tidemark.sources import readers
+
+    log = v.calls.select("stage", F.lit(1).alias("attempt"), F.col("call_no").alias("key_no"), F.lit("end_turn").alias("stop_reason"), F.lit("[]").alias("text"), "input_tokens", "output_tokens")
+    readers.write_calls(log, path := scratch(v, "calls"))
+    back = readers.logged_calls(v.spark, path, "input_tokens bigint, output_tokens bigint")
+    return back.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("key_no").alias("numbers"))
+
+
+POOLED_SQL = f"""(select 0 as source, cast(id as bigint) as id, name, 'Verified' as type, null as county, cast(lat as double) as lat, cast(lng as double) as lng from v_gazetteer
+  union all select 1, id, unnest(string_split(aliases_txt, '|')), 'Verified', null, lat, lng from v_gazetteer where aliases_txt <> ''
+  union all select 2, id, name, feature_class, county, lat, lng from v_landmarks)"""
+
+
+@query("sightings gazetteer landmarks", f"""select n.location_raw, cast(n.place as bigint) as place, p.name, p.type, p.county, round(p.lat, 6) as lat, round(p.lng, 6) as lng from (
+  select *, row_number() over (partition by location_raw order by length(name) desc, source, id, name) as place from ({HITS_SQL.format(group='r.location_raw', join='')}) h) n join {POOLED_SQL} p using (source, id, name) where place <= 6""")
+def geocode_anchors(v):
+    """What requests say of each string's anchors, with their coordinates."""
+    items = places.request_items(v.sightings.select("location_raw"), places.located_pool(aliased(v.gazetteer), v.landmarks))
+    told_ = items.select("location_raw", F.from_json(F.to_json("item"), "anchors array<struct<name: string, type: string, county: string, lat: double, lng: double>>").alias("i"))
+    flat = told_.select("location_raw", F.posexplode("i.anchors").alias("pos", "a"))
+    return rounded(flat.select("location_raw", (F.col("pos") + 1).cast("long").alias("place"), "a.*"), "lat", "lng")
+
+
+@query("answers edges", f"""select input, cast(floor((row_number() over (order by input) - 1) / 60) as bigint) as batch_no from (select a.input, round(n.d) as m from (select * from v_answers where attempt = 1 and confidence <> 'none' and lat > 45 and lat < 52 and lng > -130 and lng < -120) a
+  join ({near_sql(ANSWERS.format(1))}) n on n.id = a.pos left join ({wet_sql(ANSWERS.format(1))}) w on w.id = a.pos where w.id is null) x where m between 1 and 5000""")
+def retry_selection(v):
+    """The strings that a second request asks for: placed on land, not too far inland."""
+    from tidemark.plans import api
 
-    return static.made_up_sightings(v.spark)
+    none = v.spark.createDataFrame([], api.SCHEMAS["gazetteer"]), v.spark.createDataFrame([], api.SCHEMAS["landmarks"])
+    return api.retry_requests(v.answers, v.edges, *none).select(F.explode("inputs").alias("input"), "batch_no")
 
 
 @query("sightings gazetteer landmarks answers edges", f""", g as (select location_raw, min(rk) % 100000 as gid from (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tidemark.functions.vocab import IMPORT_CLASSES
 
 ISSUES = "issue string, text string"
 LANDMARKS = "id bigint, name string, feature_class string, county string, lat double, lng double"
+PART_LINES = 5_000
 CALLS = "stage string, attempt int, key_no bigint, stop_reason string, text string"
 
 
@@ -25,9 +28,18 @@ def issue_lines(texts: DataFrame) -> DataFrame:
 
 
 def write_issues(lines: DataFrame, path: str) -> None:
-    """A text file per issue."""
-    whole = lines.groupBy("issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    whole.write.mode("overwrite").partitionBy("issue").text(path)
+    """Text files of up to PART_LINES lines each, by issue and part: an issue of any size is many files, none of them large."""
+    parts = lines.groupBy("issue", F.floor(F.col("line_no") / PART_LINES).alias("part"))
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    whole.write.mode("overwrite").partitionBy("issue", "part").text(path)
+
+
+def written_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (issue, line_no, line) of write_issues(), numbered by their part and place; parts are as long as they were written."""
+    files = spark.read.text(path, wholetext=True)
+    text = clean(F.regexp_replace("value", r"\n\z", ""))
+    lines = files.select(F.col("issue").cast("string").alias("issue"), "part", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return lines.select("issue", (F.col("part") * PART_LINES + F.col("pos")).cast("int").alias("line_no"), "line")
 
 
 def gnis(spark: SparkSession, path: str, west: float = -130, south: float = 45, east: float = -120, north: float = 52) -> DataFrame:
@@ -56,10 +68,16 @@ def checked_load(landmarks: DataFrame, least: int, most: int, probes: list[str])
     return facts.withColumn("valid", F.when(F.coalesce(fine, F.lit(False)), True).otherwise(F.raise_error(F.lit("the load is not plausible")).cast("boolean"))).select("n", "ids", "nameless", "valid")
 
 
-def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Edge rows (poly_id, ring, k, x1, y1, x2, y2) of a GeoJSON collection of Polygons and MultiPolygons."""
-    form = "features array<struct<properties: struct<id: bigint>, geometry: struct<type: string, coordinates: string>>>"
-    features = spark.read.schema(form).json(path, multiLine=True).select(F.explode("features").alias("f")).select(F.col("f.properties.id").alias("poly_id"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
+def polygons(spark: SparkSession, path: str, areas: list[str] | None = None) -> DataFrame:
+    """Edge rows (poly_id, ring, k, x1, y1, x2, y2) of a GeoJSON collection of Polygons and MultiPolygons.
+
+    areas: the names of the features to keep (vocab.WATER_AREAS, say); all, if none are given.
+    """
+    form = "features array<struct<properties: struct<id: bigint, name: string>, geometry: struct<type: string, coordinates: string>>>"
+    features = spark.read.schema(form).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    if areas is not None:
+        features = features.filter(F.col("f.properties.name").isin(areas))
+    features = features.select(F.col("f.properties.id").alias("poly_id"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
     one = F.array(F.from_json("c", "array<array<array<double>>>"))
     rings = features.withColumn("polygons", F.when(F.col("type") == "Polygon", one).otherwise(F.from_json("c", "array<array<array<array<double>>>>")))
     rings = rings.select("poly_id", F.posexplode(F.flatten("polygons")).alias("ring", "points"))
@@ -72,15 +90,55 @@ def write_polygons(edges: DataFrame, path: str) -> None:
     """One GeoJSON collection per part file; rings are closed."""
     ring = edges.groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("k", "x1", "y1"))).alias("p"))
     points = F.transform("p", lambda x: F.array(x["x1"], x["y1"]))
-    ring = ring.select(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("poly_id").alias("id")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(points, F.array(F.get(points, F.lit(0))))).alias("coordinates")).alias("geometry")).alias("f"))
+    ring = ring.select(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("poly_id").alias("id"), F.col("poly_id").cast("string").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(points, F.array(F.get(points, F.lit(0))))).alias("coordinates")).alias("geometry")).alias("f"))
     ring.groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list("f").alias("features")).select(F.lit("FeatureCollection").alias("type"), "features").write.mode("overwrite").json(path)
 
 
+def write_calls(calls: DataFrame, path: str) -> None:
+    """A log of model calls as JSON, by stage; recorded_calls() reads it, so a run can be replayed from its own log.
+
+    Columns beyond those of CALLS (the request, tokens, seconds) are kept.
+    """
+    calls.write.mode("append").partitionBy("stage").json(path)
+
+
 def recorded_calls(spark: SparkSession, path: str) -> DataFrame:
     """Answers of a model, recorded as JSON rows: a replayable stand-in for the model itself."""
     return spark.read.schema(CALLS).json(path)
 
 
+def logged_calls(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """All of a log of write_calls(): CALLS and the columns `more`, such as "issue string"."""
+    return spark.read.schema(CALLS + (f", {more}" if more else "")).json(path)
+
+
+def write_result(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def sightings_or_made_up(spark: SparkSession, path: str, columns: list[str] = ("id", "sighting_date", "species", "lat", "lng")) -> tuple[DataFrame, str]:
+    """Stored sightings and "store", or, where they can't be read or are something else, made-up ones and "made up"."""
+    try:
+        found = spark.read.parquet(path)
+        if set(columns) <= set(found.columns):
+            return found, "store"
+    except AnalysisException:
+        pass
+    from tidemark.sources.static import made_up_sightings
+
+    return made_up_sightings(spark), "made up"
+
+
+def rules_document(spark: SparkSession, path: str) -> str | None:
+    """A document of rules for placing locations, whole; without it, requests go without, with a warning."""
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+        return row and row.value
+    except AnalysisException:
+        warnings.warn(f"{path} is not there: requests go without the rules", stacklevel=2)
+        return None
+
+
 def answered(requests: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
     """Requests with their recorded answers: refused (by stop reason), cut off, lacking, or whole."""
     joined = requests.join(calls, keys, "left")

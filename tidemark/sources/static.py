@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.vocab import BANNERS, LABEL_ZOOM, SPECIES
+from tidemark.functions.vocab import BANNERS, HYDROPHONES, LABEL_ZOOM, MADE_UP_BEHAVIORS, MADE_UP_DIRECTIONS, MADE_UP_PLACES, MADE_UP_PODS, MADE_UP_SPECIES, SEED_PLACES, SPECIES, WEBCAMS
 
 
 def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
@@ -26,19 +28,50 @@ def label_bands(spark: SparkSession) -> DataFrame:
     return values(spark, ["feature_class", "min_zoom"], LABEL_ZOOM)
 
 
+def hydrophones(spark: SparkSession) -> DataFrame:
+    return values(spark, ["name", "lat", "lng"], HYDROPHONES)
+
+
+def webcams(spark: SparkSession) -> DataFrame:
+    return values(spark, ["name", "lat", "lng", "facing"], WEBCAMS)
+
+
+def sensors(spark: SparkSession) -> DataFrame:
+    """(kind, name, lat, lng, facing) of all fixed sensors."""
+    heard = hydrophones(spark).select(F.lit("hydrophone").alias("kind"), "name", "lat", "lng", F.lit(None).cast("string").alias("facing"))
+    return heard.unionByName(webcams(spark).withColumn("kind", F.lit("webcam")))
+
+
+def seed_places(spark: SparkSession) -> DataFrame:
+    """(id, name, aliases, lat, lng, region): verified places to start with."""
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(SEED_PLACES, 1)], "id bigint, name string, aliases array<string>, lat double, lng double, region string")
+
+
+MADE_UP = "id string, sighting_date date, sighting_time string, species string, pod_or_group string, individual_ids array<string>, sighting_count int, direction string, behaviors array<string>, location_raw string, lat double, lng double, geo_method string, reporter string, summary string"
+
+
 def made_up_sightings(spark: SparkSession, seed: int = 20260715, days: int = 10) -> DataFrame:
-    """3 to 7 sightings a day from a Lehmer generator; the same for a seed: (id, day, species, lat, lng).
+    """3 to 7 sightings a day, drawn one after the other from a Lehmer generator; the same for a seed.
 
-    The k-th number is seed * 48271^k mod 2147483647, by repeated squaring, so that rows are made independently.
+    A sighting of a kind that has pods takes one number more than others, so numbers depend on all before them: the
+    few rows are made on the driver.
     """
-    step = F.expr(
-        f"aggregate(sequence(0, 30), named_struct('p', cast(1 as bigint), 'b', cast(48271 as bigint)), (a, i) -> named_struct('p', if((shiftright(k, i) & 1) = 1, a.p * a.b % 2147483647, a.p), 'b', a.b * a.b % 2147483647)).p * {seed} % 2147483647 / 2147483647.0"
-    )
-    per_day = spark.range(days).select(F.col("id").alias("day"), (F.col("id") * 40 + 1).alias("k")).withColumn("n", (3 + F.floor(step * 5)).cast("long"))
-    rows = per_day.select("day", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i")).withColumn("base", F.col("day") * 40 + F.col("i") * 4)
-    out = rows
-    for j, name in enumerate(("u_species", "u_lat", "u_lng")):
-        out = out.withColumn("k", F.col("base") + j).withColumn(name, step)
-    keys = [k for k, *_ in SPECIES]
-    kind = F.element_at(F.array(*map(F.lit, keys)), (F.floor(F.col("u_species") * len(keys)) + 1).cast("int"))
-    return out.select((F.col("day") * 10 + F.col("i")).alias("id"), "day", kind.alias("species"), F.round(47 + F.col("u_lat") * 2, 5).alias("lat"), F.round(-124 + F.col("u_lng") * 2, 5).alias("lng"))
+
+    def numbers(s: int):
+        while True:
+            s = s * 48271 % 2147483647
+            yield s / 2147483647
+
+    draw, rows = numbers(seed), []
+    one_of = lambda options: options[int(next(draw) * len(options))]
+    for day in range(1, days + 1):
+        for _ in range(3 + int(next(draw) * 5)):
+            (name, lat, lng), kind = one_of(MADE_UP_PLACES), one_of(MADE_UP_SPECIES)
+            hour = 6 + int(next(draw) * 14)
+            lng, lat = lng + (next(draw) - 0.5) * 0.06, lat + (next(draw) - 0.5) * 0.04
+            pod = one_of(MADE_UP_PODS[kind]) if kind in MADE_UP_PODS else None
+            time = f"{hour:02}:{'30' if next(draw) > 0.5 else '00'}"
+            count, way, doing = 1 + int(next(draw) * 6), one_of(MADE_UP_DIRECTIONS), one_of(MADE_UP_BEHAVIORS)
+            method = "gazetteer" if next(draw) > 0.3 else "ai"
+            rows.append((f"fake-{len(rows)}", date(2026, 7, day), time, kind, pod, [], count, way, doing, name, lat, lng, method, "Demo Data", f"Demo sighting near {name}."))
+    return spark.createDataFrame(rows, MADE_UP)
