@@ -6,9 +6,10 @@
    1e-8; of its values, sorted rarest first, a node is therefore listed under the first k - least_shared + 1. Passages
    that many documents share thus seldom make a list. Nodes that share a list with another are then listed in the same
    way under the values of their whole sets, where the bounds are certain.
-3. Overlaps: a listed value stands at some position of a node's sorted set; what follows it bounds the overlap of two
-   nodes that meet there. Each list's hub (the member whose values are most frequent) meets its members; then, in lists
-   that still hold several components, the members outside the hub's component meet the others.
+3. Overlaps: values that the same nodes hold are one token, whose weight is their number. A listed token stands at some
+   position of a node's sorted set; what follows it bounds the overlap of two nodes that meet there. Each list's hub (the
+   member whose values are most frequent) meets its members; then, in lists that still hold several components, the
+   members outside the hub's component meet the others.
 4. A pair is dropped where the union of its two first sketches estimates too small a similarity; the rest is confirmed
    on full shingle sets, by counting.
 5. Components by alternating large-star and small-star steps over confirmed links.
@@ -134,21 +135,23 @@ def inverted_lists(nodes: DataFrame, values: DataFrame, k: int, percent: int) ->
     """(value, node, n, weight, rest) of lists with two members or more; rest: the sketch's values from this one on.
 
     nodes: (node, n); values: (node, value), the k smallest values of each node, or all (k = WHOLE). A node's values are sorted rarest first;
-    those that it alone has come first and make no list.
+    those that it alone has come first and make no list. Values that the same nodes hold make one list: `value` is what
+    stands for these nodes, and `rest` counts from the first of the values.
     """
-    frequent = cut(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
+    frequent = cut(values.groupBy("value").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("df > 1"))
     # A value may belong to any share of the nodes: there can be at most MOST_HOT of more than 1 / MOST_HOT of all, and
     # these are broadcast; the others are dealt by value.
     total = frequent.agg(F.sum("df")).first()[0] or 0
-    hot = F.broadcast(frequent.filter(F.col("df") > total / MOST_HOT).withColumnRenamed("df", "hot"))
+    hot = F.broadcast(frequent.filter(F.col("df") > total / MOST_HOT))
     known = values.join(hot, "value", "left")
-    often = known.filter("hot is not null").select("node", "value", F.col("hot").alias("df"))
-    seldom = known.filter("hot is null").select("node", "value").join(frequent.filter(F.col("df") <= total / MOST_HOT), "value").select("node", "value", "df")
-    held = often.unionByName(seldom).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
+    often = known.filter("df is not null").select("node", "df", "who")
+    seldom = known.filter("df is null").select("node", "value").join(frequent.filter(F.col("df") <= total / MOST_HOT), "value").select("node", "df", "who")
+    held = often.unionByName(seldom).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "who"))).alias("held"), F.sum("df").alias("weight"))
     length = held.join(nodes, "node").withColumn("room", F.expr(f"least(size(held), size(held) - {least_shared('n', k, percent)} + 1)"))
     listed = length.filter("room > 0")
-    at = listed.select("node", "n", "weight", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("at", "h"))
-    lists = cut(at.select("h.value", "node", "n", "weight", (F.col("size") - F.col("at")).alias("rest")))
+    first = F.expr("filter(transform(slice(held, 1, room), (x, i) -> named_struct('who', x.who, 'at', i)), (x, i) -> i = 0 or x.who <> get(held, i - 1).who)")
+    at = listed.select("node", "n", "weight", F.size("held").alias("size"), F.explode(first).alias("h"))
+    lists = cut(at.select(F.col("h.who").alias("value"), "node", "n", "weight", (F.col("size") - F.col("h.at")).alias("rest")))
     several = lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
     return lists.join(several, "value")
 
