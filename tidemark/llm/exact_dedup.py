@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import cut, delete, scratch
 
-#: State is kept on disk, in files that are no larger than what they hold: there may be many small stores.
+#: State is kept on disk, in files that are no larger than what they hold: there may be many small stores. All stores of an
+#: executor share one bounded cache and write buffer outside its heap, and soon go once their query has ended.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 
 
