@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, lm_score, media, mixing, near_dedup, packing, resampling, toxicity, url_filter
+from tidemark.llm import chat, exact_dedup, html_text, licenses, lm_score, media, mixing, near_dedup, packing, resampling, toxicity, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -56,8 +56,12 @@ def op11_importance_resampling(spark, sf_dir):
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_license_scan(spark, sf_dir):
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_mix_sources, op2_stupid_backoff, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op6_lstm_main_text, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting, op11_importance_resampling]
+    found = [op1_mix_sources, op2_stupid_backoff, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op6_lstm_main_text, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting, op11_importance_resampling, op12_license_scan]
     return {f.__name__: f for f in found}
 
 
