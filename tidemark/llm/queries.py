@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, licenses, lm_score, media, mixing, near_dedup, packing, resampling, toxicity, url_filter
+from tidemark.llm import chat, collocations, exact_dedup, html_text, licenses, lm_score, media, mixing, near_dedup, packing, resampling, toxicity, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -60,8 +60,12 @@ def op12_license_scan(spark, sf_dir):
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_mix_sources, op2_stupid_backoff, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op6_lstm_main_text, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting, op11_importance_resampling, op12_license_scan]
+    found = [op1_mix_sources, op2_stupid_backoff, op3_mixture_packing, op4_stateful_exact_dedup, op5_url_link_graph, op6_lstm_main_text, op7_tiff_media, op8_minhash_near_dedup, op9_ftrl_toxicity, op10_chat_formatting, op11_importance_resampling, op12_license_scan, op13_phrase_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -86,4 +90,26 @@ def oracle_sql() -> dict:
               sha256(coalesce(string_agg(text, '' order by turn nulls first, role, content) filter (role = 'assistant'), '')) as loss_sha256,
               cast(sum(length(piece)) as bigint) as formatted_chars
             from escaped group by conv_id""",
+        "op13_phrase_collocations": r"""
+            with pieces as (
+              select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as words
+              from documents),
+            totals as (select lang, cast(sum(len(words)) as bigint) as n from pieces group by lang),
+            grams as (
+              select lang, m, array_to_string(words[i : i + m - 1], ' ') as phrase
+              from (select lang, words, m, unnest(range(1, len(words) - m + 2)) as i from pieces, (select unnest([1, 2, 3, 4]) as m))),
+            counts as (select lang, m, phrase, count(*) as f from grams group by all having count(*) >= 30),
+            cuts as (
+              select c.lang, c.m, c.phrase, c.f as a, k, array_to_string(string_split(c.phrase, ' ')[1 : k], ' ') as head, array_to_string(string_split(c.phrase, ' ')[k + 1 :], ' ') as tail
+              from counts c, (select unnest([1, 2, 3]) as k) where k < c.m),
+            scores as (
+              select x.*, l.f as l, r.f as r, cast(cast(2000000 as hugeint) * x.a // (cast(l.f as hugeint) + r.f) as bigint) as score
+              from cuts x join counts l on l.lang = x.lang and l.phrase = x.head join counts r on r.lang = x.lang and r.phrase = x.tail),
+            best as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+            kept as (
+              select * from best b where not exists (
+                select 1 from counts y where y.lang = b.lang and y.m > b.m and contains(' ' || y.phrase || ' ', ' ' || b.phrase || ' ') and cast(100 as hugeint) * y.f >= cast(80 as hugeint) * b.a)),
+            ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+            select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000""",
     }
