@@ -32,7 +32,7 @@ SCALE = 2_000_000
 #: Groups by hash that a language's phrases are ranked in first.
 GROUPS = 64
 #: Bytes of text whose n-grams are exploded at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: Ends of pieces become line feeds, A-Z lower-cased.
 PIECES = LOWER.copy()
