@@ -47,21 +47,30 @@ EDITABLE = ("sighting_date", "sighting_time", "species", "species_raw", "pod_or_
 EDITABLE_PLACE = ("name", "aliases", "lat", "lng", "region")
 
 
-def patched(sightings: DataFrame, patches: DataFrame) -> DataFrame:
-    """patches: id, `present` (names of the given fields) and new values: a field that is present is set, be it to null.
+def patched_fields(present: Column, old: dict[str, Column], new: dict[str, Column]) -> dict[str, Column]:
+    """The fields of a row after a patch: those whose names are present are set, be it to null.
 
     A position that moves makes the method manual, unless the patch gives a method itself.
     """
+    given = lambda c: F.coalesce(F.array_contains(present, c), F.lit(False)) if c in new else F.lit(False)
+    value = {c: F.when(given(c), new[c]).otherwise(x) if c in new else x for c, x in old.items()}
+    if {"lat", "lng", "geo_method"} <= set(old) and {"lat", "lng"} <= set(new):
+        moved = (given("lat") & ~old["lat"].eqNullSafe(new["lat"])) | (given("lng") & ~old["lng"].eqNullSafe(new["lng"]))
+        value["geo_method"] = F.when(moved & ~given("geo_method"), "manual").otherwise(value["geo_method"])
+    return value
+
+
+def patched(sightings: DataFrame, patches: DataFrame) -> DataFrame:
+    """patches: id, `present` (names of the given fields) and new values, as patched_fields() sets them."""
     fields = [c for c in EDITABLE if c in patches.columns and c in sightings.columns]
-    new = patches.select("id", "present", *(F.col(c).alias(f"new_{c}") for c in fields))
-    df = sightings.join(new, "id", "left")
-    given = lambda c: F.coalesce(F.array_contains("present", c), F.lit(False))
-    value = {c: F.when(given(c), F.col(f"new_{c}")).otherwise(F.col(c)) for c in fields}
-    if {"lat", "lng", "geo_method"} <= set(sightings.columns) and {"lat", "lng"} <= set(fields):
-        moved = (given("lat") & ~F.col("lat").eqNullSafe(F.col("new_lat"))) | (given("lng") & ~F.col("lng").eqNullSafe(F.col("new_lng")))
-        own = value.get("geo_method", F.col("geo_method"))
-        value["geo_method"] = F.when(moved & ~given("geo_method"), "manual").otherwise(own)
-    return df.select(*((value[c].alias(c) if c in value else F.col(c)) for c in sightings.columns))
+    df = sightings.join(patches.select("id", "present", *(F.col(c).alias(f"new_{c}") for c in fields)), "id", "left")
+    value = patched_fields(F.col("present"), {c: F.col(c) for c in sightings.columns}, {c: F.col(f"new_{c}") for c in fields})
+    return df.select(*(x.alias(c) for c, x in value.items()))
+
+
+def as_patches(rows: DataFrame, *fields: str, key: str = "id") -> DataFrame:
+    """Patches that set these fields of the rows' keys to what the rows have."""
+    return rows.select(key, F.array(*map(F.lit, fields)).alias("present"), *fields)
 
 
 def patched_places(gazetteer: DataFrame, patches: DataFrame) -> DataFrame:

@@ -1,87 +1,19 @@
-"""What a user calls: a store of Parquet tables, and reading, editing, ingesting and measuring over it.
-
-A write makes a new version of a table beside the former one; readers take the newest version that is complete.
-"""
+"""What a user calls: reading, editing, ingesting and measuring over a store of tables."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import records, text, vocab
 from tidemark.operators import changes, issues, measures, places, reads, resolve
+from tidemark.plans.store import SCHEMAS, Change, Conflict, Store  # noqa: F401
 from tidemark.sources import readers, static
 
-SCHEMAS = {
-    "newsletters": "id string, title string, status string, date_from date, date_to date, sighting_count bigint, warning_text string, pasted_at timestamp",
-    "sightings": "id bigint, newsletter_id string, sighting_date date, sighting_time string, species string, species_raw string, pod_or_group string, individual_ids array<string>, sighting_count int, direction string, behaviors array<string>, "
-    "detection_methods array<string>, location_raw string, gazetteer_id bigint, landmark_id bigint, lat double, lng double, geo_method string, needs_review boolean, summary string, raw_excerpt string, reporter string, report_kind string, ai_reasoning string, ai_confidence string",
-    "gazetteer": "id bigint, name string, aliases array<string>, lat double, lng double, region string",
-    "landmarks": readers.LANDMARKS,
-    "edges": "poly_id bigint, k int, x1 double, y1 double, x2 double, y2 double",
-    "calls": readers.CALLS,
-}
-
-
 class NameTaken(ValueError):
     """A landmark bears the name of a place to be saved; saving it anyway has to be confirmed."""
 
 
-class Store:
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-
-    def parts(self, name: str) -> list[tuple[int, str]]:
-        """(number, folder) of each complete write, in order: v is a whole table, a is rows added to what was there."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = files.listStatus(path) if files.exists(path) else []
-        done = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted((int(n[1:]), n) for s in found if re.fullmatch(r"[va]\d+", n := s.getPath().getName()) and done(s.getPath()))
-
-    def versions(self, name: str) -> list[int]:
-        return [n for n, _ in self.parts(name)]
-
-    def table(self, name: str) -> DataFrame:
-        """The newest version: the last whole table and the rows added since; empty where there is none yet."""
-        parts = [folder for _, folder in self.parts(name)]
-        whole = max((i for i, folder in enumerate(parts) if folder[0] == "v"), default=0)
-        empty = self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(empty.schema).parquet(*(f"{self.base}/{name}/{folder}" for folder in parts[whole:])) if parts else empty
-
-    def _write(self, kind: str, name: str, df: DataFrame) -> None:
-        form = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in form]
-        df.select(*columns).write.parquet(f"{self.base}/{name}/{kind}{(self.versions(name) or [0])[-1] + 1}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """Replaces a table; the former version stays beside it."""
-        self._write("v", name, df)
-
-    def append(self, name: str, df: DataFrame) -> None:
-        """Adds rows to a table; what is there is not read or written again."""
-        self._write("a", name, df)
-
-    def kept(self, df: DataFrame) -> DataFrame:
-        """Rows written to the store's work folder and read again: later steps start from there."""
-        path = f"{self.base}/_work/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
-
-    def check(self) -> DataFrame:
-        """(table, columns, rows, versions, names, types) of each table; names and types are those of its columns, in order."""
-        literal = lambda xs: F.array(*map(F.lit, xs))
-        of = lambda n: self.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), F.lit(len(self.table(n).columns)).alias("columns"), "rows", F.lit(len(self.versions(n))).alias("versions"), literal(self.table(n).columns).alias("names"), literal([t for _, t in self.table(n).dtypes]).alias("types"))
-        parts = [of(n) for n in SCHEMAS]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-
 # ---- reading
 
 def sightings(store: Store, *, newsletter=None, date_from=None, date_to=None, species: str | None = None, bbox: str | None = None, needs_review: bool | None = None, sort: str | None = None, limit: int | None = None, offset: int = 0, format: str = "geojson", admin: bool = False) -> DataFrame:
@@ -127,56 +59,86 @@ def gazetteer(store: Store) -> DataFrame:
 
 # ---- editing
 
-def patch_sighting(store: Store, id: int, patch: dict) -> None:
-    """Sets the given fields, be it to None; unknown fields are refused."""
-    if extra := set(patch) - set(changes.EDITABLE):
+def _one_patch(store: Store, name: str, id: int, patch: dict, fields: tuple[str, ...]) -> DataFrame:
+    if extra := set(patch) - set(fields):
         raise ValueError(f"not editable: {', '.join(sorted(extra))}")
-    form = store.table("sightings").schema
-    value = lambda c: F.lit(patch.get(c)).cast(form[c].dataType).alias(c)
-    row = store.spark.range(1).select(F.lit(id).cast("bigint").alias("id"), F.array(*map(F.lit, patch)).cast("array<string>").alias("present"), *map(value, changes.EDITABLE))
-    store.write("sightings", changes.patched(store.table("sightings"), row))
+    form = store.spark.createDataFrame([], SCHEMAS[name]).schema
+    value = lambda c: F.array(*map(F.lit, patch[c])) if isinstance(patch[c], list) else F.lit(patch[c])
+    return store.spark.range(1, numPartitions=1).select(F.lit(id).cast("bigint").alias("id"), F.array(*map(F.lit, patch)).cast("array<string>").alias("present"), *(value(c).cast(form[c].dataType).alias(c) for c in patch))
+
+
+def patch_sighting(store: Store, id: int, patch: dict) -> None:
+    """Sets the given fields, be it to None; unknown fields are refused. It writes one row, and reads none."""
+    store.patch("sightings", _one_patch(store, "sightings", id, patch, changes.EDITABLE))
 
 
 def upsert_place(store: Store, name: str, lat: float, lng: float, aliases: list[str] = (), region: str | None = None, *, confirmed: bool = False, backfill: str | None = None, except_id: int = -1) -> None:
-    """Saves a verified place, and moves flagged sightings at the location text `backfill` to it."""
+    """Saves a verified place, and moves flagged sightings at the location text `backfill` to it, in one commit."""
     if not confirmed and not store.table("landmarks").filter(F.lower("name") == name.lower()).isEmpty():
         raise NameTaken(name)
-    places_ = store.table("gazetteer")
-    new_id = (places_.agg(F.max("id")).first()[0] or 0) + 1
-    row = store.spark.range(1).select(F.lit(new_id).alias("id"), F.lit(name).alias("name"), F.array(*map(F.lit, aliases)).cast("array<string>").alias("aliases"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(region).cast("string").alias("region"))
-    store.write("gazetteer", changes.upsert_places(places_, row).drop("merged"))
-    if backfill is not None:
-        store.write("sightings", changes.cluster_backfill(store.table("sightings"), backfill, except_id, lat, lng))
+
+    def work(c: Change) -> None:
+        c.guard("gazetteer")  # for the new id, and for the place of that name
+        known = c.table("gazetteer")
+        new_id = (known.agg(F.max("id")).first()[0] or 0) + 1
+        row = store.spark.range(1).select(F.lit(new_id).alias("id"), F.lit(name).alias("name"), F.array(*map(F.lit, aliases)).cast("array<string>").alias("aliases"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(region).cast("string").alias("region"))
+        place = changes.upsert_places(known.filter(F.lower("name") == F.lower(F.lit(name))), row)
+        if place.first().merged:
+            c.patch("gazetteer", changes.as_patches(place, "aliases", "region"))
+        else:
+            c.append("gazetteer", place)
+        if backfill is not None:
+            moved = changes.cluster_backfill(c.table("sightings"), backfill, except_id, lat, lng).filter("changed")
+            c.patch("sightings", changes.as_patches(moved, "lat", "lng", "geo_method", "needs_review"))
+
+    store.change(work)
 
 
 def patch_place(store: Store, id: int, patch: dict) -> None:
     """Sets the given fields of a verified place, be it to None; unknown fields are refused."""
-    if extra := set(patch) - set(changes.EDITABLE_PLACE):
-        raise ValueError(f"not editable: {', '.join(sorted(extra))}")
-    form = store.table("gazetteer").schema
-    value = lambda c: F.array(*map(F.lit, patch[c])) if isinstance(patch.get(c), list) else F.lit(patch.get(c))
-    row = store.spark.range(1).select(F.lit(id).cast("bigint").alias("id"), F.array(*map(F.lit, patch)).cast("array<string>").alias("present"), *(value(c).cast(form[c].dataType).alias(c) for c in changes.EDITABLE_PLACE))
-    store.write("gazetteer", changes.patched_places(store.table("gazetteer"), row))
+    store.patch("gazetteer", _one_patch(store, "gazetteer", id, patch, changes.EDITABLE_PLACE))
 
 
 def delete_place(store: Store, id: int) -> None:
-    left, rest = changes.without_place(store.table("sightings"), store.table("gazetteer"), id)
-    store.write("sightings", left)
-    store.write("gazetteer", rest)
+    """The place goes, and the links to it, in one commit; sightings keep their coordinates."""
+
+    def work(c: Change) -> None:
+        c.guard("sightings")  # else a link that is made meanwhile would stay
+        linked = c.table("sightings").filter(F.col("gazetteer_id") == id)
+        c.patch("sightings", changes.as_patches(linked.withColumn("gazetteer_id", F.lit(None).cast("bigint")), "gazetteer_id"))
+        c.drop("gazetteer", store.spark.range(id, id + 1))
+
+    store.change(work)
 
 
 def backfill_landmarks(store: Store) -> None:
     """Flagged sightings whose location names one landmark only take its position."""
-    flagged, known = store.table("sightings").filter("needs_review"), store.table("landmarks")
-    spots = known.select(F.col("id").alias("landmark_id"), "lat", "lng")
-    matches = places.by_landmark(flagged, known).join(spots, "landmark_id")
-    store.write("sightings", changes.placed_by_landmark(store.table("sightings"), matches).drop("changed"))
+
+    def work(c: Change) -> None:
+        flagged, known = c.table("sightings").filter("needs_review"), c.table("landmarks")
+        spots = known.select(F.col("id").alias("landmark_id"), "lat", "lng")
+        matches = places.by_landmark(flagged, known).join(spots, "landmark_id")
+        moved = changes.placed_by_landmark(flagged, matches).filter("changed")
+        c.patch("sightings", changes.as_patches(moved, "lat", "lng", "landmark_id", "geo_method", "needs_review"))
+
+    store.change(work)
+
+
+def delete_newsletters(store: Store, *statuses: str) -> None:
+    """Runs of these statuses, failed ones if none are given, and their sightings go, in one commit."""
+
+    def work(c: Change) -> None:
+        c.guard("newsletters")
+        gone = c.table("newsletters").filter(F.col("status").isin(*(statuses or ("failed",)))).select("id")
+        c.drop("sightings", c.table("sightings").join(gone.withColumnRenamed("id", "newsletter_id"), "newsletter_id", "left_semi"))
+        c.drop("newsletters", gone)
+
+    store.change(work)
 
 
-def delete_newsletters(store: Store, status: str = "failed") -> None:
-    rest, left = changes.without_issues(store.table("newsletters"), store.table("sightings"), F.col("status") == status)
-    store.write("sightings", left)
-    store.write("newsletters", rest)
+def purge_runs(store: Store) -> None:
+    """Runs that failed or never came to an end go, with what they left."""
+    delete_newsletters(store, "failed", "processing")
 
 
 # ---- ingesting
@@ -207,29 +169,39 @@ def ingest(store: Store, lines: DataFrame, calls: DataFrame) -> DataFrame:
     calls: readers.CALLS and issue; stage extract by chunk, stage geocode with one object per location. An issue whose
     title is already complete or under way is left out. Its run is written as processing before the work; a refused or
     lacking answer costs its own chunk only and is a warning; an issue without a date or a sighting fails with that as
-    its message, and if the work itself fails, all runs of this call do, and the error is raised again.
+    its message, and if the work itself fails, all runs of this call do, and the error is raised again. Sightings become
+    visible by the commit that finishes their run, so a run that fails, or dies, leaves none, and can be run again.
     """
-    every = lines.select("issue").distinct().join(issues.issue_dates(lines), "issue", "left")
-    done = store.table("newsletters").filter(F.col("status").isin("complete", "processing"))
-    known = every.join(done.select("title"), "title", "left_semi").select("issue").unionByName(every.join(done.select(F.col("id").alias("issue")), "issue", "left_semi").select("issue"))
-    fresh = store.kept(every.join(known, "issue", "left_anti").withColumn("pasted_at", F.current_timestamp()))
+    every = store.kept(lines.select("issue").distinct().join(issues.issue_dates(lines), "issue", "left").withColumn("pasted_at", F.current_timestamp()))
+
+    def begin(c: Change) -> DataFrame:
+        c.guard("newsletters")  # of two calls with one issue, the later one sees that the run is under way
+        there = c.table("newsletters")
+        done = there.filter(F.col("status").isin("complete", "processing"))
+        known = every.join(done.select("title"), "title", "left_semi").select("issue").unionByName(every.join(done.select(F.col("id").alias("issue")), "issue", "left_semi").select("issue"))
+        fresh = store.kept(every.join(known, "issue", "left_anti"))
+        runs = changes.begun_runs(fresh.select(F.col("issue").alias("id"), "title", "pasted_at")).withColumn("warning_text", F.lit(None).cast("string"))
+        again = runs.join(there.select("id"), "id", "left_semi")
+        c.patch("newsletters", changes.as_patches(again, "title", "status", "warning_text", "pasted_at"))
+        c.append("newsletters", runs.join(again.select("id"), "id", "left_anti"))
+        return fresh
+
+    fresh = store.change(begin)
     runs = fresh.select(F.col("issue").alias("id"), "title", "pasted_at")
-    store.append("newsletters", changes.begun_runs(runs))
     try:
-        finished = _worked(store, lines, calls, fresh, runs)
+        stored, finished = _worked(store, lines, calls, fresh, runs)
+
+        def finish(c: Change) -> None:
+            c.append("sightings", stored)
+            c.patch("newsletters", changes.as_patches(finished, "status", "warning_text", "sighting_count", "date_from", "date_to"))
+
+        store.change(finish)
     except Exception as e:
-        _replace_runs(store, changes.failed_runs(runs, F.lit(str(e))))
+        store.patch("newsletters", changes.as_patches(changes.failed_runs(runs, F.lit(str(e))), "status", "warning_text"))
         raise
-    _replace_runs(store, finished)
     return store.table("newsletters").join(runs.select("id"), "id", "left_semi")
 
 
-def _replace_runs(store: Store, runs: DataFrame) -> None:
-    """Runs take the place of those that bear their ids; issues are few."""
-    others = store.table("newsletters").join(runs.select("id"), "id", "left_anti")
-    store.write("newsletters", others.unionByName(runs, allowMissingColumns=True))
-
-
 #: What a report says, as it is stored.
 SAID = ["sighting_date", "sighting_time", "species", "species_raw", "pod_or_group", "sighting_count", "direction", "behaviors", "detection_methods", "location_raw", "summary", "raw_excerpt", "reporter", "report_kind"]
 
@@ -244,7 +216,8 @@ def extracted(lines: DataFrame, calls: DataFrame, kept) -> tuple[DataFrame, Data
     return answers, measures.first_of(reports, ["newsletter_id", "sighting_date", F.coalesce("sighting_time", F.lit("")), F.lower("location_raw")], ["key_no", "pos"])
 
 
-def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame, runs: DataFrame) -> DataFrame:
+def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sightings, finished runs), stored in the work folder; nothing of them is visible yet."""
     answers, reports = extracted(lines.join(fresh.filter("iso is not null").select("issue"), "issue", "left_semi"), calls, store.kept)
     first = store.kept(reports.withColumn("id", F.xxhash64("newsletter_id", "key_no", "pos")))
     placed = calls.filter("stage = 'geocode'").select(F.struct("issue", "attempt", "key_no").alias("id"), F.col("text").alias("txt"))
@@ -256,14 +229,13 @@ def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame,
     stored = first.join(resolved, "id").join(said, "location_raw", "left")
     asked = F.col("geo_method").isin("ai", "unresolved")
     stored = store.kept(stored.withColumns({c: F.when(asked, F.col(c)) for c in ("ai_reasoning", "ai_confidence")}))
-    store.append("sightings", stored)
     counts = stored.groupBy(F.col("newsletter_id").alias("id")).agg(F.count("*").alias("sighting_count"), F.min("sighting_date").alias("date_from"), F.max("sighting_date").alias("date_to"))
     bad = answers.filter("state <> 'whole'").groupBy(F.col("issue").alias("id")).agg(F.array_sort(F.collect_set(F.concat("banner_name", F.lit(": "), "state"))).alias("w"))
     out = runs.join(counts, "id", "left").join(bad, "id", "left")
     none = F.array().cast("array<string>")
     whole = changes.finished_runs(out.filter("sighting_count > 0"), F.coalesce("w", none))
     why = F.when(F.col("title").isNull(), "no date was found").otherwise(F.concat_ws("; ", F.lit("no sightings were found"), F.coalesce("w", none)))
-    return store.kept(whole.unionByName(changes.failed_runs(out.filter("sighting_count is null"), why)).drop("w"))
+    return stored, store.kept(whole.unionByName(changes.failed_runs(out.filter("sighting_count is null"), why)).drop("w"))
 
 
 def extract_sample(store: Store, lines: DataFrame, calls: DataFrame, species: str | None = None, out: str | None = None) -> DataFrame:
@@ -300,7 +272,11 @@ def measure(store: Store, answers: DataFrame, *, limit: int | None = 120, write:
     far = measures.median_and_most(both.select("id", geo.km_between(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km")), "km", "id")
     if write:
         results = new.filter("lat is not null").select(F.col("location_raw").alias("input"), F.lit("ai").alias("method"), "lat", "lng").distinct()
-        store.write("sightings", changes.regeocoded(store.table("sightings"), results).drop("changed"))
+
+        def work(c: Change) -> None:
+            c.patch("sightings", changes.as_patches(changes.regeocoded(c.table("sightings"), results).filter("changed"), "geo_method", "lat", "lng"))
+
+        store.change(work)
     return moves, far
 
 

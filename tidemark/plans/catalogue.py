@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo, records, text, vocab
 from tidemark.operators import changes, geometry, issues, measures, places, reads
+from tidemark.plans.store import Change, Store
 from tidemark.plans.views import Views, with_clause
 
 QUERIES: dict[str, Callable] = {}
@@ -1033,10 +1034,8 @@ def landmarks_tolerant(v):
     return count(there, "there").unionByName(count(lacking, "lacking"))
 
 
-def store(v: Views):
-    from tidemark.plans import api
-
-    return api.Store(v.spark, scratch(v, "store"))
+def store(v: Views) -> Store:
+    return Store(v.spark, scratch(v, "store"))
 
 
 @query("sightings", "select id, cast(newsletter_id as varchar) as newsletter_id, species, location_raw, round(lat, 6) as lat, needs_review from v_sightings")
@@ -1067,6 +1066,89 @@ def store_catalog(v):
     return s.check().filter("versions > 0").select("table", "columns", "rows", "versions", F.array_join("names", ",").alias("names"))
 
 
+EDITED_SQL = """select id, case when id % 10 = 3 then 'gray' else species end as species, case when id % 6 = 4 then null when id % 10 in (3, 5) then 48.25 else round(lat, 6) end as lat,
+  case when id % 6 = 4 then 'unresolved' when id % 10 in (3, 5) and lat is distinct from 48.25 then 'manual' else geo_method end as geo_method, case when id % 6 = 4 then true when id % 10 = 7 then false else needs_review end as needs_review,
+  case when id % 21 = 0 then 'again' else location_raw end as location_raw from v_sightings where id % 7 <> 0 or id % 21 = 0"""
+
+
+def edited_store(v, compacted: bool):
+    """A base, added rows, and edits by key: two fields, one that is set again, null, rows that go, and rows of their keys that come after."""
+    s, named = store(v), lambda *xs: F.array(*map(F.lit, xs))
+    s.write("sightings", v.sightings.filter("id % 3 <> 1"))
+    s.append("sightings", v.sightings.filter("id % 3 = 1"))
+    ids = v.sightings.select("id")
+    s.patch("sightings", ids.filter("id % 10 in (3, 5)").select("id", named("lat", "species").alias("present"), F.lit(1.0).alias("lat"), F.lit("orca").alias("species")).filter("id % 10 = 3"))
+    s.patch("sightings", ids.filter("id % 10 = 3").select("id", named("species").alias("present"), F.lit("gray").alias("species")))
+    if compacted:
+        s.compact("sightings")
+    s.patch("sightings", ids.filter("id % 10 in (3, 5)").select("id", named("lat").alias("present"), F.lit(48.25).alias("lat")))
+    s.patch("sightings", ids.filter("id % 10 = 7").select("id", named("needs_review").alias("present"), F.lit(False).alias("needs_review"), F.lit("unread").alias("species")))
+    s.patch("sightings", ids.filter("id % 6 = 4").select("id", named("lat", "geo_method", "needs_review").alias("present"), F.lit(None).cast("double").alias("lat"), F.lit("unresolved").alias("geo_method"), F.lit(True).alias("needs_review")))
+    s.change(lambda c: c.drop("sightings", ids.filter("id % 7 = 0")))
+    s.append("sightings", s.table("sightings", s.version() - 1).filter("id % 21 = 0").withColumn("location_raw", F.lit("again")))
+    return rounded(s.table("sightings").select("id", "species", "lat", "geo_method", "needs_review", "location_raw"), "lat")
+
+
+@query("sightings", EDITED_SQL)
+def edits_by_key(v):
+    """Edits are read with the rows, which stay as they are."""
+    return edited_store(v, False)
+
+
+@query("sightings", EDITED_SQL)
+def edits_compacted(v):
+    """A part of the edits, and what they edit, became a new base meanwhile."""
+    return edited_store(v, True)
+
+
+@query("sightings newsletters", """select cast(n.id as varchar) as id, case when n.id % 2 = 0 then 'failed' else 'complete' end as status, case when n.id % 2 = 1 then (select count(*) from v_sightings s where s.newsletter_id = n.id) else 0 end as sightings
+  from v_newsletters n""")
+def commits_together(v):
+    """Runs and their sightings by one commit each; of every other run the work fails before its commit, and leaves nothing."""
+    s = store(v)
+    ids = v.newsletters.select("id")
+    s.append("newsletters", changes.begun_runs(ids))
+    for odd, status in ((0, "failed"), (1, "complete")):
+        try:
+            with_rows = v.sightings.filter(F.col("newsletter_id") % 2 == odd)
+            change = Change(s)
+            change.append("sightings", with_rows)
+            change.patch("newsletters", ids.filter(F.col("id") % 2 == odd).select("id", F.array(F.lit("status")).alias("present"), F.lit("complete").alias("status")))
+            if status == "failed":
+                raise RuntimeError("the work failed")
+            change.commit()
+        except RuntimeError:
+            s.patch("newsletters", ids.filter(F.col("id") % 2 == odd).select("id", F.array(F.lit("status")).alias("present"), F.lit("failed").alias("status")))
+    counts = s.table("sightings").groupBy(F.col("newsletter_id").alias("id")).agg(F.count("*").alias("sightings"))
+    return s.table("newsletters").select("id", "status").join(counts, "id", "left").fillna(0, ["sightings"])
+
+
+@query("sightings gazetteer", """select 'sightings' as "table", count(*) as "rows", count(*) filter (species = 'gray') as gray, 3 as writes from (select case when id % 5 = 0 then 'gray' else species end as species from v_sightings)
+  union all select 'gazetteer', count(*) filter (id % 2 = 1), 0, 3 from v_gazetteer""")
+def writers_at_once(v):
+    """Two changes from one state: added rows and edits both hold; a table that both replace is done anew by the later one."""
+    s = store(v)
+    s.write("gazetteer", aliased(v.gazetteer))
+    s.write("sightings", v.sightings.filter("id % 2 = 0"))
+    one, two = Change(s), Change(s)
+    one.append("sightings", v.sightings.filter("id % 2 = 1"))
+    one.commit()
+    two.patch("sightings", v.sightings.filter("id % 5 = 0").select("id", F.array(F.lit("species")).alias("present"), F.lit("gray").alias("species")))
+    two.commit()
+    late = []
+
+    def halved(c):
+        rows = c.table("gazetteer").filter("id % 2 = 1")
+        if not late:
+            late.append(s.append("gazetteer", aliased(v.gazetteer).limit(0)))
+        c.write("gazetteer", rows)
+
+    s.change(halved)
+    count = lambda name, gray: s.table(name).agg(F.lit(name).alias("table"), F.count("*").alias("rows"), gray.alias("gray"))
+    facts = count("sightings", F.count_if(F.col("species") == "gray")).unionByName(count("gazetteer", F.lit(0)))
+    return facts.join(F.broadcast(s.check().select("table", F.col("versions").alias("writes"))), "table")
+
+
 @query("sightings newsletters", f"""select s.id, s.species, round(s.lat, 6) as lat, n.title, n.date_from, r.first_date as span_from, r.last_date as span_to from (select * from v_sightings where newsletter_id =
   (select id from v_newsletters where status = 'complete' order by date_to desc, id desc limit 1) {BY_DATE} limit 40) s, (select title, cast(date_from as varchar) as date_from from v_newsletters where status = 'complete' order by date_to desc, id desc limit 1) n,
   (select cast(min(sighting_date) as varchar) as first_date, cast(max(sighting_date) as varchar) as last_date from v_sightings) r""")
