@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import functools
-import sys
-
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.vocab import MAX_CHUNK
+from tidemark.operators import scans
 
 
-# The folds travel by value, so that a worker needs no copy of the repository.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def by_line():
-    return Window.partitionBy("issue").orderBy("line_no")
-
+def running(lines: DataFrame) -> DataFrame:
+    """Lines before the footer with what they stand under: `section` (line, name and species of the last banner) and `header_line`, the last header.
 
-def marked(lines: DataFrame) -> DataFrame:
-    """Lines before the footer with what each one is: banner, header, and the footer's line number `stop`."""
+    An issue may have any share of all lines: they are scanned by ranges of their numbers.
+    """
     df = lines.withColumns({"banner": T.banner(F.col("line")), "header": T.header(F.col("line"))})
-    stop = F.min(F.when(T.footer(F.col("line")), F.col("line_no"))).over(Window.partitionBy("issue"))
-    last = F.max("line_no").over(Window.partitionBy("issue")) + 1
-    return df.withColumn("stop", F.coalesce(stop, last))
+    here = lambda c: F.when(c, F.col("line_no"))
+    section = F.when(F.col("banner").isNotNull(), F.struct("line_no", "banner.name", "banner.species"))
+    seen = {"section": section, "header_line": here(F.col("header").isNotNull()), "ended": here(T.footer(F.col("line")))}
+    return scans.scanned(df, ["issue"], "line_no", seen).filter("ended is null").drop("ended")
 
 
 def issue_dates(lines: DataFrame) -> DataFrame:
@@ -38,33 +30,36 @@ def issue_dates(lines: DataFrame) -> DataFrame:
 
 def owned(lines: DataFrame) -> DataFrame:
     """Lines under a banner and before the footer, with banner_line, species, and header_line (null before the first header)."""
-    df = marked(lines).filter("line_no < stop")
-    banner_line = F.max(F.when(F.col("banner").isNotNull(), F.col("line_no"))).over(by_line())
-    df = df.withColumns({"banner_line": banner_line, "section": F.last("banner", ignorenulls=True).over(by_line())}).filter("banner_line is not null and line_no > banner_line")
-    header_line = F.max(F.when(F.col("header").isNotNull(), F.col("line_no"))).over(Window.partitionBy("issue", "banner_line").orderBy("line_no"))
-    return df.select("issue", "line_no", "line", "banner_line", F.col("section.name").alias("banner_name"), F.col("section.species").alias("species"), header_line.alias("header_line"), "header")
+    df = running(lines).filter("section is not null and line_no > section.line_no")
+    own = F.when(F.col("header_line") > F.col("section.line_no"), F.col("header_line"))
+    return df.select("issue", "line_no", "line", F.col("section.line_no").alias("banner_line"), F.col("section.name").alias("banner_name"), F.col("section.species").alias("species"), own.alias("header_line"), "header")
 
 
 def unknown_banners(lines: DataFrame, ahead: int = 15) -> DataFrame:
-    """(issue, line): lines in capitals that a header follows within 15 lines, with no known banner before it."""
-    df = marked(lines).filter("line_no < stop")
-    next_ = Window.partitionBy("issue").orderBy("line_no").rowsBetween(1, ahead)
-    header = F.min(F.when(F.col("header").isNotNull(), F.col("line_no"))).over(next_)
-    banner = F.min(F.when(F.col("banner").isNotNull(), F.col("line_no"))).over(next_)
-    found = df.withColumns({"next_header": header, "next_banner": banner}).filter(T.shouted(F.col("line")))
+    """(issue, line): lines in capitals that a header follows within 15 lines, with no known banner before it.
+
+    Ranges of lines look ahead by themselves: the first lines of each go to the range before it as well.
+    """
+    df = running(lines).select("issue", "line_no", "line", F.col("banner").isNotNull().alias("banner"), F.col("header").isNotNull().alias("header"))
+    of = lambda n: F.floor(n / scans.PER)
+    df = df.withColumn("range", F.explode(F.array_distinct(F.array(of(F.col("line_no")), of(F.col("line_no") - ahead)))))
+    next_ = Window.partitionBy("issue", "range").orderBy("line_no").rowsBetween(1, ahead)
+    first = lambda c: F.min(F.when(F.col(c), F.col("line_no"))).over(next_)
+    found = df.withColumns({"next_header": first("header"), "next_banner": first("banner")}).filter(F.col("range") == of(F.col("line_no"))).filter(T.shouted(F.col("line")))
     found = found.filter("next_header is not null and (next_banner is null or next_header < next_banner)")
     return found.select("issue", T.strip(F.col("line")).alias("line")).distinct()
 
 
 def summaries(lines: DataFrame) -> DataFrame:
     """(issue, summary): what stands between SUMMARY and ANNOUNCEMENTS, or the first banner, or the footer."""
-    df = marked(lines)
     first = lambda c: F.min(F.when(c, F.col("line_no")))
     line = T.strip(F.col("line"))
-    at = df.groupBy("issue").agg(first(line == "SUMMARY").alias("start"), first((F.col("line_no") < F.col("stop")) & F.col("banner").isNotNull()).alias("first_banner"), F.first("stop").alias("end"))
-    after = df.join(at.select("issue", "start"), "issue").filter(F.col("line_no") > F.col("start")).groupBy("issue").agg(first(line.rlike(r"(?i)^ANNOUNCEMENTS\b")).alias("news"))
+    at = lines.groupBy("issue").agg(first(line == "SUMMARY").alias("start"), first(T.banner(F.col("line")).isNotNull()).alias("banner"), first(T.footer(F.col("line"))).alias("footer"), (F.max("line_no") + 1).alias("last"))
+    end = F.coalesce("footer", "last")
+    at = at.select("issue", "start", end.alias("end"), F.when(F.col("banner") < end, F.col("banner")).alias("first_banner"))
+    after = lines.join(at.select("issue", "start"), "issue").filter(F.col("line_no") > F.col("start")).groupBy("issue").agg(first(line.rlike(r"(?i)^ANNOUNCEMENTS\b")).alias("news"))
     at = at.join(after, "issue", "left").withColumn("until", F.when(F.col("news") <= F.col("end"), F.col("news")).otherwise(F.coalesce("first_banner", "end")))
-    inside = df.select("issue", "line_no", "line").join(at.select("issue", "start", "until", "end"), "issue").filter("start < end and line_no > start and line_no < until")
+    inside = lines.select("issue", "line_no", "line").join(at.select("issue", "start", "until", "end"), "issue").filter("start < end and line_no > start and line_no < until")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return inside.groupBy("issue").agg(T.strip(text).alias("summary")).filter("summary <> ''")
 
@@ -83,66 +78,31 @@ def date_ranges(lines: DataFrame) -> DataFrame:
     return dated.select("issue", date.alias("d")).groupBy("issue").agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"))
 
 
-def folded(rows: DataFrame, group: list[str], order: str, columns: list[str], step, out: str) -> DataFrame:
-    """Adds `out`, a number that `step` gives each row of a group in turn: step(columns' arrays, starts) of a batch's rows.
-
-    Only the columns that the fold reads are sorted by group, and read once as a stream: what a task holds is a batch,
-    whatever the size of a group, and the work grows with the rows.
-    """
-    keys = [*group, order]
-    slim = rows.select(*keys, *columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys) + f", {out} bigint"
-
-    def run(batches):
-        last, state = None, None
-        for batch in batches:
-            names = list(zip(*(batch.column(g).to_pylist() for g in group)))
-            numbers = []
-            for name, row in zip(names, zip(*(batch.column(c).to_pylist() for c in columns))):
-                state, number = step(state if name == last else None, *row)
-                last = name
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(numbers, pa.int64())], names=[*keys, out])
-
-    numbered = slim.repartition(*group).sortWithinPartitions(*keys).mapInArrow(run, schema)
-    same = [rows[k].eqNullSafe(numbered[k]) for k in keys]
-    return rows.join(numbered, functools.reduce(lambda a, b: a & b, same)).select(*(rows[c] for c in rows.columns), numbered[out])
-
-
 def packed(texts: DataFrame, group: list[str], order: str, size: str, most: int = MAX_CHUNK) -> DataFrame:
     """Adds chunk_no per group: texts are put together in order while their sizes, and 2 between, stay within `most`.
 
-    One that is larger than `most` stands alone. The fold is over the group's sizes only; `order` is total within a group.
+    One that is larger than `most` stands alone. `order` is a number that differs within a group.
     """
-
-    def step(state, size):
-        number, length = state or (0, 0)
-        if size > most:
-            own = number + (length > 0)
-            return (own + 1, 0), own
-        if length > 0 and length + size > most:
-            number, length = number + 1, 0
-        return (number, length + size + 2), number
-
-    return folded(texts, group, order, [size], step, "chunk_no")
+    sized = texts.select(*group, order, (F.col(size) + 2).alias("_size"), F.lit(True).alias("_may"))
+    return with_part(texts, scans.split(sized, group, order, most + 2, "chunk_no", whole=True), [*group, order], "chunk_no")
 
 
 def oversize_parts(text_lines: DataFrame, group: list[str], order: str, most: int = MAX_CHUNK) -> DataFrame:
-    """Adds part_no per group: before a separator line, a part of more than `most` characters ends; `order` is total within a group."""
+    """Adds part_no per group: before a separator line, a part of more than `most` characters ends; `order` is a number that differs within a group."""
+    sized = text_lines.select(*group, order, (F.length("line") + 1).alias("_size"), T.separator(F.col("line")).alias("_may"))
+    return with_part(text_lines, scans.split(sized, group, order, most, "part_no", whole=False), [*group, order], "part_no")
 
-    def step(state, size, separates):
-        number, length = state or (0, 0)
-        if separates and length > most:
-            number, length = number + 1, 0
-        return (number, length + size + 1), number
 
-    measured = text_lines.withColumns({"_size": F.length("line"), "_separates": T.separator(F.col("line"))})
-    return folded(measured, group, order, ["_size", "_separates"], step, "part_no").drop("_size", "_separates")
+def with_part(rows: DataFrame, parts: DataFrame, keys: list[str], out: str) -> DataFrame:
+    parts = parts.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), out)
+    return rows.join(parts, scans.both([(rows[k], parts[f"_{i}"]) for i, k in enumerate(keys)])).select(*(rows[c] for c in rows.columns), parts[out])
 
 
 def chunks(lines: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
     """(issue, species, banner_name, banner_line, chunk_no, part_no, carried_header, text): what goes to extraction, one row each."""
-    every = packed(sections(lines).withColumns({"size": F.length("text"), "at": F.coalesce("header_line", "banner_line")}), ["issue", "banner_line"], "at", "size", most)
+    # Sections are stored: their sizes, their texts and the lines of large ones are read from there, and the lines once.
+    every = scans.stored(sections(lines).withColumns({"size": F.length("text"), "at": F.coalesce("header_line", "banner_line")}))
+    every = packed(every, ["issue", "banner_line"], "at", "size", most)
     key = ["issue", "banner_line", "chunk_no"]
     head = F.struct("at", "text")
     small = every.filter(F.col("size") <= most).groupBy("species", "banner_name", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(head)), lambda x: x["text"]), "\n\n").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo, records, text, vocab
-from tidemark.operators import changes, geometry, issues, measures, places, reads
+from tidemark.operators import changes, geometry, issues, measures, places, reads, scans
 from tidemark.plans.store import Change, Store
 from tidemark.plans.views import Views, with_clause
 
@@ -845,7 +845,8 @@ GREEDY_SQL = f""", recursive_in as (select *, row_number() over (partition by is
 @query("issue_lines", GREEDY_SQL + """
   select issue, banner_line, own as chunk_no, count(*) as sections, cast(sum(s) as bigint) as chars from fold group by issue, banner_line, own""")
 def greedy_chunks(v):
-    packed = issues.packed(issues.sections(v.issue_lines).withColumns({"size": F.length("text"), "at": F.coalesce("header_line", "banner_line")}), ["issue", "banner_line"], "at", "size")
+    sizes = issues.sections(v.issue_lines).select("issue", "banner_line", F.coalesce("header_line", "banner_line").alias("at"), F.length("text").alias("size"))
+    packed = issues.packed(scans.stored(sizes), ["issue", "banner_line"], "at", "size")
     return packed.groupBy("issue", "banner_line", "chunk_no").agg(F.count("*").alias("sections"), F.sum("size").alias("chars"))
 
 
@@ -878,8 +879,7 @@ def chunk_diagnostics(v):
   select p.issue, p.banner_line, p.chunk_no, p.no as part_no, count(*) as lines, case when p.no > 0 then max(m.t) end as carried_header from parts p left join ({MARKED_SQL}) m on m.issue = p.issue and m.line_no = p.header_line group by 1, 2, 3, 4""")
 def carried_headers(v):
     """Parts of split sections: those after the first carry the section's header."""
-    sizes = issues.sections(v.issue_lines).filter(F.length("text") > vocab.MAX_CHUNK).select("issue", "banner_line").distinct()
-    parts = issues.chunks(v.issue_lines).join(sizes, ["issue", "banner_line"], "left_semi").withColumn("lines", F.size(F.split("text", "\n")).cast("long"))
+    parts = scans.stored(issues.chunks(v.issue_lines).withColumn("lines", F.size(F.split("text", "\n")).cast("long")))
     split = parts.groupBy("issue", "banner_line", "chunk_no").agg(F.max("part_no").alias("most"), F.sum(F.length("text")).alias("chars")).filter(f"most > 0 or chars > {vocab.MAX_CHUNK}")
     return parts.join(split, ["issue", "banner_line", "chunk_no"], "left_semi").select("issue", "banner_line", "chunk_no", "part_no", "lines", "carried_header")
 
@@ -950,15 +950,9 @@ def warnings_distinct(v):
 
 def scratch(v: Views, what: str) -> str:
     """A path in the folder that driver and executors share."""
-    import tempfile
     import uuid
 
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not v.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
+    return f"{scans.shared_dir(v.spark).rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
 IMPORT_SQL = ", ".join(f"'{c}'" for c in vocab.IMPORT_CLASSES)
