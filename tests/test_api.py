@@ -148,10 +148,15 @@ def test_measure_and_sample(spark, store, tmp_path):
     moves, far = api.measure(store, answers, write=True)
     assert [tuple(r) for r in moves.collect()] == [("dry", "wet", 1)] and 90 < far.first().most_km < 130
     assert store.table("sightings").filter("location_raw = 'dry land'").first().lat == 47.6
-    calls = spark.createDataFrame([("i1", "extract", 1, k, "end_turn", json.dumps([{"sighting_date": "2026-07-09", "location_raw": f"p{k}"}])) for k in (0, 1)], "issue string, stage string, attempt int, key_no bigint, stop_reason string, text string")
+    calls = spark.createDataFrame([("i1", "extract", 1, k, "end_turn", json.dumps([{"sighting_date": "2026-07-09", "location_raw": f"p{k}", "species": ["minke", None][k]}])) for k in (0, 1)], "issue string, stage string, attempt int, key_no bigint, stop_reason string, text string")
     out = str(tmp_path / "out")
     assert [r.location_raw for r in api.extract_sample(store, lines, calls, species="gray", out=out).collect()] == ["p0"] and spark.read.json(out).count() == 1
-    assert [r.location_raw for r in api.extract_sample(store, lines, calls).collect()] == ["p1"]
+    # A report of another species is its chunk's; of a longer issue, the two smallest chunks.
+    assert [r.location_raw for r in api.extract_sample(store, lines, calls, species=["minke", "orca"]).collect()] == ["p1"]
+    more = lines.unionByName(spark.createDataFrame([("i0", 0, "Jul 16, 2026"), ("i0", 1, "HUMPBACK WHALES"), ("i0", 2, "x" * 500)], lines.schema))
+    for kinds, want in ((None, ["p0", "p1"]), ("all", ["p0", "p1", "q"])):
+        every = calls.unionByName(calls.filter("key_no = 0").withColumns({"issue": F.lit("i0"), "text": F.lit('[{"sighting_date": "2026-07-09", "location_raw": "q"}]')}))
+        assert sorted(r.location_raw for r in api.extract_sample(store, more, every, species=kinds).collect()) == want
 
 
 def test_landmark_backfill_is_stored(spark, store):
@@ -215,6 +220,10 @@ def test_sources(spark, tmp_path):
     stream.append_lines(stream.new_issue_lines(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     wanted = [("i1", 0, "a"), ("i1", 1, "b c")]
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*batch.columns).collect())) == wanted
+    (tmp_path / "named").mkdir()
+    for name in ("report.2026-07-15.txt", "report.2026-07-22.txt", "plain"):
+        (tmp_path / "named" / name).write_text(name)
+    assert sorted(r.issue for r in readers.issue_texts(spark, str(tmp_path / "named")).collect()) == ["plain", "report.2026-07-15", "report.2026-07-22"]
     (tmp_path / "g.txt").write_text("﻿feature_id|feature_name|feature_class|county_name|prim_lat_dec|prim_long_dec\n1| Alki |Cape|King|47.5|-122.4\n2|Zero|Bay|King|0|0\n3|Bad|Bay|King|x|-122\n4|Town|Lake|King|47.5|-122\n", encoding="utf-8")
     good = readers.gnis(spark, str(tmp_path / "g.txt"))
     assert [(r.id, r.name) for r in good.collect()] == [(1, "Alki")]

@@ -5,12 +5,15 @@ Work is done once per distinct string, and each stage sees only what the former
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions.text import gps
 from tidemark.operators import geometry, places
+from tidemark.operators.scans import stored
 
 
 def checked_answers(answers: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,17 +27,30 @@ def checked_answers(answers: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolved(sightings: DataFrame, gazetteer: DataFrame, landmarks: DataFrame, answers: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, geo_method, lat, lng, needs_review) of sightings (id, location_raw)."""
+    """(id, geo_method, lat, lng, needs_review) of sightings (id, location_raw).
+
+    What a stage leaves is stored, once, and the next stage reads that: none works out again what came before it.
+    """
     strings = sightings.select("location_raw").distinct()
+    form = ["location_raw", "method", "lat", "lng", "review"]
     point = gps(F.col("location_raw"))
-    by_text = strings.select("location_raw", point.alias("p")).filter(F.col("p").isNotNull()).select("location_raw", F.lit("gps").alias("method"), "p.lat", "p.lng", F.lit(False).alias("review"))
-    left = strings.join(by_text, "location_raw", "left_anti")
-    spot = lambda df, key: df.select(F.col("id").alias(key), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
-    by_name = places.by_gazetteer(left, gazetteer).join(spot(gazetteer, "gazetteer_id"), "gazetteer_id").select("location_raw", F.lit("gazetteer").alias("method"), "lat", "lng", F.lit(False).alias("review"))
-    left = left.join(by_name, "location_raw", "left_anti")
-    by_map = places.by_landmark(left, landmarks).join(spot(landmarks, "landmark_id"), "landmark_id").select("location_raw", F.lit("landmark").alias("method"), "lat", "lng", F.lit(False).alias("review"))
-    left = left.join(by_map, "location_raw", "left_anti")
-    by_model = left.join(checked_answers(answers, edges), F.col("location_raw") == F.col("input")).select("location_raw", F.lit("ai").alias("method"), "lat", "lng", (~F.col("wet")).alias("review"))
-    found = by_text.unionByName(by_name).unionByName(by_map).unionByName(by_model)
-    out = sightings.select("id", "location_raw").join(found, "location_raw", "left")
+    read = stored(strings.withColumn("p", point))
+    found = [read.filter("p is not null").select("location_raw", F.lit("gps").alias("method"), "p.lat", "p.lng", F.lit(False).alias("review"))]
+    left = read.filter("p is null").select("location_raw")
+
+    def stage(left: DataFrame, hits: DataFrame, known: DataFrame, key: str, method: str) -> DataFrame:
+        """Adds what the stage places, and returns what it leaves."""
+        spots = known.select(F.col("id").alias(key), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+        placed = hits.join(spots, key).select("location_raw", F.lit(method).alias("method"), "lat", "lng", F.lit(False).alias("review"))
+        both = stored(left.join(placed, "location_raw", "left").select(*form))
+        found.append(both.filter("method is not null"))
+        return both.filter("method is null").select("location_raw")
+
+    left = stage(left, places.by_gazetteer(left, gazetteer), gazetteer, "gazetteer_id", "gazetteer")
+    left = stage(left, places.by_landmark(left, landmarks), landmarks, "landmark_id", "landmark")
+    asked = answers.join(left.withColumnRenamed("location_raw", "input"), "input", "left_semi")
+    by_model = left.join(checked_answers(asked, edges), F.col("location_raw") == F.col("input"))
+    found.append(by_model.select("location_raw", F.lit("ai").alias("method"), "lat", "lng", (~F.col("wet")).alias("review")))
+    every = functools.reduce(DataFrame.unionByName, found)
+    out = sightings.select("id", "location_raw").join(every, "location_raw", "left")
     return out.select("id", F.coalesce("method", F.lit("unresolved")).alias("geo_method"), "lat", "lng", F.coalesce("review", F.lit(True)).alias("needs_review"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import records, text, vocab
 from tidemark.operators import changes, issues, measures, places, reads, resolve
+from tidemark.operators.scans import stored
 from tidemark.plans.store import SCHEMAS, Change, Conflict, Store  # noqa: F401
 from tidemark.sources import readers, static
 
@@ -208,7 +209,10 @@ SAID = ["sighting_date", "sighting_time", "species", "species_raw", "pod_or_grou
 
 def extracted(lines: DataFrame, calls: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
     """(answers by chunk, reports): newsletter_id, key_no, pos and SAID, of reports that repeat the first."""
-    requests = extraction_requests(lines, kept)
+    return _reports(extraction_requests(lines, kept), calls, kept)
+
+
+def _reports(requests: DataFrame, calls: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
     answers = kept(readers.answered(requests, calls.filter("stage = 'extract'").select("issue", "key_no", "stop_reason", F.col("text").alias("txt")), ["issue", "key_no"]))
     usable = answers.filter(F.col("state").isin("whole", "cut off")).select(F.struct("issue", "key_no", "species").alias("id"), "txt")
     read = records.normalized(records.parsed(usable).select("id", "pos", "r"), F.col("id.species"))
@@ -238,16 +242,17 @@ def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame,
     return stored, store.kept(whole.unionByName(changes.failed_runs(out.filter("sighting_count is null"), why)).drop("w"))
 
 
-def extract_sample(store: Store, lines: DataFrame, calls: DataFrame, species: str | None = None, out: str | None = None) -> DataFrame:
-    """The reports of the smallest chunk, or of all chunks of a species, as extraction gives them; also written to `out`."""
-    chosen = lines
-    _, reports = extracted(chosen, calls, store.kept)
-    if species is not None:
-        reports = reports.filter(F.col("species") == species)
+def extract_sample(store: Store, lines: DataFrame, calls: DataFrame, species: list[str] | str | None = None, out: str | None = None) -> DataFrame:
+    """The reports of the two smallest chunks, of all chunks ("all"), or of the chunks of some species' sections; also written to `out`.
+
+    Chunks are chosen before anything is read of their answers, and a chunk's species is its section's.
+    """
+    chunks = stored(extraction_requests(lines, store.kept).withColumn("n", F.length("prompt")))
+    if species is None:
+        chosen = chunks.orderBy("n", "issue", "key_no").limit(2)
     else:
-        size = issues.chunks(lines).select("issue", "species", F.length("text").alias("n"))
-        least = size.orderBy("n", "issue").limit(1).select(F.col("issue").alias("newsletter_id"), F.col("species").alias("least_species"))
-        reports = reports.join(F.broadcast(least), "newsletter_id").filter("species = least_species").drop("least_species")
+        chosen = chunks if species == "all" else chunks.filter(F.col("species").isin([species] if isinstance(species, str) else list(species)))
+    reports = _reports(chosen.drop("n"), calls, store.kept)[1]
     if out is not None:
         readers.write_result(reports, out)
     return reports
@@ -308,9 +313,10 @@ def retry_requests(answers: DataFrame, edges: DataFrame, gazetteer: DataFrame, l
 
     first = answers.filter("attempt = 1").filter(geo.placeable(F.col("confidence"), F.col("lat").cast("double"), F.col("lng").cast("double")))
     spots = first.select(F.col("input").alias("pid"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
-    dry = spots.join(geometry.covered(spots, edges), "pid", "left_anti")
+    spots = stored(spots)
+    dry = stored(spots.join(geometry.covered(spots, edges), "pid", "left_anti"))
     dry = dry.join(geometry.nearest(dry, edges), "pid").filter(F.round("metres").between(1, vocab.MOST_INLAND)).withColumnRenamed("pid", "input")
-    hints = retry_preamble(dry).select(F.col("input").alias("location_raw"), "hint")
+    hints = stored(retry_preamble(dry).select(F.col("input").alias("location_raw"), "hint"))
     strings = measures.numbered(hints, ["location_raw"], "n").withColumn("batch_no", F.floor((F.col("n") - 1) / vocab.BATCH))
     items = places.request_items(strings, places.located_pool(gazetteer, landmarks)).join(strings.select("location_raw", "hint", "batch_no"), "location_raw")
     before, after = AGAIN.split("{}")

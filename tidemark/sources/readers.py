@@ -19,7 +19,7 @@ CALLS = "stage string, attempt int, key_no bigint, stop_reason string, text stri
 
 def issue_texts(spark: SparkSession, path: str) -> DataFrame:
     """A row per file: issue (the file's name) and its text, made plain."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_name", r"\."), 1).alias("issue"), clean(F.col("value")).alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"(?<=.)\.[^.]*$", "").alias("issue"), clean(F.col("value")).alias("text"))
     return files
 
 

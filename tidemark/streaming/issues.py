@@ -10,7 +10,7 @@ from tidemark.functions.text import clean
 
 def new_issue_lines(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     files = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path, wholetext=True)
-    texts = files.select(F.element_at(F.split("_metadata.file_name", r"\."), 1).alias("issue"), clean(F.col("value")).alias("text"))
+    texts = files.select(F.regexp_replace("_metadata.file_name", r"(?<=.)\.[^.]*$", "").alias("issue"), clean(F.col("value")).alias("text"))
     return texts.select("issue", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
