@@ -102,7 +102,7 @@ def test_editing(spark, store):
     api.delete_place(store, 1)
     assert store.table("gazetteer").count() == 1 and api.landmarks(store).count() == 3
     facts = {r.table: (r.rows, r.versions) for r in store.check().collect()}
-    assert facts["gazetteer"] == (1, 5) and facts["calls"] == (0, 0)
+    assert facts["gazetteer"] == (1, 5) and facts["calls"] == (3, 1)
     api.delete_newsletters(store, "complete")
     assert store.table("sightings").count() == 0 and api.newsletters(store).count() == 0
 
@@ -190,15 +190,18 @@ def test_database_table(spark):
     assert got.rdd.getNumPartitions() == 4 and got.agg({"square": "sum"}).first()[0] == sum(i * i for i in range(100))
 
 
+def test_constants(spark):
+    from tidemark.functions import vocab
+    from tidemark.sources import static
+
+    assert sorted(map(tuple, static.sensors(spark).collect()), key=repr) == sorted([("hydrophone", *h, None) for h in vocab.HYDROPHONES] + [("webcam", *w) for w in vocab.WEBCAMS], key=repr)
+    assert sorted(map(tuple, static.label_bands(spark).collect())) == sorted(map(tuple, vocab.LABEL_ZOOM))
+    assert [(r.id, r.name, tuple(r.aliases), r.region) for r in static.seed_places(spark).orderBy("id").collect()] == [(i, x[0], tuple(x[1]), x[-1]) for i, x in enumerate(vocab.SEED_PLACES, 1)]
+
+
 def test_fallbacks(spark, tmp_path):
     from tidemark.sources import readers
 
-    df, source = readers.sightings_or_made_up(spark, str(tmp_path / "none"))
-    assert source == "made up" and 30 <= df.count() <= 70
-    spark.range(3).write.parquet(str(tmp_path / "odd"))
-    assert readers.sightings_or_made_up(spark, str(tmp_path / "odd"))[1] == "made up"
-    df.write.parquet(str(tmp_path / "good"))
-    assert readers.sightings_or_made_up(spark, str(tmp_path / "good"))[1] == "store"
     with pytest.warns(UserWarning):
         assert readers.rules_document(spark, str(tmp_path / "none.md")) is None
     (tmp_path / "rules.md").write_text("a\nb")

@@ -7,10 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_api import ingested
+from tests.test_api import ISSUE, ingested
 from tests.test_api import store as api_store  # noqa: F401
 from tidemark.plans import api
-from tidemark.plans.store import KEYED, SCHEMAS, Change, Conflict, Store, grouped_edits, edited  # noqa: F401
+from tidemark.plans.store import SCHEMAS, Change, Conflict, Store
 
 
 @pytest.fixture
@@ -187,6 +187,27 @@ def test_two_ingests_of_one_issue(spark, api_store, monkeypatch):  # noqa: F811
     assert runs == [] and api_store.table("newsletters").count() == 1 and api_store.table("sightings").count() == 5
 
 
+def test_second_answers_and_replay(spark, api_store, tmp_path):  # noqa: F811
+    """A second answer counts where the first lies on land near water, and nowhere else; the log gives the same run again."""
+    lines = spark.createDataFrame([("i1", i, x) for i, x in enumerate(ISSUE.split("\n"))], "issue string, line_no int, line string")
+    places_ = ["wet", "near", "far", "unplaced"]
+    reports = json.dumps([{"sighting_date": "2026-07-09", "location_raw": p} for p in places_])
+    spot = lambda p, lat, lng, confidence="high": {"input": p, "lat": lat, "lng": lng, "confidence": confidence}
+    first = [spot("wet", 47.6, -122.5), spot("near", 47.6, -122.28), spot("far", 48.6, -121.0), spot("unplaced", None, None, "none")]
+    second = [spot(p, 47.7, -122.6) for p in places_]
+    calls = [("i1", "extract", 1, 0, "end_turn", reports), ("i1", "geocode", 1, 0, "end_turn", json.dumps(first)), ("i1", "geocode", 2, 0, "end_turn", json.dumps(second)), ("other", "geocode", 1, 0, "end_turn", "[]")]
+    api.ingest(api_store, lines, spark.createDataFrame(calls, "issue string, stage string, attempt int, key_no bigint, stop_reason string, text string"))
+    found = lambda s: {r.location_raw: (r.lat, r.lng, r.geo_method, r.needs_review) for r in s.table("sightings").collect()}
+    assert found(api_store) == {"wet": (47.6, -122.5, "ai", False), "near": (47.7, -122.6, "ai", False), "far": (48.6, -121.0, "ai", True), "unplaced": (None, None, "unresolved", True)}
+    log = api_store.table("calls").collect()
+    assert sorted((r.stage, r.attempt, r.issue) for r in log) == [("extract", 1, "i1"), ("geocode", 1, "i1"), ("geocode", 2, "i1"), ("geocode request", 2, None)]
+    assert all(("GRAY WHALES" in r.request) if r.stage == "extract" else ("near" in r.request and "far" not in r.request.split("inland")[0]) if r.stage == "geocode request" else r.request is None for r in log)
+    other = Store(spark, str(tmp_path / "other"))
+    other.write("edges", api_store.table("edges"))
+    api.ingest(other, lines, api_store.table("calls"))
+    assert found(other) == found(api_store) and other.table("newsletters").first().warning_text == api_store.table("newsletters").first().warning_text == "MINKE WHALES: lacking"
+
+
 def test_purge(spark, api_store):  # noqa: F811
     rows = [("a", "failed"), ("b", "processing"), ("c", "complete")]
     api_store.append("newsletters", spark.createDataFrame(rows, "id string, status string"))

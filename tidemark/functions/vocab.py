@@ -87,23 +87,3 @@ SEED_PLACES = [
     ("East Point (Whidbey)", ["East Point"], 48.0900, -122.3500, "Saratoga Passage"),
     ("Olalla Bay", ["Olalla"], 47.4265, -122.5430, "Colvos Passage"),
 ]
-
-# What made-up sightings are drawn from: places with lat and lng, species, their pods, behaviours, directions.
-MADE_UP_PLACES = [
-    ("Haro Strait off Lime Kiln", 48.515, -123.16),
-    ("Admiralty Inlet off Bush Point", 48.03, -122.62),
-    ("Saratoga Passage off Langley", 48.05, -122.4),
-    ("Possession Sound", 47.93, -122.35),
-    ("Elliott Bay", 47.6, -122.38),
-    ("Colvos Passage off Olalla", 47.43, -122.55),
-    ("Rosario Strait", 48.55, -122.75),
-    ("President Channel", 48.65, -123.05),
-    ("Active Pass", 48.87, -123.3),
-    ("Port Townsend Bay", 48.09, -122.78),
-    ("Point No Point", 47.91, -122.52),
-    ("Penn Cove", 48.22, -122.7),
-]
-MADE_UP_SPECIES = ["biggs", "biggs", "biggs", "humpback", "humpback", "gray", "minke", "southern_resident", "unidentified_orca"]
-MADE_UP_PODS = {"biggs": ["T99s", "T46Bs", "T34s & T37s", "T77C & T77E", "T65As"], "southern_resident": ["J Pod", "L Pod"]}
-MADE_UP_BEHAVIORS = [["traveling"], ["foraging"], ["breaching", "traveling"], ["milling"], []]
-MADE_UP_DIRECTIONS = ["northbound", "southbound", "W", "SE", None]

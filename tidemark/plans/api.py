@@ -171,7 +171,9 @@ def ingest(store: Store, lines: DataFrame, calls: DataFrame) -> DataFrame:
     title is already complete or under way is left out. Its run is written as processing before the work; a refused or
     lacking answer costs its own chunk only and is a warning; an issue without a date or a sighting fails with that as
     its message, and if the work itself fails, all runs of this call do, and the error is raised again. Sightings become
-    visible by the commit that finishes their run, so a run that fails, or dies, leaves none, and can be run again.
+    visible by the commit that finishes their run, so a run that fails, or dies, leaves none, and can be run again. A second
+    answer for a location counts only if it was asked for: the first one lies on land, and not too far inland. The same
+    commit adds what was asked and answered to the table `calls`, from which the run can be replayed.
     """
     every = store.kept(lines.select("issue").distinct().join(issues.issue_dates(lines), "issue", "left").withColumn("pasted_at", F.current_timestamp()))
 
@@ -190,10 +192,11 @@ def ingest(store: Store, lines: DataFrame, calls: DataFrame) -> DataFrame:
     fresh = store.change(begin)
     runs = fresh.select(F.col("issue").alias("id"), "title", "pasted_at")
     try:
-        stored, finished = _worked(store, lines, calls, fresh, runs)
+        stored, finished, log = _worked(store, lines, calls, fresh, runs)
 
         def finish(c: Change) -> None:
             c.append("sightings", stored)
+            c.append("calls", log)
             c.patch("newsletters", changes.as_patches(finished, "status", "warning_text", "sighting_count", "date_from", "date_to"))
 
         store.change(finish)
@@ -220,13 +223,16 @@ def _reports(requests: DataFrame, calls: DataFrame, kept) -> tuple[DataFrame, Da
     return answers, measures.first_of(reports, ["newsletter_id", "sighting_date", F.coalesce("sighting_time", F.lit("")), F.lower("location_raw")], ["key_no", "pos"])
 
 
-def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sightings, finished runs), stored in the work folder; nothing of them is visible yet."""
+def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sightings, finished runs, calls), stored in the work folder; nothing of them is visible yet."""
     answers, reports = extracted(lines.join(fresh.filter("iso is not null").select("issue"), "issue", "left_semi"), calls, store.kept)
     first = store.kept(reports.withColumn("id", F.xxhash64("newsletter_id", "key_no", "pos")))
     placed = calls.filter("stage = 'geocode'").select(F.struct("issue", "attempt", "key_no").alias("id"), F.col("text").alias("txt"))
     located = records.parsed(placed).select(F.col("r.input").alias("input"), F.col("id.attempt").alias("attempt"), F.coalesce("r.confidence", F.lit("none")).alias("confidence"), "r.lat", "r.lng", "r.reasoning", F.struct("id.issue", "id.key_no", "pos").alias("place"))
     last = store.kept(measures.first_of(located, ["input", "attempt"], [F.desc("place")]).drop("place"))
+    again = store.kept(retry_requests(last, store.table("edges"), store.table("gazetteer"), store.table("landmarks")))
+    asked_again = again.select(F.explode("inputs").alias("input"), F.lit(2).alias("attempt"))
+    last = store.kept(last.filter("attempt = 1").unionByName(last.join(asked_again, ["input", "attempt"], "left_semi")))
     resolved = store.kept(resolve.resolved(first, store.table("gazetteer"), store.table("landmarks"), last, store.table("edges")))
     # What the model said of the place goes with rows that it was asked for, placed or not.
     said = last.groupBy(F.col("input").alias("location_raw")).agg(F.min_by("reasoning", "attempt").alias("ai_reasoning"), F.min_by("confidence", "attempt").alias("ai_confidence"))
@@ -239,7 +245,19 @@ def _worked(store: Store, lines: DataFrame, calls: DataFrame, fresh: DataFrame,
     none = F.array().cast("array<string>")
     whole = changes.finished_runs(out.filter("sighting_count > 0"), F.coalesce("w", none))
     why = F.when(F.col("title").isNull(), "no date was found").otherwise(F.concat_ws("; ", F.lit("no sightings were found"), F.coalesce("w", none)))
-    return stored, store.kept(whole.unionByName(changes.failed_runs(out.filter("sighting_count is null"), why)).drop("w"))
+    finished = store.kept(whole.unionByName(changes.failed_runs(out.filter("sighting_count is null"), why)).drop("w"))
+    return stored, finished, store.kept(_log(answers, calls, fresh, again))
+
+
+def _log(answers: DataFrame, calls: DataFrame, fresh: DataFrame, again: DataFrame) -> DataFrame:
+    """What was asked and answered, in the form of the recorded calls: chunks with their requests, answers on places, and the second requests on these.
+
+    A lacking answer leaves no row. Second requests are for the places of all issues at once, so they are rows without an issue or an answer.
+    """
+    chunks = answers.filter("state <> 'lacking'").select("issue", F.lit("extract").alias("stage"), F.lit(1).alias("attempt"), "key_no", "stop_reason", F.col("txt").alias("text"), F.col("prompt").alias("request"))
+    spots = calls.filter("stage = 'geocode'").join(fresh.select("issue"), "issue", "left_semi").select("issue", "stage", "attempt", "key_no", "stop_reason", "text")
+    second = again.select(F.lit("geocode request").alias("stage"), F.lit(2).alias("attempt"), F.col("batch_no").alias("key_no"), F.col("prompt").alias("request"))
+    return chunks.unionByName(spots, allowMissingColumns=True).unionByName(second, allowMissingColumns=True)
 
 
 def extract_sample(store: Store, lines: DataFrame, calls: DataFrame, species: list[str] | str | None = None, out: str | None = None) -> DataFrame:

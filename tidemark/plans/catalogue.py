@@ -707,39 +707,6 @@ def species_dim(v):
     return counted.join(F.broadcast(dim), F.col("species") == F.col("key"), "left").select("species", F.coalesce("label", "species").alias("label"), F.coalesce("orca", F.lit(False)).alias("orca"), "n")
 
 
-@query("", f"select key, label, orca from {SPECIES_SQL}")
-def static_dims(v):
-    from tidemark.sources import static
-
-    return static.species(v.spark)
-
-
-def values_sql(rows: list[tuple]) -> str:
-    said = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
-    return "(values " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + ")"
-
-
-@query("", f"select kind, name, cast(lat as double) as lat, cast(lng as double) as lng, facing from {values_sql([('hydrophone', *h, None) for h in vocab.HYDROPHONES] + [('webcam', *w) for w in vocab.WEBCAMS])} d(kind, name, lat, lng, facing)")
-def sensor_dims(v):
-    from tidemark.sources import static
-
-    return static.sensors(v.spark)
-
-
-@query("", f"select feature_class, min_zoom from {values_sql(vocab.LABEL_ZOOM)} d(feature_class, min_zoom)")
-def label_bands(v):
-    from tidemark.sources import static
-
-    return static.label_bands(v.spark)
-
-
-@query("", f"select cast(id as bigint) as id, name, aliases, cast(lat as double) as lat, cast(lng as double) as lng, region from {values_sql([(i, n, '|'.join(a), *x) for i, (n, a, *x) in enumerate(vocab.SEED_PLACES, 1)])} d(id, name, aliases, lat, lng, region)")
-def seed_places(v):
-    from tidemark.sources import static
-
-    return static.seed_places(v.spark).withColumn("aliases", F.array_join("aliases", "|"))
-
-
 @query("answers", "select pos, confidence, round(cast(lat as double), 6) as lat from v_answers where attempt = 1")
 def zip_unnest(v):
     packed = v.answers.filter("attempt = 1").groupBy(F.floor(F.col("pos") / 40).alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", "confidence", "lat"))).alias("a"))
@@ -988,34 +955,6 @@ def sources_roundtrip(v):
     return lines.groupBy("issue").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.sum("line_no").alias("numbers"), F.max("line_no").alias("last"))
 
 
-MADE_UP_SQL = f"""with recursive u as (select 0 as k, cast(20260715 as bigint) as s union all select k + 1, s * 48271 % 2147483647 from u where k < 900),
-  d as (select k, cast(s as double) / cast(2147483647 as double) as x from u),
-  r as (select 1 as day, 0 as i, 3 + cast(floor(x * 5) as int) as n, 1 as pos from d where k = 1
-    union all select case when i + 1 < n then day else day + 1 end, case when i + 1 < n then i + 1 else 0 end, case when i + 1 < n then n else 3 + cast(floor(b.x * 5) as int) end,
-      pos + 10 + cast(floor(a.x * 9) in (0, 1, 2, 7) as int) + case when i + 1 < n then 0 else 1 end
-    from r join d a on a.k = r.pos + 2 join d b on b.k = r.pos + 11 + cast(floor(a.x * 9) in (0, 1, 2, 7) as int) where day < 10 or i + 1 < n),
-  o as (select r.*, cast(floor(a.x * 9) as int) as kind, cast(floor(a.x * 9) in (0, 1, 2, 7) as int) as p from r join d a on a.k = r.pos + 2),
-  spots as (select row_number() over () - 1 as j, * from {values_sql(vocab.MADE_UP_PLACES)} t(name, lat, lng))
-  select 'fake-' || (row_number() over (order by day, i) - 1) as id, make_date(2026, 7, day) as sighting_date,
-    lpad(cast(6 + cast(floor(h.x * 14) as int) as varchar), 2, '0') || ':' || case when tm.x > 0.5 then '30' else '00' end as sighting_time, {vocab.MADE_UP_SPECIES}[kind + 1] as species,
-    case kind when 7 then {vocab.MADE_UP_PODS['southern_resident']}[1 + cast(floor(pod.x * 2) as int)] else case when p = 1 then {vocab.MADE_UP_PODS['biggs']}[1 + cast(floor(pod.x * 5) as int)] end end as pod_or_group,
-    1 + cast(floor(c.x * 6) as int) as sighting_count, ['northbound', 'southbound', 'W', 'SE', null][1 + cast(floor(w.x * 5) as int)] as direction,
-    ['traveling', 'foraging', 'breaching|traveling', 'milling', ''][1 + cast(floor(b.x * 5) as int)] as behaviors, s.name as location_raw,
-    round(s.lat + (y.x - 0.5) * 0.04, 6) as lat, round(s.lng + (z.x - 0.5) * 0.06, 6) as lng, case when g.x > 0.3 then 'gazetteer' else 'ai' end as geo_method, 'Demo sighting near ' || s.name || '.' as summary
-  from o join d q on q.k = pos + 1 join spots s on s.j = floor(q.x * 12) join d h on h.k = pos + 3 join d z on z.k = pos + 4 join d y on y.k = pos + 5 join d pod on pod.k = pos + 6
-    join d tm on tm.k = pos + 6 + p join d c on c.k = pos + 7 + p join d w on w.k = pos + 8 + p join d b on b.k = pos + 9 + p join d g on g.k = pos + 10 + p"""
-
-
-@query("", MADE_UP_SQL)
-def fake_rows(v):
-    """What stands in for sightings where there are none to read."""
-    from tidemark.sources import readers
-
-    rows, source = readers.sightings_or_made_up(v.spark, scratch(v, "nothing"))
-    assert source == "made up"
-    return rounded(rows.withColumn("behaviors", F.array_join("behaviors", "|")).drop("individual_ids", "reporter"), "lat", "lng")
-
-
 @query("landmarks", "select 'there' as source, count(*) as n from v_landmarks union all select 'lacking', 0")
 def landmarks_tolerant(v):
     """A table that is there, and one that is not: an empty one of its schema."""

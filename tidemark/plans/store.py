@@ -30,7 +30,7 @@ SCHEMAS = {
     "gazetteer": "id bigint, name string, aliases array<string>, lat double, lng double, region string",
     "landmarks": readers.LANDMARKS,
     "edges": "poly_id bigint, k int, x1 double, y1 double, x2 double, y2 double",
-    "calls": readers.CALLS,
+    "calls": f"issue string, {readers.CALLS}, request string",
 }
 #: Tables whose rows have a key, by which they are edited and bucketed.
 KEYED = {"newsletters": "id", "sightings": "id", "gazetteer": "id"}

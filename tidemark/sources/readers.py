@@ -116,19 +116,6 @@ def write_result(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def sightings_or_made_up(spark: SparkSession, path: str, columns: list[str] = ("id", "sighting_date", "species", "lat", "lng")) -> tuple[DataFrame, str]:
-    """Stored sightings and "store", or, where they can't be read or are something else, made-up ones and "made up"."""
-    try:
-        found = spark.read.parquet(path)
-        if set(columns) <= set(found.columns):
-            return found, "store"
-    except AnalysisException:
-        pass
-    from tidemark.sources.static import made_up_sightings
-
-    return made_up_sightings(spark), "made up"
-
-
 def rules_document(spark: SparkSession, path: str) -> str | None:
     """A document of rules for placing locations, whole; without it, requests go without, with a warning."""
     try:

@@ -1,13 +1,11 @@
-"""Relations that are constants, and rows made up for development."""
+"""Relations that are constants."""
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.vocab import BANNERS, HYDROPHONES, LABEL_ZOOM, MADE_UP_BEHAVIORS, MADE_UP_DIRECTIONS, MADE_UP_PLACES, MADE_UP_PODS, MADE_UP_SPECIES, SEED_PLACES, SPECIES, WEBCAMS
+from tidemark.functions.vocab import BANNERS, HYDROPHONES, LABEL_ZOOM, SEED_PLACES, SPECIES, WEBCAMS
 
 
 def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
@@ -45,33 +43,3 @@ def sensors(spark: SparkSession) -> DataFrame:
 def seed_places(spark: SparkSession) -> DataFrame:
     """(id, name, aliases, lat, lng, region): verified places to start with."""
     return spark.createDataFrame([(i, *x) for i, x in enumerate(SEED_PLACES, 1)], "id bigint, name string, aliases array<string>, lat double, lng double, region string")
-
-
-MADE_UP = "id string, sighting_date date, sighting_time string, species string, pod_or_group string, individual_ids array<string>, sighting_count int, direction string, behaviors array<string>, location_raw string, lat double, lng double, geo_method string, reporter string, summary string"
-
-
-def made_up_sightings(spark: SparkSession, seed: int = 20260715, days: int = 10) -> DataFrame:
-    """3 to 7 sightings a day, drawn one after the other from a Lehmer generator; the same for a seed.
-
-    A sighting of a kind that has pods takes one number more than others, so numbers depend on all before them: the
-    few rows are made on the driver.
-    """
-
-    def numbers(s: int):
-        while True:
-            s = s * 48271 % 2147483647
-            yield s / 2147483647
-
-    draw, rows = numbers(seed), []
-    one_of = lambda options: options[int(next(draw) * len(options))]
-    for day in range(1, days + 1):
-        for _ in range(3 + int(next(draw) * 5)):
-            (name, lat, lng), kind = one_of(MADE_UP_PLACES), one_of(MADE_UP_SPECIES)
-            hour = 6 + int(next(draw) * 14)
-            lng, lat = lng + (next(draw) - 0.5) * 0.06, lat + (next(draw) - 0.5) * 0.04
-            pod = one_of(MADE_UP_PODS[kind]) if kind in MADE_UP_PODS else None
-            time = f"{hour:02}:{'30' if next(draw) > 0.5 else '00'}"
-            count, way, doing = 1 + int(next(draw) * 6), one_of(MADE_UP_DIRECTIONS), one_of(MADE_UP_BEHAVIORS)
-            method = "gazetteer" if next(draw) > 0.3 else "ai"
-            rows.append((f"fake-{len(rows)}", date(2026, 7, day), time, kind, pod, [], count, way, doing, name, lat, lng, method, "Demo Data", f"Demo sighting near {name}."))
-    return spark.createDataFrame(rows, MADE_UP)
