@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+import sys
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bracket_readings, norm
 from tidemark.functions.vocab import GENERIC_NAMES, MOST_ANCHORS, SHORTEST_ANCHOR, WATER_CLASSES
+from tidemark.operators.scans import stored
 
+# The search travels by value, so that a worker needs no copy of the repository.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LONG_HEAD = 8
+#: Bytes of names that one automaton holds (it takes about 40 times as many); up to that, they are broadcast.
+MOST_TABLE = 4 << 20
+#: Tasks that share the readings of one table of names beyond that.
+SHARES = 16
 
 
 def by_gazetteer(strings: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -48,19 +60,71 @@ def located_pool(gazetteer: DataFrame, landmarks: DataFrame) -> DataFrame:
     return names.unionByName(aliases).unionByName(federal.select(F.lit(2).alias("source"), F.col("id").cast("long").alias("id"), "name", F.col("feature_class").alias("type"), "county", *spot))
 
 
-def anchors(strings: DataFrame, pool: DataFrame, most: int = MOST_ANCHORS, group: str = "location_raw") -> DataFrame:
-    """(group, source, id, name, place): pool names that occur in any reading of a string, longest first, `most` at most.
+def automaton(names: list[str]):
+    table = ahocorasick.Automaton()
+    for name in names:
+        table.add_word(name, name)
+    table.make_automaton()
+    return table
+
+
+def found_rows(readings: list[str], table) -> pa.RecordBatch:
+    """(reading, needle) for each name that a reading has, by one pass over it."""
+    rows = [(r, n) for r in readings for n in {n for _, n in table.iter(r)}] if len(table) else []
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], names=["reading", "needle"])
+
 
-    Names and readings meet in an equi-join on the first letters of every suffix of the reading rather than in a loop over
-    all pairs: on the first `LONG_HEAD` of names that are so long, which few others share, else on `SHORTEST_ANCHOR`.
+def occurrences(readings: DataFrame, needles: DataFrame) -> DataFrame:
+    """(reading, needle) for each distinct name (needle, at least SHORTEST_ANCHOR letters) that a reading contains.
+
+    Names up to MOST_TABLE bytes are one automaton, built once a Python worker. More are dealt to tables of that size by their
+    first letters; a reading goes to the tables that its own letters name, to one of SHARES tasks each, and each task reads its
+    table's names before its readings.
     """
+    needles = stored(needles.distinct())
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
+    form = "reading string, needle string"
+    if size <= MOST_TABLE:
+        known = needles.sparkSession.sparkContext.broadcast(sorted(r.needle for r in needles.collect()))
+
+        def search(batches):
+            table = automaton(known.value)
+            for batch in batches:
+                yield found_rows(batch.column(0).to_pylist(), table)
+
+        return readings.select("reading").distinct().mapInArrow(search, form)
+    tables = -(-size // MOST_TABLE)
+    table_of = lambda letters: F.pmod(F.xxhash64(letters), F.lit(tables))
+    share = F.pmod(F.xxhash64("reading", F.lit(1)), F.lit(SHARES))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("reading") - SHORTEST_ANCHOR + 1, F.lit(1)))
+    named = F.array_distinct(F.transform(starts, lambda i: table_of(F.substr("reading", i, F.lit(SHORTEST_ANCHOR)))))
+    sent = readings.select("reading").distinct().select(F.explode(named).alias("table"), share.alias("share"), F.lit(1).alias("kind"), F.col("reading").alias("text"))
+    known = needles.select(table_of(F.left("needle", F.lit(SHORTEST_ANCHOR))).alias("table"), F.explode(F.sequence(*(F.lit(i).cast("long") for i in (0, SHARES - 1)))).alias("share"), F.lit(0).alias("kind"), F.col("needle").alias("text"))
+
+    def search_dealt(batches):
+        place, names, table = None, [], None
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for (own, kind), some in itertools.groupby(rows, key=lambda r: (r[:2], r[2])):
+                texts = [r[3] for r in some]
+                if own != place:
+                    place, names, table = own, [], None
+                if kind == 0:
+                    names += texts
+                else:
+                    table = table or automaton(names)
+                    yield found_rows(texts, table)
+
+    keys = ["table", "share"]
+    return known.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(search_dealt, form)
+
+
+def anchors(strings: DataFrame, pool: DataFrame, most: int = MOST_ANCHORS, group: str = "location_raw") -> DataFrame:
+    """(group, source, id, name, place): pool names that occur in any reading of a string, longest first, `most` at most."""
     names = pool.withColumn("needle", F.lower("name")).filter((F.length("needle") >= SHORTEST_ANCHOR) & ~F.col("needle").isin(GENERIC_NAMES))
-    names = names.withColumn("head", F.left("needle", F.when(F.length("needle") >= LONG_HEAD, LONG_HEAD).otherwise(SHORTEST_ANCHOR)))
-    readings = strings.select(*dict.fromkeys([group, "location_raw"])).distinct().withColumn("reading", F.explode(F.transform(bracket_readings(F.col("location_raw")), F.lower)))
-    at = F.sequence(F.lit(1), F.greatest(F.length("reading") - SHORTEST_ANCHOR + 1, F.lit(1)))
-    of_length = lambda n: F.transform(at, lambda i: F.substr("reading", i, F.lit(n)))
-    heads = readings.withColumn("head", F.explode(F.array_union(of_length(SHORTEST_ANCHOR), F.filter(of_length(LONG_HEAD), lambda h: F.length(h) == LONG_HEAD))))
-    hits = heads.join(names, "head").filter(F.contains("reading", F.col("needle"))).select(group, "source", "id", "name").distinct()
+    readings = strings.filter("location_raw is not null").select(*dict.fromkeys([group, "location_raw"])).distinct().withColumn("reading", F.explode(F.transform(bracket_readings(F.col("location_raw")), F.lower)))
+    found = occurrences(readings, names.select("needle"))
+    hits = readings.select(group, "reading").join(found, "reading").select(group, "needle").distinct().join(names, "needle").select(group, "source", "id", "name").distinct()
     order = Window.partitionBy(group).orderBy(F.length("name").desc(), "source", "id", "name")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
