@@ -134,6 +134,47 @@ def test_deep_pages_take_linear_time():
     assert spent[1] < 40 * max(spent[0], 0.05)
 
 
+@pytest.mark.parametrize(
+    "shape",
+    [
+        lambda n: "<i>" * n + "<b>" * n + "x" + "</i>" * n,
+        lambda n: '<a "' * n,
+        lambda n: "<a " * n,
+        lambda n: '<a "\'>' * n + "<",
+        lambda n: "<title><body>" * n + "</title>",
+        lambda n: "<title>" * n + "</title " * n,
+        lambda n: "<template>" * n + "</template>" * n,
+        lambda n: "<b><div>" + "<svg>" * n + "</b>" * n,
+        lambda n: "<div><template>" + "<p>" * n + "</div>" * n + "</template>",
+        lambda n: "<p><center>" * n + "</div>" * n,
+        lambda n: "<ul><li><form>" * n,
+        lambda n: "<!" * n,
+    ],
+)
+def test_hostile_pages_take_linear_time(shape):
+    import time
+
+    n = 1_000_000 // (len(shape(1000)) // 1000)
+    at = time.process_time()
+    html_text.blocks_of(shape(n))
+    assert time.process_time() - at < 5
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<a>l<i>m<b>n</i>o</a>p", [("lmnop", 0.8)]),
+        ("<b><i><svg></b><a>y</a></svg>z", [("y", 1.0), ("z", 0.0)]),
+        ("<a>x<svg><text></a>y</svg>z", [("x", 1.0), ("y", 0.0), ("z", 0.0)]),
+        ("<p 'a>b'>x<p \"a>b", [("x", 0.0), ("b", 0.0)]),
+        ("<table><tr><td><p>a<td>b<tr><td>c", [("a", 0.0), ("b", 0.0), ("c", 0.0)]),
+        ("<!-->a--><p>b<!-- c", [("b", 0.0)]),
+    ],
+)
+def test_open_elements(page, want):
+    assert [(b[0], round(b[2], 3)) for b in html_text.blocks_of(page)] == want
+
+
 def test_path_slots():
     (block,) = html_text.blocks_of("<div class='Main-Menu x'><ul id=top><li><b>word</b></ul></div>")
     want = ["t:div", "t:ul", "t:li", "m:main", "m:menu", "m:main-menu", "m:x", "m:top", "l:li"]

@@ -12,14 +12,18 @@ import html
 import random
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)", re.S)
+#: What a tag holds up to its >, quoted or not. Possessive: no place is tried twice. Quotes permute the three states (outside, in
+#: one kind, in the other), so scans from several tags differ in their state wherever they pass, and at most three pass a place.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Elements whose content is no markup and no text of a page, whose text is not shown or is a form's, that leave
@@ -34,6 +38,18 @@ EMPTY = set("area base br col embed hr img input link meta param source track wb
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 CHOICES = {"option", "optgroup", "hr", *INLINE}
 FENCES = {"ul", "ol", "table", "dl", "article", "section", "div", "main", "body", "td", "blockquote"}
+# An inline end tag looks through these for its element.
+OPEN = CLEAR | {"select", "option", "optgroup"}
+
+
+class Frame:
+    """An element that is not inline, and the inline ones that stand open right in it, in order; closed ones are None."""
+
+    __slots__ = ("name", "path", "silent", "fence", "inline")
+
+    def __init__(self, name: str, path: tuple, silent: bool, fence: int):
+        self.name, self.path, self.silent, self.fence = name, path, silent, fence
+        self.inline: list[str | None] = []
 
 
 def blocks_of(page: str) -> list[tuple[str, tuple, float]]:
@@ -43,80 +59,107 @@ def blocks_of(page: str) -> list[tuple[str, tuple, float]]:
     memory grow with the page, however deep it is.
 
     A head is not an element of its own here: what may stand in it has no text of the page, and all else is the body's,
-    whether or not its tags are there. A select ends where anything but its choices begins.
+    whether or not its tags are there. A select ends where anything but its choices begins. A < without a > after it is text.
+
+    Linear in the page, whatever its shape: no open element is moved or looked through. `depths` knows where each name is
+    open, `inlines` the same of inline ones with their place in their frame, and a frame the innermost one at or below
+    it that an inline end tag doesn't look through.
     """
     out: list = []
-    # Of each open element: its name, path, whether its text is silent, whether it is in a link.
-    stack: list[tuple[str, tuple, bool, bool]] = []
-    opened: Counter = Counter()
+    frames = [Frame("", (), False, 0)]
+    depths: defaultdict[str, list[int]] = defaultdict(list)
+    inlines: defaultdict[str, list[tuple[int, int]]] = defaultdict(list)
     parts: list[str] = []
     linked = at = 0
+    last = page.rfind(">")
 
     def push(name: str, mark: str = "") -> None:
-        path, silent, link = stack[-1][1:] if stack else ((), False, False)
-        stack.append((name, (path, mark) if mark else path, silent or name in SILENT, link or name == "a"))
-        opened[name] += 1
-
-    def drop(i: int, only: bool = False) -> None:
-        """Closes element i and all within it, or element i only."""
-        gone = stack[i:]
-        del stack[i:]
-        opened.subtract(x[0] for x in gone)
-        for x in gone[1:] if only else ():
-            push(x[0], x[1][1] if x[1] and x[0] not in INLINE and x[0] not in CLEAR and x[0] not in SILENT else "")
+        top = frames[-1]
+        depths[name].append(len(frames))
+        frames.append(Frame(name, (top.path, mark) if mark else top.path, top.silent or name in SILENT, top.fence if name in OPEN else len(frames)))
+
+    def bare(frame: Frame, keep: int = 0) -> None:
+        """Closes the frame's inline elements, but for the first ones."""
+        for name in reversed(frame.inline[keep:]):
+            if name:
+                inlines[name].pop()
+        del frame.inline[keep:]
+
+    def drop(depth: int) -> None:
+        """Closes the frame at that depth and all within it."""
+        while len(frames) > depth:
+            gone = frames.pop()
+            bare(gone)
+            depths[gone.name].pop()
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, stack[-1][1] if stack else (), min(1.0, linked / max(1, sum(map(len, parts))))))
+            out.append((text, frames[-1].path, min(1.0, linked / max(1, sum(map(len, parts))))))
         parts.clear()
         linked = 0
 
-    absent: set[str] = set()
+    found: dict[str, tuple[int, int] | None] = {}
 
-    def ends(what: str, at: int):
-        """The next place of an end tag, if there is one; each is looked for in vain once."""
-        found = None if what in absent else re.compile(rf"{what}\b[^>]*>", re.I).search(page, at)
-        if found is None:
-            absent.add(what)
-        return found
+    def ends(what: str, at: int) -> tuple[int, int] | None:
+        """Start and end of the next such tag, if there is one; the page is read once for each kind."""
+        known = found.get(what, (-1, -1))
+        if known and known[0] < at:
+            m = re.compile(rf"{what}\b", re.I).search(page, at)
+            known = found[what] = (m.start(), page.find(">", m.end()) + 1) if m and m.end() <= last else None
+        return known
 
     def skipped(name: str, at: int) -> int:
         """Where the page goes on after the content of a raw element; one without its end tag has no content, or is a script."""
         stop = ends(f"</{name}", at)
         if name == "title":
             body = ends("(?:</head|<body)", at)
-            if body and (stop is None or body.start() < stop.start()):
-                return body.start()
+            if body and (stop is None or body[0] < stop[0]):
+                return body[0]
             if stop is None:
                 return page.find("<", at) if page.find("<", at) >= 0 else len(page)
-        return stop.end() if stop else len(page) if name in ("script", "style") else at
+        return stop[1] if stop else len(page) if name in ("script", "style") else at
 
     def choose(name: str) -> None:
-        """Ends an open select at the start of what is no choice of it."""
-        if name not in CHOICES and opened["select"] > 0:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "select":
-                    drop(i)
-                    break
-                if stack[i][0] not in CHOICES:
-                    break
+        """Ends an open select at the start of what is no choice of it; nothing but choices can be open within."""
+        if name not in CHOICES and depths["select"]:
+            drop(depths["select"][-1])
+
+    def fenced(closable: set[str]) -> None:
+        """Closes the outermost element that a new one closes, up to the next fence."""
+        fence = max((depths[x][-1] for x in (FENCES | SILENT) - closable if depths[x]), default=0)
+        outer = [depths[x][i] for x in closable if (i := bisect_right(depths[x], fence)) < len(depths[x])]
+        if outer:
+            drop(min(outer))
 
     while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        end, name, attributes, text = m.groups()
-        if name is None and text is None:
+        m, begun = None, at
+        if page.startswith("<!--", at):
+            at = page.find("-->", at + 4) + 3
+            if at < 3:
+                break
             continue
-        if text is not None:
-            if not stack or not stack[-1][2]:
-                parts.append(text)
-                if stack and stack[-1][3]:
-                    linked += len(text)
+        if page[at] == "<" and at < last:
+            if page[at + 1] in "!?":
+                at = page.find(">", at) + 1
+                continue
+            m = TAG.match(page, at) or NAME.match(page, at)
+        if m is None:
+            at = page.find("<", at + 1) if page[at] != "<" else at + 1
+            at = len(page) if at < 0 else at
+            if not frames[-1].silent:
+                parts.append(page[begun:at])
+                if inlines["a"]:
+                    linked += at - begun
             continue
-        name = name.lower()
-        closed = m.group(0).endswith("/>")
+        if m.re is NAME:
+            at = page.find(">", m.end()) + 1
+            attributes = page[m.end() : at - 1]
+        else:
+            at, attributes = m.end(), m.group(3)
+        end, name = m.group(1), m.group(2).lower()
+        closed = page[at - 2] == "/"
         if name == "head":
             close()
             continue
@@ -129,44 +172,37 @@ def blocks_of(page: str) -> list[tuple[str, tuple, float]]:
             continue
         if not end:
             choose(name)
+        top = frames[-1]
         if name in INLINE:
             if name in ("br", "img", "wbr"):
                 parts.append(" ")
             elif end:
-                inside = len(stack)
-                for i in range(len(stack) - 1, -1, -1) if opened[name] > 0 else ():
-                    if stack[i][0] == name:
-                        drop(i, only=inside == len(stack))
-                        break
-                    if stack[i][0] in CLEAR or stack[i][0] in ("select", "option", "optgroup"):
-                        inside = i
-                    elif stack[i][0] not in INLINE:
-                        break
+                if inlines[name] and inlines[name][-1][0] >= top.fence:
+                    depth, place = inlines[name][-1]
+                    if depth == len(frames) - 1:  # what was opened after it stays open
+                        inlines[name].pop()
+                        top.inline[place] = None
+                    else:
+                        drop(depth + 1)
+                        bare(frames[-1], place)
             elif not closed or name not in MATHS:
-                push(name)
+                inlines[name].append((len(frames) - 1, len(top.inline)))
+                top.inline.append(name)
             continue
         close()
         if not end and (name in CLEAR or name in SILENT):
             if not closed and (name != "template" or ends("</template", at)):
                 push(name)
             continue
-        while stack and stack[-1][0] in INLINE:
-            drop(len(stack) - 1)
+        bare(top)
         if end:
-            for i in range(len(stack) - 1, -1, -1) if opened[name] > 0 else ():
-                if stack[i][0] == name:
-                    drop(i)
-                    break
-                if stack[i][0] == "template":
-                    break
-            if name == "template" and opened[name] > 0 and not ends("</template", at):
-                drop(next(i for i, x in enumerate(stack) if x[0] == "template"))
+            if depths[name] and (not depths["template"] or depths[name][-1] >= depths["template"][-1]):
+                drop(depths[name][-1])
+            if name == "template" and depths[name] and not ends("</template", at):
+                drop(depths[name][0])
         elif name not in EMPTY:
-            for i in range(len(stack) - 1, -1, -1) if any(opened[x] > 0 for x in CLOSES.get(name, ())) else ():
-                if stack[i][0] in CLOSES.get(name, ()):
-                    drop(i)
-                elif stack[i][0] in FENCES or stack[i][0] in SILENT:
-                    break
+            if name in CLOSES:
+                fenced(CLOSES[name])
             marks = " ".join(filter(None, (a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)))) if attributes else ""
             push(name, f"{name} {marks.lower()}" if marks else name)
     close()
