@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.layouts import LAYOUTS, TEXTS, filled
 from tidemark.llm import chat, html_text, media, queries, url_filter
 
 
@@ -245,6 +246,17 @@ def test_labeller_on_new_layouts():
     assert wrong < 0.04 * blocks
 
 
+def test_labeller_on_layouts_by_hand(spark):
+    names = sorted(LAYOUTS)
+    df = spark.createDataFrame([(i, None, filled(LAYOUTS[name])) for i, name in enumerate(names)], "page_id long, url string, html string")
+    marks = {}
+    for r in html_text.main_text(df).collect():
+        got = r.text.split("\n") if r.text else []
+        marks[names[r.page_id]] = 2 * len(set(got) & set(TEXTS)) / (len(got) + len(TEXTS))
+    assert len(marks) == len(LAYOUTS) > 30 and min(marks.values()) >= 0.75, marks
+    assert sum(marks.values()) / len(marks) >= 0.95, marks
+
+
 @pytest.mark.parametrize("scheme", [media.PLAIN, media.LZW, media.DEFLATE, media.PACKBITS])
 @pytest.mark.parametrize("order", ["<", ">"])
 def test_tiff_round_trip(scheme, order):

@@ -304,7 +304,7 @@ def scores(model: dict, x: np.ndarray, mask: np.ndarray, training: bool = False)
     return both @ model["out"]["x"] + model["out"]["b"], both, kept_f, kept_b
 
 
-def trained(pages: int = 2400, epochs: int = 8, batch: int = 24, rate: float = 0.01, seed: int = 5) -> dict:
+def trained(pages: int = 3600, epochs: int = 8, batch: int = 24, rate: float = 0.01, seed: int = 5) -> dict:
     """A model learned from made-up pages; the same each time."""
     rng, make = np.random.default_rng(seed), random.Random(seed)
     lstm = lambda: {"x": rng.normal(0, 0.1, (SIZE, 4 * HIDDEN)).astype(np.float32), "h": rng.normal(0, 0.2, (HIDDEN, 4 * HIDDEN)).astype(np.float32), "b": np.zeros(4 * HIDDEN, np.float32)}
@@ -353,6 +353,8 @@ def model() -> dict:
 SYLLABLES = "ba be bi bo da de di do ka ke la le li ma me mi na ne no pa po ra re ri sa se si ta te ti to va ve un er en ing ou ei sch tion eau ón ß".split()
 # Words of page furniture, as a rule does not have them from anywhere else.
 FURNITURE = "home about contact menu search login register subscribe newsletter cookies accept privacy terms copyright share tweet follow related popular advertisement sponsored reply comment comments submit email archive tags category next previous".split()
+# Names that say where a box stands, not what it holds; any box may have them.
+NEUTRAL = "col row grid span box wrap flex block panel unit inner outer left right center wide cell part area section group item view frame".split()
 
 
 def made_up_page(r: random.Random) -> tuple[str, set[str]]:
@@ -373,6 +375,17 @@ def made_up_page(r: random.Random) -> tuple[str, set[str]]:
         kind = "" if r.random() < bare else f' {r.choice(["class", "class", "class", "id"])}="{r.choice(names)}{r.choice(["", "", "-" + word(), " " + word()])}"'
         return f"<{tag}{kind}>{inner}</{tag}>"
 
+    def neutral() -> str:
+        size = lambda: r.choice(["", "", "-", "_"]) + str(r.randint(1, 16))
+        one = lambda: r.choice([r.choice(NEUTRAL), r.choice(NEUTRAL), word()]) + r.choice(["", size(), f"-{r.choice(['xs', 'sm', 'md', 'lg', 'xl'])}{size()}", f"-{word()}"])
+        return " ".join(one() for _ in range(r.randint(1, 3)))
+
+    def boxed(inner: str, p: float = 0.15) -> str:
+        """In one or more boxes with names that say nothing."""
+        while inner and r.random() < p:
+            inner, p = f'<{(n := named("div", "div", "div", "section"))} {named("class", "class", "id")}="{neutral()}">{inner}</{n}>', 0.4
+        return inner
+
     def links(n: int) -> str:
         items = [f'<a href="/{word()}">{label()}</a>' for _ in range(n)]
         return f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>" if r.random() < 0.7 else r.choice([" ", " | ", ""]).join(items)
@@ -403,11 +416,17 @@ def made_up_page(r: random.Random) -> tuple[str, set[str]]:
         inner = r.choice([inner, f"<p>{inner}</p>", inner + links(r.randint(1, 5))])
         return marked("footer", ["footer", "site-footer"], inner, 0.7) if r.random() < 0.75 else marked("div", ["footer", "site-footer", "copyright", "legal", "bottom"], inner, 0)
 
+    plain = named(*["p"] * 17, "div", "div", "pre")  # what holds the page's paragraphs
+
     def paragraph() -> str:
         text = prose()
         kind = r.random()
-        if kind < 0.55:
+        if plain != "p" and kind < 0.73:
+            return f"<{plain}>{keep(text)}</{plain}>"
+        if kind < 0.5:
             return f"<p>{keep(text)}</p>"
+        if kind < 0.55:
+            return boxed(f"<p>{keep(text)}</p>", 0.5) if r.random() < 0.5 else f'<p class="{neutral()}">{keep(text)}</p>'
         if kind < 0.65:
             keep(text)
             first, _, rest = text.partition(" ")
@@ -434,6 +453,8 @@ def made_up_page(r: random.Random) -> tuple[str, set[str]]:
             if r.random() < 0.1:
                 inner += r.choice([advert, side, notice, form, form])()
         tag = r.random()
+        if tag < 0.2:
+            return boxed(boxed(title, 0.1) + boxed(inner, 0.2), 1)
         if tag < 0.55:
             return marked("article", ["article", "post", "entry", "hentry"], title + inner, 0.7)
         if tag < 0.7:
@@ -442,12 +463,16 @@ def made_up_page(r: random.Random) -> tuple[str, set[str]]:
             return marked("div", ["content", "article", "post", "entry", "article-body", "post-content", "entry-content", "main", "story", "text", "body"], title + inner, 0.1)
         return title + inner
 
-    some = lambda f, p: f() if r.random() < p else ""
+    some = lambda f, p: boxed(f()) if r.random() < p else ""
     if r.random() < 0.06:  # nothing but text
         return "".join(paragraph() for _ in range(r.randint(1, 8))), main
     header = lambda: marked("header", ["header", "site-header"], r.choice([f"<h2>{words(1, 3)}</h2>", f"<p>{sentence()}</p>", f"<a href=/>{words(1, 2)}</a>", words(1, 4)]) + some(nav, 0.5), 0.6) if r.random() < 0.7 else marked("div", ["header", "site-header", "masthead", "top", "logo"], words(1, 5), 0)
     body = some(notice, 0.2) + some(header, 0.4) + some(nav, 0.75) + r.choice(["", "<!-- ad 1 -->"]) + some(advert, 0.5) + some(side, 0.2)
-    body += article() + some(advert, 0.2) + some(comments, 0.3) + some(side, 0.25) + some(form, 0.15) + some(notice, 0.1) + some(footer, 0.8)
+    if r.random() < 0.05:  # cells of a table
+        cells = [f"<td>{some(nav, 1)}{some(side, 0.3)}</td>", f"<td>{article()}</td>"]
+        body = f"<table><tr><td colspan=2>{some(header, 0.8)}</td></tr><tr>{''.join(cells)}</tr><tr><td colspan=2>{some(footer, 0.7)}</td></tr></table>"
+        return f"<html><head><title>{words(2, 8)}</title></head><body>{body}</body></html>", main
+    body += boxed(article(), 0.1) + some(advert, 0.2) + some(comments, 0.3) + some(side, 0.25) + some(form, 0.15) + some(notice, 0.1) + some(footer, 0.7)
     if r.random() < 0.3:
         body = marked("div", ["wrapper", "page", "container", "site", "layout"], body, 0)
     return f"<html><head><title>{words(2, 8)}</title></head><body>{body}</body></html>", main
