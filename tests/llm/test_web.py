@@ -312,6 +312,55 @@ def test_tiff_that_claims_too_much():
     assert list(media.pages_of(tiled))[0][3]
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("bits", [1, 2, 4, 8, 16, 32])
+def test_sample_sizes_and_bit_order(bits, order):
+    rng = random.Random(bits)
+    rows = [[rng.randrange(1 << bits) for _ in range(13)] for _ in range(5)]
+    if bits < 8:
+        lines = ["".join(f"{v:0{bits}b}" for v in row) for row in rows]
+        body = b"".join(int(x.ljust(-(-len(x) // 8) * 8, "0"), 2).to_bytes(-(-len(x) // 8)) for x in lines)
+    else:
+        body = b"".join(v.to_bytes(bits // 8, "little" if order == "<" else "big") for row in rows for v in row)
+    turned = lambda data: bytes(int(f"{b:08b}"[::-1], 2) for b in data)
+    for stored, scheme, fill in ((body, 1, 1), (turned(body), 1, 2), (turned(zlib.compress(body)), 8, 2), (zlib.compress(body), 8, 1)):
+        ((_, facts, data, error),) = media.pages_of(plain_tiff(order, stored, 13, 5, scheme, 1, {258: (3, bits), 266: (3, fill)}.items()))
+        assert error is None and facts["bits"] == bits
+        assert np.frombuffer(data, f"u{max(1, bits // 8)}").tolist() == [v for row in rows for v in row]
+
+
+def test_strips_that_share_their_bytes(spark):
+    strip, n = zlib.compress(bytes(64_000), 9), 200
+    tags = [(256, 4, 1, 1000), (257, 4, 1, 64 * n), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, n, None), (277, 3, 1, 1), (278, 4, 1, 64), (279, 4, n, None)]
+    at = 8 + len(strip) + len(strip) % 2
+    beyond = at + 2 + 12 * len(tags) + 4
+    entries = b"".join(struct.pack("<HHII", tag, kind, count, beyond + 4 * n * (tag == 279) if value is None else value) for tag, kind, count, value in tags)
+    file = (b"II*\0" + struct.pack("<I", at) + strip).ljust(at, b"\0") + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + struct.pack("<I", 8) * n + struct.pack("<I", len(strip)) * n
+    assert len(file) < 2500
+    ((_, facts, data, error),) = media.pages_of(file)
+    assert error is None and data == bytes(64_000 * n) and facts["height"] == 64 * n
+    df = spark.createDataFrame([(1, file)], "doc_id long, media binary")
+    assert media.tiff_pages(df, most=64_000 * n - 1).first().error == f"a page of over {64_000 * n - 1} bytes"
+    assert media.tiff_pages(df, most=64_000 * n).first().error is None
+
+
+def test_lzw_without_clears():
+    # A literal 0, then each code is the entry that the one before it makes: 1, 2, 3, ... zeros; then the longest ones again.
+    codes = [256, 0, *range(258, 4094), *[4093, 258, 7, 4000] * 1000]
+    width = lambda i: 9 if i < 255 else 10 if i < 767 else 11 if i < 1791 else 12
+    bits = "".join(f"{c:0{width(i)}b}" for i, c in enumerate(codes))
+    stored = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+    want = bytes(sum(range(1, 3838))) + (bytes(4093 - 256 + 2) + b"\7" + bytes(4000 - 256)) * 1000
+    assert media.lzw_decode(stored) == want
+    assert len(media.lzw_decode(stored, 8_000_000)) < 8_010_000
+    ((_, _, data, error),) = media.pages_of(plain_tiff("<", stored, len(want), 1, 5))
+    assert error is None and data == want
+
+
+def test_missing_strips_are_told():
+    assert "missing" in list(media.pages_of(plain_tiff("<", bytes(30), 10, 9, 1, 1, {278: (4, 3)}.items())))[0][3]
+
+
 def test_every_scheme_at_every_size():
     found = {n: set() for n in (10, 5_000, 300_000)}
     for n in found:

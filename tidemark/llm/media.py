@@ -1,7 +1,7 @@
 """Media columns: TIFF files, read by their image directories; one row per page.
 
 Strips and tiles, stored plain or by PackBits, LZW or deflate, with or without the horizontal predictor, in either byte
-order, with interleaved or separate planes.
+order and either order of bits, with interleaved or separate planes, of samples of 1, 2, 4, 8, 16 or 32 bits.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field types with their struct codes.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANES = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
@@ -60,6 +60,8 @@ def pack_bits(data: bytes) -> bytes:
 CLEAR, END = 256, 257
 #: Codes after a CLEAR until the table is full, and the length of each; it grows one code early.
 SEGMENT = 4094 - 258
+#: Codes that make the table's entries whole; further ones, up to the next CLEAR, repeat entries.
+TABLE = 4096 - 258 + 1
 LENGTHS = np.select([np.arange(SEGMENT + 1) < n for n in (512 - 258, 1024 - 258, 2048 - 258)], [9, 10, 11], 12)
 
 
@@ -86,8 +88,8 @@ def lzw_codes(data: bytes):
         bit, length = bit + int(first[stop] + length[stop]), LENGTHS
 
 
-def lzw_run(codes: np.ndarray) -> bytes:
-    """The bytes of a run of codes that starts with a fresh table.
+def lzw_run(codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of a run of codes that starts with a fresh table, and where each code's bytes start.
 
     The table's entry 258 + i is what code i stands for and the first byte of the next one, so that each byte of the
     output is another one further ahead, or a literal: the literals are found by following all bytes at once.
@@ -110,15 +112,21 @@ def lzw_run(codes: np.ndarray) -> bytes:
     source[literal] = np.flatnonzero(literal)
     while (further := source[source]).tobytes() != source.tobytes():
         source = further
-    return codes[owner].astype(np.uint8)[source].tobytes()
+    return codes[owner].astype(np.uint8)[source].tobytes(), start
 
 
 def lzw_decode(data: bytes, most: int | None = None) -> bytes:
-    """Stops after the run of codes that reaches `most` bytes; a run is at most some MB."""
+    """Stops after the run of codes that reaches `most` bytes; a run that makes a table is at most some MB."""
     out, size = [], 0
     for codes in lzw_codes(data):
-        out.append(lzw_run(codes))
-        size += len(out[-1])
+        made, start = lzw_run(codes[:TABLE])
+        out.append(made)
+        size += len(made)
+        for code in codes[TABLE:].tolist():
+            if most is not None and size >= most:
+                break
+            out.append(bytes((code,)) if code < 256 else made[start[code - 258] : start[code - 257] + 1])
+            size += len(out[-1])
         if most is not None and size >= most:
             break
     return b"".join(out)
@@ -153,8 +161,11 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(16) >= 16 - LENGTHS[place][:, None]]).tobytes()
 
 
-#: No scheme makes more bytes of one than that.
-MOST_RATIO = 1500
+#: Bytes of samples of a page, and of a strip or tile, beyond which a page is refused: what a task has to hold at once.
+MOST_BYTES = 1 << 28
+
+#: Each byte with its bits in reverse.
+REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8), bitorder="little")).tobytes()
 
 
 def inflated(scheme: int, data: bytes, most: int) -> bytes:
@@ -189,37 +200,54 @@ def directories(data: bytes):
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def page_samples(data: bytes, order: str, tags: dict) -> tuple[dict, bytes]:
-    """What the directory says, and the page's samples by row, in the machine's byte order."""
+def samples_of(raw: bytes, rows: int, row: int, bits: int, item: np.dtype) -> np.ndarray:
+    """The samples of a strip or tile, by row; those of less than a byte are taken out of their bytes, first bit highest."""
+    if bits >= 8:
+        return np.frombuffer(raw, item, rows * row).reshape(rows, row)
+    packed = np.frombuffer(raw, np.uint8, rows * -(-row * bits // 8)).reshape(rows, -1)
+    parts = [packed >> shift & (1 << bits) - 1 for shift in range(8 - bits, -1, -bits)]
+    return np.stack(parts, axis=2).reshape(rows, -1)[:, :row]
+
+
+def page_samples(data: bytes, order: str, tags: dict, most: int = MOST_BYTES) -> tuple[dict, bytes]:
+    """What the directory says, and the page's samples by row, in the machine's byte order; those below a byte have one each."""
     one = lambda tag, other: tags.get(tag, (other,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     scheme, predictor, planes = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(PLANES, 1)
     info = {"width": width, "height": height, "bits": bits, "samples": samples, "compression": scheme, "predictor": predictor}
-    if bits not in (1, 8, 16) or predictor not in (1, 2) or bits == 1 and (predictor == 2 or TILE_OFFSETS in tags):
-        raise ValueError(f"{bits} bits with predictor {predictor}")
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, ()))) > 1 or predictor not in (1, 2) or bits < 8 and predictor == 2:
+        raise ValueError(f"{' '.join(map(str, tags.get(BITS, (1,))[:8]))} bits with predictor {predictor}")
     per_pixel = samples if planes == 1 else 1
-    if TILE_OFFSETS in tags:
+    tiled = TILE_OFFSETS in tags
+    if tiled:
         w, h, offsets, counts = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         w, h, offsets, counts = width, min(height, one(ROWS_PER_STRIP, height)), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-    across, down = -(-width // max(1, w)), -(-height // max(1, h))
-    item = np.dtype("u1") if bits <= 8 else np.dtype(order + "u2")
-    row = w * per_pixel if bits > 1 else -(-w * per_pixel // 8)
-    if min(width, height, samples, w, h) < 1 or max(height * width * samples, h * row) * item.itemsize > MOST_RATIO * max(1, len(data)):
-        raise ValueError("a page that is larger than its file can hold")
-    out = np.zeros((height, width, samples) if bits > 1 else (height, row, 1), item.newbyteorder("="))
-    for i, (offset, count) in enumerate(zip(offsets, counts)):
+    if min(width, height, samples, w, h) < 1:
+        raise ValueError("a page without samples")
+    item = np.dtype("u1") if bits <= 8 else np.dtype(f"{order}u{bits // 8}")
+    row = w * per_pixel
+    if max(height * width * samples, h * row) * item.itemsize > most:
+        raise ValueError(f"a page of over {most} bytes")
+    across, down = -(-width // w), -(-height // h)
+    parts = across * down * (samples // per_pixel)
+    if min(len(offsets), len(counts)) < parts:
+        raise ValueError("strips or tiles are missing")
+    out = np.zeros((height, width, samples), item.newbyteorder("="))
+    for i, (offset, count) in enumerate(zip(offsets[:parts], counts)):
         plane, place = divmod(i, across * down)
         y, x = place // across * h, place % across * w
-        rows = h if TILE_OFFSETS in tags else min(h, height - y)
-        raw = inflated(scheme, data[offset : offset + count], rows * row * item.itemsize)
-        if len(raw) < rows * row * item.itemsize:
+        rows = h if tiled else min(h, height - y)
+        size = rows * (-(-row * bits // 8))
+        stored = data[offset : offset + count]
+        raw = inflated(scheme, stored.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else stored, size)
+        if len(raw) < size:
             raise ValueError("a strip or tile is too short")
-        part = np.frombuffer(raw, item, rows * row).astype(out.dtype).reshape(rows, -1, per_pixel if bits > 1 else 1)
+        part = samples_of(raw, rows, row, bits, item).astype(out.dtype).reshape(rows, w, per_pixel)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=out.dtype)
-        into = out[y : y + h, x : x + (w if bits > 1 else row)]
-        into[:, :, plane : plane + part.shape[2]] = part[: into.shape[0], : into.shape[1]]
+        into = out[y : y + h, x : x + w]
+        into[:, :, plane : plane + per_pixel] = part[: into.shape[0], : into.shape[1]]
     return info, out.tobytes()
 
 
@@ -266,29 +294,30 @@ def write_tiff(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int =
 PAGE_COLUMNS = "page long, width long, height long, bits long, samples long, compression long, predictor long, data binary, error string"
 
 
-def pages_of(data: bytes | None):
+def pages_of(data: bytes | None, most: int = MOST_BYTES):
     """(page, facts, samples, error) of each page; of what can't be read, one row that says why."""
     page = 0
     try:
         for order, tags in directories(data or b""):
-            yield page, *page_samples(data, order, tags), None
+            yield page, *page_samples(data, order, tags, most), None
             page += 1
     except (ValueError, struct.error, zlib.error, KeyError, IndexError, OverflowError, MemoryError) as e:
         yield page, {}, None, str(e)[:200] or type(e).__name__
 
 
-def tiff_pages(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+def tiff_pages(media: DataFrame, key: str = "doc_id", column: str = "media", most: int = MOST_BYTES) -> DataFrame:
     """One row per page of each TIFF file in a binary column: key, page and PAGE_COLUMNS.
 
     A null, empty or damaged file gives the pages up to the damage and a row with an error; a file without directories
-    gives none. Keys that repeat are files of their own; other columns play no part.
+    gives none. A page of more than `most` bytes of samples, however small its file, is such a row with an error. Keys
+    that repeat are files of their own; other columns play no part.
     """
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 keys = batch.column(0).slice(i, 1)
-                for page, facts, data, error in pages_of(batch.column(1)[i].as_py()):
+                for page, facts, data, error in pages_of(batch.column(1)[i].as_py(), most):
                     rest = [pa.array([facts.get(x)], pa.int64()) for x in ("width", "height", "bits", "samples", "compression", "predictor")]
                     yield pa.RecordBatch.from_arrays([keys, pa.array([page], pa.int64()), *rest, pa.array([data], pa.binary()), pa.array([error], pa.string())], names=[key, *(x.split()[0] for x in PAGE_COLUMNS.split(", "))])
 
