@@ -83,6 +83,62 @@ def test_urls(spark, pages, sf_dir):
     assert {r.verdict for r in url_filter.url_verdicts(pages, []).collect()} == {"allow"}
 
 
+def test_trust_and_distrust_over_a_web(spark):
+    """Pages with absolute links, found here by an HTML parser; the flow as dense matrices; verdicts but for ties within 1e-4."""
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    rng = random.Random(4)
+    hosts = [f"h{i}.{rng.choice(['org', 'net', 'com', 'net'])}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        mine = hosts[min(rng.randrange(40), rng.randrange(40))]  # a few hosts have many pages
+        path = rng.choice(["/de/", "/fr/", "/x/"]) if mine.endswith("com") else "/p/"
+        # Hosts 30 and up link nowhere.
+        seen = [rng.choice(hosts) for _ in range(rng.randrange(5))] if hosts.index(mine) < 30 else []
+        body = "".join(rng.choice([f'<a href="http://{h}/{i}">x</a>', f"<A HREF='//{h.upper()}'>y</A>", f"<img src=https://{h}/i.png>", f'<a href="/own">z</a><a href="http://{h}?q">q</a>']) for h in seen)
+        rows.append((i, f"http://{mine}{path}{i}", body))
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            self.found += [urlsplit(v).netloc.lower() for k, v in attrs if k in ("href", "src") and urlsplit(v).netloc]
+
+    n = len(hosts)
+    counts, seeds = np.zeros((n, n)), {"allow": np.zeros(n), "block": np.zeros(n)}
+    for _, url, body in rows:
+        reader = Links()
+        reader.found = []
+        reader.feed(body)
+        at = hosts.index(urlsplit(url).netloc)
+        for h in reader.found:
+            counts[at, hosts.index(h)] += hosts.index(h) != at
+        if hosts[at].endswith("org") or "/fr/" in url:
+            seeds["allow"][at] += 1
+        elif "com/de/" in url:
+            seeds["block"][at] += 1
+
+    def masses(links, seed):
+        out = links.sum(1)
+        shares = links / np.where(out, out, 1)[:, None]
+        at, mass = seed, np.zeros(n)
+        for _ in range(20):
+            mass, at = mass + np.where(out, 0.15, 1.0) * at, 0.85 * shares.T @ at
+        return mass + at
+
+    trust, distrust = masses(counts, seeds["allow"]), masses(counts.T, seeds["block"])
+    assert abs(trust.sum() - seeds["allow"].sum()) < 1e-9 and counts.sum() > 200
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = url_filter.url_verdicts(df, queries.RULES).collect()
+    judged = set()
+    for r in found:
+        at = hosts.index(r.host)
+        assert abs(r.trust - trust[at]) < 1e-5 and abs(r.distrust - distrust[at]) < 1e-5
+        if r.rule is None and abs(distrust[at] - 2 * trust[at]) > 1e-4:
+            judged.add(r.verdict)
+            assert r.verdict == ("block" if distrust[at] > 2 * trust[at] else "allow")
+    assert len(found) == len(rows) and judged == {"allow", "block"}
+
+
 def test_blocks():
     page = "<head><title>t</title><body>a <b>c &amp; d</b><p class='x y'>one<p>two<br>three</p><script>var a='</p><p>no</p>';</script><ul><li>i<li>j</ul><!-- <p>no</p> --><p title='a>b'>q</p>&lt;z"
     assert [b[0] for b in html_text.blocks_of(page)] == ["a c & d", "one", "two three", "i", "j", "q", "<z"]
