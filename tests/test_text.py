@@ -59,6 +59,12 @@ def test_banner(spark, given, wanted):
     assert (got and got.species) == wanted
 
 
+@pytest.mark.parametrize(("given", "wanted"), [("DOLPHINS ", "other"), ("dolphins\u00a0(two)", None), ("DOLPHINS  (two)", None), ("DOLPHINSS", None), ("DOLPHINS(" + "x" * 100, "other"), ("northern resident killer whales", "northern_resident"), ("NORTHERN RESIDENT KILLER WHALES (A)", "northern_resident"), ("DOLPHINS\u2028", None), ("dolphinſ", "other"), ("", None), (None, None)])
+def test_banner_ends(spark, given, wanted):
+    got = one(spark, text.banner, given)
+    assert (got and got.species) == wanted
+
+
 def test_header_dates(spark):
     rows = spark.createDataFrame([(12, 30, "2026-01-05"), (7, 9, "2026-07-15"), (1, 2, "2025-12-31")], "m int, d int, i string")
     assert [r.x for r in rows.select(text.header_date(F.col("m"), F.col("d"), F.to_date("i")).alias("x")).collect()] == ["2025-12-30", "2026-07-09", "2026-01-02"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,13 @@ from tidemark.functions.vocab import BANNERS, MONTHS
 SPACE = r"[ \t\n\x0B\f\r ﻿]"
 
 
+#: The same characters as they are, for functions that take no pattern.
+BLANKS = " \t\n\x0B\f\r\u00a0\ufeff"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; a look at the ends only, however long the text or a run of blanks within it."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def norm(text: Column) -> Column:
@@ -25,14 +32,19 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(plain, "\r\n?", "\n")
 
 
+#: One name, and after it nothing or an opening bracket.
+BANNER = rf"^({'|'.join(re.escape(name) for name, _ in BANNERS)})(?: ?\(|\z)"
+#: So many characters tell whether a line is a banner: the longest name, and one more than what may follow it.
+BANNER_HEAD = max(len(name) for name, _ in BANNERS) + 3
+
+
 def banner(line: Column) -> Column:
     """struct<name, species> of a section banner, else null."""
-    shown = F.upper(F.translate(strip(line), "’‘", "''"))
-    out = F.lit(None)
-    for name, species in reversed(BANNERS):
-        fits = (shown == name) | shown.startswith(f"{name} (") | shown.startswith(f"{name}(")
-        out = F.when(fits, F.struct(F.lit(name).alias("name"), F.lit(species).alias("species"))).otherwise(out)
-    return out
+    # Upper case is never shorter, so a line beyond the head is longer than each name.
+    shown = F.upper(F.translate(F.left(strip(line), F.lit(BANNER_HEAD)), "’‘", "''"))
+    name = F.nullif(F.regexp_extract(shown, BANNER, 1), F.lit(""))
+    species = F.create_map(*(F.lit(x) for pair in BANNERS for x in pair))
+    return F.when(name.isNotNull(), F.struct(name.alias("name"), F.element_at(species, name).alias("species")))
 
 
 # The forms of a date header and of an issue's date line.
