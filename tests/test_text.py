@@ -1,5 +1,7 @@
 """Text rules by example."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,16 @@ def test_banner_ends(spark, given, wanted):
     assert (got and got.species) == wanted
 
 
+def test_strip_looks_at_the_ends_only(spark):
+    """Runs of blanks inside of a line took time by their square, and a line of words was searched about thirty times for a banner."""
+    run, began = "a" + " " * 200_000 + "b", time.monotonic()
+    assert one(spark, text.strip, f" \u00a0\ufeff{run}\t\x0b\n ") == run
+    assert one(spark, text.strip, "a \u2028") == "a \u2028" and one(spark, text.strip, " \n") == ""
+    words = spark.range(20_000).select(F.concat(F.lit("a b c d e f g h " * 100), "id").alias("x"))
+    assert words.filter(text.banner(F.col("x"))["name"].isNotNull()).count() == 0
+    assert time.monotonic() - began < 20
+
+
 def test_header_dates(spark):
     rows = spark.createDataFrame([(12, 30, "2026-01-05"), (7, 9, "2026-07-15"), (1, 2, "2025-12-31")], "m int, d int, i string")
     assert [r.x for r in rows.select(text.header_date(F.col("m"), F.col("d"), F.to_date("i")).alias("x")).collect()] == ["2025-12-30", "2026-07-09", "2026-01-02"]
