@@ -232,3 +232,30 @@ def test_manifest_is_plain(spark, store):
         found = json.load(f)
     (part,) = found["tables"]["gazetteer"]["parts"]
     assert (part["kind"], part["at"], part["buckets"]) == ("base", 1, 3)
+
+
+def test_a_task_has_a_bounded_share_of_rows_and_edits(spark, tmp_path, monkeypatch):
+    """Buckets grow with the table, and edits and added rows that outgrow them are dealt to more tasks; results stay."""
+    from tidemark.plans import store as module
+
+    monkeypatch.setattr(module, "PER_BUCKET", 50, raising=False)
+    s = Store(spark, str(tmp_path / "grown"))
+    rows = lambda a, b: spark.range(a, b).selectExpr("id", "concat('n', id) as name", "1.0D as lat", "2.0D as lng")
+    s.write("gazetteer", rows(0, 1000))
+    assert s.manifest()["tables"]["gazetteer"]["parts"][0]["buckets"] == 20
+    s.append("gazetteer", rows(1000, 2000))
+    s.patch("gazetteer", spark.range(0, 2000, 2).selectExpr("id", "array('region') as present", "'sea' as region"))
+    s.patch("gazetteer", spark.range(0, 2000, 4).selectExpr("id", "array('region') as present", "'bay' as region"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = s.table("gazetteer").select("id", "region", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.id, r.region) for r in got} == {(i, "bay" if i % 4 == 0 else "sea" if i % 2 == 0 else None) for i in range(2000)} and len(got) == 2000
+    tasks = {}
+    for r in got:
+        tasks[r.task] = tasks.get(r.task, 0) + 1
+    assert len(tasks) > 60 and max(tasks.values()) < 60
+    s.compact("gazetteer")
+    assert [(p["kind"], p["buckets"]) for p in s.manifest()["tables"]["gazetteer"]["parts"]] == [("base", 40)]
+    assert s.table("gazetteer").filter("region = 'bay'").count() == 500

@@ -34,6 +34,9 @@ SCHEMAS = {
 }
 #: Tables whose rows have a key, by which they are edited and bucketed.
 KEYED = {"newsletters": "id", "sightings": "id", "gazetteer": "id"}
+#: Rows and edits of a bucket. A task that folds edits into rows has one bucket, and takes about 2 KB a row.
+PER_BUCKET = 100_000
+LEAST_BUCKETS = 8
 
 
 class Conflict(RuntimeError):
@@ -41,8 +44,8 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str, buckets: int = 8):
-        """buckets: of each base that is written from now on; about as many as its size by 256 MB is right."""
+    def __init__(self, spark: SparkSession, base: str, buckets: int | None = None):
+        """buckets: of each base that is written from now on; by default one for PER_BUCKET rows, and LEAST_BUCKETS at least."""
         self.spark, self.base, self.buckets = spark, base.rstrip("/"), buckets
 
     # ---- manifests
@@ -59,7 +62,7 @@ class Store:
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> dict[str, Any]:
-        """{"version", "tables": {name: {"parts": [{"kind", "path", "at", "buckets"}], "last", "writes"}}} as of a commit, the last one if none is given."""
+        """{"version", "tables": {name: {"parts": [{"kind", "path", "at", "buckets", "rows"}], "last", "writes"}}} as of a commit, the last one if none is given."""
         version = self.version() if version is None else version
         if version == 0:
             return {"version": 0, "tables": {}}
@@ -106,14 +109,18 @@ class Store:
     def at(self, name: str, manifest: dict[str, Any]) -> DataFrame:
         form = self.spark.createDataFrame([], SCHEMAS[name]).schema
         parts = manifest["tables"].get(name, {"parts": []})["parts"]
-        rows = [self._part(name, p, form).withColumn("_at", F.lit(p["at"])) for p in parts if p["kind"] != "edits"]
+        rows = [(p["buckets"], self._part(name, p, form).withColumn("_at", F.lit(p["at"]))) for p in parts if p["kind"] != "edits"]
         if not rows:
             return self.spark.createDataFrame([], form)
         edits = [self.spark.read.schema(edit_form(name)).parquet(f"{self.base}/{p['path']}").withColumn("_at", F.lit(p["at"])) for p in parts if p["kind"] == "edits"]
-        if edits:
-            by_key = grouped_edits(union(edits), KEYED[name])
-            rows = [edited(r, by_key, KEYED[name], form.names) for r in rows]
-        return union(rows).select(*form.names)
+        if not edits:
+            return union([r for _, r in rows]).select(*form.names)
+        # All sides are dealt to the same number of tasks, which grows with the table; a base that has as many buckets stays where it is.
+        key, n = KEYED[name], dealt_to(parts)
+        by_key = grouped_edits(union(edits).repartition(n, key), key)
+        still, moved = [r for b, r in rows if b == n], [r for b, r in rows if b != n]
+        sides = still + ([union(moved).repartition(n, key)] if moved else [])
+        return union([edited(r, by_key, key, form.names) for r in sides]).select(*form.names)
 
     def _part(self, name: str, part: dict[str, Any], form) -> DataFrame:
         """Spark knows of buckets by its catalog only, so a bucketed part is named there, once a session."""
@@ -166,7 +173,7 @@ class Store:
 
     def compact(self, name: str) -> None:
         """Base, added rows and edits become one base; what reads get is the same."""
-        self.change(lambda c: c.write(name, c.table(name)))
+        self.change(lambda c: c.write(name, c.table(name), sum(p.get("rows", 0) for p in c.start["tables"].get(name, {"parts": []})["parts"] if p["kind"] != "edits") or None))
 
     def kept(self, df: DataFrame) -> DataFrame:
         """Rows written to the store's work folder and read again: later steps start from there."""
@@ -207,14 +214,19 @@ class Change:
 
     def _save(self, name: str, kind: str, writer, buckets: int = 0) -> None:
         part = {"kind": kind, "path": f"{name}/{uuid.uuid4().hex}", "buckets": buckets}
-        writer(f"{self.store.base}/{part['path']}", f"tidemark_{part['path'].replace('/', '_')}")
-        self.parts.append((name, part))
+        writer(path := f"{self.store.base}/{part['path']}", f"tidemark_{part['path'].replace('/', '_')}")
+        # The files' footers have the number of rows.
+        self.parts.append((name, part | {"rows": self.store.spark.read.schema(edit_form(name)).parquet(path).count()}))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Replaces a table; the commit conflicts with any other that touches it meanwhile."""
+    def write(self, name: str, df: DataFrame, rows: int | None = None) -> None:
+        """Replaces a table; the commit conflicts with any other that touches it meanwhile.
+
+        rows: about as many as df has, if that is known; they are counted for a table with a key otherwise.
+        """
         self.guard(name)
         df, key, n = in_form(self.store.spark, name, df), KEYED.get(name), self.store.buckets
         if key:
+            n = n or max(LEAST_BUCKETS, -(-(df.count() if rows is None else rows) // PER_BUCKET))
             self._save(name, "base", lambda path, known: df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", self.store._files(path)[1].toString()).format("parquet").saveAsTable(known), n)
         else:
             self._save(name, "base", lambda path, _: df.write.parquet(path))
@@ -261,6 +273,11 @@ class Change:
                 return number
 
 
+def dealt_to(parts: list[dict[str, Any]]) -> int:
+    """The tasks that a table's edits are folded in: the buckets of its base, or more where rows and edits have outgrown them."""
+    return max(1, *(p["buckets"] for p in parts), -(-sum(p.get("rows", 0) for p in parts) // PER_BUCKET))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
