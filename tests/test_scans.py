@@ -87,3 +87,13 @@ def test_an_issue_is_dealt_to_many_tasks(spark, monkeypatch):
     assert max(sizes) < 0.2 * len(rows) and len(sizes) > 10
     unknown = [r.line for r in issues.unknown_banners(df).collect()]
     assert unknown == ["SEA LIONS"]
+
+
+def test_a_summary_is_found_by_ranges(spark, monkeypatch):
+    """A summary over several ranges, one without an end of its own, one after the banner."""
+    monkeypatch.setattr(scans, "PER", 4)
+    long_ = ["x", "ANNOUNCEMENTS", "SUMMARY", *(f"s{i}" for i in range(20)), "Announcements of all", "y", "GRAY WHALES", "ANNOUNCEMENTS"]
+    rows = {"a": long_, "b": ["SUMMARY", "one", "two", "MINKE WHALES", "three"], "c": ["GRAY WHALES", "SUMMARY", "late", "ABOUT ORCA NETWORK"], "d": ["ABOUT ORCA NETWORK", "SUMMARY", "no"], "e": ["nothing"]}
+    df = spark.createDataFrame([(k, i, x) for k, v in rows.items() for i, x in enumerate(v)], "issue string, line_no int, line string")
+    got = issues.summaries(df)
+    assert {(r.issue, r.summary) for r in got.collect()} == {("a", "\n".join(f"s{i}" for i in range(20))), ("b", "one\ntwo")}

@@ -57,9 +57,13 @@ def summaries(lines: DataFrame) -> DataFrame:
     at = lines.groupBy("issue").agg(first(line == "SUMMARY").alias("start"), first(T.banner(F.col("line")).isNotNull()).alias("banner"), first(T.footer(F.col("line"))).alias("footer"), (F.max("line_no") + 1).alias("last"))
     end = F.coalesce("footer", "last")
     at = at.select("issue", "start", end.alias("end"), F.when(F.col("banner") < end, F.col("banner")).alias("first_banner"))
-    after = lines.join(at.select("issue", "start"), "issue").filter(F.col("line_no") > F.col("start")).groupBy("issue").agg(first(line.rlike(r"(?i)^ANNOUNCEMENTS\b")).alias("news"))
+    news = lines.filter(line.rlike(r"(?i)^ANNOUNCEMENTS\b")).select("issue", "line_no")
+    after = news.join(at.select("issue", "start"), "issue").filter(F.col("line_no") > F.col("start")).groupBy("issue").agg(F.min("line_no").alias("news"))
     at = at.join(after, "issue", "left").withColumn("until", F.when(F.col("news") <= F.col("end"), F.col("news")).otherwise(F.coalesce("first_banner", "end")))
-    inside = lines.select("issue", "line_no", "line").join(at.select("issue", "start", "until", "end"), "issue").filter("start < end and line_no > start and line_no < until")
+    # Lines meet what is asked for by ranges of their numbers, so that an issue is no key.
+    of = lambda n: F.floor(F.col(n) / scans.PER)
+    at = at.filter("start < end and start < until").select("issue", "start", "until", F.explode(F.sequence(of("start"), of("until"))).alias("range"))
+    inside = lines.select("issue", "line_no", "line", of("line_no").alias("range")).join(at, ["issue", "range"]).filter("line_no > start and line_no < until")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return inside.groupBy("issue").agg(T.strip(text).alias("summary")).filter("summary <> ''")
 

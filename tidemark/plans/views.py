@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: What the two engines write differently.
 TOKENS = {
@@ -158,6 +159,44 @@ def with_clause(engine: str, names: list[str], sf_dir: str = "") -> str:
     return "with " + ",\n".join(parts) + "\n" if parts else ""
 
 
+#: Numbers of documents, and documents of an issue, whose rows are numbered by one task.
+ID_RANGE, DOCUMENT_RANGE = 16_384, 256
+
+
+def placed(rows: DataFrame, order: list[str], per: int, out: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds 0, 1, ... per source, by `order`: ranges of its first column's numbers are numbered apart, and what comes before a range is added.
+
+    sizes: (source, <first of order>, n), the number of rows by these two; by default they are counted.
+    """
+    of = lambda df: df.withColumn("_range", F.floor(F.col(order[0]) / per))
+    sizes = of(rows.select("source", order[0], F.lit(1).alias("n")) if sizes is None else sizes).groupBy("source", "_range").agg(F.sum("n").alias("_n"))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = of(rows).withColumn("_place", F.row_number().over(Window.partitionBy("source", "_range").orderBy(*order)) - 1)
+    both = inside.join(base, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return both.withColumn(out, (F.col("_base") + F.col("_place")).cast("int")).drop("_range", "_place", "_source", "_of", "_base")
+
+
+def issue_lines(documents: DataFrame) -> DataFrame:
+    """v_issue_lines, whose SQL numbers all lines of an issue in one task, with the same numbers by ranges."""
+    d = placed(documents.select("source", "doc_id"), ["doc_id"], ID_RANGE, "r")
+    line = lambda o1, o2, x: f"struct(cast({o1} as int) as o1, cast({o2} as int) as o2, {x} as line)"
+    ends = [line(-4, 0, "concat('Jul ', cast(10 + length(source) as string), ', 2026')"), line(-3, 0, "'SUMMARY'"), line(-2, 0, "'nothing here'"), line(-1, 0, "'ANNOUNCEMENTS'"), line(1_000_000, 0, "'ABOUT ORCA NETWORK'")]
+    banner = "case cast(floor(r / 10) as int) % 5 when 0 then 'GRAY WHALES' when 1 then 'PORPOISES' when 2 then 'MINKE WHALES' when 3 then 'HUMPBACK WHALES (all)' else 'DOLPHINS' end"
+    header = "concat('Thu, Jul ', cast(1 + r % 9 as string), ' - Puget Sound', case when r % 2 = 0 then ' (T65A5)' else '' end)"
+    marks = [f"case when r % 10 = 0 then {line('r', -2, banner)} end", f"case when r % 5 = 0 then {line('r', -1, header)} end", line("r", 1_000_000, "'-'")]
+    few = documents.select("source").distinct().select("source", F.expr(f"inline(array({', '.join(ends)}))"))
+    some = d.select("source", F.expr(f"inline(filter(array({', '.join(marks)}), x -> x is not null))"))
+    texts = documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    each = d.join(texts, "doc_id").select("source", F.col("r").alias("o1"), F.posexplode("lines").alias("o2", "line"))
+    # Lines are counted by their documents, before they are rows.
+    lengths = documents.groupBy("doc_id").agg(F.sum(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n")))).alias("n"))
+    sizes = d.join(lengths, "doc_id").select("source", F.col("r").alias("o1"), "n")
+    sizes = few.unionByName(some).select("source", "o1", F.lit(1).alias("n")).unionByName(sizes.filter("n > 0"))
+    numbered = placed(few.unionByName(some).unionByName(each), ["o1", "o2"], DOCUMENT_RANGE, "line_no", sizes)
+    return numbered.select(F.col("source").alias("issue"), "line_no", "line")
+
+
 class Views:
     """The views of one data folder as DataFrames: Views(spark, sf_dir).sightings."""
 
@@ -168,6 +207,8 @@ class Views:
         view = f"v_{name}"
         if view not in VIEWS:
             raise AttributeError(name)
+        if view == "v_issue_lines":
+            return issue_lines(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"))
         return self.spark.sql(with_clause("spark", [view], self.sf_dir) + f"select * from {view}")
 
     def sql(self, query: str, *names: str, **args) -> DataFrame:
