@@ -315,3 +315,20 @@ def test_sample_is_of_documents_at_hand(spark):
     labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
     got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, p=toxicity.Ftrl(most_rows=50, l1=0.1)).collect()}
     assert all((s > 0.5) == (d % 2 == 1) for d, s in got.items())
+
+
+def test_workers_hold_little_between_tasks(monkeypatch):
+    """When a task is over, its worker remembers no pieces and gives freed memory back; workers live on."""
+    from tidemark.llm import shared
+
+    given = []
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(len(packing.encoder(path).known)))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: 7})())
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.record_batch({"doc_id": [1, 2], "queue": ["a", "b"], "text": ["one two", "three"]})
+    rows = list(shared.tidy(packing.token_batches(path, 2))([batch, batch]))
+    assert [r.column(2).to_pylist() for r in rows] == [[7, 7]] * 2 and given == [1]
+    stopped = shared.tidy(packing.token_batches(path, 2))(iter([batch, batch]))
+    next(stopped)
+    stopped.close()
+    assert len(given) == 2

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import located
-from tidemark.llm.shared import cut, mix64, running_start
+from tidemark.llm.shared import cut, mix64, running_start, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SLOTS, SEED = 64, 4096, 7
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, per_sh
     begin, end = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "start", (begin - F.col("start")).alias("first"), (end - begin).alias("length"))
     shards = -(-sum(slots.values()) // per_shard)
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(slot_batches(sources, list(blocks.values()), list(slots.values()), per_shard, seed), "shard long, slot long, source string, block long, round long")
+    drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(tidy(slot_batches(sources, list(blocks.values()), list(slots.values()), per_shard, seed)), "shard long, slot long, source string, block long, round long")
     # A row of shards becomes thousands of slots, which Spark cannot foresee: without the hint it would broadcast them all.
     spans = drawn.hint("merge").join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
     return places, spans, goal
@@ -208,5 +208,5 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     runs = by_round.select("_source", "_start", joined.alias("runs")).groupBy("_source", "_start").agg(F.flatten(F.collect_list("runs")).alias("_runs"))
     placed = places.filter("size > 0").join(runs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
     cuts = placed.select("file", "row", F.col("size").alias("words"), F.col("_runs").alias("runs"))
-    out = rows.join(cuts, ["file", "row"]).select("doc", F.struct("words", "runs").alias("cut")).mapInArrow(cut_batches(docs.columns), docs.schema)
+    out = rows.join(cuts, ["file", "row"]).select("doc", F.struct("words", "runs").alias("cut")).mapInArrow(tidy(cut_batches(docs.columns)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, cut, mix64, rows_up_to, shingle_hashes
+from tidemark.llm.shared import Words, cut, mix64, rows_up_to, shingle_hashes, tidy
 
 K = 64
 #: A sketch of so many values is a whole set.
@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, perce
     few = F.expr(least_shared("1e9D", k, percent))
     likely = both.filter(seen >= F.when(F.size(union) < k, F.ceil(F.size(union) * percent / 100)).otherwise(few)).select("a", "b")
     full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-    counted = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(overlap_batches, "a long, b long, shared long, size_a long, size_b long")
+    counted = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(overlap_batches), "a long, b long, shared long, size_a long, size_b long")
     return counted.filter(f"100 * shared >= {percent} * (size_a + size_b - shared)").select("a", "b")
 
 
@@ -180,9 +180,9 @@ def shared_sets(docs: DataFrame, nodes: DataFrame, n: int, k: int, percent: int)
     met = inverted_lists(nodes.select("node", "n"), nodes.select("node", F.explode("sketch").alias("value")), k, percent)
     needed = nodes.join(met.select("node").distinct(), "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
-    likely = docs.mapInArrow(marked_batches(bits), "doc_id long, text string, text_hash long")
+    likely = docs.mapInArrow(tidy(marked_batches(bits)), "doc_id long, text string, text_hash long")
     texts = likely.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
-    return cut(texts.select("node", "text").mapInArrow(set_batches(n), "node long, shingles binary").dropDuplicates(["node"]))
+    return cut(texts.select("node", "text").mapInArrow(tidy(set_batches(n)), "node long, shingles binary").dropDuplicates(["node"]))
 
 
 def bitmap(needed: DataFrame) -> np.ndarray:
@@ -215,14 +215,14 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 75, k: int = K) -> Da
     doc_id counts as larger than all others. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = cut(docs.mapInArrow(sketch_batches(n, k), "doc_id long, text_hash long, n_shingles long, print binary, sketch array<long>"))
+    rows = cut(docs.mapInArrow(tidy(sketch_batches(n, k)), "doc_id long, text_hash long, n_shingles long, print binary, sketch array<long>"))
     # One node for each set; of equal sets, the text of the smallest doc_id.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n_shingles", "sketch")).alias("x")
     nodes = cut(rows.filter("n_shingles > 0").groupBy("print").agg(best).select("print", "x.doc_id", "x.text_hash", F.col("x.n_shingles").alias("n"), "x.sketch", F.monotonically_increasing_id().alias("node")))
 
     sets = shared_sets(docs, nodes, n, k, percent)
     sizes = sets.select("node", F.expr("cast(length(shingles) / 8 as bigint) as n"))
-    lists = cut(inverted_lists(sizes, sets.mapInArrow(value_batches, "node long, value long"), WHOLE, percent))
+    lists = cut(inverted_lists(sizes, sets.mapInArrow(tidy(value_batches), "node long, value long"), WHOLE, percent))
 
     # What stands lower than this in its list can meet no member, be it the smallest that is similar.
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n", "rest")).alias("hub"), F.min("n").alias("n_least")).select("value", "n_least", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.rest").alias("rest_hub"))

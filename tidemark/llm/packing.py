@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, process_cache, rows_up_to
+from tidemark.llm.shared import cut, process_cache, rows_up_to, tidy
 
 WINDOW, RUN, END_ID = 4096, 256, 2
 #: More sources than this share queues, by their hash.
 MOST_QUEUES = 4096
 #: Rows of (partition, source) that are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
-#: Pieces of text between white space that a worker remembers, and the ids that they may have in all.
+#: Pieces of text between white space that a task remembers, and the ids that they may have in all.
 MOST_KNOWN, MOST_IDS = 400_000, 8_000_000
 #: What stands for the end of a text among the pieces; no piece has white space.
 END = " "
@@ -179,6 +179,7 @@ def token_batches(path: str, end_id: int):
                     given[queue] = starts[-1] + n
                 blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(sizes), part)), pa.array(starts, pa.int64()), pa.array(sizes), blobs], names=["doc_id", "queue", "part", "inside", "n", "ids"])
+        encode.forget()  # between tasks a worker keeps the tokenizer, but no pieces
 
     return run
 
@@ -314,7 +315,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, window: i
     spark, weights = docs.sparkSession, weights or None
     several = docs.select("source").distinct().limit(MOST_QUEUES + 1).count()
     queue = F.col("source") if several <= MOST_QUEUES else F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string")
-    tokens = cut(docs.select("doc_id", queue.cast("string").alias("queue"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(token_batches(tokenizer, end_id), "doc_id long, queue string, part long, inside long, n long, ids binary"))
+    tokens = cut(docs.select("doc_id", queue.cast("string").alias("queue"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(token_batches(tokenizer, end_id)), "doc_id long, queue string, part long, inside long, n long, ids binary"))
     sums = cut(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("queue").alias("_queue"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -330,4 +331,4 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, window: i
     shares = [float(weights.get(q, 0) if weights is not None else n) for q, n in totals]
     placed = tokens.join(base, F.col("queue").eqNullSafe(F.col("_queue")) & (F.col("part") == F.col("_part")))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("inside")).alias("at"), "ids").mapInArrow(piece_batches(queues, sizes, shares, window, run), schema)
+    return placed.select("doc_id", "queue", (F.col("base") + F.col("inside")).alias("at"), "ids").mapInArrow(tidy(piece_batches(queues, sizes, shares, window, run)), schema)

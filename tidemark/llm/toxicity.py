@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, mix64, rows_up_to
+from tidemark.llm.shared import Words, mix64, rows_up_to, tidy
 
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -111,9 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
     sample = at_hand.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.most_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     place = F.xxhash64("doc_id", "text")
-    made = texts.select("doc_id", place.alias("place"), F.col("toxic").cast("double").alias("toxic"), "text").mapInArrow(feature_rows(p.bits), "doc_id long, place long, toxic double, features binary")
+    made = texts.select("doc_id", place.alias("place"), F.col("toxic").cast("double").alias("toxic"), "text").mapInArrow(tidy(feature_rows(p.bits)), "doc_id long, place long, toxic double, features binary")
     once = made.groupBy("doc_id").agg(F.min(F.struct("place", "toxic", "features")).alias("first")).select("first.*")
-    model = once.repartition(1).sortWithinPartitions("place").mapInArrow(trainer(p), "index long, weight double").toPandas()
+    model = once.repartition(1).sortWithinPartitions("place").mapInArrow(tidy(trainer(p)), "index long, weight double").toPandas()
     return model["index"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
@@ -160,7 +160,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     A null text counts as empty and is scored by the bias; rows that repeat have equal scores. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
-    return docs.mapInArrow(clean_batches(model, p.bits, threshold), docs.schema)
+    return docs.mapInArrow(tidy(clean_batches(model, p.bits, threshold)), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: Ftrl = Ftrl()) -> DataFrame:
@@ -170,6 +170,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: Ftrl
     scores; other columns play no part. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score_batches(model, p.bits), "doc_id long, score double")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(score_batches(model, p.bits)), "doc_id long, score double")
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
