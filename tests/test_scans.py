@@ -54,6 +54,21 @@ def test_splits(spark, monkeypatch, whole, short):
         assert {(r.g, r.n): r.part for r in got.collect()} == parts_of(rows, most, whole)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_long_group_takes_few_steps(spark, monkeypatch, whole):
+    """However many parts a group has, what is stored on the way grows with the levels of its ranges only, here four."""
+    monkeypatch.setattr(scans, "PER", 8)
+    monkeypatch.setattr(scans, "FAN", 4, raising=False)
+    draw = random.Random(5)
+    rows = [(g, n + 5, draw.choice([1, 2, 7, 30]), draw.random() < 0.8) for g, count in (("hot", 900), (None, 100)) for n in range(count)]
+    steps, stored = [], scans.stored
+    monkeypatch.setattr(scans, "stored", lambda df: steps.append(df.columns) or stored(df))
+    got = scans.split(spark.createDataFrame(rows, "g string, n int, _size int, _may boolean"), ["g"], "n", 10, "part", whole=whole, short=0)
+    want = parts_of(rows, 10, whole)
+    assert {(r.g, r.n): r.part for r in got.collect()} == want
+    assert max(want.values()) > 300 and len(steps) <= 6
+
+
 def test_split_of_nothing(spark):
     none = spark.createDataFrame([], "g string, n int, _size int, _may boolean")
     assert scans.split(none, ["g"], "n", 5, "part", whole=True).count() == 0

@@ -24,3 +24,22 @@ def test_issue_lines_are_numbered_by_ranges(spark, sf_dir, tmp_path, monkeypatch
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(sizes) > 10 and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_ends_among_many_lines_and_texts_of_one_id(spark, tmp_path, monkeypatch):
+    """The view's SQL with smaller places of its ends: documents and lines stand behind them; a doc_id has texts of several sizes in two sources."""
+    monkeypatch.setattr(views, "END", 3, raising=False)
+    monkeypatch.setitem(views.VIEWS, "v_issue_lines", views.VIEWS["v_issue_lines"].replace("1000000", "3"))
+    # What the SQL leaves open, as it has the same place, is the same text.
+    rows = [(n, "ABOUT ORCA NETWORK" if n == 3 else "a\nb\nc\n-\ne", "long") for n in range(13)]
+    rows += [(20, "same", "x"), (20, "same\nother", "x"), (20, "same\nother\nlast", "y"), (21, "next", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = views.Views(spark, str(tmp_path)).issue_lines
+    want = spark.sql(views.with_clause("spark", ["v_issue_lines"], str(tmp_path)) + "select * from v_issue_lines")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_lines_are_not_sorted(spark, sf_dir):
+    """Lines are numbered by their documents: no window and no sort has them."""
+    plan = views.Views(spark, sf_dir).issue_lines._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and not [x for x in plan.splitlines() if "Window" in x and "line#" in x]

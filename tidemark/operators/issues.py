@@ -93,8 +93,13 @@ def packed(texts: DataFrame, group: list[str], order: str, size: str, most: int
 
 def oversize_parts(text_lines: DataFrame, group: list[str], order: str, most: int = MAX_CHUNK) -> DataFrame:
     """Adds part_no per group: before a separator line, a part of more than `most` characters ends; `order` is a number that differs within a group."""
+    return with_part(text_lines, oversize_numbers(text_lines, group, order, most), [*group, order], "part_no")
+
+
+def oversize_numbers(text_lines: DataFrame, group: list[str], order: str, most: int = MAX_CHUNK) -> DataFrame:
+    """(group, order, _size, part_no) of oversize_parts, without the lines; _size: a line's length and its end's."""
     sized = text_lines.select(*group, order, (F.length("line") + 1).alias("_size"), T.separator(F.col("line")).alias("_may"))
-    return with_part(text_lines, scans.split(sized, group, order, most, "part_no", whole=False), [*group, order], "part_no")
+    return scans.split(sized, group, order, most, "part_no", whole=False)
 
 
 def with_part(rows: DataFrame, parts: DataFrame, keys: list[str], out: str) -> DataFrame:

@@ -822,8 +822,8 @@ def greedy_chunks(v):
     union all select l.issue, l.n, case when l.sep and f.len > 12000 then f.no + 1 else f.no end, case when l.sep and f.len > 12000 then l.s + 1 else f.len + l.s + 1 end from f join l on l.issue = f.issue and l.n = f.n + 1) select * from f)
   select f.issue, f.no as part_no, count(*) as lines, cast(sum(l.s + 1) as bigint) as chars from fold f join l using (issue, n) group by f.issue, f.no""")
 def oversize_split(v):
-    parts = issues.oversize_parts(v.issue_lines, ["issue"], "line_no")
-    return parts.groupBy("issue", "part_no").agg(F.count("*").alias("lines"), F.sum(F.length("line") + 1).alias("chars"))
+    parts = issues.oversize_numbers(v.issue_lines, ["issue"], "line_no")
+    return parts.groupBy("issue", "part_no").agg(F.count("*").alias("lines"), F.sum("_size").alias("chars"))
 
 
 @query("issue_lines", GREEDY_SQL + f""", counted as (select issue, banner_line, row_number() over (partition by issue, banner_line order by coalesce(header_line, banner_line)) as n,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What the two engines write differently.
@@ -163,38 +163,50 @@ def with_clause(engine: str, names: list[str], sf_dir: str = "") -> str:
 ID_RANGE, DOCUMENT_RANGE = 16_384, 256
 
 
-def placed(rows: DataFrame, order: list[str], per: int, out: str, sizes: DataFrame | None = None) -> DataFrame:
-    """Adds 0, 1, ... per source, by `order`: ranges of its first column's numbers are numbered apart, and what comes before a range is added.
+def placed(rows: DataFrame, order: str, per: int, out: str, size: Column) -> DataFrame:
+    """Adds the sum of `size` over the rows before, per source and by `order`: ranges of its numbers are summed apart, and what comes before a range is added."""
+    of = rows.withColumns({"_range": F.floor(F.col(order) / per), "_size": size.cast("long")})
+    up_to = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = of.groupBy("source", "_range").agg(F.sum("_size").alias("_n"))
+    base = base.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("source", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    both = of.withColumn("_place", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(base, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return both.withColumn(out, F.col("_base") + F.col("_place")).drop("_range", "_size", "_place", "_source", "_of", "_base")
 
-    sizes: (source, <first of order>, n), the number of rows by these two; by default they are counted.
-    """
-    of = lambda df: df.withColumn("_range", F.floor(F.col(order[0]) / per))
-    sizes = of(rows.select("source", order[0], F.lit(1).alias("n")) if sizes is None else sizes).groupBy("source", "_range").agg(F.sum("n").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = of(rows).withColumn("_place", F.row_number().over(Window.partitionBy("source", "_range").orderBy(*order)) - 1)
-    both = inside.join(base, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_of")))
-    return both.withColumn(out, (F.col("_base") + F.col("_place")).cast("int")).drop("_range", "_place", "_source", "_of", "_base")
+
+#: What the view's SQL writes as the place of an issue's end among its documents, and of a document's end among its lines.
+END = 1_000_000
 
 
 def issue_lines(documents: DataFrame) -> DataFrame:
-    """v_issue_lines, whose SQL numbers all lines of an issue in one task, with the same numbers by ranges."""
-    d = placed(documents.select("source", "doc_id"), ["doc_id"], ID_RANGE, "r")
-    line = lambda o1, o2, x: f"struct(cast({o1} as int) as o1, cast({o2} as int) as o2, {x} as line)"
-    ends = [line(-4, 0, "concat('Jul ', cast(10 + length(source) as string), ', 2026')"), line(-3, 0, "'SUMMARY'"), line(-2, 0, "'nothing here'"), line(-1, 0, "'ANNOUNCEMENTS'"), line(1_000_000, 0, "'ABOUT ORCA NETWORK'")]
+    """v_issue_lines, whose SQL numbers all lines of an issue in one task, with the same numbers: documents are placed by how many
+    lines they have, and a line's number is its document's place and its own within; lines are not sorted."""
+    n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0)
+    d = placed(documents.select("source", "doc_id"), "doc_id", ID_RANGE, "r", F.lit(1)).withColumn("r", F.col("r").cast("int"))
+    # Texts of one doc_id are all lines of each of its documents, one line of each in turn; the longest comes first.
+    texts = documents.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(n_lines))).alias("sizes"))
+    up_to = lambda n: F.aggregate("sizes", F.lit(0), lambda x, y: x + F.least(y, n))
+    marks = F.expr("case when r % 10 = 0 then 1 else 0 end + case when r % 5 = 0 then 1 else 0 end")
+    d = d.join(texts, "doc_id", "left").withColumn("sizes", F.coalesce("sizes", F.array().cast("array<int>"))).withColumns({"n": F.aggregate("sizes", F.lit(0), lambda x, y: x + y), "marks": marks})
+    d = placed(d, "r", DOCUMENT_RANGE, "at", F.col("n") + F.col("marks") + 1)
+    # Four lines are before all documents; the issue's end is before the lines of document END, a document's end before its line END.
+    d = d.withColumns({"at": F.col("at") + 4 + F.when(F.col("r") > END, 1).otherwise(0), "first": F.col("at") + 4 + F.col("marks") + F.when(F.col("r") >= END, 1).otherwise(0)})
+    ends = documents.select("source").distinct().alias("s").join(
+        d.groupBy(F.col("source").alias("_source")).agg(F.sum(F.when(F.col("r") < END, F.col("n") + F.col("marks") + 1).when(F.col("r") == END, F.col("marks")).otherwise(0)).alias("before")), F.col("source").eqNullSafe(F.col("_source")))
+    line = lambda no, x: f"struct(cast({no} as int) as line_no, {x} as line)"
+    few = [line(0, "concat('Jul ', cast(10 + length(source) as string), ', 2026')"), line(1, "'SUMMARY'"), line(2, "'nothing here'"), line(3, "'ANNOUNCEMENTS'"), line("before + 4", "'ABOUT ORCA NETWORK'")]
     banner = "case cast(floor(r / 10) as int) % 5 when 0 then 'GRAY WHALES' when 1 then 'PORPOISES' when 2 then 'MINKE WHALES' when 3 then 'HUMPBACK WHALES (all)' else 'DOLPHINS' end"
     header = "concat('Thu, Jul ', cast(1 + r % 9 as string), ' - Puget Sound', case when r % 2 = 0 then ' (T65A5)' else '' end)"
-    marks = [f"case when r % 10 = 0 then {line('r', -2, banner)} end", f"case when r % 5 = 0 then {line('r', -1, header)} end", line("r", 1_000_000, "'-'")]
-    few = documents.select("source").distinct().select("source", F.expr(f"inline(array({', '.join(ends)}))"))
-    some = d.select("source", F.expr(f"inline(filter(array({', '.join(marks)}), x -> x is not null))"))
-    texts = documents.select("doc_id", F.split("text", "\n").alias("lines"))
-    each = d.join(texts, "doc_id").select("source", F.col("r").alias("o1"), F.posexplode("lines").alias("o2", "line"))
-    # Lines are counted by their documents, before they are rows.
-    lengths = documents.groupBy("doc_id").agg(F.sum(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n")))).alias("n"))
-    sizes = d.join(lengths, "doc_id").select("source", F.col("r").alias("o1"), "n")
-    sizes = few.unionByName(some).select("source", "o1", F.lit(1).alias("n")).unionByName(sizes.filter("n > 0"))
-    numbered = placed(few.unionByName(some).unionByName(each), ["o1", "o2"], DOCUMENT_RANGE, "line_no", sizes)
-    return numbered.select(F.col("source").alias("issue"), "line_no", "line")
+    some = [f"case when r % 10 = 0 then {line('at', banner)} end", f"case when r % 5 = 0 then {line('at + marks - 1', header)} end", line("last", "'-'")]
+    few = ends.select("source", F.expr(f"inline(array({', '.join(few)}))"))
+    some = d.withColumn("last", F.col("first") + up_to(F.lit(END))).select("source", F.expr(f"inline(filter(array({', '.join(some)}), x -> x is not null))"))
+    # Which of a doc_id's texts it is costs no shuffle: they are met by doc_id.
+    nth = Window.partitionBy("doc_id").orderBy(F.desc("_n"))
+    one = documents.select("doc_id", "text", n_lines.alias("_n")).withColumn("nth", F.row_number().over(nth) - 1).drop("_n")
+    each = d.select("doc_id", "source", "first", "sizes").join(one, "doc_id").select("source", "first", "sizes", "nth", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    inside = F.when(F.size("sizes") == 1, F.col("pos")).otherwise(up_to(F.col("pos")) + F.col("nth"))
+    each = each.select("source", (F.col("first") + inside + F.when(F.col("pos") >= END, 1).otherwise(0)).cast("int").alias("line_no"), "line")
+    return few.unionByName(some).unionByName(each).withColumnRenamed("source", "issue")
 
 
 class Views:
