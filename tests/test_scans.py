@@ -69,6 +69,17 @@ def test_a_long_group_takes_few_steps(spark, monkeypatch, whole):
     assert max(want.values()) > 300 and len(steps) <= 6
 
 
+def test_lines_are_read_once(spark):
+    """Sections come from one reading of the lines, though a scan looks at them twice."""
+    seen = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    lines = ["GRAY WHALES", "Thu, Jul 9 - Puget Sound", "a", "", "Fri, Jul 10 - Hood Canal", "b", "c"]
+    df = spark.createDataFrame([("i", n, x) for n, x in enumerate(lines)], "issue string, line_no int, line string").withColumn("line", look("line"))
+    got = issues.sections(df).collect()
+    assert sorted((r.header_line, r.text) for r in got) == [(1, "Thu, Jul 9 - Puget Sound\na"), (4, "Fri, Jul 10 - Hood Canal\nb\nc")]
+    assert seen.value == len(lines)
+
+
 def test_split_of_nothing(spark):
     none = spark.createDataFrame([], "g string, n int, _size int, _may boolean")
     assert scans.split(none, ["g"], "n", 5, "part", whole=True).count() == 0

@@ -42,9 +42,9 @@ def banner(line: Column) -> Column:
     """struct<name, species> of a section banner, else null."""
     # Upper case is never shorter, so a line beyond the head is longer than each name.
     shown = F.upper(F.translate(F.left(strip(line), F.lit(BANNER_HEAD)), "’‘", "''"))
-    name = F.nullif(F.regexp_extract(shown, BANNER, 1), F.lit(""))
+    name = F.regexp_extract(shown, BANNER, 1)
     species = F.create_map(*(F.lit(x) for pair in BANNERS for x in pair))
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), F.element_at(species, name).alias("species")))
+    return F.when(shown.rlike(BANNER), F.struct(name.alias("name"), F.element_at(species, name).alias("species")))
 
 
 # The forms of a date header and of an issue's date line.
@@ -72,7 +72,9 @@ def header(line: Column) -> Column:
     water = F.when(bracketed, strip(F.regexp_extract(rest, in_brackets, 1))).otherwise(rest)
     pod = F.when(bracketed, strip(F.regexp_extract(rest, in_brackets, 2)))
     day = F.regexp_extract(line, HEADER, 2).try_cast("int")
-    return F.when(line.rlike(HEADER) & month.isNotNull(), F.struct(line.alias("raw"), month.alias("month"), day.alias("day"), water.alias("water_body"), pod.alias("pod")))
+    # Few lines begin with a day: the others are told by their first characters.
+    found = F.left(line, F.lit(5)).rlike(f"(?i)^{DAY}") & line.rlike(HEADER) & month.isNotNull()
+    return F.when(found, F.struct(line.alias("raw"), month.alias("month"), day.alias("day"), water.alias("water_body"), pod.alias("pod")))
 
 
 def header_date(month: Column, day: Column, issue_date: Column) -> Column:
@@ -103,7 +105,7 @@ def separator(line: Column) -> Column:
 
 def footer(line: Column) -> Column:
     """Where the reports end; the two phrases are fixed values."""
-    return strip(line).rlike(r"(?i)^(ABOUT ORCA NETWORK|Orca Network is a 501)")
+    return F.left(strip(line), F.lit(21)).rlike(r"(?i)^(ABOUT ORCA NETWORK|Orca Network is a 501)")
 
 
 def shouted(line: Column) -> Column:

@@ -13,13 +13,14 @@ from tidemark.operators import scans
 def running(lines: DataFrame) -> DataFrame:
     """Lines before the footer with what they stand under: `section` (line, name and species of the last banner) and `header_line`, the last header.
 
-    An issue may have any share of all lines: they are scanned by ranges of their numbers.
+    An issue may have any share of all lines: they are scanned by ranges of their numbers. They are stored, with what each of them is,
+    as a scan looks at them twice.
     """
-    df = lines.withColumns({"banner": T.banner(F.col("line")), "header": T.header(F.col("line"))})
+    df = scans.stored(lines.withColumns({"banner": T.banner(F.col("line")), "header": T.header(F.col("line")), "footer": T.footer(F.col("line"))}))
     here = lambda c: F.when(c, F.col("line_no"))
     section = F.when(F.col("banner").isNotNull(), F.struct("line_no", "banner.name", "banner.species"))
-    seen = {"section": section, "header_line": here(F.col("header").isNotNull()), "ended": here(T.footer(F.col("line")))}
-    return scans.scanned(df, ["issue"], "line_no", seen).filter("ended is null").drop("ended")
+    seen = {"section": section, "header_line": here(F.col("header").isNotNull()), "ended": here(F.col("footer"))}
+    return scans.scanned(df, ["issue"], "line_no", seen).filter("ended is null").drop("ended", "footer")
 
 
 def issue_dates(lines: DataFrame) -> DataFrame:
