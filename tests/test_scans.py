@@ -80,6 +80,16 @@ def test_lines_are_read_once(spark):
     assert seen.value == len(lines)
 
 
+def test_texts_of_chunks_are_not_stored_to_be_measured(spark, sf_dir, monkeypatch):
+    """carried_headers stores what it asks of its chunks' texts, not the texts."""
+    from tidemark.plans import catalogue
+
+    kept, stored = [], scans.stored
+    monkeypatch.setattr(scans, "stored", lambda df: kept.append(df.columns) or stored(df))
+    catalogue.QUERIES["carried_headers"](spark, sf_dir)
+    assert {"part_no", "carried_header"} <= set(kept[-1]) and "text" not in kept[-1]
+
+
 def test_split_of_nothing(spark):
     none = spark.createDataFrame([], "g string, n int, _size int, _may boolean")
     assert scans.split(none, ["g"], "n", 5, "part", whole=True).count() == 0

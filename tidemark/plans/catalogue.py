@@ -846,8 +846,10 @@ def chunk_diagnostics(v):
   select p.issue, p.banner_line, p.chunk_no, p.no as part_no, count(*) as lines, case when p.no > 0 then max(m.t) end as carried_header from parts p left join ({MARKED_SQL}) m on m.issue = p.issue and m.line_no = p.header_line group by 1, 2, 3, 4""")
 def carried_headers(v):
     """Parts of split sections: those after the first carry the section's header."""
-    parts = scans.stored(issues.chunks(v.issue_lines).withColumn("lines", F.size(F.split("text", "\n")).cast("long")))
-    split = parts.groupBy("issue", "banner_line", "chunk_no").agg(F.max("part_no").alias("most"), F.sum(F.length("text")).alias("chars")).filter(f"most > 0 or chars > {vocab.MAX_CHUNK}")
+    # What is asked of a text is stored, not the text.
+    measured = {"lines": F.size(F.split("text", "\n")).cast("long"), "chars": F.length("text")}
+    parts = scans.stored(issues.chunks(v.issue_lines).withColumns(measured).select("issue", "banner_line", "chunk_no", "part_no", "lines", "chars", "carried_header"))
+    split = parts.groupBy("issue", "banner_line", "chunk_no").agg(F.max("part_no").alias("most"), F.sum("chars").alias("chars")).filter(f"most > 0 or chars > {vocab.MAX_CHUNK}")
     return parts.join(split, ["issue", "banner_line", "chunk_no"], "left_semi").select("issue", "banner_line", "chunk_no", "part_no", "lines", "carried_header")
 
 
